@@ -157,7 +157,7 @@ def incremental_ordered(spark, sf_dir):
     target = seeded(spark, "events", at_or_before(events.read(), "ts", EVENT_CUTOFF))
     mark = target.high_water_mark("ts")
     hf.load_table(events, target, spec=incremental("ts"))
-    return target.read((("ts", mark)))
+    return target.read_above("ts", mark)
 
 
 @query

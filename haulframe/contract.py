@@ -303,26 +303,21 @@ def _can_mark(type_text: str) -> bool:
 
 def in_parent_order(contracts: list[Contract]) -> list[Contract]:
     """Parents before children; a cycle leaves the given order untouched."""
-    waves = parent_waves(contracts)
-    return list(contracts) if waves is None else [c for wave in waves for c in wave]
-
-
-def parent_waves(contracts: list[Contract]) -> list[list[Contract]] | None:
-    """Groups whose parents all lie in earlier groups; None if references form a cycle."""
     known = {c.table for c in contracts}
     left = list(contracts)
     place: dict[str, int] = {}
-    waves = []
+    ordered = []
     while left:
         ready = [c for c in left if all(p in place for p in c.parents if p in known)]
         if not ready:
-            return None
+            return list(contracts)
+        # Children follow in the order their last parents came.
         ready.sort(key=lambda c: max((place[p] for p in c.parents if p in known), default=-1))
         for contract in ready:
             place[contract.table] = len(place)
+        ordered += ready
         left = [c for c in left if c.table not in place]
-        waves.append(ready)
-    return waves
+    return ordered
 
 
 def read_contract(path: str | Path) -> Contract | None:

@@ -140,7 +140,7 @@ def contract_type_of(field: T.StructField) -> str:
 def base_and_args(type_text: str) -> tuple[str, list[int]]:
     """``numeric(10, 2)`` -> ``("numeric", [10, 2])`` after resolving native aliases."""
     name = contract_type(type_text)
-    call = _CALL.match(name)
+    call = None if name.endswith("]") else _CALL.match(name)
     if not call:
         return name, []
     return call.group(1).strip(), [int(n) for n in re.findall(r"\d+", call.group(2))]

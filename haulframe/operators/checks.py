@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from haulframe.contract import Contract
 from haulframe.functions.names import col
-from haulframe.operators.conform import unpivot_counts
+from haulframe.operators.conform import unpivot
 from haulframe.operators.references import fk_orphans, key_conflicts
 
 _LABELS = ("table", "constraint", "column")
@@ -62,7 +62,8 @@ def column_violations(df: DataFrame, contract: Contract) -> DataFrame | None:
     if not counts:
         return None
     one_row = df.agg(*[c.cast("long").alias(f"n{i}") for i, c in enumerate(counts)])
-    return unpivot_counts(one_row, labels, _LABELS, "violations")
+    return unpivot(one_row, labels, _LABELS,
+                   [[F.col(f"n{i}").alias("violations")] for i in range(len(counts))])
 
 
 def null_violations(df: DataFrame, contract: Contract) -> DataFrame:

@@ -103,18 +103,17 @@ def conform_report(df: DataFrame, contract: Contract) -> DataFrame:
                    & col(found[c.name]).isNotNull()).alias(f"n{i}")
         for i, c in enumerate(specs)
     ]
-    return unpivot_counts(df.agg(*counts), [
-        (contract.table, c.name, df.schema[found[c.name]].dataType.simpleString(), c.type)
-        for c in specs
-    ], ("table", "column", "from_type", "to_type"), "failures")
+    labels = [(contract.table, c.name, df.schema[found[c.name]].dataType.simpleString(), c.type)
+              for c in specs]
+    return unpivot(df.agg(*counts), labels, ("table", "column", "from_type", "to_type"),
+                   [[F.col(f"n{i}").alias("failures")] for i in range(len(specs))])
 
 
-def unpivot_counts(one_row: DataFrame, labels: list[tuple], names: tuple[str, ...],
-                   count: str) -> DataFrame:
-    """One aggregate row ``n0, n1, ...`` -> one row per label."""
+def unpivot(one_row: DataFrame, labels: list[tuple], names: tuple[str, ...],
+            values: list[list[Column]]) -> DataFrame:
+    """One aggregate row -> one row per label, with that label's values."""
     entries = [
-        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, label)],
-                 F.col(f"n{i}").alias(count))
-        for i, label in enumerate(labels)
+        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, label)], *picked)
+        for label, picked in zip(labels, values)
     ]
     return one_row.select(F.inline(F.array(*entries)))

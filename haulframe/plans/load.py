@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import time
 import warnings
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
-from haulframe.contract import Contract, LoadSpec, parent_waves
+from haulframe.contract import Contract, LoadSpec, in_parent_order
 from haulframe.functions.clean import clean, nested_columns
 from haulframe.functions.names import col
 from haulframe.operators.checks import require, table_violations
@@ -67,13 +67,19 @@ class LoadResult:
 
 def incremental_delta(source: Table | DataFrame, target: Table, column: str) -> DataFrame:
     """Source rows above the target's mark; all rows while the target has none."""
-    return _delta(source, column, target.high_water_mark(column))
+    whole = _rows_of(source)
+    mark = target.high_water_mark(column)
+    return whole if mark is None else _above(source, whole, column, mark)
 
 
-def _delta(source: Table | DataFrame, column: str, mark: str | None) -> DataFrame:
+def _rows_of(source: Table | DataFrame) -> DataFrame:
+    return source if isinstance(source, DataFrame) else source.read()
+
+
+def _above(source: Table | DataFrame, whole: DataFrame, column: str, mark: str) -> DataFrame:
     if isinstance(source, DataFrame):
-        return above(source, column, mark) if mark is not None else source
-    return source.read((column, mark) if mark is not None else None)
+        return above(whole, column, mark)
+    return source.read_above(column, mark, whole)
 
 
 def in_mark_order(delta: DataFrame, column: str, compact: bool = True) -> DataFrame:
@@ -107,23 +113,23 @@ def load_table(source: Table | DataFrame, target: Table, contract: Contract | No
     column = spec.incremental_column
 
     # A source without columns must never empty a target.
-    names = source.columns if isinstance(source, DataFrame) else source.columns().names
-    if not names:
+    rows = _rows_of(source)
+    if not rows.columns:
         return LoadResult(name, decision.kind, 0)
 
     mark = None
     if decision.reads_mark:
-        mark = target.high_water_mark(column)
-        rows = _delta(source, column, mark)
         mark_type(rows, column)
-    else:
-        rows = source if isinstance(source, DataFrame) else source.read()
-        if not decision.empties:
-            warnings.warn(f"{name}: incremental without a mark column appends every row",
-                          stacklevel=2)
+        mark = target.high_water_mark(column)
+        if mark is not None:
+            rows = _above(source, rows, column, mark)
+    elif not decision.empties:
+        warnings.warn(f"{name}: incremental without a mark column appends every row",
+                      stacklevel=2)
 
+    schema = target.target_schema()
     if options.clean:
-        rows = clean(rows, options.nested, nested_columns(target.target_schema()))
+        rows = clean(rows, options.nested, nested_columns(schema))
     if options.conform:
         if not contract or not contract.columns:
             raise ValueError(f"{name}: conforming needs a contract with columns")
@@ -133,7 +139,7 @@ def load_table(source: Table | DataFrame, target: Table, contract: Contract | No
         rows = in_mark_order(rows, column, options.compact)
 
     write = target.replace if decision.empties else target.append
-    written = write(rows, column if column in rows.columns else None)
+    written = write(rows, column if column in rows.columns else None, schema)
     return LoadResult(name, decision.kind, written.rows, written.mark or mark,
                       time.monotonic() - started)
 
@@ -160,40 +166,35 @@ class LoadError(RuntimeError):
 
 def load_all(spark: SparkSession, contracts: list[Contract], source, target,
              options: LoadOptions = LoadOptions(), at_once: int = 4) -> list[LoadResult]:
-    """Load every table, parents before children.
+    """Load every table, each one once its parents are in.
 
-    ``source`` and ``target`` map a contract to its table (or frame). Tables that do not depend
-    on each other run side by side as Spark jobs. When a table fails its children are skipped,
-    the rest still loads, and ``LoadError`` tells all.
+    ``source`` and ``target`` map a contract to its table (or frame). Up to ``at_once`` tables
+    run side by side as Spark jobs. When a table fails its children are skipped, the rest still
+    loads, and ``LoadError`` tells all. Tables in a reference cycle run in the given order.
     """
-    waves = parent_waves(contracts)
-    if waves is None:  # a cycle: the given order, one at a time
-        waves = [[c] for c in contracts]
-    done: list[LoadResult] = []
-    errors: dict[str, Exception] = {}
-    skipped: list[str] = []
-
-    def run(contract: Contract) -> LoadResult:
+    ordered = in_parent_order(contracts)
+    place = {c.table: i for i, c in enumerate(ordered)}
+    if any(place.get(p, -1) > place[c.table] for c in ordered for p in c.parents):
+        at_once = 1
+    jobs: dict[str, Future] = {}
+
+    def run(contract: Contract) -> LoadResult | None:
+        # Parents were submitted before, so waiting for them cannot block them.
+        if any(jobs[p].exception() or jobs[p].result() is None
+               for p in contract.parents if place.get(p, len(place)) < place[contract.table]):
+            return None
         into = target(contract)
         wanted = into.enforces_keys if options.enforce is None else options.enforce
         parents = _parent_frames(contract, contracts, target) if wanted else None
         return load_table(source(contract), into, contract, options=options, parents=parents)
 
-    for wave in waves:
-        ready = []
-        for contract in wave:
-            if any(p in errors or p in skipped for p in contract.parents):
-                skipped.append(contract.table)
-            else:
-                ready.append(contract)
-        with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(ready) or 1))) as pool:
-            running = [(c, pool.submit(inheritable_thread_target(spark)(run), c)) for c in ready]
-            for contract, job in running:
-                try:
-                    done.append(job.result())
-                except Exception as problem:
-                    errors[contract.table] = problem
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        for contract in ordered:
+            jobs[contract.table] = pool.submit(inheritable_thread_target(spark)(run), contract)
+    errors = {t: job.exception() for t, job in jobs.items() if job.exception()}
+    done = [job.result() for t, job in jobs.items() if t not in errors and job.result()]
     if errors:
+        skipped = [t for t, job in jobs.items() if t not in errors and job.result() is None]
         raise LoadError(done, errors, skipped)
     return done
 

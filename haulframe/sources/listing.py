@@ -7,9 +7,9 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from haulframe.contract import Contract, contract_of, merge_described
-from haulframe.functions.names import quoted
+from haulframe.functions.names import col, quoted
 from haulframe.functions.types import contract_type_of
-from haulframe.operators.conform import unpivot_counts
+from haulframe.operators.conform import unpivot
 from haulframe.sources.connection import LAKES, SYSTEM_SCHEMAS, Connection
 from haulframe.sources.storage import Storage
 from haulframe.sources.tables import Table, open_table
@@ -87,12 +87,10 @@ def describe_rows(table: str, df: DataFrame) -> DataFrame:
     One pass; NULLs are counted as rows minus values.
     """
     fields = df.schema.fields
-    counts = [
-        F.struct(F.count(F.lit(1)).alias("row_count"),
-                 (F.count(F.lit(1)) - F.count(df[quoted(f.name)])).alias("null_count")).alias(f"n{i}")
-        for i, f in enumerate(fields)
-    ]
+    counted = df.agg(F.count(F.lit(1)).alias("all"),
+                     *[F.count(col(f.name)).alias(f"n{i}") for i, f in enumerate(fields)])
     labels = [(table, i + 1, f.name, contract_type_of(f)) for i, f in enumerate(fields)]
-    rows = unpivot_counts(df.agg(*counts), labels, ("table", "position", "column", "type"), "seen")
-    return rows.select("table", "position", "column", "type", "seen.row_count",
-                       "seen.null_count")
+    return unpivot(counted, labels, ("table", "position", "column", "type"), [
+        [F.col("all").alias("row_count"), (F.col("all") - F.col(f"n{i}")).alias("null_count")]
+        for i in range(len(fields))
+    ])

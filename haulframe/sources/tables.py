@@ -41,9 +41,13 @@ class Table:
     def exists(self) -> bool:
         raise NotImplementedError
 
-    def read(self, above_mark: tuple[str, str] | None = None) -> DataFrame:
+    def read(self) -> DataFrame:
         raise NotImplementedError
 
+    def read_above(self, column: str, mark: str, whole: DataFrame | None = None) -> DataFrame:
+        """Rows strictly above a mark; ``whole`` is the table if it was read already."""
+        return above(self.read() if whole is None else whole, column, mark)
+
     def columns(self) -> T.StructType:
         """Live schema; no rows are read."""
         return self.read().schema
@@ -52,20 +56,22 @@ class Table:
         """MAX of a column; None where the table is missing or empty."""
         return high_water_mark(self.read(), column) if self.exists() else None
 
-    def append(self, df: DataFrame, mark_column: str | None = None) -> Written:
-        """Add rows, columns matched by name."""
-        return self._observed(self._aligned(df), mark_column, self._append)
+    def append(self, df: DataFrame, mark_column: str | None = None,
+               schema: T.StructType | None = None) -> Written:
+        """Add rows, columns matched by name. ``schema`` saves looking up the target's."""
+        return self._observed(self._aligned(df, schema), mark_column, self._append)
 
-    def replace(self, df: DataFrame, mark_column: str | None = None) -> Written:
+    def replace(self, df: DataFrame, mark_column: str | None = None,
+                schema: T.StructType | None = None) -> Written:
         """Make ``df`` the whole content."""
-        return self._observed(self._aligned(df), mark_column, self._replace)
+        return self._observed(self._aligned(df, schema), mark_column, self._replace)
 
     def target_schema(self) -> T.StructType | None:
         """Schema rows must take: the live one, else the declared one, if any."""
         return self.columns() if self.exists() else None
 
-    def _aligned(self, df: DataFrame) -> DataFrame:
-        schema = self.target_schema()
+    def _aligned(self, df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+        schema = schema or self.target_schema()
         return df if schema is None else align(df, schema, self._defaults())
 
     def truncate(self) -> None:
@@ -133,14 +139,12 @@ class PathTable(Table):
             return _nullable(self.schema)
         return super().target_schema()
 
-    def read(self, above_mark: tuple[str, str] | None = None) -> DataFrame:
+    def read(self) -> DataFrame:
         reader = self.spark.read.format(self.format)
         if self.schema is not None and self.format != "delta":
             df = reader.schema(_nullable(self.schema)).load(self.path)
-            df = df.select(*[col(n) for n in self.schema.names])
-        else:
-            df = reader.load(self.path)
-        return above(df, *above_mark) if above_mark else df
+            return df.select(*[col(n) for n in self.schema.names])
+        return reader.load(self.path)
 
     def high_water_mark(self, column: str) -> str | None:
         """MAX of a column.
@@ -295,16 +299,28 @@ class JdbcTable(Table):
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self._in_catalog)
 
-    def read(self, above_mark: tuple[str, str] | None = None) -> DataFrame:
+    def read(self) -> DataFrame:
+        return self._load(None)
+
+    def read_above(self, column: str, mark: str, whole: DataFrame | None = None) -> DataFrame:
+        if whole is None or self._parallel:
+            # The ranges to read in parallel are those of the new rows only.
+            whole = self._load((column, mark))
+        return above(whole, column, mark)
+
+    @property
+    def _parallel(self) -> bool:
+        return self.partition_column is not None and self.partitions > 1
+
+    def _load(self, above_mark: tuple[str, str] | None) -> DataFrame:
         reader = self.spark.read.format("jdbc").options(**self.connection.jdbc_options())
         reader = reader.option("dbtable", self._dbtable)
-        bounds = self._bounds(above_mark) if self.partition_column and self.partitions > 1 else None
+        bounds = self._bounds(above_mark) if self._parallel else None
         if bounds:
             reader = reader.options(
                 partitionColumn=self.partition_column,
                 lowerBound=bounds[0], upperBound=bounds[1], numPartitions=str(self.partitions))
-        df = reader.load()
-        return above(df, *above_mark) if above_mark else df
+        return reader.load()
 
     def _bounds(self, above_mark: tuple[str, str] | None) -> tuple[str, str] | None:
         """MIN and MAX of the partition column among the rows to read, found by the database."""
@@ -315,6 +331,9 @@ class JdbcTable(Table):
         low, high = df.agg(F.min(key).cast("string"), F.max(key).cast("string")).first()
         return (low, high) if low is not None and low != high else None
 
+    def columns(self) -> T.StructType:
+        return self.spark.table(self._in_catalog).schema
+
     def high_water_mark(self, column: str) -> str | None:
         """MAX, computed by the database."""
         if not self.exists():
@@ -350,14 +369,15 @@ class CatalogTable(Table):
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
-    def read(self, above_mark: tuple[str, str] | None = None) -> DataFrame:
-        df = self.spark.table(self.name)
-        return above(df, *above_mark) if above_mark else df
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
 
-    def append(self, df: DataFrame, mark_column: str | None = None) -> Written:
+    def append(self, df: DataFrame, mark_column: str | None = None,
+               schema: T.StructType | None = None) -> Written:
         return self._observed(df, mark_column, lambda out: self._insert(out, "INTO"))
 
-    def replace(self, df: DataFrame, mark_column: str | None = None) -> Written:
+    def replace(self, df: DataFrame, mark_column: str | None = None,
+                schema: T.StructType | None = None) -> Written:
         if not self.exists():
             return self._observed(df, mark_column, lambda out: out.write.saveAsTable(self.name))
         return self._observed(df, mark_column, lambda out: self._insert(out, "OVERWRITE"))

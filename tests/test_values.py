@@ -1,0 +1,214 @@
+"""Cleaning, COPY text, conforming and defaults on hand-made values."""
+
+import datetime as dt
+import json
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F, types as T
+
+import haulframe as hf
+from haulframe.functions.copytext import copy_field
+from haulframe.functions.defaults import default_column, default_sql, tidy_default
+from haulframe.operators.conform import align
+
+NESTED = T.StructType([
+    T.StructField("s", T.StructType([
+        T.StructField("a b", T.StringType()), T.StructField("n", T.IntegerType())])),
+    T.StructField("l", T.ArrayType(T.StringType())),
+    T.StructField("m", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("deep", T.ArrayType(T.StructType([
+        T.StructField("d", T.DateType()), T.StructField("x", T.DecimalType(5, 2)),
+        T.StructField("t", T.ArrayType(T.StringType()))]))),
+])
+
+
+def contract(*columns):
+    return hf.Contract.from_dict({"table": "t", "columns": list(columns)})
+
+
+def test_nul_goes_away_at_any_depth_but_not_in_keys(spark):
+    df = spark.createDataFrame([
+        (("a\0b", 1), ["\0", None, "x\0"], {"k\0": "v\0"},
+         [(dt.date(2020, 1, 2), Decimal("1.50"), ["\0z"])]),
+        (None, None, None, None),
+        ((None, None), [], {}, []),
+    ], NESTED)
+    rows = hf.clean(df, nested="keep").collect()
+    assert rows[0].s["a b"] == "ab" and rows[0].l == ["", None, "x"]
+    assert rows[0].m == {"k\0": "v"}
+    assert rows[0].deep[0].t == ["z"]
+    assert rows[1].s is None and rows[1].l is None and rows[1].deep is None
+    assert rows[2].s["a b"] is None and rows[2].l == [] and rows[2].m == {}
+
+
+def test_nested_values_become_json(spark):
+    df = spark.createDataFrame([
+        (("é\0", None), ["a", None], {"k": "ü"},
+         [(dt.date(2020, 1, 2), Decimal("1.50"), [])]),
+        (None, [], {}, None),
+    ], NESTED)
+    first, second = hf.clean(df).collect()
+    assert json.loads(first.s) == {"a b": "é", "n": None} and "é" in first.s
+    assert json.loads(first.l) == ["a", None]
+    assert json.loads(first.m) == {"k": "ü"}
+    assert json.loads(first.deep) == [{"d": "2020-01-02", "x": 1.5, "t": []}]
+    assert second.s is None and second.l == "[]" and second.m == "{}" and second.deep is None
+
+
+def test_variant_becomes_json(spark):
+    df = spark.sql("""SELECT parse_json('{"a":[1,null]}') AS v""")
+    assert json.loads(hf.clean(df).first().v) == {"a": [1, None]}
+
+
+def test_clean_leaves_other_columns_alone(spark):
+    df = spark.range(1).select("id", F.current_date().alias("d"))
+    plan = hf.clean(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "replace" not in plan
+
+
+COPY = T.StructType([
+    T.StructField("id", T.IntegerType()), T.StructField("text", T.StringType()),
+    T.StructField("flag", T.BooleanType()), T.StructField("raw", T.BinaryType()),
+    T.StructField("price", T.DecimalType(10, 2)), T.StructField("at", T.TimestampNTZType()),
+])
+COPY_ROWS = [
+    (1, "tab\there", True, bytearray(b"\x00\xff"), Decimal("1.50"), dt.datetime(2024, 1, 2, 3, 4)),
+    (2, "line\nfeed\r", False, bytearray(b""), None, None),
+    (3, "back\\slash \\n \\N", None, None, Decimal("-0.01"),
+     dt.datetime(2024, 1, 2, 3, 4, 5, 678)),
+    (4, "\\N", True, bytearray(b"\\"), Decimal("0.00"), None),
+    (5, "", False, None, None, None),
+    (6, None, None, None, None, None),
+    (7, "a\0b", None, None, None, None),
+]
+
+
+def test_copy_lines(spark):
+    lines = [r.value for r in hf.copy_lines(spark.createDataFrame(COPY_ROWS, COPY))
+             .orderBy("value").collect()]
+    assert lines[0] == "1\ttab\\there\tt\t\\\\x00ff\t1.50\t2024-01-02 03:04:00"
+    assert lines[1] == "2\tline\\nfeed\\r\tf\t\\\\x\t\\N\t\\N"
+    assert lines[2].split("\t")[1] == "back\\\\slash \\\\n \\\\N"
+    assert lines[3].split("\t")[1] == "\\\\N" and lines[3].split("\t")[3] == "\\\\x5c"
+    assert lines[4].split("\t")[1] == ""
+    assert lines[5] == "6" + "\t\\N" * 5
+    assert lines[6].split("\t")[1] == "ab"
+
+
+def test_copy_roundtrip(spark, folder):
+    hf.write_copy_text(spark.createDataFrame(COPY_ROWS, COPY), folder)
+    back = [tuple(r) for r in hf.read_copy_text(spark, folder, COPY).orderBy("id").collect()]
+    want = [tuple(v.replace("\0", "") if isinstance(v, str) else v for v in row)
+            for row in COPY_ROWS]
+    assert back == want
+
+
+def test_copy_instant_carries_its_offset(spark):
+    df = spark.sql("SELECT TIMESTAMP '2024-01-02 03:04:05.6+02:00' AS at, ARRAY('a\tb') AS l")
+    line = hf.copy_lines(df).first().value
+    assert line == '2024-01-02 01:04:05.600000+00:00\t["a\\\\tb"]'
+
+
+def test_copy_of_nan_and_null_bool(spark):
+    df = spark.sql("SELECT double('NaN') AS d, CAST(NULL AS BOOLEAN) AS b")
+    row = df.select(*[copy_field(F.col(f.name), f.dataType) for f in df.schema]).first()
+    assert tuple(row) == ("NaN", "\\N")
+
+
+def test_conform_shapes_rows(spark):
+    df = spark.createDataFrame([("1", "2.345", "2024-01-02", "x")],
+                               "id string, amount string, day string, junk string")
+    declared = contract({"name": "day", "type": "date"}, {"name": "id", "type": "bigint"},
+                        {"name": "amount", "type": "numeric(10, 2)"},
+                        {"name": "state", "type": "text", "default": "new"},
+                        {"name": "note", "type": "text"})
+    with pytest.raises(ValueError, match="junk"):
+        hf.conform(df, declared)
+    shaped = hf.conform(df, declared, extras="drop")
+    assert shaped.columns == ["day", "id", "amount", "state", "note"]
+    assert tuple(shaped.first()) == (dt.date(2024, 1, 2), 1, Decimal("2.35"), "new", None)
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("value, kind", [
+    ("12345678901.5", "numeric(10, 2)"), ("300", "tinyint"), ("x", "integer"),
+    ("2024-13-01", "date"), ("maybe", "boolean"),
+])
+def test_conform_fails_on_a_bad_value_whatever_the_ansi_setting(spark, ansi, value, kind):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        df = spark.createDataFrame([(value,)], "v string")
+        with pytest.raises(Exception, match="column v: no"):
+            hf.conform(df, contract({"name": "v", "type": kind})).collect()
+        report = hf.conform_report(df, contract({"name": "v", "type": kind})).first()
+        assert report.failures == 1
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_conform_report_counts_misfits_only(spark):
+    df = spark.createDataFrame([("1",), ("x",), (None,), ("y",)], "v string")
+    row = hf.conform_report(df, contract({"name": "v", "type": "integer"})).first()
+    assert (row.table, row.column, row.from_type, row.to_type, row.failures) == (
+        "t", "v", "string", "integer", 2)
+
+
+def test_time_of_day_becomes_text(spark):
+    df = spark.sql("SELECT TIMESTAMP_NTZ '1970-01-01 10:20:30.5' AS at")
+    assert hf.conform(df, contract({"name": "at", "type": "time"})).first().at == "10:20:30.500000"
+
+
+def test_align_matches_names_and_types(spark):
+    target = T.StructType([T.StructField("id", T.LongType()), T.StructField("A.b", T.StringType()),
+                           T.StructField("new", T.IntegerType())])
+    df = spark.createDataFrame([("x", 1)], "`a.B` string, ID int")
+    assert tuple(align(df, target).first()) == (1, "x", None)
+    with pytest.raises(ValueError, match="other"):
+        align(df.withColumn("other", F.lit(1)), target)
+
+
+@pytest.mark.parametrize("text, dialect, expected", [
+    (None, "postgresql", None), ("NULL", "mysql", None), ("  ", "duckdb", None),
+    ("nextval('t_id_seq'::regclass)", "postgresql", None), ("now()", "postgresql",
+                                                            "CURRENT_TIMESTAMP"),
+    ("'new'::character varying", "postgresql", "new"), ("0", "postgresql", "0"),
+    ("((0))", "sqlserver", "0"), ("(N'new')", "sqlserver", "new"),
+    ("(getdate())", "sqlserver", "CURRENT_TIMESTAMP"), ("('x')", "sqlserver", "x"),
+    ("current_timestamp()", "mysql", "CURRENT_TIMESTAMP"), ("active", "mysql", "active"),
+    ("CAST('x' AS DATE)", "clickhouse", "CAST('x' AS DATE)"),
+    ("'2020-01-01'::DATE", "duckdb", "2020-01-01"), ("nextval('s')", "duckdb", None),
+])
+def test_catalog_defaults(text, dialect, expected):
+    assert tidy_default(text, dialect) == expected
+
+
+def test_default_values(spark):
+    row = spark.range(1).select(
+        default_column(7, T.LongType()).alias("i"),
+        default_column("true", T.BooleanType()).alias("b"),
+        default_column(False, T.BooleanType()).alias("f"),
+        default_column("2020-02-29", T.DateType()).alias("d"),
+        default_column("12.5", T.DecimalType(10, 2)).alias("n"),
+        default_column(None, T.StringType()).alias("none"),
+        default_column("NULL", T.StringType()).alias("null"),
+        default_column("it's", T.StringType()).alias("s"),
+        default_column("CURRENT_TIMESTAMP", T.TimestampNTZType()).alias("now"),
+        default_column("getdate()", T.TimestampType()).alias("instant"),
+        default_column("newid()", T.StringType()).alias("id"),
+        default_column("current_date", T.DateType()).alias("day"),
+        default_column("current_time", T.StringType()).alias("time"),
+        default_column("session_user", T.StringType()).alias("user"),
+        default_column("upper('x')", T.StringType()).alias("call"),
+    ).first()
+    assert (row.i, row.b, row.f, row.d, row.n) == (
+        7, True, False, dt.date(2020, 2, 29), Decimal("12.50"))
+    assert row.none is None and row.null is None and row.s == "it's" and row.call == "X"
+    assert abs((row.now - dt.datetime.now(dt.UTC).replace(tzinfo=None)).total_seconds()) < 60
+    assert row.instant and row.day and row.user and len(row.id) == 36 and len(row.time) == 15
+
+
+def test_default_clauses():
+    assert default_sql(True) == "true" and default_sql(3) == "3"
+    assert default_sql("now()") == "current_timestamp()" and default_sql("it's") == "'it\\'s'"
