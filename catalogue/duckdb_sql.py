@@ -35,9 +35,10 @@ def _summary(table: str) -> str:
     columns = contract(table).columns
     keys = sum(c.primary_key for c in columns)
     references = sum(c.foreign_key is not None for c in columns)
-    return (f"SELECT '{table}' AS \"table\", {len(columns)} AS columns, {keys} AS primary_keys, "
-            f"{references} AS foreign_keys, 0 AS uniques, {keys} AS required, "
-            f"count(*) AS \"rows\" FROM {table}")
+    declared = {"columns": len(columns), "primary_keys": keys, "foreign_keys": references,
+                "uniques": 0, "required": keys}
+    counts = ", ".join(f"CAST({n} AS BIGINT) AS {name}" for name, n in declared.items())
+    return f"SELECT '{table}' AS \"table\", {counts}, count(*) AS \"rows\" FROM {table}"
 
 
 def _orphan_count(child: str, column: str, parent: str, key: str) -> str:
@@ -94,7 +95,7 @@ SQL = {
     "scan_path_table": "SELECT * FROM events",
     "append_path_table": "SELECT * FROM customer UNION ALL SELECT * FROM customer",
     "append_by_name": "SELECT * FROM customer UNION ALL SELECT * FROM customer",
-    "truncate_target": "SELECT 0 AS n, 6 AS columns",
+    "truncate_target": "SELECT CAST(0 AS BIGINT) AS n, 6 AS columns",
     "layout_partitioned": ORDERS,
     "create_target_defaults":
         "SELECT *, 'web' AS c_channel, CAST(1.5 AS DOUBLE) AS c_rating FROM customer",

@@ -117,24 +117,26 @@ def load_table(source: Table | DataFrame, target: Table, contract: Contract | No
     if not rows.columns:
         return LoadResult(name, decision.kind, 0)
 
+    target.recover()
+    held = target.held()
     mark = None
     if decision.reads_mark:
         mark_type(rows, column)
-        mark = target.high_water_mark(column)
+        mark = target.high_water_mark(column, held) if held is not None else None
         if mark is not None:
             rows = _above(source, rows, column, mark)
     elif not decision.empties:
         warnings.warn(f"{name}: incremental without a mark column appends every row",
                       stacklevel=2)
 
-    schema = target.target_schema()
+    schema = target.target_schema(held)
     if options.clean:
         rows = clean(rows, options.nested, nested_columns(schema))
     if options.conform:
         if not contract or not contract.columns:
             raise ValueError(f"{name}: conforming needs a contract with columns")
         rows = conform(rows, contract)
-    _enforce(rows, target, contract, decision, options, parents)
+    _enforce(rows, target, contract, options, parents, None if decision.empties else held)
     if mark is not None:
         rows = in_mark_order(rows, column, options.compact)
 
@@ -144,13 +146,11 @@ def load_table(source: Table | DataFrame, target: Table, contract: Contract | No
                       time.monotonic() - started)
 
 
-def _enforce(rows: DataFrame, target: Table, contract: Contract | None, decision: Decision,
-             options: LoadOptions, parents: dict[str, DataFrame] | None) -> None:
+def _enforce(rows: DataFrame, target: Table, contract: Contract | None, options: LoadOptions,
+             parents: dict[str, DataFrame] | None, held: DataFrame | None) -> None:
     wanted = target.enforces_keys if options.enforce is None else options.enforce
-    if not wanted or not contract or not contract.columns:
-        return
-    held = target.read() if not decision.empties and target.exists() else None
-    require(table_violations(rows, contract, parents, held))
+    if wanted and contract and contract.columns:
+        require(table_violations(rows, contract, parents, held))
 
 
 class LoadError(RuntimeError):

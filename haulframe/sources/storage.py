@@ -37,6 +37,14 @@ class Storage:
         """Names of the direct children of a directory."""
         return [status.getPath().getName() for status in self._fs.listStatus(self._path(path))]
 
+    def files(self, path: str) -> list[str]:
+        """Files at any depth, relative to the directory."""
+        base = self._fs.makeQualified(self._path(path)).toString().rstrip("/") + "/"
+        found, walk = [], self._fs.listFiles(self._path(path), True)
+        while walk.hasNext():
+            found.append(walk.next().getPath().toString()[len(base):])
+        return found
+
     def make_dir(self, path: str) -> None:
         self._fs.mkdirs(self._path(path))
 

@@ -22,6 +22,8 @@ from haulframe.sources.storage import Storage
 
 # Above this many bytes a folder's mark is looked up through file statistics first.
 PROBE_BYTES = 8 * 1024**3
+# Marker of a folder whose rows are complete.
+READY = "_READY"
 
 
 @dataclass(frozen=True)
@@ -52,9 +54,18 @@ class Table:
         """Live schema; no rows are read."""
         return self.read().schema
 
-    def high_water_mark(self, column: str) -> str | None:
-        """MAX of a column; None where the table is missing or empty."""
-        return high_water_mark(self.read(), column) if self.exists() else None
+    def recover(self) -> None:
+        """Finish or undo what a stopped writer left. Called before a load, by its one writer."""
+
+    def held(self) -> DataFrame | None:
+        """Present content; None where the table is missing."""
+        return self.read() if self.exists() else None
+
+    def high_water_mark(self, column: str, held: DataFrame | None = None) -> str | None:
+        """MAX of a column; None where the table is missing or empty. ``held`` is the table if
+        it was read already."""
+        held = self.held() if held is None else held
+        return None if held is None else high_water_mark(held, column)
 
     def append(self, df: DataFrame, mark_column: str | None = None,
                schema: T.StructType | None = None) -> Written:
@@ -66,9 +77,10 @@ class Table:
         """Make ``df`` the whole content."""
         return self._observed(self._aligned(df, schema), mark_column, self._replace)
 
-    def target_schema(self) -> T.StructType | None:
-        """Schema rows must take: the live one, else the declared one, if any."""
-        return self.columns() if self.exists() else None
+    def target_schema(self, held: DataFrame | None = None) -> T.StructType | None:
+        """Schema rows must take: the declared one or the live one, if any."""
+        held = self.held() if held is None else held
+        return None if held is None else held.schema
 
     def _aligned(self, df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
         schema = schema or self.target_schema()
@@ -108,8 +120,11 @@ class PathTable(Table):
     def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet",
                  contract: Contract | None = None, schema: T.StructType | None = None,
                  partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = (),
-                 probe_bytes: int = PROBE_BYTES):
+                 probe_bytes: int = PROBE_BYTES, direct_append: bool = False):
+        """``direct_append`` leaves appends to the file system's own committer, for object
+        stores where a rename is a copy and the committer is atomic already."""
         self.spark = spark
+        self.direct_append = direct_append
         self.path = path.rstrip("/")
         self.format = fmt
         self.contract = contract
@@ -131,13 +146,12 @@ class PathTable(Table):
         return f"{parent}/.{name}"
 
     def exists(self) -> bool:
-        self._finish_swap()
         return self._storage.exists(self.path)
 
-    def target_schema(self) -> T.StructType | None:
+    def target_schema(self, held: DataFrame | None = None) -> T.StructType | None:
         if self.schema is not None and not (self.format == "delta" and self.exists()):
             return _nullable(self.schema)
-        return super().target_schema()
+        return super().target_schema(held)
 
     def read(self) -> DataFrame:
         reader = self.spark.read.format(self.format)
@@ -146,15 +160,15 @@ class PathTable(Table):
             return df.select(*[col(n) for n in self.schema.names])
         return reader.load(self.path)
 
-    def high_water_mark(self, column: str) -> str | None:
+    def high_water_mark(self, column: str, held: DataFrame | None = None) -> str | None:
         """MAX of a column.
 
         On a large folder the newest file's MAX comes first; the full search then only opens
         row groups whose statistics reach that value. The answer is the same.
         """
-        if not self.exists():
+        df = self.held() if held is None else held
+        if df is None:
             return None
-        df = self.read()
         mark_type(df, column)
         if self.format == "parquet" and self._size(df) > self.probe_bytes:
             newest = self._newest_file()
@@ -213,7 +227,13 @@ class PathTable(Table):
         writer.save(path)
 
     def _append(self, df: DataFrame) -> None:
-        self._write(df, self.path, "append")
+        if self.format == "delta" or self.direct_append:
+            self._write(df, self.path, "append")
+        elif not self.exists():
+            self._swap_in(df)
+        else:
+            self._stage(df, self._appending)
+            self._move_in(self._appending)
 
     def _replace(self, df: DataFrame) -> None:
         if self.format == "delta":
@@ -221,48 +241,64 @@ class PathTable(Table):
         else:
             self._swap_in(df)
 
-    # A failed overwrite deletes the old files, so new content is written beside the table and
-    # renamed into place only once it is complete.
+    # Plain folders have no transactions. A failed overwrite deletes the old files; an append
+    # that stops while committing leaves some new files, and with them a mark above rows that
+    # never arrived. So rows are written beside the table, marked ready, and only then renamed
+    # into place; a later load finishes the renames or throws an unready folder away.
+
+    @property
+    def _appending(self) -> str:
+        return f"{self._beside}.append"
+
+    def _stage(self, df: DataFrame, folder: str) -> None:
+        self._write(df, folder, "overwrite")
+        self._storage.make_dir(folder)  # a partitioned write of no rows leaves no folder
+        self._storage.create_empty(f"{folder}/{READY}")
+
+    def _is_ready(self, folder: str) -> bool:
+        return self._storage.exists(f"{folder}/{READY}")
+
+    def _move_in(self, folder: str) -> None:
+        """Rename staged files into the table. File names are unique, so this can resume."""
+        for name in self._storage.files(folder):
+            if not name.rsplit("/", 1)[-1].startswith(("_", ".")):
+                target = f"{self.path}/{name}"
+                self._storage.make_dir(target.rsplit("/", 1)[0])
+                self._storage.rename(f"{folder}/{name}", target)
+        self._storage.delete(folder)
 
     def _swap_in(self, df: DataFrame) -> None:
         staged, previous = f"{self._beside}.staged", f"{self._beside}.previous"
         self._write(df, staged, "overwrite")
-        self._storage.make_dir(staged)  # a partitioned write of no rows leaves no folder
+        self._storage.make_dir(staged)
         if self._storage.exists(self.path):
             self._storage.delete(previous)
             self._storage.rename(self.path, previous)
         self._storage.rename(staged, self.path)
         self._storage.delete(previous)
 
-    def _finish_swap(self) -> None:
-        """Undo a swap that stopped between its two renames."""
+    def recover(self) -> None:
+        if self.format == "delta":
+            return
         previous = f"{self._beside}.previous"
-        if self.format != "delta" and not self._storage.exists(self.path) \
-                and self._storage.exists(previous):
+        if not self.exists() and self._storage.exists(previous):
             self._storage.rename(previous, self.path)
+        if self._is_ready(self._appending):
+            self._move_in(self._appending)
 
-    def replace_batch(self, df: DataFrame, batch: str) -> Written:
-        """Append a numbered batch exactly once, however often it is replayed.
-
-        The batch is written beside the table, and its files move in under the batch's name; a
-        replay first removes what an earlier try moved. The marker is written last.
-        """
-        done = f"{self._beside}.batches/{batch}"
+    def append_batch(self, df: DataFrame, batch: str) -> Written:
+        """Append a named batch exactly once, however often it is replayed."""
+        if self.format == "delta":
+            raise ValueError("named batches are for plain folders; Delta has its own")
+        done, staged = f"{self._beside}.batches/{batch}", f"{self._beside}.batch-{batch}"
         if self._storage.exists(done):
             return Written(0)
-        if self.partition_by or self.format == "delta":
-            raise ValueError("numbered batches need a plain, unpartitioned folder")
-        df = self._aligned(df)
-        staged = f"{self._beside}.batch-{batch}"
-        written = self._observed(df, None, lambda out: self._write(out, staged, "overwrite"))
+        written = Written(0)
+        if not self._is_ready(staged):
+            written = self._observed(self._aligned(df), None,
+                                     lambda out: self._stage(out, staged))
         self._storage.make_dir(self.path)
-        for name in self._storage.list(self.path):
-            if name.startswith(f"batch-{batch}-"):
-                self._storage.delete(f"{self.path}/{name}")
-        for name in self._storage.list(staged):
-            if name.startswith("part-"):
-                self._storage.rename(f"{staged}/{name}", f"{self.path}/batch-{batch}-{name}")
-        self._storage.delete(staged)
+        self._move_in(staged)
         self._storage.create_empty(done)
         return written
 
@@ -334,7 +370,7 @@ class JdbcTable(Table):
     def columns(self) -> T.StructType:
         return self.spark.table(self._in_catalog).schema
 
-    def high_water_mark(self, column: str) -> str | None:
+    def high_water_mark(self, column: str, held: DataFrame | None = None) -> str | None:
         """MAX, computed by the database."""
         if not self.exists():
             return None

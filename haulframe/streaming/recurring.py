@@ -37,7 +37,7 @@ def load_arrivals(arrivals: DataFrame, target: PathTable, checkpoint: str,
     def append(batch: DataFrame, batch_id: int) -> None:
         if options.clean:
             batch = clean(batch, options.nested, nested_columns(target.target_schema()))
-        target.replace_batch(batch, f"{name}-{batch_id}")
+        target.append_batch(batch, f"{name}-{batch_id}")
 
     return (arrivals.writeStream.foreachBatch(append)
             .option("checkpointLocation", checkpoint)

@@ -109,11 +109,46 @@ def test_failed_full_load_keeps_the_old_rows(spark, target):
     assert ids(target) == [1, 2]
 
 
-def test_interrupted_swap_is_undone(spark, target):
+def test_interrupted_swap_is_undone(spark, source, target):
     storage = Storage(spark, target.path)
     parent, name = target.path.rsplit("/", 1)
     storage.rename(target.path, f"{parent}/.{name}.previous")
-    assert target.exists() and ids(target) == [1, 2]
+    assert hf.load_table(source, target, spec=incremental()).rows == 1
+    assert ids(target) == [1, 2, 4]
+
+
+def test_append_that_stopped_while_moving_is_finished(spark, source, target):
+    """Without this the newest file's mark would hide the rows still to be moved."""
+    late = frame(spark, (6, day(6), "f"), (7, day(7), "g"), (8, day(8), "h"))
+    target._stage(late.repartitionByRange(3, "id"), target._appending)
+    storage = Storage(spark, target.path)
+    name = sorted(n for n in storage.files(target._appending) if n.startswith("part-"))[-1]
+    storage.rename(f"{target._appending}/{name}", f"{target.path}/{name}")
+    result = hf.load_table(source.unionAll(late), target, spec=incremental())
+    assert result.rows == 0 and ids(target) == [1, 2, 6, 7, 8]
+
+
+def test_append_that_stopped_while_writing_is_forgotten(spark, source, target):
+    frame(spark, (9, day(9), "x")).write.parquet(target._appending)  # no marker
+    assert hf.load_table(source, target, spec=incremental()).rows == 1
+    assert ids(target) == [1, 2, 4]
+
+
+def test_direct_append(spark, source, tmp_path):
+    target = hf.PathTable(spark, str(tmp_path / "direct"), direct_append=True)
+    for expected in (5, 0):
+        assert hf.load_table(source, target, spec=incremental()).rows == expected
+
+
+def test_partitioned_append(spark, source, tmp_path):
+    declared = hf.Contract.from_dict({"table": "t", "partition_by": "v", "columns": [
+        {"name": "id", "type": "integer"}, {"name": "at", "type": "timestamp"},
+        {"name": "v", "type": "text"}]})
+    target = hf.PathTable(spark, str(tmp_path / "t"), contract=declared)
+    target.append(frame(spark, (1, day(1), "a"), (9, day(1), None)))
+    hf.load_table(source, target, declared, incremental())
+    assert ids(target) == [1, 2, 3, 4, 9]
+    assert sorted(str(r.v) for r in target.read().collect()) == ["None", "a", "b", "c", "d"]
 
 
 def test_reload_of_a_table_from_itself(target):

@@ -44,21 +44,28 @@ def test_each_run_takes_what_is_new(spark, places):
 
 def test_a_replayed_batch_lands_once(spark, tmp_path):
     target = hf.PathTable(spark, str(tmp_path / "t"))
-    target.replace_batch(spark.range(10), "s-0")
-    assert target.replace_batch(spark.range(10), "s-0").rows == 0
-    target.replace_batch(spark.range(10, 12), "s-1")
+    target.append_batch(spark.range(10), "s-0")
+    assert target.append_batch(spark.range(10), "s-0").rows == 0
+    target.append_batch(spark.range(10, 12), "s-1")
     assert ids(target) == list(range(12))
 
 
-def test_a_batch_that_stopped_halfway_is_done_again(spark, tmp_path):
+def test_a_batch_that_stopped_while_moving_is_finished(spark, tmp_path):
     target = hf.PathTable(spark, str(tmp_path / "t"))
-    target.replace_batch(spark.range(10).repartition(4), "s-0")
+    staged = f"{tmp_path}/.t.batch-s-0"
+    target._stage(spark.range(10).repartition(4), staged)
     storage = Storage(spark, target.path)
-    # As if the process died after moving some files and before the marker.
-    storage.delete(f"{tmp_path}/.t.batches/s-0")
-    moved = [n for n in storage.list(target.path) if n.startswith("batch-")]
-    storage.delete(f"{target.path}/{moved[0]}")
-    target.replace_batch(spark.range(10).repartition(2), "s-0")
+    moved = [n for n in storage.files(staged) if n.startswith("part-")][0]
+    storage.make_dir(target.path)
+    storage.rename(f"{staged}/{moved}", f"{target.path}/{moved}")
+    target.append_batch(spark.range(10).repartition(2), "s-0")
+    assert ids(target) == list(range(10))
+
+
+def test_a_batch_that_stopped_while_writing_is_written_again(spark, tmp_path):
+    target = hf.PathTable(spark, str(tmp_path / "t"))
+    spark.range(10).write.parquet(f"{tmp_path}/.t.batch-s-0")  # no marker
+    target.append_batch(spark.range(10), "s-0")
     assert ids(target) == list(range(10))
 
 
