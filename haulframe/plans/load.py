@@ -16,6 +16,7 @@ from haulframe.functions.names import col
 from haulframe.operators.checks import require, table_violations
 from haulframe.operators.conform import conform
 from haulframe.operators.watermark import above, mark_type
+from haulframe.sources.storage import stage
 from haulframe.sources.tables import Table
 
 REPORT = "table string, kind string, rows long, watermark string"
@@ -136,7 +137,12 @@ def load_table(source: Table | DataFrame, target: Table, contract: Contract | No
         if not contract or not contract.columns:
             raise ValueError(f"{name}: conforming needs a contract with columns")
         rows = conform(rows, contract)
-    _enforce(rows, target, contract, options, parents, None if decision.empties else held)
+    wanted = target.enforces_keys if options.enforce is None else options.enforce
+    if wanted and contract and contract.columns:
+        if isinstance(source, Table) and not source.rereadable:
+            # Check and write the same rows, and ask the source for them only once.
+            rows = stage(rows, name).df
+        require(table_violations(rows, contract, parents, None if decision.empties else held))
     if mark is not None:
         rows = in_mark_order(rows, column, options.compact)
 
@@ -146,13 +152,6 @@ def load_table(source: Table | DataFrame, target: Table, contract: Contract | No
                       time.monotonic() - started)
 
 
-def _enforce(rows: DataFrame, target: Table, contract: Contract | None, options: LoadOptions,
-             parents: dict[str, DataFrame] | None, held: DataFrame | None) -> None:
-    wanted = target.enforces_keys if options.enforce is None else options.enforce
-    if wanted and contract and contract.columns:
-        require(table_violations(rows, contract, parents, held))
-
-
 class LoadError(RuntimeError):
     """Some tables failed. ``results`` are the loads that succeeded, ``errors`` the reasons;
     ``skipped`` tables had a failed parent."""

@@ -12,6 +12,26 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "static",
 }
 
+# Shuffled bytes one task should handle.
+TASK_BYTES = 128 * 1024**2
+
+
+def sized_settings(shuffle_bytes: int, cores: int) -> dict[str, str]:
+    """Shuffle settings for a job that moves ``shuffle_bytes``.
+
+    What is shuffled are keys and deltas, not whole tables: estimate those. Starting with enough
+    partitions keeps each within memory; adaptive execution merges the small ones afterwards.
+    """
+    partitions = max(2 * cores, -(-shuffle_bytes // TASK_BYTES))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES),
+        # Huge tables: bigger scan splits mean fewer tasks and fewer files written.
+        "spark.sql.files.maxPartitionBytes": str(
+            4 * TASK_BYTES if partitions > 10 * cores else TASK_BYTES),
+    }
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings to a running session."""

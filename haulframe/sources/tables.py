@@ -39,6 +39,8 @@ class Table:
 
     spark: SparkSession
     enforces_keys = False
+    # False where reading twice is costly or may give other rows.
+    rereadable = True
 
     def exists(self) -> bool:
         raise NotImplementedError
@@ -304,13 +306,21 @@ class PathTable(Table):
 
 
 class JdbcTable(Table):
-    """A table in a database, read and written by parallel tasks."""
+    """A table in a database, read and written by parallel tasks.
+
+    Each task commits its own rows. If an executor is lost right after a commit, the repeated
+    task inserts them again: a primary key refuses that, and ``verify`` finds it by comparing the
+    table's count before and after with the rows sent.
+    """
+
+    rereadable = False
 
     def __init__(self, spark: SparkSession, connection: Connection, table: str,
                  schema: str | None = None, partition_column: str | None = None,
                  partitions: int = 1, write_tasks: int | None = None,
-                 column_types: str | None = None):
+                 column_types: str | None = None, verify: bool = False):
         self.spark = spark
+        self.verify = verify
         self.connection = connection
         self.name = table
         self.schema = schema or connection.default_schema
@@ -387,6 +397,26 @@ class JdbcTable(Table):
             writer = writer.option("createTableColumnTypes", self.column_types)
         return writer.option("dbtable", self._dbtable)
 
+    def append(self, df: DataFrame, mark_column: str | None = None,
+               schema: T.StructType | None = None) -> Written:
+        before = self._count() if self.verify else 0
+        written = super().append(df, mark_column, schema)
+        return self._verified(written, before)
+
+    def replace(self, df: DataFrame, mark_column: str | None = None,
+                schema: T.StructType | None = None) -> Written:
+        return self._verified(super().replace(df, mark_column, schema), 0)
+
+    def _count(self) -> int:
+        """Rows held, counted by the database."""
+        return self.spark.table(self._in_catalog).count() if self.exists() else 0
+
+    def _verified(self, written: Written, before: int) -> Written:
+        if self.verify and (now := self._count()) != before + written.rows:
+            raise RuntimeError(f"{self.name} holds {now} rows, not {before} + {written.rows}: "
+                               "a repeated task may have written twice")
+        return written
+
     def _append(self, df: DataFrame) -> None:
         self._writer(df, "append").save()
 

@@ -115,3 +115,29 @@ def test_report_counts_rows_a_database_would_refuse(spark):
     lost = {(r.child, r.column): r.orphan_rows for r in
             hf.fk_report(frames, [people, orders]).collect()}
     assert lost == {("people", "boss"): 1, ("orders", "who"): 2}
+
+
+def test_only_keys_are_shuffled_when_nothing_fits_a_broadcast(spark):
+    """Both sides reach the exchange as distinct keys, so a hot key is one row per task."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+        orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+        found = hf.fk_orphans(lines, "l_orderkey", orders, "o_orderkey")
+        plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        exchanges = [i for i, line in enumerate(plan) if "Exchange hashpartitioning" in line]
+        assert len(exchanges) == 2
+        assert all("HashAggregate" in plan[i + 1] for i in exchanges)
+        assert "l_partkey" not in "\n".join(plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_no_python_on_the_data_path(spark):
+    import __spark_entry__ as registered
+
+    for name in ("conform_types", "nested_to_json", "pk_duplicates", "strip_nul"):
+        df = registered.queries()[name](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan, name

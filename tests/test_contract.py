@@ -14,32 +14,16 @@ from haulframe import (
     write_contract,
 )
 
-ORDERS = """
-table: pedidos
-schema: public
-description: "Orders"
-owner: sales
-schedule:
-  cron: "0 * * * *"
-  mode: incremental
-  incremental_column: data_pedido
-  full_load: false
-  truncate: false
+SALES = """
+table: sales
+schema: shop
+owner: finance
+schedule: {mode: incremental, incremental_column: sold_at, truncate: false}
 columns:
-  - name: id
-    type: integer
-    primary_key: true
-    nullable: false
-  - name: cliente_id
-    type: integer
-    foreign_key: clientes(id)
-    nullable: false
-  - name: valor_total
-    type: numeric(10, 2)
-    nullable: false
-  - name: data_pedido
-    type: timestamp
-    default: CURRENT_TIMESTAMP
+  - {name: sale, type: bigint, primary_key: true, nullable: false}
+  - {name: buyer, type: bigint, foreign_key: people(id), nullable: false}
+  - {name: amount, type: "numeric(10, 2)"}
+  - {name: sold_at, type: timestamp, default: now()}
 """
 
 
@@ -53,19 +37,19 @@ def table(name, *parents):
 
 
 def test_yaml_contract(tmp_path, spark):
-    path = tmp_path / "pedidos.yml"
-    path.write_text(ORDERS, encoding="utf-8")
+    path = tmp_path / "sales.yml"
+    path.write_text(SALES, encoding="utf-8")
     contract = read_contract(path)
-    assert contract.primary_key == ["id"]
-    assert contract.parents == ["clientes"]
-    assert contract.load == LoadSpec("incremental", "data_pedido")
+    assert contract.primary_key == ["sale"]
+    assert contract.parents == ["people"]
+    assert contract.load == LoadSpec("incremental", "sold_at")
     struct = contract.to_struct()
-    assert struct["valor_total"].dataType == T.DecimalType(10, 2)
-    assert not struct["id"].nullable and struct["data_pedido"].nullable
-    assert struct["cliente_id"].metadata["foreign_key"] == "clientes(id)"
+    assert struct["amount"].dataType == T.DecimalType(10, 2)
+    assert not struct["sale"].nullable and struct["sold_at"].nullable
+    assert struct["buyer"].metadata["foreign_key"] == "people(id)"
     write_contract(contract, path)
     assert read_contract(path) == contract
-    assert "owner: sales" in path.read_text(encoding="utf-8")
+    assert "owner: finance" in path.read_text(encoding="utf-8")
 
 
 def test_manifest_order_and_fallback(tmp_path):

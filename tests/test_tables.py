@@ -86,6 +86,12 @@ def test_scratch_is_in_the_folder_the_session_names(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
+def test_settings_grow_with_the_shuffle():
+    small, large = hf.sized_settings(1, 8), hf.sized_settings(16 * 1024**4, 1000)
+    assert small["spark.sql.shuffle.partitions"] == "16"
+    assert large["spark.sql.shuffle.partitions"] == str(131072)
+
+
 def test_stage_measures_what_it_writes(spark):
     staged = stage(spark.sql("SELECT 'abcd' AS s, 1 AS n UNION ALL SELECT NULL, 2"), "t")
     assert (staged.rows, staged.bytes) == (2, 2 * (16 + 16 + 16) + 4)
@@ -243,6 +249,35 @@ def test_database_enforces_by_default(spark, database):
     assert not table.exists()
 
 
+def test_database_verifies_counts(spark, database, monkeypatch):
+    table = hf.JdbcTable(spark, database, "t", verify=True)
+    table.append(spark.range(5))
+    assert hf.load_table(spark.range(5, 9), table, spec=incremental("id")).rows == 4
+    send = table._append
+    monkeypatch.setattr(table, "_append", lambda df: (send(df), send(df.limit(1))))
+    with pytest.raises(RuntimeError, match="written twice"):
+        table.append(spark.range(10, 12))
+
+
+def test_enforced_load_from_a_database_reads_it_once(spark, database, folder, monkeypatch):
+    declared = hf.Contract.from_dict({"table": "t", "columns": [
+        {"name": "id", "type": "bigint", "primary_key": True},
+        {"name": "up", "type": "bigint", "unique": True}]})
+    source = hf.JdbcTable(spark, database, "t")
+    source.append(spark.sql("SELECT id, id AS up FROM range(4)"))
+    target = hf.PathTable(spark, folder)
+    seen = []
+    write = target._append
+    monkeypatch.setattr(target, "_append", lambda df: (
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df)))
+    target.append(source.read().where("id > 2"))
+    target.truncate()
+    result = hf.load_table(source, target, declared, incremental("id"),
+                           hf.LoadOptions(enforce=True))
+    assert result.rows == 4
+    assert "JDBCRelation" in seen[0] and "JDBCRelation" not in seen[1]
+
+
 def test_database_listing_and_description(spark, database):
     hf.JdbcTable(spark, database, "orders").append(spark.read.parquet(ORDERS))
     hf.JdbcTable(spark, database, "a b").append(spark.sql("SELECT 1 AS `x y`"))
