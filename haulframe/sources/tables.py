@@ -107,8 +107,12 @@ class Table:
         # Last step before the write: in a final stage a retried task is counted once.
         write(self._laid_out(df).observe(metrics, *wanted))
         found = metrics.get
+        self._commit(found["rows"])
         return Written(found["rows"], found.get("mark"))
 
+    def _commit(self, rows: int) -> None:
+        """Hook: make what was just written part of the table."""
+
     def _append(self, df: DataFrame) -> None:
         raise NotImplementedError
 
@@ -235,6 +239,12 @@ class PathTable(Table):
             self._swap_in(df)
         else:
             self._stage(df, self._appending)
+
+    def _commit(self, rows: int) -> None:
+        if rows == 0:
+            # Nothing new: do not leave an empty file behind on every run.
+            self._storage.delete(self._appending)
+        elif self._is_ready(self._appending):
             self._move_in(self._appending)
 
     def _replace(self, df: DataFrame) -> None:

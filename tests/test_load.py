@@ -91,6 +91,13 @@ def test_second_run_adds_nothing(source, target):
     assert ids(target) == [1, 2, 4]
 
 
+def test_empty_run_leaves_no_file(source, target):
+    hf.load_table(source, target, spec=incremental())
+    before = sorted(target._storage.files(target.path))
+    hf.load_table(source, target, spec=incremental())
+    assert sorted(target._storage.files(target.path)) == before
+
+
 def test_missed_rows(source, target):
     hf.load_table(source, target, spec=incremental())
     assert sorted(r.id for r in hf.missed_rows(source, target.read(), ["id"]).collect()) == [3, 5]
@@ -120,7 +127,7 @@ def test_interrupted_swap_is_undone(spark, source, target):
 def test_append_that_stopped_while_moving_is_finished(spark, source, target):
     """Without this the newest file's mark would hide the rows still to be moved."""
     late = frame(spark, (6, day(6), "f"), (7, day(7), "g"), (8, day(8), "h"))
-    target._stage(late.repartitionByRange(3, "id"), target._appending)
+    target._stage(late.repartitionByRange(3, "id"), target._appending)  # and no commit
     storage = Storage(spark, target.path)
     name = sorted(n for n in storage.files(target._appending) if n.startswith("part-"))[-1]
     storage.rename(f"{target._appending}/{name}", f"{target.path}/{name}")
