@@ -143,7 +143,7 @@ def load_table(source: Table | DataFrame, target: Table, contract: Contract | No
             # Check and write the same rows, and ask the source for them only once.
             rows = stage(rows, name).df
         require(table_violations(rows, contract, parents, None if decision.empties else held))
-    if mark is not None:
+    if mark is not None and not target.partitioned:
         rows = in_mark_order(rows, column, options.compact)
 
     write = target.replace if decision.empties else target.append
@@ -182,6 +182,8 @@ def load_all(spark: SparkSession, contracts: list[Contract], source, target,
         if any(jobs[p].exception() or jobs[p].result() is None
                for p in contract.parents if place.get(p, len(place)) < place[contract.table]):
             return None
+        # Under the FAIR scheduler each table gets its share of the executors.
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", contract.table)
         into = target(contract)
         wanted = into.enforces_keys if options.enforce is None else options.enforce
         parents = _parent_frames(contract, contracts, target) if wanted else None

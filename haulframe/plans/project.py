@@ -12,7 +12,7 @@ from haulframe.plans.load import LoadOptions, LoadResult, load_all, load_table
 from haulframe.plans.target import ensure_target
 from haulframe.sources.connection import BATCH_ROWS, Connection
 from haulframe.sources.listing import describe_missing
-from haulframe.sources.tables import Table, open_table
+from haulframe.sources.tables import TASKS, Table, open_table
 
 # Variable prefixes of the two ends in a project's .env.
 SOURCE_PREFIX = "DB_ORIGEM"
@@ -36,24 +36,22 @@ class Project:
     source: Connection
     target: Connection
     contracts: list[Contract]
-    read_partitions: int = 1
+    read_tasks: int = TASKS
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str | Path, batch_rows: int = BATCH_ROWS,
-             read_partitions: int = 1) -> "Project":
+             read_tasks: int = TASKS) -> "Project":
         folder = Path(folder)
         values = read_env(folder / ".env")
         return cls(
             spark, folder,
             Connection.from_env(values, SOURCE_PREFIX, batch_rows=batch_rows),
             Connection.from_env(values, TARGET_PREFIX, batch_rows=batch_rows),
-            read_manifest(folder), read_partitions,
+            read_manifest(folder), read_tasks,
         )
 
     def source_table(self, contract: Contract) -> Table:
-        options = {}
-        if not self.source.is_lake and self.read_partitions > 1:
-            options["partitions"] = self.read_partitions
+        options = {} if self.source.is_lake else {"partitions": self.read_tasks}
         return open_table(self.spark, self.source, contract.table, contract, source=True,
                           **options)
 

@@ -22,6 +22,8 @@ from haulframe.sources.storage import Storage
 
 # Above this many bytes a folder's mark is looked up through file statistics first.
 PROBE_BYTES = 8 * 1024**3
+# Connections a load opens to a database, reading or writing.
+TASKS = 16
 # Marker of a folder whose rows are complete.
 READY = "_READY"
 
@@ -41,6 +43,8 @@ class Table:
     enforces_keys = False
     # False where reading twice is costly or may give other rows.
     rereadable = True
+    # True where writes are distributed by the table's own partitioning.
+    partitioned = False
 
     def exists(self) -> bool:
         raise NotImplementedError
@@ -126,10 +130,13 @@ class PathTable(Table):
     def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet",
                  contract: Contract | None = None, schema: T.StructType | None = None,
                  partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = (),
-                 probe_bytes: int = PROBE_BYTES, direct_append: bool = False):
+                 probe_bytes: int = PROBE_BYTES, direct_append: bool = False,
+                 rebalance: bool = True):
         """``direct_append`` leaves appends to the file system's own committer, for object
-        stores where a rename is a copy and the committer is atomic already."""
+        stores where a rename is a copy and the committer is atomic already. ``rebalance=False``
+        saves the shuffle of a partitioned write whose source is laid out alike."""
         self.spark = spark
+        self.rebalance = rebalance
         self.direct_append = direct_append
         self.path = path.rstrip("/")
         self.format = fmt
@@ -143,6 +150,11 @@ class PathTable(Table):
         if self.partition_by and self.schema is None and fmt != "delta":
             # Folder names alone do not tell a partition column's type.
             raise ValueError("a partitioned folder needs a contract or a schema")
+        layout = (*self.partition_by, *self.sort_by)
+        unknown = [c for c in layout if self.schema is not None and c not in self.schema.names]
+        if unknown:
+            raise ValueError(f"layout needs plain column names, not {unknown}")
+        self.partitioned = bool(self.partition_by)
         self._storage = Storage(spark, self.path)
 
     @property
@@ -219,7 +231,7 @@ class PathTable(Table):
                 for c in self.contract.columns if c.has_default}
 
     def _laid_out(self, df: DataFrame) -> DataFrame:
-        if self.partition_by:
+        if self.partition_by and self.rebalance:
             # Rebalance rather than repartition: a partition value that holds a large share of
             # the rows is split over several tasks at run time.
             df = df.hint("rebalance", *[col(c) for c in self.partition_by])
@@ -241,12 +253,18 @@ class PathTable(Table):
             self._stage(df, self._appending)
 
     def _commit(self, rows: int) -> None:
-        if rows == 0:
+        if not self._is_ready(self._appending):
+            return
+        if rows == 0 and self._is_empty(self._appending):
             # Nothing new: do not leave an empty file behind on every run.
             self._storage.delete(self._appending)
-        elif self._is_ready(self._appending):
+        else:
             self._move_in(self._appending)
 
+    def _is_empty(self, folder: str) -> bool:
+        schema = _nullable(self.read().schema)
+        return self.spark.read.format(self.format).schema(schema).load(folder).isEmpty()
+
     def _replace(self, df: DataFrame) -> None:
         if self.format == "delta":
             self._write(df, self.path, "overwrite")  # one transaction
@@ -327,7 +345,7 @@ class JdbcTable(Table):
 
     def __init__(self, spark: SparkSession, connection: Connection, table: str,
                  schema: str | None = None, partition_column: str | None = None,
-                 partitions: int = 1, write_tasks: int | None = None,
+                 partitions: int = 1, write_tasks: int = TASKS,
                  column_types: str | None = None, verify: bool = False):
         self.spark = spark
         self.verify = verify
@@ -399,10 +417,13 @@ class JdbcTable(Table):
     def truncate(self) -> None:
         self._replace(self.read().limit(0))
 
+    def _laid_out(self, df: DataFrame) -> DataFrame:
+        # As many connections at most, however many tasks the cluster could run. Done here, as
+        # the writer's own numPartitions option would lose the observed counts.
+        return df.coalesce(self.write_tasks)
+
     def _writer(self, df: DataFrame, mode: str):
         writer = df.write.format("jdbc").mode(mode).options(**self.connection.jdbc_options())
-        if self.write_tasks:
-            writer = writer.option("numPartitions", str(self.write_tasks))
         if self.column_types:
             writer = writer.option("createTableColumnTypes", self.column_types)
         return writer.option("dbtable", self._dbtable)
@@ -472,8 +493,8 @@ def open_table(spark: SparkSession, connection: Connection, table: str,
                contract: Contract | None = None, source: bool = False, **options) -> Table:
     """Table of a connection.
 
-    A source keeps its own namespace; a target goes to the contract's. A database source with a
-    whole-number primary key is read in parallel ranges when ``partitions`` is given.
+    A source keeps its own namespace; a target goes to the contract's. A database source is read
+    by ``partitions`` tasks when the contract names a column to split it by.
     """
     if connection.is_lake:
         path = f"{connection.warehouse}/{table}"
@@ -483,13 +504,26 @@ def open_table(spark: SparkSession, connection: Connection, table: str,
     if not source and contract:
         schema = contract.target_schema(connection.schema or connection.dialect.default_schema
                                         or connection.database)
-    if contract and "partition_column" not in options and options.get("partitions", 1) > 1:
-        key = contract.primary_key
-        if len(key) == 1 and isinstance(contract.column(key[0]).spark_type, T.IntegralType):
-            options["partition_column"] = key[0]
+    if source and contract:
+        options.setdefault("partition_column", range_column(contract))
+        options.setdefault("partitions", TASKS)
     return JdbcTable(spark, connection, table, schema, **options)
 
 
+def range_column(contract: Contract) -> str | None:
+    """Column to read a database table in ranges by: the first whole-number column of the primary
+    key, else the mark column if it is a number, a date or an instant (Spark splits by no other
+    types). Without either the table comes through one task."""
+    for name in contract.primary_key:
+        if isinstance(contract.column(name).spark_type, T.IntegralType):
+            return name
+    mark = contract.load.incremental_column
+    known = {c.name: c.spark_type for c in contract.columns}
+    if isinstance(known.get(mark), (T.NumericType, T.DateType, T.TimestampType)):
+        return mark
+    return None
+
+
 def _nullable(schema: T.StructType) -> T.StructType:
     """Same fields, all nullable and without contract metadata, as files are read."""
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])

@@ -44,7 +44,7 @@ def test_each_run_takes_what_is_new(spark, places):
 
 def test_a_replayed_batch_lands_once(spark, tmp_path):
     target = hf.PathTable(spark, str(tmp_path / "t"))
-    target.append_batch(spark.range(10), "s-0")
+    assert target.append_batch(spark.range(10), "s-0").rows == 10
     assert target.append_batch(spark.range(10), "s-0").rows == 0
     target.append_batch(spark.range(10, 12), "s-1")
     assert ids(target) == list(range(12))

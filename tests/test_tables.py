@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import haulframe as hf
 from haulframe.sources.listing import describe_missing
+from haulframe.sources.tables import range_column
 from haulframe.sources.storage import Storage, scratch_path, shared_dir, stage
 
 ORDERS = "/root/testdata/sf0.001/orders.parquet"
@@ -106,6 +107,13 @@ def test_partitioned_folder_needs_types(spark, folder):
         hf.PathTable(spark, folder, partition_by=("day",))
 
 
+def test_layout_takes_columns_not_expressions(spark, folder):
+    declared = hf.Contract.from_dict({"table": "t", "partition_by": "toYYYYMM(at)", "columns": [
+        {"name": "at", "type": "timestamp"}]})
+    with pytest.raises(ValueError, match="toYYYYMM"):
+        hf.PathTable(spark, folder, contract=declared)
+
+
 def test_partitioned_folder(spark, folder):
     declared = hf.Contract.from_dict({
         "table": "t", "partition_by": "day", "order_by": ["id"], "columns": [
@@ -113,7 +121,7 @@ def test_partitioned_folder(spark, folder):
     target = hf.PathTable(spark, folder, contract=declared)
     # One day holds most rows; days look like dates but are text.
     days = F.when(F.col("id") < 80, F.lit("2024-01-01")).otherwise(F.lit("2024-01-02"))
-    target.append(spark.range(100).select("id", days.alias("day")))
+    assert target.append(spark.range(100).select("id", days.alias("day"))).rows == 100
     assert target.read().columns == ["day", "id"]
     assert target.read().schema["day"].dataType.simpleString() == "string"
     assert target.read().where("day = '2024-01-01'").count() == 80
@@ -221,6 +229,42 @@ def test_database_parallel_read(spark, database):
         "o_orderdate > timestamp_ntz'2000-01-01 00:00:00'").count()
 
 
+def test_database_read_in_day_ranges(spark, database):
+    days = spark.sql("SELECT id, date_add(DATE'2024-01-01', int(id)) AS day FROM range(40)"
+                     " UNION ALL SELECT 40, NULL")
+    hf.JdbcTable(spark, database, "t").append(days)
+    contract = hf.contract_of("t", days.schema)
+    table = hf.open_table(spark, database, "t", contract, source=True, partitions=5)
+    assert table.partition_column == "day"
+    assert table.read().rdd.getNumPartitions() == 5
+    assert sorted(r.id for r in table.read().collect()) == list(range(41))
+    late = table.read_above("day", "2024-01-11")
+    assert late.count() == 29
+
+
+def test_range_column():
+    def of(*columns, **schedule):
+        return range_column(hf.Contract.from_dict({
+            "table": "t", "schedule": schedule, "columns": list(columns)}))
+
+    key = {"name": "id", "type": "bigint", "primary_key": True}
+    text = {"name": "code", "type": "text", "primary_key": True}
+    day = {"name": "day", "type": "date"}
+    assert of(key, day) == "id"
+    assert of(text, key) == "id"
+    assert of(text) is None
+    assert of(text, {"name": "at", "type": "timestamp"}, mode="incremental",
+              incremental_column="at") is None
+    assert of(text, day, mode="incremental", incremental_column="day") == "day"
+    assert of(text, mode="incremental", incremental_column="code") is None
+
+
+def test_database_writes_open_few_connections(spark, database):
+    table = hf.JdbcTable(spark, database, "t", write_tasks=2)
+    assert table.append(spark.range(0, 100, 1, 50)).rows == 100
+    assert table.read().count() == 100
+
+
 def test_database_full_load_keeps_column_types(spark, database):
     declared = hf.Contract.from_dict({"table": "people", "columns": [
         {"name": "id", "type": "integer", "primary_key": True},
@@ -321,12 +365,14 @@ def test_catalog_table_from_contract(spark, namespace):
             {"name": "day", "type": "text"}]})
     target = hf.create_table(spark, declared)
     hf.create_table(spark, declared)
-    target.append(spark.sql("SELECT 'd' AS day, 1 AS id"))
+    assert target.append(spark.sql("SELECT 'd' AS day, 1 AS id")).rows == 1
     row = target.read().first()
     assert (row.id, row.code, row.key, row.day) == (1, "new", None, "d") and row.made
     with pytest.raises(Exception, match="EXCEED"):
         target.append(spark.sql("SELECT 'd' AS day, 1 AS id, 'long' AS code"))
-    hf.load_table(spark.sql("SELECT 'e' AS day, 2 AS id"), target, spec=hf.LoadSpec("full"))
+    full = hf.load_table(spark.sql("SELECT 'e' AS day, 2 AS id"), target,
+                         spec=hf.LoadSpec("full"))
+    assert full.rows == 1
     assert [(r.id, r.day) for r in target.read().collect()] == [(2, "e")]
     target.truncate()
     assert target.read().count() == 0
