@@ -84,6 +84,8 @@ def ensure_target(spark: SparkSession, target: Table, contract: Contract) -> boo
         target.column_types = ", ".join(
             f"{quoted(c.name)} {table_type(c.type)}" for c in contract.columns
             if table_type(c.type) != c.spark_type.simpleString()) or None
+        target.create_options = target.connection.create_options(
+            contract.primary_key, contract.engine, contract.order_by, contract.partition_by)
         target.append(spark.createDataFrame([], contract.to_struct()))
         return True
     raise TypeError(f"cannot create {type(target).__name__}; use create_table")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
@@ -24,6 +25,8 @@ from haulframe.sources.storage import Storage
 PROBE_BYTES = 8 * 1024**3
 # Connections a load opens to a database, reading or writing.
 TASKS = 16
+# Files renamed at the same time when an append moves in.
+RENAMES_AT_ONCE = 16
 # Marker of a folder whose rows are complete.
 READY = "_READY"
 
@@ -290,11 +293,13 @@ class PathTable(Table):
 
     def _move_in(self, folder: str) -> None:
         """Rename staged files into the table. File names are unique, so this can resume."""
-        for name in self._storage.files(folder):
-            if not name.rsplit("/", 1)[-1].startswith(("_", ".")):
-                target = f"{self.path}/{name}"
-                self._storage.make_dir(target.rsplit("/", 1)[0])
-                self._storage.rename(f"{folder}/{name}", target)
+        names = [n for n in self._storage.files(folder)
+                 if not n.rsplit("/", 1)[-1].startswith(("_", "."))]
+        for below in {n.rpartition("/")[0] for n in names}:
+            self._storage.make_dir(f"{self.path}/{below}".rstrip("/"))
+        with ThreadPoolExecutor(RENAMES_AT_ONCE) as pool:
+            list(pool.map(
+                lambda n: self._storage.rename(f"{folder}/{n}", f"{self.path}/{n}"), names))
         self._storage.delete(folder)
 
     def _swap_in(self, df: DataFrame) -> None:
@@ -346,9 +351,11 @@ class JdbcTable(Table):
     def __init__(self, spark: SparkSession, connection: Connection, table: str,
                  schema: str | None = None, partition_column: str | None = None,
                  partitions: int = 1, write_tasks: int = TASKS,
-                 column_types: str | None = None, verify: bool = False):
+                 column_types: str | None = None, create_options: str | None = None,
+                 verify: bool = False):
         self.spark = spark
         self.verify = verify
+        self.create_options = create_options
         self.connection = connection
         self.name = table
         self.schema = schema or connection.default_schema
@@ -426,6 +433,8 @@ class JdbcTable(Table):
         writer = df.write.format("jdbc").mode(mode).options(**self.connection.jdbc_options())
         if self.column_types:
             writer = writer.option("createTableColumnTypes", self.column_types)
+        if self.create_options:
+            writer = writer.option("createTableOptions", self.create_options)
         return writer.option("dbtable", self._dbtable)
 
     def append(self, df: DataFrame, mark_column: str | None = None,

@@ -62,6 +62,16 @@ def test_database_addresses(kind, url, qualified):
     assert "secret" not in repr(connection)
 
 
+def test_database_layouts():
+    house = hf.Connection("clickhouse", "h")
+    assert house.create_options(["id"]) == "ENGINE = MergeTree ORDER BY (`id`)"
+    assert house.create_options([], "Log", (), ("day",)) == (
+        "ENGINE = Log PARTITION BY (`day`) ORDER BY tuple()")
+    assert house.create_options(["id"], order_by=("ts", "id")).endswith("ORDER BY (`ts`, `id`)")
+    assert hf.Connection("postgresql", "h").create_options(["id"]) is None
+    assert hf.Connection("postgresql", "h").jdbc_options()["stringtype"] == "unspecified"
+
+
 def test_identifier_quoting():
     assert hf.Connection("postgresql", "h").quoted('a"b') == '"a""b"'
     assert hf.Connection("mysql", "h").quoted("a`b") == "`a``b`"
