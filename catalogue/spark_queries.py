@@ -13,7 +13,7 @@ from catalogue.contracts import TABLES, contract, contracts, frame, given
 from haulframe.functions.clean import strip_nul
 from haulframe.functions.copytext import copy_field
 from haulframe.functions.names import col
-from haulframe.sources.storage import scratch_path
+from haulframe.sources.storage import is_local, scratch_path
 
 CUTOFF = "1999-01-01 00:00:00"
 EVENT_CUTOFF = "2024-01-15 00:00:00"
@@ -121,6 +121,9 @@ def quoted_names(spark, sf_dir):
 @query
 def jdbc_roundtrip(spark, sf_dir):
     """Through an in-memory database inside this process: local sessions only."""
+    if not is_local(spark):
+        raise RuntimeError("this query's database is only visible to its own process; "
+                           "it needs a local session")
     database = hf.Connection("derby", database=f"memory:hf_{uuid4().hex}")
     orders = hf.JdbcTable(spark, database, "orders", partition_column="o_orderkey", partitions=4)
     source = frame(spark, sf_dir, "orders")

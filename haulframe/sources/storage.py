@@ -62,6 +62,12 @@ class Storage:
         self._fs.deleteOnExit(self._path(path))
 
 
+def is_local(spark: SparkSession) -> bool:
+    """True where driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor sees: the session's checkpoint folder.
 
@@ -73,7 +79,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir()
-    if context.master != "local" and not context.master.startswith("local["):
+    if not is_local(spark):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if context.applicationId not in _local_scratch:
         _local_scratch[context.applicationId] = tempfile.mkdtemp(prefix="haulframe-")

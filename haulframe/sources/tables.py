@@ -79,11 +79,13 @@ class Table:
     def append(self, df: DataFrame, mark_column: str | None = None,
                schema: T.StructType | None = None) -> Written:
         """Add rows, columns matched by name. ``schema`` saves looking up the target's."""
+        self.recover()
         return self._observed(self._aligned(df, schema), mark_column, self._append)
 
     def replace(self, df: DataFrame, mark_column: str | None = None,
                 schema: T.StructType | None = None) -> Written:
         """Make ``df`` the whole content."""
+        self.recover()
         return self._observed(self._aligned(df, schema), mark_column, self._replace)
 
     def target_schema(self, held: DataFrame | None = None) -> T.StructType | None:

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +144,26 @@ def test_no_python_on_the_data_path(spark):
         df = registered.queries()[name](spark, "/root/testdata/sf0.001")
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan, name
+
+
+def test_random_keys_match_brute_force(spark, join_way):
+    draw = random.Random(11)
+    keys = [None, *range(40)]
+    # A third of the rows share one key.
+    child = [(i, 3 if draw.random() < 0.33 else draw.choice(keys)) for i in range(3000)]
+    parent = draw.choices(range(60), k=30)
+    rows_in = spark.createDataFrame(child, "id int, fk int").repartition(5)
+    held = spark.createDataFrame([(p,) for p in parent], "pk int")
+    known = set(parent)
+    lost = Counter(fk for _, fk in child if fk is not None and fk not in known)
+    assert dict(tuple(r) for r in hf.fk_orphans(rows_in, "fk", held, "pk").collect()) == lost
+    valid = sorted(r.id for r in hf.fk_valid_rows(rows_in, "fk", held, "pk").collect())
+    assert valid == [i for i, fk in child if fk is None or fk in known]
+    invalid = sorted(r.id for r in hf.fk_invalid_rows(rows_in, "fk", held, "pk").collect())
+    assert invalid == [i for i, fk in child if fk is not None and fk not in known]
+    repeats = {fk: n for fk, n in Counter(fk for _, fk in child).items()
+               if fk is not None and n > 1}
+    assert dict(tuple(r) for r in hf.unique_violations(rows_in, "fk").collect()) == repeats
+    clashes = hf.key_conflicts(rows_in.select("fk"), held.withColumnRenamed("pk", "fk"), ["fk"])
+    assert sorted(r.fk for r in clashes.collect()) == sorted(
+        known & {fk for _, fk in child if fk is not None})

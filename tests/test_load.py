@@ -141,6 +141,12 @@ def test_append_that_stopped_while_writing_is_forgotten(spark, source, target):
     assert ids(target) == [1, 2, 4]
 
 
+def test_plain_append_finishes_an_earlier_one_first(spark, target):
+    target._stage(frame(spark, (6, day(6), "f")), target._appending)
+    target.append(frame(spark, (7, day(7), "g")))
+    assert ids(target) == [1, 2, 6, 7]
+
+
 def test_direct_append(spark, source, tmp_path):
     target = hf.PathTable(spark, str(tmp_path / "direct"), direct_append=True)
     for expected in (5, 0):

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 from decimal import Decimal
 
 import pytest
@@ -104,6 +105,28 @@ def test_copy_roundtrip(spark, folder):
     assert back == want
 
 
+def test_copy_of_random_text_matches_brute_force(spark, folder):
+    draw = random.Random(7)
+    texts = [None] + ["".join(draw.choices("\\\t\n\r\0Nntr é", k=draw.randint(0, 12)))
+                      for _ in range(3000)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "id int, t string").repartition(4)
+
+    def expected(i, text):
+        if text is None:
+            return f"{i}\t\\N"
+        for raw, written in (("\0", ""), ("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"),
+                             ("\r", "\\r")):
+            text = text.replace(raw, written)
+        return f"{i}\t{text}"
+
+    assert sorted(r.value for r in hf.copy_lines(df).collect()) == sorted(
+        expected(*row) for row in rows)
+    hf.write_copy_text(df, folder)
+    back = hf.read_copy_text(spark, folder, df.schema).collect()
+    assert sorted(back) == [(i, None if t is None else t.replace("\0", "")) for i, t in rows]
+
+
 def test_copy_instant_carries_its_offset(spark):
     df = spark.sql("SELECT TIMESTAMP '2024-01-02 03:04:05.6+02:00' AS at, ARRAY('a\tb') AS l")
     line = hf.copy_lines(df).first().value
