@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import haulframe as hf
 from catalogue.contracts import TABLES, contract, contracts, frame, given
-from haulframe.functions.clean import strip_nul
 from haulframe.functions.copytext import copy_field
 from haulframe.functions.names import col
 from haulframe.sources.storage import is_local, scratch_path
@@ -372,7 +371,7 @@ def constraint_report(spark, sf_dir):
 
 
 @query
-def strip_nul(spark, sf_dir):  # noqa: F811 - the query carries the operator's name
+def strip_nul(spark, sf_dir):
     text = F.concat(col("text"), F.lit("\x00x"))
     dirty = frame(spark, sf_dir, "documents").select(
         "doc_id", text.alias("text"), F.array(text, F.lit("\x00")).alias("listed"),

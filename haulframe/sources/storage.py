@@ -37,6 +37,16 @@ class Storage:
         """Names of the direct children of a directory."""
         return [status.getPath().getName() for status in self._fs.listStatus(self._path(path))]
 
+    def has_files(self, path: str) -> bool:
+        """True if any file below the path is data, judged by its name."""
+        if not self.exists(path):
+            return False
+        walk = self._fs.listFiles(self._path(path), True)
+        while walk.hasNext():
+            if not walk.next().getPath().getName().startswith(("_", ".")):
+                return True
+        return False
+
     def files(self, path: str) -> list[str]:
         """Files at any depth, relative to the directory."""
         base = self._fs.makeQualified(self._path(path)).toString().rstrip("/") + "/"

@@ -165,11 +165,14 @@ class PathTable(Table):
     @property
     def _beside(self) -> str:
         """Prefix of hidden working folders next to the table."""
-        parent, name = self.path.rsplit("/", 1)
-        return f"{parent}/.{name}"
+        parent, slash, name = self.path.rpartition("/")
+        return f"{parent}{slash}.{name}"
 
     def exists(self) -> bool:
-        return self._storage.exists(self.path)
+        """True for a folder that holds a table; a bare folder tells no columns."""
+        if self.schema is not None or self.format == "delta":
+            return self._storage.exists(self.path)
+        return self._storage.has_files(self.path)
 
     def target_schema(self, held: DataFrame | None = None) -> T.StructType | None:
         if self.schema is not None and not (self.format == "delta" and self.exists()):
@@ -318,7 +321,7 @@ class PathTable(Table):
         if self.format == "delta":
             return
         previous = f"{self._beside}.previous"
-        if not self.exists() and self._storage.exists(previous):
+        if not self._storage.exists(self.path) and self._storage.exists(previous):
             self._storage.rename(previous, self.path)
         if self._is_ready(self._appending):
             self._move_in(self._appending)

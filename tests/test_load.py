@@ -84,6 +84,18 @@ def test_bootstrap_of_missing_empty_and_unmarked_targets(spark, tmp_path, source
     assert ids(unmarked) == [1, 2, 3, 4, 5, 9]
 
 
+def test_bare_folder_is_bootstrapped(spark, tmp_path, source):
+    (tmp_path / "bare").mkdir()
+    target = hf.PathTable(spark, str(tmp_path / "bare"))
+    assert hf.load_table(source, target, spec=incremental()).rows == 5
+    assert hf.load_table(source, target, spec=incremental()).rows == 0
+
+
+def test_relative_folder(spark):
+    assert hf.PathTable(spark, "orders")._appending == ".orders.append"
+    assert hf.PathTable(spark, "/a/b/")._appending == "/a/.b.append"
+
+
 def test_second_run_adds_nothing(source, target):
     hf.load_table(source, target, spec=incremental())
     again = hf.load_table(source, target, spec=incremental())
