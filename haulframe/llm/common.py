@@ -71,3 +71,18 @@ def before(value: Column, keys: list[str], order: list[str]) -> Column:
     window = (Window.partitionBy(*keys).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, -1))
     return F.coalesce(F.sum(value).over(window), F.lit(0).cast("long"))
+
+
+# Bytes of text handed to Python at once.
+ARROW_BYTES = 16 * 1024**2
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python receives by bytes, unless the session sets a bound.
+
+    Rows are counted too, but 10,000 very long texts do not fit in a Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = int(spark.conf.get(key, "-1").rstrip("b"))
+    if not 0 < bound <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))

@@ -4,6 +4,16 @@ from __future__ import annotations
 
 from haulframe.llm.common import documents
 from haulframe.llm.exact_dedup import exact_dedup
+from haulframe.llm.packing import pack
+from haulframe.llm.token_counts import token_counts
+
+
+def op5_token_counts(spark, sf_dir):
+    return token_counts(documents(spark, sf_dir), limit=1024)
+
+
+def op9_best_fit_packing(spark, sf_dir):
+    return pack(documents(spark, sf_dir), capacity=2048)
 
 
 def op10_exact_dedup(spark, sf_dir):
@@ -11,6 +21,8 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op5_token_counts": op5_token_counts,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
