@@ -66,6 +66,24 @@ def positions(df: DataFrame, group: str, counts: Sequence[int], order: Sequence[
     return joined.withColumn(out, place).drop("_h", "_w", "_bucket", "_block", "_start")
 
 
+# A group with over a thousandth of all rows is joined by broadcast: there are at most 1,000.
+HOT_PART = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of rows with their group, unique by ``key``, of ``size`` of the ``total`` rows.
+
+    Groups with over a thousandth of all rows, at most 1,000, are broadcast, so no task of the
+    join for the others gets more. ``groups`` and ``rows`` are read twice and should be staged.
+    """
+    large = F.col(size) * HOT_PART > total
+    hot = rows.join(F.broadcast(groups.filter(large).withColumn("_hot", F.lit(True))), key, "left")
+    cold = (hot.filter(F.col("_hot").isNull()).select(*rows.columns)
+            .join(groups.filter(~large), key))
+    columns = [*rows.columns, *[c for c in groups.columns if c != key]]
+    return hot.filter(F.col("_hot")).select(*columns).unionByName(cold.select(*columns))
+
+
 def before(value: Column, keys: list[str], order: list[str]) -> Column:
     """Sum of ``value`` over the earlier rows of the window."""
     window = (Window.partitionBy(*keys).orderBy(*order)
@@ -78,11 +96,11 @@ ARROW_BYTES = 16 * 1024**2
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python receives by bytes, unless the session sets a bound.
+    """Bound the Arrow batches that Python receives by bytes, unless the session has a tighter bound.
 
     Rows are counted too, but 10,000 very long texts do not fit in a Python worker.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    bound = int(spark.conf.get(key, "-1").rstrip("b"))
-    if not 0 < bound <= ARROW_BYTES:
+    given = spark.conf.get(key).removesuffix("b")
+    if given.isdigit() and int(given) > ARROW_BYTES:
         spark.conf.set(key, str(ARROW_BYTES))

@@ -23,13 +23,11 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import SPACE, stage, whole_text
+from haulframe.llm.common import SPACE, join_groups, stage, whole_text
 from haulframe.sources.storage import scratch_path
 
 # Rows of one group that are compared with one copy of the kept row's text.
 COPY_ROWS = 512
-# A group with over a thousandth of all rows is joined by broadcast: there are at most 1,000.
-HOT_PART = 1000
 
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -134,22 +132,11 @@ def _decided(rows: DataFrame) -> DataFrame:
     groups = stage(state.select("_key", F.col("keeper.id").alias("keep_id"),
                                 F.bitwise_not(F.col("keeper.row")).alias("_keep_uid"),
                                 "group_size"), "dedup-groups").df
-    decided = stage(_with_groups(keys.df, groups, keys.rows)
+    decided = stage(join_groups(keys.df, groups, "_key", "group_size", keys.rows)
                     .withColumn("kept", F.col("_uid") == F.col("_keep_uid")), "dedup-decided").df
     return _rechecked(rows, decided)
 
 
-def _with_groups(keys: DataFrame, groups: DataFrame, rows: int) -> DataFrame:
-    """Each row with its group: large groups by a broadcast of at most 1,000, others by a join."""
-    large = F.col("group_size") * HOT_PART > rows
-    hot = keys.join(F.broadcast(groups.filter(large).withColumn("_hot", F.lit(True))),
-                    "_key", "left")
-    cold = (hot.filter(F.col("_hot").isNull()).select(*keys.columns)
-            .join(groups.filter(~large), "_key"))
-    columns = ["_uid", "_id", "_sha", "_key", "keep_id", "_keep_uid", "group_size"]
-    return hot.filter(F.col("_hot")).select(*columns).unionByName(cold.select(*columns))
-
-
 def _rechecked(rows: DataFrame, decided: DataFrame) -> DataFrame:
     """Compare every hit with the kept row on all bytes; group those that differ by their text."""
     hits = stage(decided.filter(F.col("group_size") > 1)

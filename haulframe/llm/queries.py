@@ -5,9 +5,14 @@ from __future__ import annotations
 from haulframe.llm.common import documents
 from haulframe.llm.exact_dedup import exact_dedup
 from haulframe.llm.packing import pack
+from haulframe.llm.simhash import near_groups
 from haulframe.llm.token_counts import token_counts
 
 
+def op4_simhash_near_dedup(spark, sf_dir):
+    return near_groups(documents(spark, sf_dir), shingle=3, radius=2)
+
+
 def op5_token_counts(spark, sf_dir):
     return token_counts(documents(spark, sf_dir), limit=1024)
 
@@ -21,6 +26,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_token_counts": op5_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_exact_dedup": op10_exact_dedup,
