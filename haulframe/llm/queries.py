@@ -5,10 +5,15 @@ from __future__ import annotations
 from haulframe.llm.common import documents
 from haulframe.llm.exact_dedup import exact_dedup
 from haulframe.llm.packing import pack
+from haulframe.llm.quality_forest import quality
 from haulframe.llm.simhash import near_groups
 from haulframe.llm.token_counts import token_counts
 
 
+def op2_quality_rules(spark, sf_dir):
+    return quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     return near_groups(documents(spark, sf_dir), shingle=3, radius=2)
 
@@ -26,6 +31,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_token_counts": op5_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
