@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from haulframe.llm.common import documents
 from haulframe.llm.exact_dedup import exact_dedup
+from haulframe.llm.language_id import identify
 from haulframe.llm.packing import pack
 from haulframe.llm.quality_forest import quality
 from haulframe.llm.simhash import near_groups
@@ -14,6 +15,10 @@ def op2_quality_rules(spark, sf_dir):
     return quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op3_language_id(spark, sf_dir):
+    return identify(documents(spark, sf_dir))
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     return near_groups(documents(spark, sf_dir), shingle=3, radius=2)
 
@@ -31,6 +36,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
     "op2_quality_rules": op2_quality_rules,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_token_counts": op5_token_counts,
