@@ -60,10 +60,10 @@ def positions(df: DataFrame, group: str, counts: Sequence[int], order: Sequence[
     starts = (by_bucket.join(blocks, [group, "_block"])
               .select(group, "_bucket",
                       (F.col("_block_start") + before(F.col("_s"), [group, "_block"],
-                                                      ["_bucket"])).alias("_start")))
+                                                      ["_bucket"])).alias("_bucket_start")))
     joined = keyed.join(starts, [group, "_bucket"])
-    place = F.col("_start") + before(F.col("_w"), [group, "_bucket"], ["_h", *order])
-    return joined.withColumn(out, place).drop("_h", "_w", "_bucket", "_block", "_start")
+    place = F.col("_bucket_start") + before(F.col("_w"), [group, "_bucket"], ["_h", *order])
+    return joined.withColumn(out, place).drop("_h", "_w", "_bucket", "_block", "_bucket_start")
 
 
 # A group with over a thousandth of all rows is joined by broadcast: there are at most 1,000.

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from haulframe.llm.common import documents
 from haulframe.llm.exact_dedup import exact_dedup
+from haulframe.llm.kd_shards import shard
 from haulframe.llm.language_id import identify
+from haulframe.llm.mixing import mix_report
 from haulframe.llm.packing import pack
 from haulframe.llm.quality_forest import quality
 from haulframe.llm.simhash import near_groups
@@ -27,6 +29,14 @@ def op5_token_counts(spark, sf_dir):
     return token_counts(documents(spark, sf_dir), limit=1024)
 
 
+def op6_mixing(spark, sf_dir):
+    return mix_report(documents(spark, sf_dir))
+
+
+def op8_sharding(spark, sf_dir):
+    return shard(documents(spark, sf_dir), shards=24)
+
+
 def op9_best_fit_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), capacity=2048)
 
@@ -40,6 +50,8 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_mixing": op6_mixing,
+    "op8_sharding": op8_sharding,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
