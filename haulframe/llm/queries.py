@@ -11,6 +11,11 @@ from haulframe.llm.packing import pack
 from haulframe.llm.quality_forest import quality
 from haulframe.llm.simhash import near_groups
 from haulframe.llm.token_counts import token_counts
+from haulframe.llm.url_filter import judge_urls
+
+
+def op1_url_filter(spark, sf_dir):
+    return judge_urls(documents(spark, sf_dir, "pages"))
 
 
 def op2_quality_rules(spark, sf_dir):
@@ -46,6 +51,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op3_language_id": op3_language_id,
     "op2_quality_rules": op2_quality_rules,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
