@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -95,12 +97,19 @@ def before(value: Column, keys: list[str], order: list[str]) -> Column:
 ARROW_BYTES = 16 * 1024**2
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python receives by bytes, unless the session has a tighter bound.
+def prepare_python(spark: SparkSession) -> None:
+    """Bound what Python workers get at once, and let them import this package.
 
-    Rows are counted too, but 10,000 very long texts do not fit in a Python worker.
+    Arrow batches are bounded by bytes unless the session has a tighter bound: rows are counted
+    too, but 10,000 very long texts do not fit in a Python worker. The package's folder is added
+    to the workers' path, for executors that see it; elsewhere it is shipped with the job.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     given = spark.conf.get(key).removesuffix("b")
     if given.isdigit() and int(given) > ARROW_BYTES:
         spark.conf.set(key, str(ARROW_BYTES))
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])

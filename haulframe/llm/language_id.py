@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import before, bounded_batches, whole_text
+from haulframe.llm.common import before, prepare_python, whole_text
 
 ORDER = 4
 TRAIN_DOCS = 400
@@ -61,7 +61,7 @@ def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _tagged(docs: DataFrame, model: dict, text_col: str) -> DataFrame:
-    bounded_batches(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double,accepted:boolean>")
@@ -124,7 +124,7 @@ def gram_hashes(codes: np.ndarray, order: int = ORDER) -> list[np.ndarray]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang") -> dict:
     """Models, and what cross-entropy is usual, from the documents that are not held out."""
-    bounded_batches(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     lang = F.col(lang_col).cast("string")
     labelled = docs.filter(~held_out(id_col) & F.col(id_col).isNotNull() & lang.isNotNull()
                            & F.col(text_col).isNotNull())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import WORD, bounded_batches, positions, stage, whole_text
+from haulframe.llm.common import WORD, positions, prepare_python, stage, whole_text
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -69,7 +69,6 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataF
             out.append(b" ".join(b" ".join(words[s["_from"]:s["_to"]]) for s in taken).decode())
         return pa.array(out, pa.string())
 
-    bounded_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     parts = (rows.filter(~whole).withColumn("_text", cut(text, F.col("_spans")))
              .unionByName(rows.filter(whole).withColumn("_text", text)))
@@ -140,6 +139,7 @@ def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Sizes, the plan for each source, and the spans taken (_uid, _size, _pass, _shard, _slot,
     _from, _to in words of the document)."""
     spark = docs.sparkSession
+    prepare_python(spark)
     source = F.col(f"`{source_col}`").cast("string")
     rows = docs.select(
         (F.col(uid) if uid else F.monotonically_increasing_id()).alias("_uid"),

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import bounded_batches, positions, stage, whole_text
+from haulframe.llm.common import positions, prepare_python, stage, whole_text
 from haulframe.llm.encode import encoder
 
 CAPACITY = 2048
@@ -38,7 +38,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, id_col
     Documents longer than ``capacity`` are cut into pieces of ``capacity`` ids, of which the
     first may be shorter. ``with_ids`` adds ``ids``, the piece as little-endian 32-bit numbers.
     """
-    bounded_batches(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     cut = stage(_pieces(docs, capacity, end_id, id_col, text_col, tokenizer, with_ids),
                 "pieces").df
     counts = [0] * (capacity + 1)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import bounded_batches, stage, whole_text
+from haulframe.llm.common import prepare_python, stage, whole_text
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -97,7 +97,7 @@ def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id and the counts of ``STATS`` for each document."""
-    bounded_batches(docs.sparkSession)
+    prepare_python(docs.sparkSession)
 
     def count(batches):
         for batch in batches:

@@ -6,6 +6,7 @@ from haulframe.llm.common import documents
 from haulframe.llm.exact_dedup import exact_dedup
 from haulframe.llm.kd_shards import shard
 from haulframe.llm.language_id import identify
+from haulframe.llm.lm_scoring import score_documents
 from haulframe.llm.mixing import mix_report
 from haulframe.llm.packing import pack
 from haulframe.llm.quality_forest import quality
@@ -38,6 +39,10 @@ def op6_mixing(spark, sf_dir):
     return mix_report(documents(spark, sf_dir))
 
 
+def op7_lm_scoring(spark, sf_dir):
+    return score_documents(documents(spark, sf_dir))
+
+
 def op8_sharding(spark, sf_dir):
     return shard(documents(spark, sf_dir), shards=24)
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_sharding": op8_sharding,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_exact_dedup": op10_exact_dedup,

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import bounded_batches, join_groups, stage, whole_text
+from haulframe.llm.common import join_groups, prepare_python, stage, whole_text
 
 SHINGLE = 3
 RADIUS = 2
@@ -76,7 +76,7 @@ def text_fingerprint(text: str, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """_id and _print (the fingerprint as a signed long)."""
-    bounded_batches(docs.sparkSession)
+    prepare_python(docs.sparkSession)
 
     def make(batches):
         for batch in batches:

@@ -16,14 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import bounded_batches, whole_text
+from haulframe.llm.common import prepare_python, whole_text
 from haulframe.llm.encode import encoder
 
 
 def token_counts(docs: DataFrame, limit: int = 1024, id_col: str = "doc_id",
                  text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """``id_col``, n_bytes, n_tokens, over_limit for each document."""
-    bounded_batches(docs.sparkSession)
+    prepare_python(docs.sparkSession)
 
     def count(batches):
         enc = encoder(tokenizer)
