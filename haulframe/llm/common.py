@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from haulframe.sources.storage import Staged, stage
 
-__all__ = ["Staged", "documents", "literal_array", "positions", "stage", "whole_text"]
+__all__ = ["Staged", "documents", "literal_array", "positions", "stage", "unpacked", "whole_row",
+           "whole_text"]
 
 # ASCII white space; every other code point belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +33,20 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def whole_row(docs: DataFrame, name: str = "_row") -> Column:
+    """All columns as one struct, so that their names meet no others."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias(name)
+
+
+def unpacked(docs: DataFrame, name: str = "_row") -> list[Column]:
+    """The columns of ``whole_row`` again."""
+    return [F.col(name).getField(c).alias(c) for c in docs.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def literal_array(values: Sequence[int | float], kind: str) -> Column:
     """A constant array, parsed once; ``kind`` is ``bigint`` or ``double``."""
     inner = ",".join(repr(float(v)) + "D" if kind == "double" else f"{int(v)}L" for v in values)

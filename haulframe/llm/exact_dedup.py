@@ -23,7 +23,14 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import SPACE, join_groups, stage, whole_text
+from haulframe.llm.common import (
+    SPACE,
+    join_groups,
+    stage,
+    unpacked,
+    whole_row,
+    whole_text,
+)
 from haulframe.sources.storage import scratch_path
 
 # Rows of one group that are compared with one copy of the kept row's text.
@@ -51,7 +58,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``digest`` keys the state; a weak one costs time, not correctness.
     """
-    return _decided(_staged(docs, id_col, text_col, digest)).select(
+    rows = stage(_keyed(docs, id_col, text_col, digest), "dedup-rows").df
+    return _decided(rows).select(
         F.col("_id").alias(id_col), "keep_id", "group_size", "kept",
         F.lower(F.hex("_sha")).alias("text_sha256"))
 
@@ -59,29 +67,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    staged = _staged(docs, id_col, text_col, sha256_key, keep=docs.columns)
-    gone = _decided(staged).filter(~F.col("kept")).select("_uid")
-    gone = stage(gone, "copies")
+    rows = stage(_keyed(docs, id_col, text_col, sha256_key, [whole_row(docs)]), "dedup-rows").df
+    gone = _decided(rows.withColumn("_text", F.col("_row").getField(text_col)))
+    gone = stage(gone.filter(~F.col("kept")).select("_uid"), "copies")
     dropped = F.broadcast(gone.df) if gone.broadcastable else gone.df
-    return (staged.join(dropped, "_uid", "left_anti")
-            .select(*[F.col(f"_row.{_quoted(c)}").alias(c) for c in docs.columns]))
+    return rows.join(dropped, "_uid", "left_anti").select(*unpacked(docs))
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def _staged(docs: DataFrame, id_col: str, text_col: str, digest, keep=()) -> DataFrame:
-    """Row id, id, code points, normalised text, its digest and, with ``keep``, the row."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str, digest, kept=None) -> DataFrame:
+    """Row id, id, code points, digests, and the text or what else is to be kept."""
     text = whole_text(text_col)
     rows = docs.select(
         F.monotonically_increasing_id().alias("_uid"), F.col(id_col).cast("long").alias("_id"),
-        F.length(text).cast("long").alias("_points"),
-        F.regexp_replace(text, SPACE, "").alias("_norm"),
-        *([F.struct(*[F.col(_quoted(c)) for c in keep]).alias("_row")] if keep else []))
+        F.length(text).cast("long").alias("_points"), *(kept or [text.alias("_text")]),
+        normalised(text).alias("_norm"))
     rows = rows.withColumn("_key", digest(F.col("_norm")))
     sha = F.col("_key") if digest is sha256_key else sha256_key(F.col("_norm"))
-    return stage(rows.withColumn("_sha", sha), "dedup-rows").df
+    return rows.withColumn("_sha", sha).drop("_norm")
+
+
+def normalised(text: Column) -> Column:
+    """The text without white space."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")
 
 
 @contextmanager
@@ -142,7 +149,9 @@ def _rechecked(rows: DataFrame, decided: DataFrame) -> DataFrame:
     hits = stage(decided.filter(F.col("group_size") > 1)
                  .select("_uid", "_keep_uid", "group_size", "kept"), "dedup-hits")
     few = F.broadcast(hits.df) if hits.broadcastable else hits.df
-    texts = rows.select("_uid", "_id", "_points", "_norm").join(few, "_uid")
+    # Normalised again after the join, for the hits alone.
+    texts = (rows.select("_uid", "_id", "_points", "_text").join(few, "_uid")
+             .withColumn("_norm", normalised(F.col("_text"))).drop("_text"))
     copies = F.ceil(F.col("group_size") / COPY_ROWS).cast("int")
     kept = (texts.filter("kept")
             .select(F.col("_uid").alias("_keep_uid"), F.col("_norm").alias("_kept_norm"),

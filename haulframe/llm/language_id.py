@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import before, prepare_python, whole_text
+from haulframe.llm.common import before, prepare_python, unpacked, whole_row, whole_text
 
 ORDER = 4
 TRAIN_DOCS = 400
@@ -47,20 +47,22 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Every text with a letter gets a learned language; ``accepted`` tells whether it is like it.
     """
-    return _tagged(docs, fit(docs, id_col, text_col, lang_col), text_col).select(
-        id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"),
-        F.col("_found.lang_pred").alias("lang_pred"), F.col("_found.score").alias("score"),
-        F.col("_found.accepted").alias("accepted"))
+    found = _tagger(docs, fit(docs, id_col, text_col, lang_col))(whole_text(text_col))
+    held = F.coalesce(held_out(id_col), F.lit(False))
+    tagged = docs.select(F.col(id_col).alias("_id"), held.alias("_held"), found.alias("_found"))
+    return tagged.select(F.col("_id").alias(id_col), F.col("_held").alias("held_out"),
+                         "_found.lang_pred", "_found.score", "_found.accepted")
 
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   lang_col: str = "lang") -> DataFrame:
     """The documents that are accepted, with all their columns."""
-    model = fit(docs, id_col, text_col, lang_col)
-    return _tagged(docs, model, text_col).filter("_found.accepted").drop("_found")
+    found = _tagger(docs, fit(docs, id_col, text_col, lang_col))(whole_text(text_col))
+    tagged = docs.select(whole_row(docs), found.alias("_found"))
+    return tagged.filter("_found.accepted").select(*unpacked(docs))
 
 
-def _tagged(docs: DataFrame, model: dict, text_col: str) -> DataFrame:
+def _tagger(docs: DataFrame, model: dict):
     prepare_python(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -72,7 +74,7 @@ def _tagged(docs: DataFrame, model: dict, text_col: str) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score),
                                            pa.array(good)], ["lang_pred", "score", "accepted"])
 
-    return docs.withColumn("_found", tag(whole_text(text_col)))
+    return tag
 
 
 # --- characters

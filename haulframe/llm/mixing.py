@@ -23,7 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import WORD, positions, prepare_python, stage, whole_text
+from haulframe.llm.common import (
+    WORD,
+    positions,
+    prepare_python,
+    stage,
+    unpacked,
+    whole_row,
+    whole_text,
+)
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -46,35 +54,38 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
                     "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")))
 
 
-def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    source_col: str = "source", **options) -> DataFrame:
     """The mix as documents with the given columns: each pass that takes some of a document's
     words gives a row with those; a whole document keeps its text as it is."""
-    kept = stage(docs.select(F.monotonically_increasing_id().alias("_uid"),
-                             F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")),
+    kept = stage(docs.select(F.monotonically_increasing_id().alias("_uid"), whole_row(docs)),
                  "mix-documents").df
-    flat = kept.select("_uid", "_row.*")
-    _, _, spans = _mixed(flat, text_col=text_col, uid="_uid", **options)
+    text = F.col("_row").getField(text_col)
+    flat = kept.select("_uid", F.col("_row").getField(id_col).alias("doc_id"),
+                       text.alias("text"), F.col("_row").getField(source_col).alias("source"))
+    _, _, spans = _mixed(flat, uid="_uid", **options)
     spans = (spans.groupBy("_uid", "_pass")
              .agg(F.sort_array(F.collect_list(F.struct("_from", "_to"))).alias("_spans"),
                   F.first("_size").alias("_size")))
-    rows = flat.join(spans, "_uid")
+    rows = kept.join(spans, "_uid")
     whole = (F.aggregate("_spans", F.lit(0).cast("long"),
                          lambda n, s: n + s["_to"] - s["_from"]) == F.col("_size"))
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
-        for text, taken in zip(texts, spans.to_pylist(), strict=True):
+        for text, taken in zip(texts, spans, strict=True):
             words = str(text).encode("utf-8", "surrogatepass").split()
-            out.append(b" ".join(b" ".join(words[s["_from"]:s["_to"]]) for s in taken).decode())
+            out.append(b" ".join([w for s in taken.as_py()
+                                  for w in words[s["_from"]:s["_to"]]]).decode())
         return pa.array(out, pa.string())
 
-    text = F.col(f"`{text_col}`")
     parts = (rows.filter(~whole).withColumn("_text", cut(text, F.col("_spans")))
              .unionByName(rows.filter(whole).withColumn("_text", text)))
-    return parts.select(*[(F.col("_text") if c == text_col else
-                           F.length("_text").cast(docs.schema[c].dataType) if c == "n_chars" else
-                           F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return parts.select(*[
+        F.col("_text").alias(c) if c == text_col else
+        F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else kept_column
+        for c, kept_column in zip(docs.columns, unpacked(docs), strict=True)])
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, share: float = SHARE,

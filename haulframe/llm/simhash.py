@@ -21,7 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import join_groups, prepare_python, stage, whole_text
+from haulframe.llm.common import (
+    join_groups,
+    prepare_python,
+    stage,
+    unpacked,
+    whole_row,
+    whole_text,
+)
 
 SHINGLE = 3
 RADIUS = 2
@@ -44,12 +51,26 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the smallest id of their component, with all their columns."""
-    found = near_groups(docs, id_col=id_col, text_col=text_col)
-    gone = stage(found.filter(F.col(id_col) != F.col("component_id"))
-                 .select(F.col(id_col).alias("_gone")), "near-copies")
+    """The documents with the smallest id of their component, with all their columns.
+
+    Of rows repeated with one id and text, one stays.
+    """
+    found = near_groups(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
+                        id_col="id")
+    found = stage(found.select("id", "component_id"), "near-groups").df
+    gone = stage(found.filter(F.col("id") != F.col("component_id"))
+                 .select(F.col("id").alias("_gone")), "near-copies")
     dropped = F.broadcast(gone.df) if gone.broadcastable else gone.df
-    return docs.join(dropped, docs[id_col] == F.col("_gone"), "left_anti")
+    again = stage(found.groupBy(F.col("id").alias("_id")).count().filter("count > 1")
+                  .select("_id", F.lit(True).alias("_again")), "repeated-ids")
+    repeated = F.broadcast(again.df) if again.broadcastable else again.df
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"),
+                       whole_row(docs))
+    rows = (rows.join(dropped, F.col("_id") == F.col("_gone"), "left_anti")
+            .join(repeated, "_id", "left"))
+    once = rows.filter(F.col("_again").isNull())
+    return (once.unionByName(rows.filter("_again").dropDuplicates(["_id", "_text"]))
+            .select(*unpacked(docs)))
 
 
 def text_fingerprint(text: str, shingle: int = SHINGLE) -> int:
