@@ -14,6 +14,8 @@ import numpy as np
 
 CLASS = 32
 HIDDEN = 24
+# Tokens that training takes from a document in a row.
+SEGMENT = 256
 LOG10 = float(np.log(10))
 NEVER = np.float32(-1e9)
 
@@ -152,17 +154,20 @@ def score(model: dict[str, np.ndarray], docs: list[np.ndarray], lanes: int = 256
 
 
 def train(model: dict[str, np.ndarray], seen: dict[str, np.ndarray], docs: list[np.ndarray],
-          lanes: int = 32, steps: int = 16, rate: float = 0.1) -> int:
+          lanes: int = 64, steps: int = 16, rate: float = 0.2) -> int:
     """One pass of truncated backpropagation over the documents; returns the tokens used.
 
-    Changes ``model`` and ``seen`` (Adagrad's sums of squares) in place.
+    Documents are cut into segments, dealt in a random order, so that no window learns from one
+    long document alone. Changes ``model`` and ``seen`` (Adagrad's sums of squares) in place.
     """
     if not docs:
         return 0
-    run = Lanes(docs, lanes, len(model["inputs"]) - 1)
+    segments = [d[i:i + SEGMENT] for d in docs for i in range(0, len(d), SEGMENT)]
+    order = np.random.default_rng(len(segments)).permutation(len(segments))
+    run = Lanes([segments[i] for i in order], lanes, len(model["inputs"]) - 1)
     h = np.zeros((len(run.lengths), model["state"].shape[0]), np.float32)
     for active, place, valid in run.windows(steps):
-        h, slopes = gradients(model, run, h[:active], place, valid)
+        h, slopes = gradients(model, run, h[:active], place, valid, len(run.lengths) * steps)
         for k, g in slopes.items():
             # Long steps of a few lanes must not shake the weights.
             g = np.clip(g, -1, 1)
@@ -171,8 +176,12 @@ def train(model: dict[str, np.ndarray], seen: dict[str, np.ndarray], docs: list[
     return len(run.targets)
 
 
-def gradients(model, run: Lanes, h, place, valid):
-    """State after a window, and the slopes of its mean loss."""
+def gradients(model, run: Lanes, h, place, valid, full: int | None = None):
+    """State after a window, and the slopes of its loss, divided by its tokens.
+
+    ``full`` is what a window of all lanes holds: where few lanes are left it divides the loss
+    instead, so that the last documents do not count for more than the others.
+    """
     words, n = len(model["words"]), h.shape[1]
     inputs = run.inputs[place]
     x = model["inputs"][inputs]
@@ -186,7 +195,7 @@ def gradients(model, run: Lanes, h, place, valid):
         states[t] = h
     targets = run.targets[place[valid]].astype(np.int64)
     out = states[valid]
-    scale = np.float32(1 / max(1, len(targets)))
+    scale = np.float32(1 / (full or max(1, len(targets))))
     p = np.exp(_class_logits(model, out))
     p /= p.sum(axis=1, keepdims=True)
     kind = np.where(targets < words, targets // CLASS, targets - words + words // CLASS)
@@ -196,16 +205,23 @@ def gradients(model, run: Lanes, h, place, valid):
     slopes["classes"] = out.T @ p
     slopes["class_bias"] = p.sum(axis=0)
     back = p @ model["classes"].T
-    for c, rows in word_groups(targets, words):
-        part = slice(c * CLASS, (c + 1) * CLASS)
-        inner = out[rows] @ model["words"][part].T + model["word_bias"][part]
+    # Words within their classes, all rows at once, in the order of the classes.
+    rows = np.flatnonzero(targets < words)
+    rows = rows[np.argsort(targets[rows] // CLASS, kind="stable")]
+    if len(rows):
+        of = targets[rows] // CLASS
+        weights = model["words"].reshape(-1, CLASS, n)[of]
+        inner = (weights @ out[rows][:, :, None])[:, :, 0]
+        inner += model["word_bias"].reshape(-1, CLASS)[of]
         inner = np.exp(inner - inner.max(axis=1, keepdims=True))
         inner /= inner.sum(axis=1, keepdims=True)
-        inner[np.arange(len(rows)), targets[rows] - c * CLASS] -= 1
+        inner[np.arange(len(rows)), targets[rows] % CLASS] -= 1
         inner *= scale
-        slopes["words"][part] = inner.T @ out[rows]
-        slopes["word_bias"][part] = inner.sum(axis=0)
-        back[rows] += inner @ model["words"][part]
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        slopes["words"].reshape(-1, CLASS, n)[of[first]] = np.add.reduceat(
+            inner[:, :, None] * out[rows][:, None, :], first)
+        slopes["word_bias"].reshape(-1, CLASS)[of[first]] = np.add.reduceat(inner, first)
+        back[rows] += (inner[:, None, :] @ weights)[:, 0]
     spread = np.zeros(states.shape, np.float32)
     spread[valid] = back
     dx = np.empty((*place.shape, 3 * n), np.float32)
@@ -222,5 +238,8 @@ def gradients(model, run: Lanes, h, place, valid):
         slopes["state_bias"] += dg.sum(axis=0)
         dh = dh * z + dg @ model["state"].T
         dh[fresh[t]] = 0
-    np.add.at(slopes["inputs"], inputs[valid], dx[valid])
+    symbols, dx = inputs[valid], dx[valid]
+    order = np.argsort(symbols, kind="stable")
+    first = np.flatnonzero(np.diff(symbols[order], prepend=-1))
+    slopes["inputs"][symbols[order][first]] = np.add.reduceat(dx[order], first)
     return h, slopes
