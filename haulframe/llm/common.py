@@ -54,14 +54,14 @@ def literal_array(values: Sequence[int | float], kind: str) -> Column:
 
 
 def positions(df: DataFrame, group: str, counts: Sequence[int], order: Sequence[str],
-              weight: Column, out: str) -> DataFrame:
+              weight: Column, out: str, ties: Sequence[str] = ()) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over the rows before this one in its group.
 
     ``group`` holds integers from 0 and ``counts`` their rows. Rows are ordered by a hash of
     ``order``; a group is cut into buckets by that hash, so no task holds a whole group, however
     many rows it has: sums run within buckets, over the buckets of a block, and over the blocks
     of a group (one row for each 65,536 rows). ``df`` is read twice and should be staged. Rows
-    that agree in ``order`` may swap places.
+    that agree in ``order`` go by ``ties``.
     """
     buckets = [max(1, -(-int(n) // BUCKET_ROWS)) for n in counts] or [1]
     h = F.xxhash64(*[F.col(c) for c in order])
@@ -79,7 +79,7 @@ def positions(df: DataFrame, group: str, counts: Sequence[int], order: Sequence[
                       (F.col("_block_start") + before(F.col("_s"), [group, "_block"],
                                                       ["_bucket"])).alias("_bucket_start")))
     joined = keyed.join(starts, [group, "_bucket"])
-    place = F.col("_bucket_start") + before(F.col("_w"), [group, "_bucket"], ["_h", *order])
+    place = F.col("_bucket_start") + before(F.col("_w"), [group, "_bucket"], ["_h", *order, *ties])
     return joined.withColumn(out, place).drop("_h", "_w", "_bucket", "_block", "_bucket_start")
 
 
@@ -109,7 +109,7 @@ def before(value: Column, keys: list[str], order: list[str]) -> Column:
 
 
 # Bytes of text handed to Python at once.
-ARROW_BYTES = 16 * 1024**2
+ARROW_BYTES = 4 * 1024**2
 
 
 def prepare_python(spark: SparkSession) -> None:

@@ -77,7 +77,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
     # At most shards / WHOLE points are heavy, so the list can be broadcast.
     heavy = points.filter(F.col("_w") > WHOLE * total / shards).select(
         *point, F.lit(True).alias("_heavy"))
-    salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64("_id", "_uid"), F.lit(2**SALTS)))
+    salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64("_id"), F.lit(2**SALTS)))
     salted = rows.join(F.broadcast(heavy), point, "left").withColumn(
         "_salt", F.coalesce(salt, F.lit(0)))
     keyed = stage(_with_keys(salted).drop("_heavy"), "shard-keys").df
@@ -91,7 +91,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
     counts = [0] * shards
     for r in placed.groupBy("shard").count().collect():
         counts[r["shard"]] = r["count"]
-    out = positions(placed, "shard", counts, ["_id", "_uid"], F.lit(1), "slot")
+    out = positions(placed, "shard", counts, ["_id", "_crc"], F.lit(1), "slot", ["_uid"])
     return out.select(F.col("_id").alias(id_col), "size", F.col("_crc").alias("text_crc32"),
                       F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))

@@ -179,8 +179,8 @@ def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "_blocks": np.array([s["blocks"] for s in sources] or [0], np.int64)}))
     # Staged, since positions reads its input twice.
     sizes = stage(rows.join(ranks, ["_none", "_source"]).drop("_none", "_source"), "mix-ranked").df
-    placed = positions(sizes, "_rank", [s["rows"] for s in sources], ["_id", "_size", "_uid"],
-                       F.col("_size"), "_start").filter(F.col("_size") > 0)
+    placed = positions(sizes, "_rank", [s["rows"] for s in sources], ["_id", "_size"],
+                       F.col("_size"), "_start", ["_uid"]).filter(F.col("_size") > 0)
     pieces = _block_pieces(placed)
     slots = _slots(spark, sources, shards, seed)
     spans = (slots.join(pieces, ["_rank", "_block"])
