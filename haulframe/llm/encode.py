@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4 * 1024**2
 CALL_BYTES = 64 * 1024
 # A worker remembers so many chunks, or chunks of so many characters; others only for a slice.
-KEPT_CHUNKS = 700_000
+KEPT_CHUNKS = 500_000
 KEPT_CHARS = 10_000_000
 
 SAFE = re.compile(r"(?<=\S)(?= \S)")
