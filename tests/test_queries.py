@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry_module
 from catalogue.contracts import TABLES
+from catalogue.duckdb_sql import SQL
+from catalogue.spark_queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-SQL = entry_module.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -37,12 +38,14 @@ def canonical(pdf: pd.DataFrame) -> list[tuple]:
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(SQL)
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(SQL) <= set(entry_module.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    got = entry_module.queries()[name](spark, SF_DIR).toPandas()
+    got = QUERIES[name](spark, SF_DIR).toPandas()
     want = duck.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
