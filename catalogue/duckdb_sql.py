@@ -95,7 +95,8 @@ SQL = {
     "scan_path_table": "SELECT * FROM events",
     "append_path_table": "SELECT * FROM customer UNION ALL SELECT * FROM customer",
     "append_by_name": "SELECT * FROM customer UNION ALL SELECT * FROM customer",
-    "truncate_target": "SELECT CAST(0 AS BIGINT) AS n, 6 AS columns",
+    "truncate_target":
+        "SELECT count(*) AS seeded, CAST(0 AS BIGINT) AS n, 6 AS columns FROM orders",
     "layout_partitioned": ORDERS,
     "create_target_defaults":
         "SELECT *, 'web' AS c_channel, CAST(1.5 AS DOUBLE) AS c_rating FROM customer",
@@ -117,6 +118,16 @@ SQL = {
     "watermark_missed_rows":
         f"SELECT * FROM orders WHERE o_orderstatus <> 'F' AND o_orderdate <= "
         f"(SELECT max(o_orderdate) FROM {EARLY_ORDERS} WHERE o_orderstatus = 'F')",
+    "watermark_missed_null_keys":
+        "WITH o AS (SELECT CASE WHEN o_orderkey % 10 > 0 THEN o_orderkey END AS k, o_orderdate, "
+        "o_orderstatus FROM orders), "
+        f"e AS (SELECT CASE WHEN o_orderkey % 10 > 0 THEN o_orderkey END AS k, o_orderdate "
+        f"FROM {EARLY_ORDERS} WHERE o_orderstatus = 'F') "
+        "SELECT * FROM o WHERE o_orderdate <= (SELECT max(o_orderdate) FROM e) "
+        "AND NOT EXISTS (SELECT 1 FROM e WHERE e.k IS NOT DISTINCT FROM o.k)",
+    "catalog_full_load":
+        "SELECT 'kept' AS state, * REPLACE (-o_orderkey - 1 AS o_orderkey) FROM orders "
+        "UNION ALL SELECT 'loaded', * FROM orders",
     "target_watermark": _union([
         f"SELECT '{t}' AS \"table\", CAST(max({c}) AS VARCHAR) AS watermark FROM {t}"
         for t, c in MARKS.items()]),
@@ -189,6 +200,12 @@ SQL = {
         "SELECT 'events', " + " || chr(9) || ".join([
             _plain("event_id"), _plain("ts"), _plain("user_id"), _escaped("event_type"),
             _plain("value"), _escaped("props")]) + " FROM events",
+    "copy_text_marks":
+        "SELECT CAST(o_orderkey AS VARCHAR) || chr(9) || CASE o_orderkey % 6 "
+        "WHEN 0 THEN 'a\\tb' WHEN 1 THEN 'a\\rb' WHEN 2 THEN 'a\\nb' WHEN 3 THEN 'a\\\\b' "
+        "WHEN 4 THEN '\\N' ELSE '' END || chr(9) || "
+        "CASE WHEN o_custkey % 3 = 0 THEN '\\N' WHEN o_custkey % 3 = 1 THEN 't' ELSE 'f' END "
+        "AS line FROM orders",
     "copy_text_roundtrip": "SELECT * FROM pages",
     "conform_types":
         "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, "
@@ -198,7 +215,11 @@ SQL = {
         "'web' AS o_channel FROM orders",
     "conform_report": _union([
         _misfits("o_orderpriority", "string", "integer", "INTEGER"),
-        _misfits("o_totalprice", "double", "smallint", "SMALLINT"),
+        # A value that would lose its fraction does not fit either.
+        "SELECT 'orders' AS \"table\", 'o_totalprice' AS \"column\", 'double' AS from_type, "
+        "'smallint' AS to_type, count(*) FILTER (WHERE o_totalprice IS NOT NULL AND ("
+        "TRY_CAST(o_totalprice AS SMALLINT) IS NULL OR o_totalprice <> trunc(o_totalprice))) "
+        "AS failures FROM orders",
         _misfits("o_orderdate", "timestamp_ntz", "date", "DATE"),
         _misfits("o_orderkey", "bigint", "text", "VARCHAR"),
         _misfits("o_custkey", "bigint", "bigint", "BIGINT"),

@@ -12,7 +12,7 @@ import haulframe as hf
 from catalogue.contracts import TABLES, contract, contracts, frame, given
 from haulframe.functions.copytext import copy_field
 from haulframe.functions.names import col
-from haulframe.sources.storage import is_local, scratch_path
+from haulframe.sources.storage import is_local, scratch_path, stage
 
 CUTOFF = "1999-01-01 00:00:00"
 EVENT_CUTOFF = "2024-01-15 00:00:00"
@@ -78,8 +78,10 @@ def append_by_name(spark, sf_dir):
 @query
 def truncate_target(spark, sf_dir):
     target = seeded(spark, "orders", frame(spark, sf_dir, "orders"))
+    seeded_rows = target.read().count()
     target.truncate()
-    return target.read().agg(F.count(F.lit(1)).alias("n"),
+    return target.read().agg(F.lit(seeded_rows).cast("long").alias("seeded"),
+                             F.count(F.lit(1)).alias("n"),
                              F.lit(len(target.columns())).alias("columns"))
 
 
@@ -216,6 +218,36 @@ def watermark_missed_rows(spark, sf_dir):
     return hf.missed_rows(orders, target.read(), ["o_orderkey"])
 
 
+@query
+def watermark_missed_null_keys(spark, sf_dir):
+    """Keys may be NULL, and rows above the mark are not missed yet."""
+    key = F.when(col("o_orderkey") % 10 > 0, col("o_orderkey")).alias("k")
+    orders = frame(spark, sf_dir, "orders").select(key, "o_orderdate", "o_orderstatus")
+    early = at_or_before(orders, "o_orderdate", CUTOFF).where("o_orderstatus = 'F'")
+    target = seeded(spark, "orders", early)
+    return hf.missed_rows(orders, target.read(), ["k"], "o_orderdate")
+
+
+@query
+def catalog_full_load(spark, sf_dir):
+    """A full load that fails leaves the table; the next one replaces it."""
+    orders = frame(spark, sf_dir, "orders")
+    spark.sql("DROP TABLE IF EXISTS catalog_full_load")
+    orders.withColumn("o_orderkey", -col("o_orderkey") - 1).write.saveAsTable("catalog_full_load")
+    target = hf.CatalogTable(spark, "catalog_full_load")
+    broken = orders.withColumn("o_totalprice", F.when(
+        col("o_orderkey") % 100 == 7, F.raise_error(F.lit("broken row")).cast("double"))
+        .otherwise(col("o_totalprice")))
+    try:
+        hf.load_table(broken, target)
+    except Exception as error:
+        if "broken row" not in str(error):
+            raise
+    kept = stage(target.read(), "kept").df.select(F.lit("kept").alias("state"), "*")
+    hf.load_table(orders, target)
+    return kept.unionAll(target.read().select(F.lit("loaded").alias("state"), "*"))
+
+
 @query
 def target_watermark(spark, sf_dir):
     marks = [("orders", "o_orderdate"), ("lineitem", "l_shipdate"), ("events", "ts")]
@@ -413,6 +445,18 @@ def copy_text_export(spark, sf_dir):
     return parts[0].unionAll(parts[1])
 
 
+@query
+def copy_text_marks(spark, sf_dir):
+    """Tab, carriage return, newline, backslash, NULL, empty text and booleans."""
+    texts = F.array(*[F.lit(t) for t in ("a\tb", "a\rb", "a\nb", "a\\b", None, "")])
+    orders = frame(spark, sf_dir, "orders").select(
+        "o_orderkey", F.get(texts, (col("o_orderkey") % 6).cast("int")).alias("note"),
+        F.when(col("o_custkey") % 3 > 0, col("o_custkey") % 3 == 1).alias("flag"))
+    path = scratch_path(spark, "marks")
+    hf.write_copy_text(orders, path)
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"))
+
+
 @query
 def copy_text_roundtrip(spark, sf_dir):
     pages = frame(spark, sf_dir, "pages")

@@ -212,6 +212,11 @@ class Contract:
             fk.table for _, fk in self.foreign_keys if fk.table != self.table
         ))
 
+    @property
+    def key(self) -> tuple[str | None, str]:
+        """What tells this table from others of its name."""
+        return self.schema, self.table
+
     @property
     def sort_columns(self) -> tuple[str, ...]:
         """Physical order of rows: the declared one, else the primary key."""
@@ -254,7 +259,9 @@ def _names(value: Any) -> tuple[str, ...]:
     text = str(value).strip()
     if text.startswith("(") and text.endswith(")"):
         text = text[1:-1]
-    return tuple(part.strip().strip('`"') for part in text.split(",") if part.strip())
+    # Commas inside an expression's brackets do not separate.
+    return tuple(part.strip().strip('`"') for part in re.split(r",(?![^(]*\))", text)
+                 if part.strip())
 
 
 def columns_of(struct: T.StructType) -> tuple[ColumnSpec, ...]:
@@ -272,24 +279,40 @@ def contract_of(table: str, struct: T.StructType, schema: str | None = None,
 
 
 def merge_described(given: Contract, described: Contract) -> Contract:
-    """Fresh columns under the keys a user already edited."""
+    """Fresh columns under what a user already edited: a column that was known keeps its keys,
+    uniqueness, default and reference; one the source no longer has goes."""
+    known = {c.name: c for c in given.columns}
+    columns = tuple(_keeping(c, known[c.name]) if c.name in known else c
+                    for c in described.columns)
     return replace(
-        given, columns=described.columns, schema=given.schema or described.schema,
+        given, columns=columns, schema=given.schema or described.schema,
         description=given.description or f"Table {given.table}",
     )
 
 
+def _keeping(fresh: ColumnSpec, known: ColumnSpec) -> ColumnSpec:
+    return replace(
+        fresh, primary_key=fresh.primary_key or known.primary_key,
+        unique=fresh.unique or known.unique,
+        nullable=fresh.nullable and (known.nullable or known.primary_key),
+        default=known.default if known.has_default else fresh.default,
+        foreign_key=known.foreign_key or fresh.foreign_key)
+
+
+# Place of each known name; lower is better.
+_NAME_RANK = {name: rank for rank, name in enumerate(UPDATE_NAMES + CREATION_NAMES)}
+
+
 def infer_watermark(columns: list[ColumnSpec] | tuple[ColumnSpec, ...]) -> str | None:
-    """Mark column: update names, then creation names, then the first temporal column."""
-    usable = [c for c in columns if _can_mark(c.type)]
-    by_name = {c.name.lower(): c.name for c in usable}
-    for name in UPDATE_NAMES + CREATION_NAMES:
-        if name in by_name:
-            return by_name[name]
-    for spec in usable:
-        if contract_type(spec.type).split("(")[0] in TEMPORAL_TYPES:
-            return spec.name
-    return None
+    """Mark column: the best ranked name in any case, else the first temporal column."""
+    ranked = []
+    for place, spec in enumerate(columns):
+        rank = _NAME_RANK.get(spec.name.lower())
+        if rank is None and contract_type(spec.type).split("(")[0] in TEMPORAL_TYPES:
+            rank = len(_NAME_RANK)
+        if rank is not None and _can_mark(spec.type):
+            ranked.append((rank, place, spec.name))
+    return min(ranked)[2] if ranked else None
 
 
 def _can_mark(type_text: str) -> bool:
@@ -301,22 +324,45 @@ def _can_mark(type_text: str) -> bool:
         return False
 
 
+def parents_of(contract: Contract, contracts: list[Contract]) -> list[Contract]:
+    """The contracts a table refers to, itself left out.
+
+    A reference names its schema or means the table's own; where none of that schema is known, a
+    table of that name in another schema is meant if there is just one.
+    """
+    found = []
+    for _, fk in contract.foreign_keys:
+        named = [c for c in contracts if c.table == fk.table]
+        same = [c for c in named if c.schema == (fk.schema or contract.schema)]
+        for parent in same or (named if len(named) == 1 else []):
+            if parent.key != contract.key and parent not in found:
+                found.append(parent)
+    return found
+
+
+def labels_of(contracts: list[Contract]) -> list[str]:
+    """Table names, with the schema where two tables share one."""
+    names = [c.table for c in contracts]
+    return [c.table if names.count(c.table) == 1 else f"{c.schema or ''}.{c.table}"
+            for c in contracts]
+
+
 def in_parent_order(contracts: list[Contract]) -> list[Contract]:
     """Parents before children; a cycle leaves the given order untouched."""
-    known = {c.table for c in contracts}
+    above = {c.key: [p.key for p in parents_of(c, contracts)] for c in contracts}
     left = list(contracts)
-    place: dict[str, int] = {}
+    place: dict[tuple[str | None, str], int] = {}
     ordered = []
     while left:
-        ready = [c for c in left if all(p in place for p in c.parents if p in known)]
+        ready = [c for c in left if all(p in place for p in above[c.key])]
         if not ready:
             return list(contracts)
         # Children follow in the order their last parents came.
-        ready.sort(key=lambda c: max((place[p] for p in c.parents if p in known), default=-1))
+        ready.sort(key=lambda c: max((place[p] for p in above[c.key]), default=-1))
         for contract in ready:
-            place[contract.table] = len(place)
+            place[contract.key] = len(place)
         ordered += ready
-        left = [c for c in left if c.table not in place]
+        left = [c for c in left if c.key not in place]
     return ordered
 
 

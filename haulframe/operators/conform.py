@@ -39,15 +39,34 @@ def align(df: DataFrame, schema: T.StructType,
 def _to_type(df: DataFrame, name: str, data_type: T.DataType) -> Column:
     if df.schema[name].dataType == data_type:
         return col(name)
-    return strict_cast(col(name), data_type, name)
+    return strict_cast(col(name), data_type, name, df.schema[name].dataType)
 
 
-def strict_cast(value: Column, data_type: T.DataType, name: str) -> Column:
-    """Cast that fails on a value that does not fit, whatever the session's ANSI setting."""
+def fits(value: Column, data_type: T.DataType, source: T.DataType | None = None) -> Column:
+    """False for a value the type has no place for, or only without its fraction."""
+    cast = value.try_cast(data_type)
+    good = cast.isNotNull()
+    fraction = isinstance(source, T.FractionalType) and (
+        isinstance(data_type, T.IntegralType)
+        or isinstance(source, T.DecimalType) and isinstance(data_type, T.DecimalType)
+        and data_type.scale < source.scale)
+    if fraction:
+        # Compared as the wider of the two, so an exact value stays exact.
+        good = good & (cast.cast(source if isinstance(source, T.DecimalType) else "double")
+                       == value)
+    return F.when(value.isNull(), True).otherwise(F.coalesce(good, F.lit(False)))
+
+
+def strict_cast(value: Column, data_type: T.DataType, name: str,
+                source: T.DataType | None = None) -> Column:
+    """Cast that fails on a value that does not fit, whatever the session's ANSI setting.
+
+    With the type of the source, a number that would lose its fraction does not fit either.
+    """
     cast = value.try_cast(data_type)
     complaint = F.concat(F.lit(f"column {name}: no {data_type.simpleString()} for value "),
                          value.cast("string"))
-    return F.when(cast.isNull() & value.isNotNull(),
+    return F.when(~fits(value, data_type, source),
                   F.raise_error(complaint).cast(data_type)).otherwise(cast)
 
 
@@ -79,7 +98,8 @@ def conform(df: DataFrame, contract: Contract, extras: str = "error") -> DataFra
         else:
             value = _source_value(df, found[spec.name], spec)
             if df.schema[found[spec.name]].dataType != spec.spark_type:
-                value = strict_cast(value, spec.spark_type, spec.name)
+                value = strict_cast(value, spec.spark_type, spec.name,
+                                    df.schema[found[spec.name]].dataType)
         chosen.append(value.alias(spec.name))
     return df.select(*chosen)
 
@@ -99,8 +119,8 @@ def conform_report(df: DataFrame, contract: Contract) -> DataFrame:
     found = match_names(df, [c.name for c in contract.columns])
     specs = [c for c in contract.columns if c.name in found]
     counts = [
-        F.count_if(_source_value(df, found[c.name], c).try_cast(c.spark_type).isNull()
-                   & col(found[c.name]).isNotNull()).alias(f"n{i}")
+        F.count_if(~fits(_source_value(df, found[c.name], c), c.spark_type,
+                         df.schema[found[c.name]].dataType)).alias(f"n{i}")
         for i, c in enumerate(specs)
     ]
     labels = [(contract.table, c.name, df.schema[found[c.name]].dataType.simpleString(), c.type)

@@ -60,6 +60,9 @@ def _pick(rows: DataFrame, column: str, keys: Staged, how: str) -> DataFrame:
     on = col(column) == F.col(PICK)
     if keys.broadcastable:
         return rows.join(F.broadcast(keys.df), on, how)
+    # NULL is no orphan; its rows must not meet in one task of the shuffle.
+    unkeyed = rows.where(col(column).isNull())
+    rows = rows.where(col(column).isNotNull())
     # Too many keys to broadcast: shuffle the rows, but keep hot keys out of the shuffle. There
     # are fewer than HOT_SHARE of those, so their verdicts always fit a broadcast.
     usage = stage(key_usage(rows, column), "usage").df
@@ -69,8 +72,9 @@ def _pick(rows: DataFrame, column: str, keys: Staged, how: str) -> DataFrame:
     hot_hits = stage(hot.join(keys.df, PICK, "left_semi"), "hot_hits").df
     cold_rows = rows.join(F.broadcast(hot), on, "left_anti")
     hot_rows = rows.join(F.broadcast(hot), on, "left_semi")
-    return cold_rows.join(keys.df, on, how).unionAll(
+    picked = cold_rows.join(keys.df, on, how).unionAll(
         hot_rows.join(F.broadcast(hot_hits), on, how))
+    return picked.unionAll(unkeyed) if how == "left_anti" else picked
 
 
 def fk_report(frames: dict[str, DataFrame], contracts: list[Contract]) -> DataFrame:

@@ -7,7 +7,14 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from haulframe.contract import Contract, LoadSpec, _read_yaml, read_manifest, write_contract
+from haulframe.contract import (
+    Contract,
+    LoadSpec,
+    _read_yaml,
+    labels_of,
+    read_manifest,
+    write_contract,
+)
 from haulframe.plans.load import LoadOptions, LoadResult, load_all, load_table
 from haulframe.plans.target import ensure_target
 from haulframe.sources.connection import BATCH_ROWS, Connection
@@ -37,17 +44,20 @@ class Project:
     target: Connection
     contracts: list[Contract]
     read_tasks: int = TASKS
+    write_tasks: int | None = TASKS
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str | Path, batch_rows: int = BATCH_ROWS,
-             read_tasks: int = TASKS) -> "Project":
+             read_tasks: int = TASKS, write_tasks: int | None = TASKS) -> "Project":
+        """``read_tasks`` and ``write_tasks`` bound the connections to a database; None writes
+        with as many as the rows come in."""
         folder = Path(folder)
         values = read_env(folder / ".env")
         return cls(
             spark, folder,
             Connection.from_env(values, SOURCE_PREFIX, batch_rows=batch_rows),
             Connection.from_env(values, TARGET_PREFIX, batch_rows=batch_rows),
-            read_manifest(folder), read_tasks,
+            read_manifest(folder), read_tasks, write_tasks,
         )
 
     def source_table(self, contract: Contract) -> Table:
@@ -56,10 +66,12 @@ class Project:
                           **options)
 
     def target_table(self, contract: Contract) -> Table:
-        return open_table(self.spark, self.target, contract.table, contract)
+        options = {} if self.target.is_lake else {"write_tasks": self.write_tasks}
+        return open_table(self.spark, self.target, contract.table, contract, **options)
 
     def load(self, table: str, options: LoadOptions = LoadOptions()) -> LoadResult:
-        contract = next((c for c in self.contracts if c.table == table), None)
+        named = dict(zip(labels_of(self.contracts), self.contracts, strict=True))
+        contract = named.get(table)
         if contract is None:
             raise KeyError(f"{table!r} is not in the project")
         return load_table(self.source_table(contract), self.target_table(contract), contract,
@@ -70,16 +82,16 @@ class Project:
 
     def create_targets(self) -> dict[str, bool]:
         """Create the missing target tables of contracts that have columns."""
-        return {c.table: ensure_target(self.spark, self.target_table(c), c)
-                for c in self.contracts if c.columns}
+        return {label: ensure_target(self.spark, self.target_table(c), c)
+                for label, c in zip(labels_of(self.contracts), self.contracts) if c.columns}
 
     def describe(self, table: str | None = None) -> list[str]:
         """Fill in missing columns from the source and write the contracts back."""
-        before = {c.table: c for c in self.contracts}
-        if table and table not in before:
+        before = {c.key: c for c in self.contracts}
+        if table and table not in labels_of(self.contracts):
             self.contracts.append(Contract(table))
         self.contracts = describe_missing(self.spark, self.source, self.contracts, table)
-        changed = [c for c in self.contracts if before.get(c.table) != c and c.columns]
+        changed = [c for c in self.contracts if before.get(c.key) != c and c.columns]
         for contract in changed:
             write_contract(contract, self._path(contract))
         return [c.table for c in changed]
@@ -96,4 +108,6 @@ class Project:
         self.contracts = completed
 
     def _path(self, contract: Contract) -> Path:
-        return self.folder / "schemas" / f"{contract.table}.yml"
+        shared = sum(c.table == contract.table for c in self.contracts) > 1
+        name = f"{contract.schema}.{contract.table}" if shared else contract.table
+        return self.folder / "schemas" / f"{name}.yml"

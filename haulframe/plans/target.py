@@ -8,7 +8,7 @@ from haulframe.contract import ColumnSpec, Contract
 from haulframe.functions.defaults import default_sql, is_generated
 from haulframe.functions.names import quoted
 from haulframe.functions.types import table_type
-from haulframe.sources.tables import CatalogTable, JdbcTable, PathTable, Table
+from haulframe.sources.tables import GENERATED, CatalogTable, JdbcTable, PathTable, Table
 
 
 def create_namespace(spark: SparkSession, name: str, location: str | None = None) -> None:
@@ -25,13 +25,16 @@ def _column_clause(spec: ColumnSpec) -> str:
     clause = f"{quoted(spec.name)} {table_type(spec.type)}"
     if spec.required:
         clause += " NOT NULL"
-    # Spark needs a default it can evaluate while planning, which a random id is not:
-    # those are filled in at load time.
-    if spec.has_default and not (is_generated(spec.default) and "uuid" in _sql(spec)):
+    if spec.has_default and not _filled_at_load(spec):
         clause += f" DEFAULT {_sql(spec)}"
     return clause
 
 
+def _filled_at_load(spec: ColumnSpec) -> bool:
+    """Spark needs a default it can evaluate while planning, which a random id is not."""
+    return spec.has_default and is_generated(spec.default) and "uuid" in _sql(spec)
+
+
 def _sql(spec: ColumnSpec) -> str:
     text = str(spec.default).strip().lower()
     if text in ("newid()", "gen_random_uuid()", "uuid()"):
@@ -42,6 +45,10 @@ def _sql(spec: ColumnSpec) -> str:
 def create_statement(contract: Contract, name: str, fmt: str = "parquet") -> str:
     columns = ", ".join(_column_clause(c) for c in contract.columns)
     text = f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING {fmt}"
+    generated = [(i, c) for i, c in enumerate(contract.columns) if _filled_at_load(c)]
+    if generated:
+        text += " TBLPROPERTIES ({})".format(", ".join(
+            f"'{GENERATED}{i}' = '{_sql(c)}'" for i, c in generated))
     if contract.partition_by:
         text += " PARTITIONED BY ({})".format(", ".join(quoted(c) for c in contract.partition_by))
     if contract.description:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from haulframe.contract import Contract
 from haulframe.functions.defaults import default_column
 from haulframe.functions.names import col, quoted
-from haulframe.operators.conform import align
+from haulframe.operators.conform import align, match_names
 from haulframe.operators.watermark import (
     above,
     from_mark,
@@ -19,14 +22,15 @@ from haulframe.operators.watermark import (
     max_text,
 )
 from haulframe.sources.connection import LAKES, Connection
-from haulframe.sources.storage import Storage
+from haulframe.sources.storage import Storage, stage
 
-# Above this many bytes a folder's mark is looked up through file statistics first.
-PROBE_BYTES = 8 * 1024**3
-# Connections a load opens to a database, reading or writing.
+# Connections a load opens to a database, reading or writing, unless told otherwise.
 TASKS = 16
 # Files renamed at the same time when an append moves in.
 RENAMES_AT_ONCE = 16
+# Prefix of the table properties that hold defaults to fill in at load time, by the place of
+# their column. (Spark hides properties whose text looks like a secret, as a name may.)
+GENERATED = "haulframe.generated."
 # Marker of a folder whose rows are complete.
 READY = "_READY"
 
@@ -135,8 +139,7 @@ class PathTable(Table):
     def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet",
                  contract: Contract | None = None, schema: T.StructType | None = None,
                  partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = (),
-                 probe_bytes: int = PROBE_BYTES, direct_append: bool = False,
-                 rebalance: bool = True):
+                 direct_append: bool = False, rebalance: bool = True):
         """``direct_append`` leaves appends to the file system's own committer, for object
         stores where a rename is a copy and the committer is atomic already. ``rebalance=False``
         saves the shuffle of a partitioned write whose source is laid out alike."""
@@ -151,7 +154,6 @@ class PathTable(Table):
             self.schema = contract.to_struct()
         self.partition_by = tuple(partition_by or (contract.partition_by if contract else ()))
         self.sort_by = tuple(sort_by or (contract.order_by if contract else ()))
-        self.probe_bytes = probe_bytes
         if self.partition_by and self.schema is None and fmt != "delta":
             # Folder names alone do not tell a partition column's type.
             raise ValueError("a partitioned folder needs a contract or a schema")
@@ -189,30 +191,43 @@ class PathTable(Table):
     def high_water_mark(self, column: str, held: DataFrame | None = None) -> str | None:
         """MAX of a column.
 
-        On a large folder the newest file's MAX comes first; the full search then only opens
-        row groups whose statistics reach that value. The answer is the same.
+        The last write left its mark beside the table. The search only opens row groups whose
+        statistics reach that value; if none does, the rows have changed since, and all are
+        searched. The answer is the same.
         """
         df = self.held() if held is None else held
         if df is None:
             return None
         mark_type(df, column)
-        if self.format == "parquet" and self._size(df) > self.probe_bytes:
-            newest = self._newest_file()
-            floor = high_water_mark(self.spark.read.schema(df.schema).parquet(newest), column) \
-                if newest and column not in self.partition_by else None
-            if floor is not None:
-                return high_water_mark(from_mark(df, column, floor), column)
-        return high_water_mark(df, column)
-
-    @staticmethod
-    def _size(df: DataFrame) -> int:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-    def _newest_file(self) -> str | None:
-        listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        listed = listed.option("pathGlobFilter", "*.parquet")
-        return listed.load(self.path).agg(
-            F.max_by("path", "modificationTime").alias("path")).first()["path"]
+        floor = self._noted(column) if self.format != "delta" else None
+        found = None if floor is None else high_water_mark(from_mark(df, column, floor), column)
+        return high_water_mark(df, column) if found is None else found
+
+    @property
+    def _notes(self) -> str:
+        return f"{self._beside}.marks"
+
+    def _noted(self, column: str) -> str | None:
+        """Mark the last write left; None where there is no usable note."""
+        if not self._storage.exists(self._notes):
+            return None
+        prefix = quote(column, safe="") + "="
+        noted = [n for n in self._storage.list(self._notes) if n.startswith(prefix)]
+        return unquote(noted[0][len(prefix):]) if len(noted) == 1 else None
+
+    def _note(self, column: str, mark: str) -> None:
+        name = f"{quote(column, safe='')}={quote(mark, safe='')}"
+        if self.format == "delta" or len(name) > 200:
+            return
+        self._storage.delete(self._notes)
+        self._storage.make_dir(self._notes)
+        self._storage.create_empty(f"{self._notes}/{name}")
+
+    def _observed(self, df: DataFrame, mark_column: str | None, write) -> Written:
+        written = super()._observed(df, mark_column, write)
+        if mark_column and written.mark is not None:
+            self._note(mark_column, written.mark)
+        return written
 
     def truncate(self) -> None:
         df = self.read()
@@ -329,7 +344,11 @@ class PathTable(Table):
     def append_batch(self, df: DataFrame, batch: str) -> Written:
         """Append a named batch exactly once, however often it is replayed."""
         if self.format == "delta":
-            raise ValueError("named batches are for plain folders; Delta has its own")
+            # Delta remembers an application's last version and skips what it has seen.
+            name, _, version = batch.rpartition("-")
+            return self._observed(self._aligned(df), None, lambda out: (
+                out.write.format("delta").mode("append").option("txnAppId", name or "batches")
+                .option("txnVersion", version).save(self.path)))
         done, staged = f"{self._beside}.batches/{batch}", f"{self._beside}.batch-{batch}"
         if self._storage.exists(done):
             return Written(0)
@@ -349,13 +368,17 @@ class JdbcTable(Table):
     Each task commits its own rows. If an executor is lost right after a commit, the repeated
     task inserts them again: a primary key refuses that, and ``verify`` finds it by comparing the
     table's count before and after with the rows sent.
+
+    Reads come in ``partitions`` tasks: by ranges of ``partition_column``, or, with ``hashed``,
+    by buckets of a hash of it, which suits any type and any spread of values. Writes open
+    ``write_tasks`` connections; None leaves the rows in the tasks they come in.
     """
 
     rereadable = False
 
     def __init__(self, spark: SparkSession, connection: Connection, table: str,
                  schema: str | None = None, partition_column: str | None = None,
-                 partitions: int = 1, write_tasks: int = TASKS,
+                 partitions: int = 1, write_tasks: int | None = TASKS, hashed: bool = False,
                  column_types: str | None = None, create_options: str | None = None,
                  verify: bool = False):
         self.spark = spark
@@ -367,6 +390,7 @@ class JdbcTable(Table):
         self.partition_column = partition_column
         self.partitions = partitions
         self.write_tasks = write_tasks
+        self.hashed = hashed
         self.column_types = column_types
 
     @property
@@ -399,9 +423,16 @@ class JdbcTable(Table):
         return self.partition_column is not None and self.partitions > 1
 
     def _load(self, above_mark: tuple[str, str] | None) -> DataFrame:
+        options = self.connection.jdbc_options()
+        buckets = None
+        if self._parallel and self.hashed:
+            buckets = self.connection.bucket_predicates(self.partition_column, self.partitions)
+        if buckets:
+            return self.spark.read.jdbc(options.pop("url"), self._dbtable, predicates=buckets,
+                                        properties=options)
         reader = self.spark.read.format("jdbc").options(**self.connection.jdbc_options())
         reader = reader.option("dbtable", self._dbtable)
-        bounds = self._bounds(above_mark) if self._parallel else None
+        bounds = self._bounds(above_mark) if self._parallel and not self.hashed else None
         if bounds:
             reader = reader.options(
                 partitionColumn=self.partition_column,
@@ -432,7 +463,17 @@ class JdbcTable(Table):
     def _laid_out(self, df: DataFrame) -> DataFrame:
         # As many connections at most, however many tasks the cluster could run. Done here, as
         # the writer's own numPartitions option would lose the observed counts.
-        return df.coalesce(self.write_tasks)
+        return df.coalesce(self.write_tasks) if self.write_tasks else df
+
+    def _aligned(self, df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+        """Only the columns the source has, in the target's types: the database fills in its own
+        defaults for the others."""
+        if schema is None:
+            schema = self.columns() if self.exists() else None
+        if schema is None:
+            return df
+        found = match_names(df, schema.names)
+        return align(df, T.StructType([f for f in schema.fields if f.name in found]))
 
     def _writer(self, df: DataFrame, mode: str):
         writer = df.write.format("jdbc").mode(mode).options(**self.connection.jdbc_options())
@@ -466,8 +507,34 @@ class JdbcTable(Table):
         self._writer(df, "append").save()
 
     def _replace(self, df: DataFrame) -> None:
-        # TRUNCATE keeps the table's own column types; a drop would not. Not one transaction.
-        self._writer(df, "overwrite").option("truncate", "true").save()
+        # Emptying keeps the table's own column types; a drop would not. Not one transaction.
+        if self.exists():
+            self._empty(df)
+        self._append(df)
+
+    def _empty(self, df: DataFrame) -> None:
+        """TRUNCATE, or DELETE where that is refused: a referenced table cannot be truncated."""
+        none = self.spark.createDataFrame([], df.schema)
+        try:
+            self._writer(none, "overwrite").option("truncate", "true").save()
+        except (PySparkException, Py4JJavaError):
+            self._execute(f"DELETE FROM {self._dbtable}")
+
+    def _execute(self, statement: str) -> None:
+        """Run one statement in the database, from the driver."""
+        options = self.connection.jdbc_options()
+        jvm = self.spark._jvm
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(
+            options.pop("driver"))
+        given = jvm.java.util.Properties()
+        url = options.pop("url")
+        for key, value in options.items():
+            given.setProperty(key, value)
+        connection = jvm.java.sql.DriverManager.getConnection(url, given)
+        try:
+            connection.createStatement().executeUpdate(statement)
+        finally:
+            connection.close()
 
 
 class CatalogTable(Table):
@@ -485,13 +552,30 @@ class CatalogTable(Table):
 
     def append(self, df: DataFrame, mark_column: str | None = None,
                schema: T.StructType | None = None) -> Written:
-        return self._observed(df, mark_column, lambda out: self._insert(out, "INTO"))
+        return self._observed(self._filled(df), mark_column,
+                              lambda out: self._insert(out, "INTO"))
 
     def replace(self, df: DataFrame, mark_column: str | None = None,
                 schema: T.StructType | None = None) -> Written:
         if not self.exists():
             return self._observed(df, mark_column, lambda out: out.write.saveAsTable(self.name))
-        return self._observed(df, mark_column, lambda out: self._insert(out, "OVERWRITE"))
+        # INSERT OVERWRITE deletes before it writes. The rows are staged first, so that a load
+        # that fails while they are made leaves the table as it was.
+        staged = stage(self._filled(df), "replacing").df
+        return self._observed(staged, mark_column, lambda out: self._insert(out, "OVERWRITE"))
+
+    def _filled(self, df: DataFrame) -> DataFrame:
+        """Rows with the defaults that a table cannot hold, as its properties name them."""
+        if not self.exists():
+            return df
+        have = {c.lower() for c in df.columns}
+        fields = self.read().schema.fields
+        for row in self.spark.sql(f"SHOW TBLPROPERTIES {self.name}").collect():
+            if row["key"].startswith(GENERATED):
+                field = fields[int(row["key"].removeprefix(GENERATED))]
+                if field.name.lower() not in have:
+                    df = df.withColumn(field.name, default_column(row["value"], field.dataType))
+        return df
 
     def truncate(self) -> None:
         self.spark.sql(f"TRUNCATE TABLE {self.name}")
@@ -519,25 +603,35 @@ def open_table(spark: SparkSession, connection: Connection, table: str,
         schema = contract.target_schema(connection.schema or connection.dialect.default_schema
                                         or connection.database)
     if source and contract:
-        options.setdefault("partition_column", range_column(contract))
+        whole = range_column(contract)
+        options.setdefault("partition_column", whole or hash_column(contract))
+        options.setdefault("hashed", whole is None)
         options.setdefault("partitions", TASKS)
     return JdbcTable(spark, connection, table, schema, **options)
 
 
 def range_column(contract: Contract) -> str | None:
     """Column to read a database table in ranges by: the first whole-number column of the primary
-    key, else the mark column if it is a number, a date or an instant (Spark splits by no other
-    types). Without either the table comes through one task."""
+    key, else the mark column if it is a whole number, a date or an instant (Spark splits by no
+    other types, and reads the bounds of numbers as whole ones)."""
     for name in contract.primary_key:
         if isinstance(contract.column(name).spark_type, T.IntegralType):
             return name
     mark = contract.load.incremental_column
     known = {c.name: c.spark_type for c in contract.columns}
-    if isinstance(known.get(mark), (T.NumericType, T.DateType, T.TimestampType)):
+    if isinstance(known.get(mark), (T.IntegralType, T.DateType, T.TimestampType)):
         return mark
     return None
 
 
+def hash_column(contract: Contract) -> str | None:
+    """Column to deal rows into buckets by, where none suits ranges: the first key column, else
+    the mark, else the first column. Without any the table comes through one task."""
+    names = [*contract.primary_key, contract.load.incremental_column,
+             *(c.name for c in contract.columns)]
+    return next((n for n in names if n), None)
+
+
 def _nullable(schema: T.StructType) -> T.StructType:
     """Same fields, all nullable and without contract metadata, as files are read."""
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from haulframe.functions.clean import clean, nested_columns
-from haulframe.plans.load import LoadOptions
+from haulframe.contract import Contract
+from haulframe.operators.checks import require, table_violations
+from haulframe.plans.load import LoadOptions, shaped
 from haulframe.sources.storage import Storage
 from haulframe.sources.tables import PathTable
 
@@ -28,16 +29,22 @@ def read_arrivals(spark: SparkSession, path: str, schema: T.StructType, fmt: str
 
 
 def load_arrivals(arrivals: DataFrame, target: PathTable, checkpoint: str,
-                  options: LoadOptions = LoadOptions(), name: str = "arrivals") -> StreamingQuery:
+                  options: LoadOptions = LoadOptions(), name: str = "arrivals",
+                  contract: Contract | None = None) -> StreamingQuery:
     """Append everything new to the target, then stop. Each batch lands exactly once.
 
-    ``name`` marks this stream's batches; use one name per checkpoint.
+    ``name`` marks this stream's batches; use one name per checkpoint. The options do what they
+    do in ``load_table``; ``conform`` and ``enforce`` go by ``contract``, or the target's own. A
+    batch that is refused lands nowhere and fails the query, and is tried again by the next run.
     """
+    contract = contract or target.contract
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        if options.clean:
-            batch = clean(batch, options.nested, nested_columns(target.target_schema()))
-        target.append_batch(batch, f"{name}-{batch_id}")
+        rows, checked = shaped(batch, target.target_schema(), contract, options, name,
+                               target.enforces_keys, True)
+        if checked:
+            require(table_violations(rows, contract, None, target.held()))
+        target.append_batch(rows, f"{name}-{batch_id}")
 
     return (arrivals.writeStream.foreachBatch(append)
             .option("checkpointLocation", checkpoint)
@@ -45,6 +52,7 @@ def load_arrivals(arrivals: DataFrame, target: PathTable, checkpoint: str,
 
 
 def run_arrivals(arrivals: DataFrame, target: PathTable, checkpoint: str,
-                 options: LoadOptions = LoadOptions(), name: str = "arrivals") -> None:
+                 options: LoadOptions = LoadOptions(), name: str = "arrivals",
+                 contract: Contract | None = None) -> None:
     """``load_arrivals``, waiting until it is done; a failed batch raises."""
-    load_arrivals(arrivals, target, checkpoint, options, name).awaitTermination()
+    load_arrivals(arrivals, target, checkpoint, options, name, contract).awaitTermination()

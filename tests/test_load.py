@@ -252,13 +252,20 @@ def test_delta_is_pushed_down_and_written_in_mark_order(spark, tmp_path):
     assert by_file and all(marks == sorted(marks) for marks in by_file.values())
 
 
-def test_mark_of_a_large_folder_is_found_through_statistics(spark, tmp_path):
-    target = hf.PathTable(spark, str(tmp_path / "t"), probe_bytes=0)
+def test_mark_is_found_through_the_note_of_the_last_write(spark, tmp_path):
+    target = hf.PathTable(spark, str(tmp_path / "t"))
     target.append(frame(spark, (1, day(1), "a"), (2, day(20), "b")))
     target.append(frame(spark, (3, day(9), "c")))
     assert target.high_water_mark("at") == "2024-01-20 00:00:00"
-    target.append(frame(spark, (4, None, "d")))
+    target.append(frame(spark, (4, None, "d")), "at")
     assert target.high_water_mark("at") == "2024-01-20 00:00:00"
+    target.append(frame(spark, (5, day(25), "e")), "at")
+    target.append(frame(spark, (6, day(27), "f")))
+    assert target._noted("at") == "2024-01-25 00:00:00"
+    assert target.high_water_mark("at") == "2024-01-27 00:00:00"
+    # Rows that went behind the table's back make the note too high; it must not be believed.
+    target.replace(frame(spark, (1, day(3), "a")))
+    assert target.high_water_mark("at") == "2024-01-03 00:00:00"
 
 
 def test_append_by_name_fills_and_refuses(spark, target):
