@@ -389,11 +389,15 @@ def read_manifest(project: str | Path, with_columns: bool = False) -> list[Contr
 
 def write_contract(contract: Contract, path: str | Path) -> None:
     """YAML file for a contract; keys of an existing file that we do not know are kept."""
-    import yaml
-
     path = Path(path)
     raw = {**_read_yaml(path), **contract.to_dict()}
     path.parent.mkdir(parents=True, exist_ok=True)
+    _write_yaml(raw, path)
+
+
+def _write_yaml(raw: dict[str, Any], path: Path) -> None:
+    import yaml
+
     path.write_text(yaml.safe_dump(raw, allow_unicode=True, sort_keys=False), encoding="utf-8")
 
 

@@ -11,6 +11,7 @@ from haulframe.contract import (
     Contract,
     LoadSpec,
     _read_yaml,
+    _write_yaml,
     labels_of,
     read_manifest,
     write_contract,
@@ -94,6 +95,7 @@ class Project:
         changed = [c for c in self.contracts if before.get(c.key) != c and c.columns]
         for contract in changed:
             write_contract(contract, self._path(contract))
+            self._register(contract)
         return [c.table for c in changed]
 
     def complete_schedules(self) -> None:
@@ -107,6 +109,16 @@ class Project:
             completed.append(contract)
         self.contracts = completed
 
+    def _register(self, contract: Contract) -> None:
+        """Name a contract's file in ``main.yml``, where there is one that does not yet."""
+        manifest = self.folder / "main.yml"
+        raw = _read_yaml(manifest)
+        path = self._path(contract).relative_to(self.folder).as_posix()
+        listed = raw.get("tables") or []
+        if manifest.exists() and all(
+                not isinstance(t, dict) or t.get("path") != path for t in listed):
+            _write_yaml({**raw, "tables": [*listed, {"path": path}]}, manifest)
+
     def _path(self, contract: Contract) -> Path:
         shared = sum(c.table == contract.table for c in self.contracts) > 1
         name = f"{contract.schema}.{contract.table}" if shared else contract.table

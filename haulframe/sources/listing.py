@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import warnings
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from haulframe.contract import Contract, contract_of, merge_described
+from haulframe.contract import Contract, contract_of, labels_of, merge_described
 from haulframe.functions.names import col, quoted
 from haulframe.functions.types import contract_type_of
 from haulframe.operators.conform import unpivot
 from haulframe.sources.connection import LAKES, SYSTEM_SCHEMAS, Connection
 from haulframe.sources.storage import Storage
-from haulframe.sources.tables import Table, open_table
+from haulframe.sources.metadata import with_facts
+from haulframe.sources.tables import JdbcTable, Table, open_table
 
 LISTED = "schema string, table string"
 
@@ -26,7 +28,7 @@ def list_tables(spark: SparkSession, connection: Connection) -> DataFrame:
         found = []
         for namespace in spark.sql(f"SHOW NAMESPACES IN {catalog}").collect():
             schema = namespace[0].strip("`")
-            if schema.lower() in SYSTEM_SCHEMAS:
+            if schema.lower() in SYSTEM_SCHEMAS.get(connection.kind, ()):
                 continue
             shown = spark.sql(f"SHOW TABLES IN {catalog}.{quoted(schema)}").collect()
             found += [(schema, row["tableName"]) for row in shown]
@@ -54,9 +56,13 @@ def _list_folders(spark: SparkSession, connection: Connection) -> list[tuple[str
 
 
 def describe(table: str, source: Table | DataFrame, schema: str | None = None) -> Contract:
-    """Contract a live table implies, from its schema alone."""
+    """Contract a live table implies: its columns, and what a database tells about keys,
+    uniques, references and defaults."""
     struct = source.schema if isinstance(source, DataFrame) else source.columns()
-    return contract_of(table, struct, schema)
+    implied = contract_of(table, struct, schema)
+    if isinstance(source, JdbcTable):
+        implied = replace(implied, columns=with_facts(implied.columns, source.facts()))
+    return implied
 
 
 def describe_missing(spark: SparkSession, connection: Connection, contracts: list[Contract],
@@ -67,8 +73,8 @@ def describe_missing(spark: SparkSession, connection: Connection, contracts: lis
     afresh. Keys the user set stay. A table that cannot be read keeps its place, undescribed.
     """
     described = []
-    for contract in contracts:
-        wanted = contract.table == only if only else not contract.columns
+    for label, contract in zip(labels_of(contracts), contracts, strict=True):
+        wanted = label == only if only else not contract.columns
         if wanted:
             try:
                 live = open_table(spark, connection, contract.table, source=True)

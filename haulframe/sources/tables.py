@@ -22,6 +22,7 @@ from haulframe.operators.watermark import (
     max_text,
 )
 from haulframe.sources.connection import LAKES, Connection
+from haulframe.sources.metadata import Facts, read_facts, session
 from haulframe.sources.storage import Storage, stage
 
 # Connections a load opens to a database, reading or writing, unless told otherwise.
@@ -522,19 +523,13 @@ class JdbcTable(Table):
 
     def _execute(self, statement: str) -> None:
         """Run one statement in the database, from the driver."""
-        options = self.connection.jdbc_options()
-        jvm = self.spark._jvm
-        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(
-            options.pop("driver"))
-        given = jvm.java.util.Properties()
-        url = options.pop("url")
-        for key, value in options.items():
-            given.setProperty(key, value)
-        connection = jvm.java.sql.DriverManager.getConnection(url, given)
-        try:
-            connection.createStatement().executeUpdate(statement)
-        finally:
-            connection.close()
+        with session(self.spark, self.connection.jdbc_options()) as opened:
+            opened.createStatement().executeUpdate(statement)
+
+    def facts(self) -> Facts:
+        """Keys, uniques, references and defaults, from the database's metadata."""
+        with session(self.spark, self.connection.jdbc_options()) as opened:
+            return read_facts(opened, self.connection.kind, self.name, self.schema)
 
 
 class CatalogTable(Table):

@@ -11,7 +11,8 @@ from haulframe.operators import references
 from haulframe.operators.conform import conform, conform_report
 from haulframe.plans.load import in_mark_order
 from haulframe.sources import storage
-from haulframe.sources.connection import Connection
+from haulframe.sources.connection import SYSTEM_SCHEMAS, Connection
+from haulframe.sources.metadata import facts_of, with_facts
 from haulframe.sources.tables import hash_column, open_table, range_column
 
 
@@ -241,3 +242,56 @@ def test_layout_expressions_and_catalog_names(spark):
     names = {Connection("postgresql", host="h", database=d).catalog(spark)
              for d in ("db-1", "db.1", "db_1")}
     assert len(names) == 3
+
+
+def test_metadata_rows_become_keys(spark):
+    facts = facts_of({
+        "keys": [{"COLUMN_NAME": "id"}],
+        "references": [
+            {"FKCOLUMN_NAME": "p", "PKTABLE_SCHEM": "public", "PKTABLE_NAME": "parents",
+             "PKCOLUMN_NAME": "id", "FK_NAME": "f1"},
+            {"FKCOLUMN_NAME": "q", "PKTABLE_SCHEM": "other", "PKTABLE_NAME": "far",
+             "PKCOLUMN_NAME": "k", "FK_NAME": None},
+            {"FKCOLUMN_NAME": "a", "PKTABLE_SCHEM": "public", "PKTABLE_NAME": "two",
+             "PKCOLUMN_NAME": "a", "FK_NAME": "f2"},
+            {"FKCOLUMN_NAME": "b", "PKTABLE_SCHEM": "public", "PKTABLE_NAME": "two",
+             "PKCOLUMN_NAME": "b", "FK_NAME": "f2"}],
+        "indexes": [
+            {"INDEX_NAME": "pk", "COLUMN_NAME": "id", "NON_UNIQUE": "false"},
+            {"INDEX_NAME": "u", "COLUMN_NAME": "mail", "NON_UNIQUE": "false"},
+            {"INDEX_NAME": "n", "COLUMN_NAME": "p", "NON_UNIQUE": "true"},
+            {"INDEX_NAME": "m", "COLUMN_NAME": "a", "NON_UNIQUE": "0"},
+            {"INDEX_NAME": "m", "COLUMN_NAME": "b", "NON_UNIQUE": "0"},
+            {"INDEX_NAME": "s", "COLUMN_NAME": None, "NON_UNIQUE": "0"}],
+        "columns": [
+            {"COLUMN_NAME": "id", "COLUMN_DEF": None, "NULLABLE": "0"},
+            {"COLUMN_NAME": "mail", "COLUMN_DEF": "'x'::text", "NULLABLE": "0"},
+            {"COLUMN_NAME": "p", "COLUMN_DEF": None, "NULLABLE": "1"}],
+    }, "postgresql", "public")
+    id_, mail, p = with_facts((ColumnSpec("id", "bigint"), ColumnSpec("mail", "text"),
+                               ColumnSpec("p", "bigint")), facts)
+    assert id_.primary_key and not id_.unique and not id_.nullable
+    assert mail.unique and not mail.nullable and mail.default == "x"
+    assert str(p.foreign_key) == "parents(id)" and p.nullable
+    assert str(facts.references["q"]) == "other.far(k)"
+    assert set(facts.references) == {"p", "q"}
+
+
+def test_system_schemas_are_those_of_the_database():
+    assert "system" in SYSTEM_SCHEMAS["clickhouse"]
+    assert "system" not in SYSTEM_SCHEMAS["postgresql"] and "mysql" not in SYSTEM_SCHEMAS["derby"]
+
+
+def test_described_tables_join_the_manifest(spark, tmp_path):
+    (tmp_path / "project" / "schemas").mkdir(parents=True)
+    project = tmp_path / "project"
+    (project / ".env").write_text(
+        f"DB_ORIGEM_TYPE=parquet\nDB_ORIGEM_HOST={tmp_path}/lake\n"
+        f"DB_DESTINO_TYPE=parquet\nDB_DESTINO_HOST={tmp_path}/out\n")
+    (project / "main.yml").write_text("name: shop\ntables: []\n")
+    spark.range(3).write.parquet(f"{tmp_path}/lake/fresh")
+    opened = hf.Project.open(spark, project)
+    assert opened.describe("fresh") == ["fresh"]
+    again = hf.Project.open(spark, project)
+    assert [c.table for c in again.contracts] == ["fresh"]
+    assert "name: shop" in (project / "main.yml").read_text()
