@@ -36,7 +36,7 @@ ROUNDS = 3
 # Part of the training documents that a round learns from.
 ROUND_PART = 8
 # Tokens that a task holds at once, and distinct words it counts before it hands them on.
-BUFFER = 2_000_000
+BUFFER = 4_000_000
 DISTINCT = 200_000
 # Replicas that one task averages.
 FAN_IN = 32
@@ -83,6 +83,14 @@ def tail_of(word: bytes) -> int:
     return zlib.crc32(word[:2]) % TAILS
 
 
+class _Tails(dict):
+    """Tail class by the first bytes of a word."""
+
+    def __missing__(self, start: bytes) -> int:
+        self[start] = tail_of(start)
+        return self[start]
+
+
 def count_words(rows: DataFrame) -> DataFrame:
     """word (binary) and n over all rows."""
     def count(batches):
@@ -156,21 +164,20 @@ class _Symbols:
         self.end_log_count = float(np.log10(plan["documents"] + 1))
         self.end_known = int(plan["documents"] > 0)
         self.tail_total = plan["tail_total"]
+        self.tails = _Tails()
 
     def read(self, text: str):
         """Symbols with the end, words with known counts (places), and the rare words."""
         words = words_of(text)
-        places = list(map(self.place.get, words))
-        rare = []
-        if None in places:
-            rare = [w for w, p in zip(words, places, strict=True) if p is None]
-            places = np.array([-1 if p is None else p for p in places], np.int64)
-            symbols = self.symbol[places]
-            symbols[places < 0] = [self.first_tail + tail_of(w) for w in rare]
-        else:
-            places = np.array(places, np.int64)
-            symbols = self.symbol[places]
-        return np.append(symbols, np.int16(self.end)), places, rare
+        get = self.place.get
+        places = np.fromiter([get(w, -1) for w in words], np.int64, len(words))
+        symbols = np.empty(len(words) + 1, np.int16)
+        symbols[:-1] = self.symbol[places]
+        symbols[-1] = self.end
+        unknown = np.flatnonzero(places < 0)
+        rare = [words[i] for i in unknown.tolist()]
+        symbols[unknown] = [self.first_tail + self.tails[w[:2]] for w in rare]
+        return symbols, places, rare
 
 
 def _symbols(plan: dict) -> _Symbols:
