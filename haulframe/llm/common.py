@@ -112,6 +112,11 @@ def before(value: Column, keys: list[str], order: list[str]) -> Column:
 ARROW_BYTES = 4 * 1024**2
 
 
+# Workers stay between tasks; with these they return freed memory to the machine.
+GIVE_BACK = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1",
+             "MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_MMAP_THRESHOLD_": "131072"}
+
+
 def prepare_python(spark: SparkSession) -> None:
     """Bound what Python workers get at once, and let them import this package.
 
@@ -125,6 +130,8 @@ def prepare_python(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment
+    for name, value in GIVE_BACK.items():
+        environment.setdefault(name, value)
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])

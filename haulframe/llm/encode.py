@@ -18,10 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Texts are handled in slices of about so many bytes, chunks encoded in calls of so many.
-SLICE_BYTES = 4 * 1024**2
+SLICE_BYTES = 1024**2
 CALL_BYTES = 64 * 1024
 # A worker remembers so many chunks, or chunks of so many characters; others only for a slice.
-KEPT_CHUNKS = 500_000
+KEPT_CHUNKS = 250_000
 KEPT_CHARS = 10_000_000
 
 SAFE = re.compile(r"(?<=\S)(?= \S)")

@@ -57,14 +57,14 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
 
 def judge_urls(pages: DataFrame, labelled: DataFrame | None = None,
                rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id",
-               url_col: str = "url") -> DataFrame:
+               url_col: str = "url", steps: int = STEPS) -> DataFrame:
     """``id_col``, host, path, rule, verdict, block_score for each URL.
 
     ``labelled`` has url and blocked (boolean); without it the URLs that rules decide are labels.
     """
     if labelled is None:
         labelled = ruled(pages, rules, url_col)
-    weights, bias = train(labelled)
+    weights, bias = train(labelled, steps=steps)
     host, path = host_and_path(F.col(url_col))
     parts = pages.select(id_col, host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -109,7 +109,8 @@ def probability(places: Column, weights: Column, bias: float) -> Column:
     return 1 / (1 + F.exp(-margin))
 
 
-def train(labelled: DataFrame, url_col: str = "url") -> tuple[list[float], float]:
+def train(labelled: DataFrame, url_col: str = "url",
+          steps: int = STEPS) -> tuple[list[float], float]:
     """Weights and bias from the labelled URLs."""
     host, path = host_and_path(F.col("_url"))
     sample = (labelled.filter(F.col("blocked").isNotNull())
@@ -121,7 +122,7 @@ def train(labelled: DataFrame, url_col: str = "url") -> tuple[list[float], float
     rows = stage(rows, "url-features").df
     weights, bias = [0.0] * FEATURES, 0.0
     seen, seen_bias = [1e-8] * FEATURES, 1e-8
-    for _ in range(STEPS):
+    for _ in range(steps):
         p = probability(F.col("_buckets"), literal_array(weights, "double"), bias)
         errors = rows.select("_buckets", (p - F.col("_y")).alias("_e"))
         # The bias is one more bucket.

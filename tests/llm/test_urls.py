@@ -37,7 +37,7 @@ def pages(spark):
 
 def test_hosts_paths_and_rules(pages):
     given = dict(rows_of(pages.filter("host IS NOT NULL"), "page_id", "url"))
-    out = rows_of(judge_urls(pages), *COLUMNS)
+    out = rows_of(judge_urls(pages, steps=3), *COLUMNS)
     assert len(out) == len(URLS) + 1
     for i, host, path, rule, verdict in out:
         want = brute(given[i]) if (i, host) != (3, "x.net") else brute("http://x.net/")
@@ -47,7 +47,7 @@ def test_hosts_paths_and_rules(pages):
 
 
 def test_empty(pages):
-    assert judge_urls(pages.limit(0)).count() == 0
+    assert judge_urls(pages.limit(0), steps=2).count() == 0
 
 
 def test_held_out_accuracy(spark):
@@ -55,6 +55,6 @@ def test_held_out_accuracy(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
     blocked = F.col("url").contains("example.net")
     trained = pages.filter("page_id % 2 = 0").select("url", blocked.alias("blocked"))
-    out = judge_urls(pages.filter("page_id % 2 = 1"), trained, rules=())
+    out = judge_urls(pages.filter("page_id % 2 = 1"), trained, rules=(), steps=12)
     wrong = out.filter((F.col("verdict") == "block") != F.col("host").contains("example.net"))
     assert wrong.count() <= 0.03 * out.count()
