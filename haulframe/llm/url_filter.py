@@ -89,15 +89,14 @@ def buckets(host: Column, path: Column) -> Column:
     """Hashed n-grams of host and path, each marked with its part and its ends."""
     def grams(part: Column, mark: str) -> Column:
         chars = F.split(F.concat(F.lit("^"), part, F.lit("$")), "(?!^)(?!$)")
-        last = F.size(chars) - GRAM + 1
-        places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
-            F.array().cast("array<int>"))
-
-        def gram(i):
-            pieces = [F.element_at(chars, i + k) for k in range(GRAM)]
-            return F.pmod(F.xxhash64(F.concat(F.lit(mark), *pieces)), F.lit(FEATURES)).cast("int")
-
-        return F.transform(places, gram)
+        # Each character with those behind it; what is cut short at the end is NULL. Zipping whole
+        # arrays, unlike looking characters up by place, stays linear in the length.
+        joined = chars
+        for k in range(1, GRAM):
+            joined = F.zip_with(joined, F.slice(chars, k + 1, F.size(chars)),
+                                lambda a, b: F.concat(a, b))
+        return F.transform(F.filter(joined, F.isnotnull), lambda g: F.pmod(
+            F.xxhash64(F.concat(F.lit(mark), g)), F.lit(FEATURES)).cast("int"))
 
     return F.concat(grams(host, "h"), grams(path, "p"))
 
