@@ -133,7 +133,7 @@ def _numbered(places: DataFrame, nodes: list[Node]) -> DataFrame:
 
 def _spans(places: DataFrame, nodes: list[Node]) -> list[dict]:
     """Lowest and highest key of each dimension, and the weight, of each node."""
-    sides = [f(k).alias(f"{k}{s}") for k in DIMENSIONS for s, f in (("low", F.min), ("high", F.max))]
+    sides = [f(k).alias(k + s) for k in DIMENSIONS for s, f in (("low", F.min), ("high", F.max))]
     found = _numbered(places, nodes).groupBy("_node").agg(F.sum("_w").alias("_w"), *sides)
     empty = {"_w": 0} | {f"{k}{s}": 0 for k in DIMENSIONS for s in ("low", "high")}
     out = [empty for _ in nodes]

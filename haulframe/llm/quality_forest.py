@@ -50,7 +50,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     good = stage(stats.filter(~failed).join(marks.filter(F.col("_label") == 1), "_id"),
                  "quality-good").df
-    rows = (good.orderBy(F.xxhash64("_id"), "_id", *STATS).limit(TRAIN_ROWS).select(*STATS).toPandas())
+    rows = (good.orderBy(F.xxhash64("_id"), "_id", *STATS).limit(TRAIN_ROWS)
+            .select(*STATS).toPandas())
     forest = grow(ratios(rows.to_numpy(np.float64).reshape(-1, len(STATS))))
     limit = _threshold(_scored(good, forest, ["_id"]))
     scored = _scored(stats, forest, ["_id", *STATS[:5]])
