@@ -137,10 +137,14 @@ def stage(df: DataFrame, name: str) -> Staged:
 
 
 def _row_bytes(schema: T.StructType) -> Column:
-    """Upper bound of a row's memory: fixed widths plus the length of text and binary."""
+    """Upper bound of a row's memory: fixed widths plus the length of text and binary; nested
+    values count as twice their JSON text, which spells out every number and name."""
     total = F.lit(16)
     for field in schema.fields:
         total = total + F.lit(16)
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             total = total + F.coalesce(F.octet_length(col(field.name)), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            json = F.to_json(F.struct(col(field.name)))
+            total = total + 2 * F.coalesce(F.octet_length(json), F.lit(0))
     return total.cast("long")

@@ -244,6 +244,12 @@ def test_layout_expressions_and_catalog_names(spark):
     assert len(names) == 3
 
 
+def test_nested_values_are_measured(spark):
+    nested = spark.range(10).select(F.array_repeat(F.lit(123456789), 1000).alias("a"),
+                                    F.map_from_arrays(F.array(F.lit("k")), F.array("id")).alias("m"))
+    assert storage.stage(nested, "nested").bytes > 10 * 8000
+
+
 def test_metadata_rows_become_keys(spark):
     facts = facts_of({
         "keys": [{"COLUMN_NAME": "id"}],
