@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulframe.llm.common import (
@@ -121,7 +121,7 @@ def _components(prints: DataFrame, radius: int) -> DataFrame:
                     F.coalesce(F.col("_label._first"), F.col("_first")).alias("component_id")))
 
 
-def _tile(counts) -> F.Column:
+def _tile(counts) -> Column:
     tile = F.lit(0)
     for c in counts:
         tile = tile * 17 + c
