@@ -2,8 +2,9 @@
 
 1. The words of all training documents are counted. Words that are not frequent are modelled by
    their tail class (from their first two bytes) and, within it, by their counts plus one.
-2. The recurrent model (``gru``) starts as the unigram model. In each round every task trains a
-   replica on its share of the training documents; the replicas are averaged in a tree of tasks.
+2. The recurrent model (``gru``) starts as the unigram model. The rounds share out all training
+   documents by a hash of the id, so each is learned from once. In a round every task trains a
+   replica on its documents; the replicas are averaged in a tree of tasks.
 3. Every whole document is scored in lanes that carry the state from window to window. Counts of
    the most frequent words are broadcast (``HEAD_WORDS`` of bounded length); the other words are
    joined with the count table, so no document needs the whole vocabulary in memory.
@@ -32,9 +33,8 @@ TAILS = 64
 # Words whose counts are broadcast, and their longest.
 HEAD_WORDS = 131_072
 HEAD_BYTES = 64
+# Rounds of training; each learns from its share of the documents, together from all of them.
 ROUNDS = 3
-# Part of the training documents that a round learns from.
-ROUND_PART = 8
 # Tokens that a task holds at once, and distinct words it counts before it hands them on.
 BUFFER = 4_000_000
 DISTINCT = 200_000
@@ -213,7 +213,7 @@ def _trained(training: DataFrame, plan: dict) -> dict[str, np.ndarray]:
                 yield _replica(used * np.concatenate([gru.flatten(model), gru.flatten(seen)])
                                .astype(np.float64), used)
 
-        part = F.pmod(F.xxhash64("_id"), F.lit(ROUND_PART)) == i % ROUND_PART
+        part = F.pmod(F.xxhash64("_id"), F.lit(ROUNDS)) == i
         replicas = stage(training.filter(part).select("text").mapInArrow(
             learn, "sums binary, used double"), "replicas")
         flat, used = _added(replicas)

@@ -51,6 +51,16 @@ def test_model_beats_counts_on_held_out_text(spark):
     assert held.score.sum() > held.base_score.sum()
 
 
+def test_every_training_token_is_learned_from_once(edge_docs, given, monkeypatch):
+    learned, added = [], lm_scoring._added
+    monkeypatch.setattr(lm_scoring, "_added",
+                        lambda replicas: learned.append(added(replicas)) or learned[-1])
+    for docs in (edge_docs, given):
+        learned.clear()
+        tokens = score_documents(docs).first()["train_tokens"]
+        assert sum(used for _, used in learned) == tokens > 0
+
+
 def test_empty(no_docs, edge_docs):
     assert score_documents(no_docs).count() == 0
     untrained = score_documents(edge_docs.filter("doc_id IS NULL"))
