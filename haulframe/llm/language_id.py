@@ -1,8 +1,9 @@
 """Language ID (operator 3): interpolated Kneser-Ney character models, one per language.
 
-The models are counted on a bounded sample of labelled documents: whole texts in the order of a
-hash, at most ``TRAIN_DOCS`` documents and ``TRAIN_CHARS`` characters of each language. They are
-stored as sorted arrays of n-gram hashes with one column for each language: an n-gram that any
+The models are counted on a bounded sample of labelled documents: about ``TRAIN_DOCS`` documents
+of each language, taken by a hash, with at most ``TRAIN_CHARS`` characters. Texts are whole unless
+they exceed that together; then each gives its first characters up to an even share, so a long
+text displaces no other. The models are stored as sorted arrays of n-gram hashes with one column for each language: an n-gram that any
 language knows has its interpolated probability in every one, so scoring takes one search for
 most characters, and shorter histories only where none knows it. A text belongs to the language
 with the lowest cross-entropy for each character. It is rejected if that lies farther above the
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import before, prepare_python, unpacked, whole_row, whole_text
+from haulframe.llm.common import prepare_python, unpacked, whole_row, whole_text
 
 ORDER = 4
 TRAIN_DOCS = 400
@@ -138,15 +139,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share = F.lit(0.0)
     for code, n in counts.items():
         share = F.when(lang == F.lit(code), F.lit(min(0.5, TRAIN_DOCS / n))).otherwise(share)
-    chosen = labelled.select(lang.alias("lang"), F.col(text_col).alias("text"),
+    chosen = labelled.select(lang.alias("lang"), F.substring(text_col, 1, TRAIN_CHARS).alias("text"),
                              place.alias("place"), share.alias("share"),
-                             F.length(text_col).cast("long").alias("chars"))
+                             F.least(F.length(text_col), F.lit(TRAIN_CHARS)).alias("chars"))
     chosen = chosen.filter(F.col("place") < 2 * F.col("share"))
     chosen = chosen.withColumn("part", (F.col("place") >= F.col("share")).cast("int"))
-    # At most about TRAIN_DOCS rows share a window.
-    chosen = (chosen.withColumn("earlier", before(F.col("chars"), ["lang", "part"],
-                                                  ["place", "text"]))
-              .filter(F.col("earlier") + F.col("chars") <= TRAIN_CHARS))
+    # One row for each language and part.
+    sizes = chosen.groupBy("lang", "part").agg(F.sum("chars").alias("chars"),
+                                               F.count(F.lit(1)).alias("rows")).collect()
+    room = F.lit(TRAIN_CHARS)
+    for r in sizes:
+        if r["chars"] > TRAIN_CHARS:
+            here = (F.col("lang") == r["lang"]) & (F.col("part") == r["part"])
+            room = F.when(here, F.lit(max(1, TRAIN_CHARS // r["rows"]))).otherwise(room)
+    chosen = chosen.withColumn("text", F.substring("text", F.lit(1), room))
 
     def count(batches):
         for batch in batches:

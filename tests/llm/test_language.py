@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 from conftest_llm import rows_of
@@ -76,3 +78,19 @@ def test_long_texts_score_alike_in_runs(monkeypatch):
     parts, m = cross_entropy(model, [text, "a", ""])
     assert np.allclose(whole, parts, rtol=1e-5) and n.tolist() == m.tolist()
     assert n[0] == len(normalise(text))
+
+
+def few_docs(spark, rows):
+    """Labelled documents whose labels are not held out, from (lang, text)."""
+    ids = [i for i in range(10 * len(rows) + 10) if zlib.crc32(str(i).encode()) % 3 != 1]
+    return spark.createDataFrame([(i, t, c) for i, (c, t) in zip(ids, rows, strict=False)],
+                                 "doc_id long, text string, lang string")
+
+
+def test_long_texts_displace_no_others(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAIN_CHARS", 2000)
+    rows = [("en", "some words of a language " * 100 + "abcdefghij"[k % 10] * 9) for k in range(40)]
+    rows += [("de", f"ein paar wörter {'abcdefghij'[k % 10]}") for k in range(40)]
+    model = language_id.fit(few_docs(spark, rows))
+    assert model["languages"] == ["de", "en"]
+    assert np.isfinite(model["usual"]).all()
