@@ -35,6 +35,11 @@ PAD = 32
 UNKNOWN = "und"
 # Spread of short texts counts up to this many characters.
 STEADY = 400
+# With fewer labelled documents, each is cut in halves, to count and to calibrate; with fewer
+# different calibration values, the spread of all languages counts too.
+FEW = 16
+# Least limit of such a language.
+LEAST = 6.0
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -140,10 +145,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for code, n in counts.items():
         share = F.when(lang == F.lit(code), F.lit(min(0.5, TRAIN_DOCS / n))).otherwise(share)
     chosen = labelled.select(lang.alias("lang"), F.substring(text_col, 1, TRAIN_CHARS).alias("text"),
-                             place.alias("place"), share.alias("share"),
-                             F.least(F.length(text_col), F.lit(TRAIN_CHARS)).alias("chars"))
+                             place.alias("place"), share.alias("share"))
     chosen = chosen.filter(F.col("place") < 2 * F.col("share"))
-    chosen = chosen.withColumn("part", (F.col("place") >= F.col("share")).cast("int"))
+    # A few documents must not all fall to one part by chance.
+    few = F.col("lang").isin([code for code, n in counts.items() if n < FEW])
+    half = F.ceil(F.length("text") / 2).cast("int")
+    part = F.when(few, F.array(F.lit(0), F.lit(1))).otherwise(
+        F.array((F.col("place") >= F.col("share")).cast("int")))
+    chosen = (chosen.withColumn("part", F.explode(part))
+              .withColumn("text", F.when(~few, F.col("text")).when(
+                  F.col("part") == 0, F.substring("text", F.lit(1), half)).otherwise(
+                  F.substring("text", half + 1, F.length("text"))))
+              .withColumn("chars", F.length("text")))
     # One row for each language and part.
     sizes = chosen.groupBy("lang", "part").agg(F.sum("chars").alias("chars"),
                                                F.count(F.lit(1)).alias("rows")).collect()
@@ -254,7 +267,7 @@ def calibrate(model: dict, rows: DataFrame) -> dict:
                 names=["at", "entropy", "n"])
 
     found = rows.mapInArrow(score, "at long, entropy double, n long").collect()
-    usual, spread, farthest = [], [], []
+    usual, spread, farthest, alike = [], [], [], []
     for i in range(len(model["languages"])):
         h = np.array([r["entropy"] for r in found if r["at"] == i])
         n = np.array([r["n"] for r in found if r["at"] == i], float)
@@ -262,7 +275,14 @@ def calibrate(model: dict, rows: DataFrame) -> dict:
         off = (h - usual[-1]) * np.sqrt(np.minimum(n, STEADY)) if len(h) else np.zeros(0)
         spread.append(np.sqrt(np.mean(off**2)) if len(h) else 0.0)
         farthest.append(off.max() if len(h) else 0.0)
-    limit = [max(6 * s, 1.25 * f) for s, f in zip(spread, farthest, strict=True)]
+        alike.append(len(np.unique(h.round(6))) < FEW)
+    # Nothing to calibrate by (a letter or two): as far from likely as any other language.
+    known = [u for u in usual if np.isfinite(u)]
+    usual = [u if np.isfinite(u) else max(known, default=np.inf) for u in usual]
+    steady = [s for s, few in zip(spread, alike, strict=True) if not few] or spread
+    pooled = 6 * np.sqrt(np.mean(np.square(steady))) if steady else 0.0
+    limit = [max(6 * s, 1.25 * f, *([LEAST, pooled] if few else []))
+             for s, f, few in zip(spread, farthest, alike, strict=True)]
     return model | {"usual": np.array(usual), "limit": np.array(limit)}
 
 

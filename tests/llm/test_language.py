@@ -94,3 +94,15 @@ def test_long_texts_displace_no_others(spark, monkeypatch):
     model = language_id.fit(few_docs(spark, rows))
     assert model["languages"] == ["de", "en"]
     assert np.isfinite(model["usual"]).all()
+
+
+def test_languages_of_few_or_equal_documents(spark):
+    text = "some words of a language and a few more words of the same kind "
+    rows = [("en", text + "abcdefghij"[k % 10] * 3) for k in range(60)]
+    rows += [("de", "ein paar wörter der deutschen sprache und noch ein paar dazu")] * 5
+    rows += [("xx", "zwei gleiche texte")] * 2 + [("fr", "quelques mots")] * 40
+    rows += [(f"l{k}", chr(0x3b1 + k) * 3 + " " + chr(0x430 + k) * 5) for k in range(8)]
+    model = language_id.fit(few_docs(spark, rows))
+    assert set(model["languages"]) == {c for c, _ in rows}
+    assert np.isfinite(model["usual"]).all()
+    assert (model["limit"] > 0).all()
