@@ -1,17 +1,28 @@
 """Token ids of whole texts, through the tokenizers library, one distinct chunk at a time.
 
-The byte-level pre-tokenizer never joins what stands on both sides of a single space (or newline)
-between two characters that are not white space. Texts are cut at these safe boundaries, whatever
-their length, and only chunks not met before are encoded, in batches balanced by bytes. A text's
-ids are its chunks' ids in a row. Texts with other white space (runs, tabs, at an end) are cut at
-single spaces alone.
+Texts are cut at safe boundaries, whatever their length, and only chunks not met before are
+encoded. A text's ids are its chunks' ids in a row. Where a boundary is safe depends on the file:
+
+- A byte-level pre-tokenizer without a normalizer never joins what stands on both sides of a
+  single space (or newline) between two characters that are not white space. Texts with other
+  white space (runs, tabs, at an end) are cut at single spaces alone.
+- A pre-tokenizer that drops white space, after the normalizer ``WORDS`` lists, is cut at white
+  space.
+- With any other file a whole text is one chunk, and nothing is remembered.
+
+New chunks that are letters, with or without punctuation after them, are handed to the file's BPE
+model itself, letters and punctuation each once; all others go through the whole tokenizer, in
+batches balanced by bytes.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +32,30 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1024**2
 CALL_BYTES = 64 * 1024
 # A worker remembers so many chunks, or chunks of so many characters; others only for a slice.
-KEPT_CHUNKS = 250_000
+KEPT_CHUNKS = 700_000
 KEPT_CHARS = 10_000_000
 
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 # Chunks are kept by their text after this mark, those that begin with a space by the rest alone.
 BARE = "\x00"
-WORD = re.compile(r" ?\S+")
-UNEVEN = ("  ", "\n\n", " \n", "\n ", BARE)
+# Texts that single spaces and newlines do not part into runs of other characters.
+UNEVEN = (r"^$|^[ \n]|[ \n]$|[ \n][ \n]|[\x00\t\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}"
+          r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+# Letters, then punctuation: two units of both pre-tokenizers below.
+LETTERS = re.compile("(\x00?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)"
+                     r"([!-/:-@\[-`{-~]*)")
+
+# The settings of the files whose boundaries are known.
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+WORDS = (
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {
+            "Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        BYTES | {"use_regex": False}]})
 
 
 def default_path() -> str:
@@ -54,14 +81,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = [t.content for t in added]
+        self.model = self.tokenizer.model
+        self.kind = _kind(self.tokenizer)
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.newline = newline[0] if len(newline) == 1 else None
+        self.newline = newline[0] if self.kind == "bytes" and len(newline) == 1 else None
         self.known: dict[str, int] = {}
+        # Punctuation after letters, and its ids.
+        self.tails: dict[str, list[int]] = {"": []}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.lens = np.zeros(1 << 14, np.int64)
+        self.starts = np.zeros(1 << 14, np.int32)
+        self.lens = np.zeros(1 << 14, np.int32)
         self.used = self.chars = 0
         # Chunks beyond the bounds, and the ids in use before them.
         self.passing: list[str] = []
@@ -91,7 +120,7 @@ class Encoder:
             chunks, offsets = self._chunks(texts.slice(first, last - first))
             lens = self.lens[chunks]
             sizes = _sums(lens, offsets)
-            total = np.concatenate([[0], np.cumsum(lens)])
+            total = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
             at = np.repeat(self.starts[chunks] - total[:-1], lens) + np.arange(total[-1])
             flat = self.flat[at]
             ends = np.cumsum(sizes)
@@ -106,50 +135,100 @@ class Encoder:
             del self.known[key]
         if self.passing:
             self.passing, self.used = [], self.kept_ids
-        keys, counts = [], []
-        for text in texts.to_pylist():
-            found = self._cut(text) if text else []
-            keys += found
-            counts.append(len(found))
+        texts = pc.fill_null(texts, "")
+        if self.kind == "words":
+            even = np.ones(len(texts), bool)
+            texts = pc.ascii_lower(texts)
+            for space in "\t\n\r":
+                texts = pc.replace_substring(texts, space, " ")
+        elif self.newline is not None:
+            even = ~pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
+        else:
+            even = np.zeros(len(texts), bool)
+        # Even texts are cut and their chunks told apart by Arrow, the others one by one.
+        simple = texts.filter(pa.array(even))
+        if self.kind == "bytes":
+            simple = pc.replace_substring(simple, "\n", " \n " + BARE)
+            simple = pc.binary_join_element_wise(BARE, simple, "")
+        parts = pc.split_pattern(simple, " ")
+        chunks = parts.flatten().dictionary_encode()
+        odd = [self._cut(t) for t in texts.filter(pa.array(~even)).to_pylist()]
+        places = self._places(chunks.dictionary.to_pylist())
+        found = [places[chunks.indices.to_numpy(zero_copy_only=False)],
+                 self._places(list(chain.from_iterable(odd)))]
+        counts = np.zeros(len(texts), np.int64)
+        counts[even] = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+        counts[~even] = np.fromiter(map(len, odd), np.int64, len(odd))
+        offsets = np.concatenate([[0], np.cumsum(counts)])
+        out = np.empty(offsets[-1], np.int32)
+        for rows, values in zip((even, ~even), found, strict=True):
+            n = counts[rows]
+            out[np.repeat(offsets[:-1][rows] - np.cumsum(n) + n, n)
+                + np.arange(len(values))] = values
+        return out, offsets
+
+    def _places(self, keys: list[str]) -> np.ndarray:
         places = list(map(self.known.get, keys))
         if None in places:
-            self._learn([*{k for k, p in zip(keys, places, strict=True) if p is None}])
+            self._learn([*dict.fromkeys(k for k, p in zip(keys, places, strict=True)
+                                        if p is None)])
             places = list(map(self.known.__getitem__, keys))
-        return np.array(places, np.int64), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        return np.array(places, np.int32)
 
     def _cut(self, text: str) -> list[str]:
-        """The keys of a text's chunks."""
-        if (self.newline is not None and not any(u in text for u in UNEVEN)
-                and text[0] not in " \n" and text[-1] not in " \n"):
-            spaces = text.count(" ") + text.count("\n")
-            if len("".join(text.split())) + spaces == len(text):  # no other white space
-                return (BARE + text.replace("\n", " \n " + BARE)).split(" ")
+        """The keys of an uneven text's chunks."""
+        if self.kind == "whole" or not text:
+            return [text] if text else []
         return [BARE + c for c in SAFE.split(text)]
 
     def _learn(self, keys: list[str]) -> None:
-        """Encode chunks: plain ones joined by newlines in one call, the others in a batch."""
-        plain, others = [], []
+        """Encode chunks: letters by the model, the others through the whole tokenizer."""
+        simple, others = [], []
         for k in keys:
-            odd = k == "\n" or k[0] == BARE and not WORD.fullmatch(k, 1)
-            special = any(s in k for s in self.special)
-            (others if odd or special or self.newline is None else plain).append(k)
-        for batch in _balanced(plain):
-            joined = "\n".join([k[1:] if k[0] == BARE else " " + k for k in batch])
-            found = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0]
-            ids = np.array(found.ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.newline)
-            self._store(batch, ids[ids != self.newline],
-                        np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+            found = LETTERS.fullmatch(k) if self.kind != "whole" else None
+            if found:
+                simple.append(found)
+            else:
+                others.append(k)
+        if simple:
+            ids = [self._letters(f) + self._tail(f[3]) for f in simple]
+            self._store([f[0] for f in simple], ids)
         for batch in _balanced(others):
-            found = self.tokenizer.encode_batch_fast(
-                [k[1:] if k[0] == BARE else k if k == "\n" else " " + k for k in batch],
-                add_special_tokens=False)
-            ids = [e.ids for e in found]
-            self._store(batch, np.array([i for x in ids for i in x], np.uint32),
-                        np.array([len(x) for x in ids], np.int64))
-
-    def _store(self, chunks: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
-        assert len(chunks) == len(lens)
+            found = self.tokenizer.encode_batch_fast([self._text(k) for k in batch],
+                                                     add_special_tokens=False)
+            self._store(batch, [e.ids for e in found])
+
+    def _text(self, key: str) -> str:
+        if self.kind != "bytes":
+            return key
+        return key[1:] if key[0] == BARE else key if key == "\n" else " " + key
+
+    def _letters(self, found: re.Match) -> list[int]:
+        """Ids of a run of letters, with the space before it."""
+        text = found[2]
+        if found[3]:
+            place = self.known.get(found[1] + text)
+            if place is not None:
+                first = self.starts[place]
+                return self.flat[first:first + self.lens[place]].tolist()
+        if self.kind == "words":
+            text = text.lower()
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(BYTE_SIGNS)
+        if self.kind == "bytes" and not found[1]:
+            text = SPACE_SIGN + text
+        return [t.id for t in self.model.tokenize(text)]
+
+    def _tail(self, text: str) -> list[int]:
+        if text not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails = {"": []}
+            self.tails[text] = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tails[text]
+
+    def _store(self, chunks: list[str], found: list[list[int]]) -> None:
+        ids = np.fromiter(chain.from_iterable(found), np.uint32)
+        lens = np.fromiter(map(len, found), np.int64, len(found))
         first = len(self.known)
         self.flat = _room(self.flat, self.used + len(ids))
         self.starts = _room(self.starts, first + len(chunks))
@@ -160,19 +239,47 @@ class Encoder:
         self.used += len(ids)
         self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
         self.chars += sum(map(len, chunks))
-        if first + len(chunks) > KEPT_CHUNKS or self.chars > KEPT_CHARS:
+        if self.kind == "whole" or first + len(chunks) > KEPT_CHUNKS or self.chars > KEPT_CHARS:
             self.passing += chunks
             self.chars -= sum(map(len, chunks))
         else:
             self.kept_ids = self.used
 
 
+def _byte_signs() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it can be
+    printed, else the next one from 256 on."""
+    printed = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printed]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+BYTE_SIGNS = _byte_signs()
+SPACE_SIGN = chr(BYTE_SIGNS[ord(" ")])
+
+
+def _kind(tokenizer) -> str:
+    """Where texts of a file may be cut: at ``bytes``' or ``words``' boundaries, or not at all."""
+    added = tokenizer.get_added_tokens_decoder().values()
+    parts = json.loads(tokenizer.to_str())
+    model = parts["model"]
+    plain = (model["type"] == "BPE" and not model.get("dropout")
+             and not any(t.lstrip or t.rstrip or t.single_word or t.normalized
+                         or set(t.content) & set(string.whitespace)
+                         or LETTERS.fullmatch(t.content) for t in added))
+    if plain and parts["normalizer"] is None and parts["pre_tokenizer"] == BYTES:
+        return "bytes"
+    if plain and (parts["normalizer"], parts["pre_tokenizer"]) == WORDS:
+        return "words"
+    return "whole"
+
+
 def _room(array: np.ndarray, size: int) -> np.ndarray:
     return array if size <= len(array) else np.resize(array, max(size, 2 * len(array)))
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(values)])
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return total[offsets[1:]] - total[offsets[:-1]]
 
 

@@ -9,6 +9,7 @@ a lane's state is carried from window to window and set to zero where a document
 from __future__ import annotations
 
 import heapq
+from itertools import pairwise
 
 import numpy as np
 
@@ -18,6 +19,8 @@ HIDDEN = 24
 SEGMENT = 256
 LOG10 = float(np.log(10))
 NEVER = np.float32(-1e9)
+# Logits of this size are safe in single precision.
+HIGH = 60.0
 
 
 def new_model(word_counts: np.ndarray, tail_counts: np.ndarray, hidden: int = HIDDEN,
@@ -102,25 +105,32 @@ def _step(model, x, h):
     return new + z * (h - new), (z, r, new, g[:, 2 * n:])
 
 
-def _class_logits(model, h):
-    logits = h @ model["classes"] + model["class_bias"]
-    logits -= logits.max(axis=1, keepdims=True)
+def _bounded(logits: np.ndarray) -> np.ndarray:
+    """Logits whose exponentials neither overflow nor vanish altogether."""
+    if logits.size and not -HIGH < logits.max(axis=1).min() <= logits.max() < HIGH:
+        logits -= logits.max(axis=1, keepdims=True)
     return logits
 
 
+def _class_logits(model, h):
+    logits = h @ model["classes"]
+    logits += model["class_bias"]
+    return _bounded(logits)
+
+
 def word_groups(targets: np.ndarray, words: int):
     """(class, rows) for the targets that are words of the vocabulary."""
     rows = np.flatnonzero(targets < words)
     kind = targets[rows] // CLASS
-    order = np.argsort(kind, kind="stable")
-    cuts = np.flatnonzero(np.diff(kind[order])) + 1
-    for part in np.split(rows[order], cuts):
-        if len(part):
-            yield int(targets[part[0]]) // CLASS, part
+    order = np.argsort(kind.astype(np.int16), kind="stable")
+    rows, kind = rows[order], kind[order]
+    cuts = [*np.flatnonzero(np.diff(kind, prepend=-1)).tolist(), len(rows)]
+    for a, b in pairwise(cuts):
+        yield int(kind[a]), rows[a:b]
 
 
 def score(model: dict[str, np.ndarray], docs: list[np.ndarray], lanes: int = 256,
-          steps: int = 32) -> np.ndarray:
+          steps: int = 16) -> np.ndarray:
     """log10 probability of each document's symbols."""
     total = np.zeros(len(docs))
     if not docs:
@@ -132,29 +142,34 @@ def score(model: dict[str, np.ndarray], docs: list[np.ndarray], lanes: int = 256
         h = h[:active]
         x = model["inputs"][run.inputs[place]]
         fresh = run.fresh[place] & valid
+        begins = fresh.any(axis=1).tolist()
         states = np.empty((len(place), *h.shape), np.float32)
         for t in range(len(place)):
-            if fresh[t].any():
+            if begins[t]:
                 h = np.where(fresh[t][:, None], np.float32(0), h)
             h, _ = _step(model, x[t], h)
             states[t] = h
         at = place[valid]
         targets, states = run.targets[at].astype(np.int64), states[valid]
-        logits = _class_logits(model, states)
         kind = np.where(targets < words, targets // CLASS, targets - words + words // CLASS)
-        found = logits[np.arange(len(at)), kind] - np.log(np.exp(logits).sum(axis=1))
+        found = _log_shares(_class_logits(model, states), kind)
         for c, rows in word_groups(targets, words):
             part = slice(c * CLASS, (c + 1) * CLASS)
-            inner = states[rows] @ model["words"][part].T + model["word_bias"][part]
-            inner -= inner.max(axis=1, keepdims=True)
-            found[rows] += (inner[np.arange(len(rows)), targets[rows] - c * CLASS]
-                            - np.log(np.exp(inner).sum(axis=1)))
+            inner = _bounded(states[rows] @ model["words"][part].T + model["word_bias"][part])
+            found[rows] += _log_shares(inner, targets[rows] - c * CLASS)
         total += np.bincount(run.doc[at], found, minlength=len(docs))
     return total / LOG10
 
 
+def _log_shares(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Logarithm of the chosen column's share; the logits are overwritten."""
+    own = logits[np.arange(len(chosen)), chosen]
+    np.exp(logits, out=logits)
+    return own - np.log(logits.sum(axis=1))
+
+
 def train(model: dict[str, np.ndarray], seen: dict[str, np.ndarray], docs: list[np.ndarray],
-          lanes: int = 64, steps: int = 16, rate: float = 0.2) -> int:
+          lanes: int = 256, steps: int = 16, rate: float = 0.2) -> int:
     """One pass of truncated backpropagation over the documents; returns the tokens used.
 
     Documents are cut into segments, dealt in a random order, so that no window learns from one
@@ -170,9 +185,11 @@ def train(model: dict[str, np.ndarray], seen: dict[str, np.ndarray], docs: list[
         h, slopes = gradients(model, run, h[:active], place, valid, len(run.lengths) * steps)
         for k, g in slopes.items():
             # Long steps of a few lanes must not shake the weights.
-            g = np.clip(g, -1, 1)
+            np.clip(g, -1, 1, out=g)
             seen[k] += g * g
-            model[k] -= np.float32(rate) * g / (np.sqrt(seen[k]) + np.float32(1e-6))
+            g *= np.float32(rate)
+            g /= np.sqrt(seen[k]) + np.float32(1e-6)
+            model[k] -= g
     return len(run.targets)
 
 
@@ -186,60 +203,69 @@ def gradients(model, run: Lanes, h, place, valid, full: int | None = None):
     inputs = run.inputs[place]
     x = model["inputs"][inputs]
     fresh = run.fresh[place] & valid
-    before, kept, states = [], [], np.empty((len(place), *h.shape), np.float32)
+    begins = fresh.any(axis=1).tolist()
+    kept = []
+    before, states = np.empty((2, len(place), *h.shape), np.float32)
     for t in range(len(place)):
-        h = np.where(fresh[t][:, None], np.float32(0), h)
-        before.append(h)
+        if begins[t]:
+            h = np.where(fresh[t][:, None], np.float32(0), h)
+        before[t] = h
         h, needed = _step(model, x[t], h)
         kept.append(needed)
         states[t] = h
-    targets = run.targets[place[valid]].astype(np.int64)
-    out = states[valid]
-    scale = np.float32(1 / (full or max(1, len(targets))))
-    p = np.exp(_class_logits(model, out))
-    p /= p.sum(axis=1, keepdims=True)
-    kind = np.where(targets < words, targets // CLASS, targets - words + words // CLASS)
-    p[np.arange(len(targets)), kind] -= 1
-    p *= scale
     slopes = {k: np.zeros_like(v) for k, v in model.items()}
-    slopes["classes"] = out.T @ p
-    slopes["class_bias"] = p.sum(axis=0)
-    back = p @ model["classes"].T
-    # Words within their classes, all rows at once, in the order of the classes.
-    rows = np.flatnonzero(targets < words)
-    rows = rows[np.argsort(targets[rows] // CLASS, kind="stable")]
-    if len(rows):
-        of = targets[rows] // CLASS
-        weights = model["words"].reshape(-1, CLASS, n)[of]
-        inner = (weights @ out[rows][:, :, None])[:, :, 0]
-        inner += model["word_bias"].reshape(-1, CLASS)[of]
-        inner = np.exp(inner - inner.max(axis=1, keepdims=True))
-        inner /= inner.sum(axis=1, keepdims=True)
-        inner[np.arange(len(rows)), targets[rows] % CLASS] -= 1
-        inner *= scale
-        first = np.flatnonzero(np.diff(of, prepend=-1))
-        slopes["words"].reshape(-1, CLASS, n)[of[first]] = np.add.reduceat(
-            inner[:, :, None] * out[rows][:, None, :], first)
-        slopes["word_bias"].reshape(-1, CLASS)[of[first]] = np.add.reduceat(inner, first)
-        back[rows] += (inner[:, None, :] @ weights)[:, 0]
+    back = _output_slopes(model, slopes, states[valid], run.targets[place[valid]].astype(np.int64),
+                          full)
     spread = np.zeros(states.shape, np.float32)
     spread[valid] = back
-    dx = np.empty((*place.shape, 3 * n), np.float32)
+    # Slopes of the gates: by the input's part, and by the state's part.
+    dx, dg = np.empty((2, *place.shape, 3 * n), np.float32)
     dh = np.zeros_like(h)
+    back_state = np.ascontiguousarray(model["state"].T)
     for t in range(len(place) - 1, -1, -1):
         z, r, new, inner = kept[t]
         dh = dh + spread[t]
-        dn = dh * (1 - z) * (1 - new * new)
-        dz = dh * (before[t] - new) * z * (1 - z)
-        dr = dn * inner * r * (1 - r)
-        dx[t] = np.concatenate([dz, dr, dn], axis=1)
-        dg = np.concatenate([dz, dr, dn * r], axis=1)
-        slopes["state"] += before[t].T @ dg
-        slopes["state_bias"] += dg.sum(axis=0)
-        dh = dh * z + dg @ model["state"].T
-        dh[fresh[t]] = 0
+        kept_part = dh * z
+        dn = (dh - kept_part) * (1 - new * new)
+        dx[t, :, :n] = (before[t] - new) * kept_part * (1 - z)
+        dnr = dn * r
+        dx[t, :, n:2 * n] = dnr * inner * (1 - r)
+        dx[t, :, 2 * n:] = dn
+        dg[t, :, :2 * n] = dx[t, :, :2 * n]
+        dg[t, :, 2 * n:] = dnr
+        dh = kept_part + dg[t] @ back_state
+        if begins[t]:
+            dh[fresh[t]] = 0
+    slopes["state"] = before.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
+    slopes["state_bias"] = dg.reshape(-1, 3 * n).sum(axis=0)
     symbols, dx = inputs[valid], dx[valid]
     order = np.argsort(symbols, kind="stable")
     first = np.flatnonzero(np.diff(symbols[order], prepend=-1))
     slopes["inputs"][symbols[order][first]] = np.add.reduceat(dx[order], first)
     return h, slopes
+
+
+def _output_slopes(model, slopes, out, targets, full: int | None):
+    """Slopes by the states ``out``; those of the output's weights go into ``slopes``."""
+    words = len(model["words"])
+    scale = np.float32(1 / (full or max(1, len(targets))))
+    p = _class_logits(model, out)
+    np.exp(p, out=p)
+    p *= scale / p.sum(axis=1, keepdims=True)
+    kind = np.where(targets < words, targets // CLASS, targets - words + words // CLASS)
+    p[np.arange(len(targets)), kind] -= scale
+    slopes["classes"] = out.T @ p
+    slopes["class_bias"] = p.sum(axis=0)
+    back = p @ model["classes"].T
+    # Words within their classes: one product for each class.
+    for c, rows in word_groups(targets, words):
+        part = slice(c * CLASS, (c + 1) * CLASS)
+        weights, states = model["words"][part], out[rows]
+        q = _bounded(states @ weights.T + model["word_bias"][part])
+        np.exp(q, out=q)
+        q *= scale / q.sum(axis=1, keepdims=True)
+        q[np.arange(len(rows)), targets[rows] - c * CLASS] -= scale
+        slopes["words"][part] = q.T @ states
+        slopes["word_bias"][part] = q.sum(axis=0)
+        back[rows] += q @ weights
+    return back

@@ -9,6 +9,9 @@
    the most frequent words are broadcast (``HEAD_WORDS`` of bounded length); the other words are
    joined with the count table, so no document needs the whole vocabulary in memory.
 
+The replicas, and so the model and ``score``, depend on how the rows fall into partitions; the
+counts and ``base_score`` do not.
+
 Defined cases: NULL text is empty, one token (the end); without training documents the counts are
 empty and every word is unseen; NULL ids are neither held out nor learned from; repeated rows are
 scored each; an empty table gives no rows; other columns are ignored.
@@ -35,6 +38,8 @@ HEAD_WORDS = 131_072
 HEAD_BYTES = 64
 # Rounds of training; each learns from its share of the documents, together from all of them.
 ROUNDS = 3
+# Where Adagrad's sums of squares begin.
+SEEN = 1e-5
 # Tokens that a task holds at once, and distinct words it counts before it hands them on.
 BUFFER = 4_000_000
 DISTINCT = 200_000
@@ -58,9 +63,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model = _trained(training, plan)
     scored = stage(_scored(rows, plan | {"model": model, "key": uuid.uuid4().hex}),
                    "lm-scored").df
-    rare = (scored.select("_uid", F.explode("rare").alias("r"))
-            .select("_uid", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
-            .join(counts, "word", "left")
+    rare = (_counted(scored, counts, plan["tokens"])
             .groupBy("_uid").agg(
                 F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
                 F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("more")))
@@ -75,6 +78,24 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.col("modelled") + more).alias("score"))
 
 
+def _counted(scored: DataFrame, counts: DataFrame, tokens: int) -> DataFrame:
+    """_uid, times and n (NULL: never seen) of each document's rare words.
+
+    A word is rare, or longer than ``HEAD_BYTES``. Of the long ones fewer than a thousand can each
+    be over a thousandth of all tokens: these are met by broadcast, by their digests, so no task
+    of the join gets all rows of a frequent word.
+    """
+    long = F.when(F.octet_length("word") > HEAD_BYTES, F.sha2("word", 256))
+    hot = (counts.filter((F.octet_length("word") > HEAD_BYTES) & (F.col("n") * 1000 > tokens))
+           .select(long.alias("_sha"), F.col("n").alias("_hot")))
+    rows = (scored.select("_uid", F.explode("rare").alias("r"))
+            .select("_uid", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
+            .withColumn("_sha", long).join(F.broadcast(hot), "_sha", "left"))
+    rest = rows.filter(F.col("_hot").isNull()).join(counts, "word", "left")
+    return (rest.select("_uid", "times", "n").unionByName(
+        rows.filter(F.col("_hot").isNotNull()).select("_uid", "times", F.col("_hot").alias("n"))))
+
+
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
@@ -190,7 +211,7 @@ def _symbols(plan: dict) -> _Symbols:
 def _trained(training: DataFrame, plan: dict) -> dict[str, np.ndarray]:
     """Rounds of replicas, averaged."""
     model = gru.new_model(plan["word_counts"], plan["tail_counts"])
-    seen = {k: np.full_like(v, 0.01) for k, v in model.items()}
+    seen = {k: np.full_like(v, SEEN) for k, v in model.items()}
     context = training.sparkSession.sparkContext
     shared = context.broadcast({k: plan[k] for k in (
         "head", "vocabulary", "documents", "tail_total")} | {"key": uuid.uuid4().hex})
