@@ -110,7 +110,7 @@ SQL = {
             FROM documents),
         words AS (
             SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'),
-                                     x -> x <> '') AS w
+                                     lambda x: x <> '') AS w
             FROM pieces),
         totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
         places AS (
@@ -151,10 +151,10 @@ SQL = {
     "op12_hard_negatives": """
         WITH kept AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-                   list_transform(embedding, x -> floor(x::DOUBLE * 256)) AS v
+                   list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-                AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         scores AS (
             SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
                    list_inner_product(a.v, b.v)::BIGINT AS score
