@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -118,6 +120,22 @@ GIVE_BACK = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1",
              "MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_MMAP_THRESHOLD_": "131072"}
 
 
+_holder = {"name": "", "release": lambda: None}
+
+
+def take_over(name: str, release: Callable[[], None] = lambda: None) -> None:
+    """Called in a worker before an operator works there: what another one kept between its tasks
+    goes back to the machine, as workers serve all operators of a session in turn."""
+    if _holder["name"] == name:
+        return
+    _holder["release"]()
+    _holder.update(name=name, release=release)
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def prepare_python(spark: SparkSession) -> None:
     """Bound what Python workers get at once, and let them import this package.
 

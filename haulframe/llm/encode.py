@@ -28,11 +28,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from haulframe.llm.common import take_over
+
 # Texts are handled in slices of about so many bytes, chunks encoded in calls of so many.
 SLICE_BYTES = 1024**2
 CALL_BYTES = 64 * 1024
 # A worker remembers so many chunks, or chunks of so many characters; others only for a slice.
-KEPT_CHUNKS = 700_000
+KEPT_CHUNKS = 600_000
 KEPT_CHARS = 10_000_000
 
 SAFE = re.compile(r"(?<=\S)(?= \S)")
@@ -65,10 +67,15 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def encoder(path: str | None = None) -> Encoder:
-    """This worker's encoder; kept between tasks."""
-    return Encoder(path or default_path())
+    """This worker's encoder; kept between tasks, until another operator works here."""
+    take_over("encode", _encoder.cache_clear)
+    return _encoder(path or default_path())
 
 
 class Encoder:

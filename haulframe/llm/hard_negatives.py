@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import prepare_python, stage
+from haulframe.llm.common import prepare_python, stage, take_over
 
 POSITIVES = NEGATIVES = 5
 LOWEST, HIGHEST = 80, 100
@@ -223,6 +223,7 @@ def _best_over_tasks(rows: DataFrame, search: Callable, anchors: dict, keys: lis
     shared = rows.sparkSession.sparkContext.broadcast(anchors)
 
     def run(batches):
+        take_over("hard-negatives")
         columns = search(batches, shared.value)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns],
                                          names=[*keys, "id", "score"])

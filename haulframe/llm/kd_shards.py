@@ -5,8 +5,8 @@ all functions of the text, so equal texts share a point and stay together. Point
 pre-aggregated. A node is cut along its widest dimension where the bytes to the left match the
 leaves to the left; the place is found from histograms with a fixed number of buckets that are
 refined until the bucket at the cut weighs next to nothing. Along each dimension points are
-ordered by coordinate, then by CRC-32. A point too heavy to stay whole (over a sixteenth of a
-shard) is also ordered by a salt of the document id, so that it can be cut as well.
+ordered by coordinate, then by CRC-32. A point too heavy for one shard (its mean bytes) is
+also ordered by a salt of the document id, so that it can be cut as well.
 
 DataFrame functions only; the driver sees histograms and the tree.
 
@@ -30,8 +30,8 @@ ROW_BYTES = 8
 BUCKETS = 1024
 # A cut is close enough when its bucket holds this part of a leaf's bytes.
 CLOSE = 0.002
-# A point stays whole up to this part of a leaf's bytes.
-WHOLE = 1 / 16
+# A point stays whole up to this part of a leaf's bytes: only what no leaf can hold is cut.
+WHOLE = 1.0
 SALTS = 10  # bits
 CRC = 32  # bits
 STEPS = 2**15  # coordinate steps for each doubling

@@ -1,13 +1,15 @@
 """Language ID (operator 3): interpolated Kneser-Ney character models, one per language.
 
 The models are counted on a bounded sample of labelled documents: about ``TRAIN_DOCS`` documents
-of each language, taken by a hash, with at most ``TRAIN_CHARS`` characters. Texts are whole unless
-they exceed that together; then each gives its first characters up to an even share, so a long
-text displaces no other. The models are stored as sorted arrays of n-gram hashes with one column for each language: an n-gram that any
-language knows has its interpolated probability in every one, so scoring takes one search for
-most characters, and shorter histories only where none knows it. A text belongs to the language
-with the lowest cross-entropy for each character. It is rejected if that lies farther above the
-language's usual value than the calibration documents' did, allowing more for short texts.
+of each language, taken by a hash, with at most ``TRAIN_CHARS`` characters; rows that agree in id
+and text count once. Texts are whole unless they exceed that together; then each gives its first
+characters up to an even share, so a long text displaces no other. The models are stored as sorted
+arrays of n-gram hashes with one column for each language (the driver builds them, so languages
+must be few: some hundreds): an n-gram that any language knows has its interpolated probability in
+every one, so scoring takes one search for most characters, and shorter histories only where none
+knows it. A text belongs to the language with the lowest cross-entropy for each character. It is
+rejected if that lies farther above the language's usual value than the calibration documents'
+did, allowing more for short texts.
 
 Defined cases: a NULL text, or one without a letter, is ``und``, rejected, with score 0; without
 training rows every text is; ties go to the smaller language code; an empty table gives no rows;
@@ -24,7 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import prepare_python, unpacked, whole_row, whole_text
+from haulframe.llm.common import (
+    prepare_python,
+    stage,
+    take_over,
+    unpacked,
+    whole_row,
+    whole_text,
+)
 
 ORDER = 4
 TRAIN_DOCS = 400
@@ -74,6 +83,7 @@ def _tagger(docs: DataFrame, model: dict):
 
     @F.arrow_udf("struct<lang_pred:string,score:double,accepted:boolean>")
     def tag(texts: pa.Array) -> pa.Array:
+        take_over("language-id", _letters.cache_clear)
         model = shared.value
         total, n = cross_entropy(model, map(str, texts))
         lang, score, good = decide(model, total, n)
@@ -136,19 +146,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lang = F.col(lang_col).cast("string")
     labelled = docs.filter(~held_out(id_col) & F.col(id_col).isNotNull() & lang.isNotNull()
                            & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
+    # Each document's place in [0, 1) by a hash of all it is; the first places train, the next
+    # ones calibrate. Equal rows are one document.
+    place = F.shiftrightunsigned(F.xxhash64(id_col, text_col), 11) / F.lit(float(1 << 53))
+    counts = {r[0]: r[1] for r in labelled.groupBy(lang).agg(
+        F.approx_count_distinct(place, 0.01)).collect()}
     if not counts:
         return {"languages": []}
-    # Each row's place in [0, 1) by a hash; the first places train, the next ones calibrate.
-    place = (F.shiftrightunsigned(F.xxhash64(id_col), 11) / F.lit(float(1 << 53)))
     share = F.lit(0.0)
     for code, n in counts.items():
         share = F.when(lang == F.lit(code), F.lit(min(0.5, TRAIN_DOCS / n))).otherwise(share)
     chosen = labelled.select(lang.alias("lang"), F.substring(text_col, 1, TRAIN_CHARS).alias("text"),
                              place.alias("place"), share.alias("share"))
-    chosen = chosen.filter(F.col("place") < 2 * F.col("share"))
+    chosen = chosen.filter(F.col("place") < 2 * F.col("share")).dropDuplicates(["lang", "place"])
+    chosen = stage(chosen, "language-sample").df
     # A few documents must not all fall to one part by chance.
-    few = F.col("lang").isin([code for code, n in counts.items() if n < FEW])
+    both = {r[0] for r in chosen.groupBy("lang").agg(
+        F.min(F.col("place") < F.col("share")).alias("low"),
+        F.max(F.col("place") < F.col("share")).alias("high")).collect() if r[1] != r[2]}
+    few = F.col("lang").isin([code for code, n in counts.items() if n < FEW or code not in both])
     half = F.ceil(F.length("text") / 2).cast("int")
     part = F.when(few, F.array(F.lit(0), F.lit(1))).otherwise(
         F.array((F.col("place") >= F.col("share")).cast("int")))

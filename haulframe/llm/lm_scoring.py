@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulframe.llm import gru
-from haulframe.llm.common import prepare_python, stage, whole_text
+from haulframe.llm.common import prepare_python, stage, take_over, whole_text
 
 VOCABULARY = 1023
 TAILS = 64
@@ -202,6 +202,7 @@ class _Symbols:
 
 
 def _symbols(plan: dict) -> _Symbols:
+    take_over("lm-scoring", _kept.clear)
     if plan["key"] not in _kept:
         _kept.clear()
         _kept[plan["key"]] = _Symbols(plan)

@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,7 @@ from haulframe.llm.common import (
     positions,
     prepare_python,
     stage,
+    take_over,
     unpacked,
     whole_row,
     whole_text,
@@ -45,10 +45,10 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``id_col``, size, source_size, target and taken (words the mix takes) for each document."""
     sizes, sources, spans = _mixed(docs, id_col=id_col, **options)
     taken = spans.groupBy("_uid").agg(F.sum(F.col("_to") - F.col("_from")).alias("taken"))
-    plan = docs.sparkSession.createDataFrame(pd.DataFrame({
-        "_rank": [s["rank"] for s in sources] or [-1],
-        "source_size": [s["size"] for s in sources] or [0],
-        "target": [float(s["target"]) for s in sources] or [0.0]}))
+    plan = docs.sparkSession.createDataFrame(pa.table({
+        "_rank": pa.array([s["rank"] for s in sources], pa.int32()),
+        "source_size": pa.array([s["size"] for s in sources], pa.int64()),
+        "target": pa.array([float(s["target"]) for s in sources], pa.float64())}))
     return (sizes.join(taken, "_uid", "left").join(plan, "_rank")
             .select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size",
                     "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")))
@@ -73,6 +73,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        take_over("mixing")
         out = []
         for text, taken in zip(texts, spans, strict=True):
             words = str(text).encode("utf-8", "surrogatepass").split()
@@ -171,12 +172,12 @@ def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         "target": t, "blocks": blocks, "slots": turns * blocks + last,
                         # Words that the last slot of a part pass may take.
                         "tail": round(rest - (last - 1) * mean) if last else -1})
-    ranks = spark.createDataFrame(pd.DataFrame({
-        "_none": [bool(s["none"]) for s in sources] or [False],
-        "_source": [s["source"] for s in sources] or [""],
-        "_rank": np.array([s["rank"] for s in sources] or [-1], np.int32),
-        "_words": np.array([s["size"] for s in sources] or [0], np.int64),
-        "_blocks": np.array([s["blocks"] for s in sources] or [0], np.int64)}))
+    ranks = spark.createDataFrame(pa.table({
+        "_none": pa.array([s["none"] for s in sources], pa.bool_()),
+        "_source": pa.array([s["source"] for s in sources], pa.string()),
+        "_rank": pa.array([s["rank"] for s in sources], pa.int32()),
+        "_words": pa.array([s["size"] for s in sources], pa.int64()),
+        "_blocks": pa.array([s["blocks"] for s in sources], pa.int64())}))
     # Staged, since positions reads its input twice.
     sizes = stage(rows.join(ranks, ["_none", "_source"]).drop("_none", "_source"), "mix-ranked").df
     placed = positions(sizes, "_rank", [s["rows"] for s in sources], ["_id", "_size"],
@@ -230,6 +231,7 @@ def _slots(spark, sources: list[dict], shards: int, seed: int) -> DataFrame:
         "tail": np.array([s["tail"] for s in sources] or [-1], np.int64)})
 
     def deal(batches):
+        take_over("mixing")
         plan = shared.value
         live = np.flatnonzero(plan["counts"])
         for batch in batches:

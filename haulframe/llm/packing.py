@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import positions, prepare_python, stage, whole_text
+from haulframe.llm.common import positions, prepare_python, stage, take_over, whole_text
 from haulframe.llm.encode import encoder
 
 CAPACITY = 2048
@@ -175,6 +175,7 @@ def _placed(ranked: DataFrame, runs, id_col: str, with_ids: bool) -> DataFrame:
     shared = ranked.sparkSession.sparkContext.broadcast((keys, table))
 
     def place(batches):
+        take_over("packing")
         keys, table = shared.value
         for batch in batches:
             rank = batch["_rank"].to_numpy(zero_copy_only=False)

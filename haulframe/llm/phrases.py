@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import prepare_python, stage, whole_text
+from haulframe.llm.common import prepare_python, stage, take_over, whole_text
 from haulframe.sources.storage import scratch_path
 
 THRESHOLD = 100
@@ -136,6 +136,7 @@ def _slots(phrases: DataFrame, slots: int) -> np.ndarray:
 def _counter(shared, step: int, shards: int, longest: int):
     """Counts the active phrases of a task's texts."""
     def count(batches):
+        take_over("phrases")
         ages = shared.value
         texts, langs, held = [], [], 0
         for batch in batches:

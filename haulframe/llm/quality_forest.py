@@ -101,6 +101,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prepare_python(docs.sparkSession)
 
     def count(batches):
+        take_over("quality")
         for batch in batches:
             rows = np.array([text_statistics(str(t)) for t in batch["text"]], np.int64)
             rows = rows.reshape(-1, len(STATS))

@@ -25,6 +25,7 @@ from haulframe.llm.common import (
     join_groups,
     prepare_python,
     stage,
+    take_over,
     unpacked,
     whole_row,
     whole_text,
@@ -50,13 +51,14 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
                         "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
+                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the smallest id of their component, with all their columns.
 
     Of rows repeated with one id and text, one stays.
     """
     found = near_groups(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
-                        id_col="id")
+                        shingle, radius, id_col="id")
     found = stage(found.select("id", "component_id"), "near-groups").df
     gone = stage(found.filter(F.col("id") != F.col("component_id"))
                  .select(F.col("id").alias("_gone")), "near-copies")
@@ -100,6 +102,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     prepare_python(docs.sparkSession)
 
     def make(batches):
+        take_over("simhash")
         for batch in batches:
             found = np.fromiter((text_fingerprint(t, shingle) for t in
                                  map(str, batch["text"])), np.uint64, batch.num_rows)
@@ -172,6 +175,7 @@ def _links(classes: DataFrame, radius: int) -> DataFrame:
                      "_role", "_print"))
 
     def compare(batches):
+        take_over("simhash")
         block = None
         for batch in batches:
             keys, roles, values = (batch[c].to_numpy(zero_copy_only=False)
@@ -205,9 +209,10 @@ def _edges(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, radius: int):
-    """Index pairs of fingerprints within the radius, square by square."""
+    """Index pairs of fingerprints within the radius, square by square; where both are the same
+    array, squares on one side of the diagonal say all."""
     for i in range(0, len(a), SQUARE):
-        for j in range(0, len(b), SQUARE):
+        for j in range(i if a is b else 0, len(b), SQUARE):
             near = np.bitwise_count(a[i:i + SQUARE, None] ^ b[None, j:j + SQUARE]) <= radius
             x, y = np.nonzero(near)
             if len(x):
@@ -272,10 +277,16 @@ def _labels(links: DataFrame, classes: DataFrame) -> DataFrame:
         lower = labels.join(near, "_print").select(
             "_print", F.col("_label").alias("_old"), F.least("_label", "_near").alias("_label"))
         lower = stage(lower, "lower").df
-        # Jump: take over what the label's own fingerprint is labelled with.
-        ahead = lower.select(F.col("_print").alias("_at"), F.col("_label").alias("_next"))
-        jumped = (lower.join(ahead, F.col("_label._print") == F.col("_at"))
-                  .select("_print", "_old", F.col("_next").alias("_label")))
+        # Jump: take over what the label's own fingerprint is labelled with. All members of a
+        # large component come to carry one label, so those are met by broadcast.
+        at = F.col("_label._print").alias("_at")
+        sizes = lower.groupBy(at).agg(F.count(F.lit(1)).alias("_members"))
+        ahead = stage(sizes.join(lower.select(F.col("_print").alias("_at"),
+                                              F.col("_label").alias("_next")), "_at"), "ahead")
+        rows = lower.select("_print", "_old", at)
+        total = ahead.df.agg(F.sum("_members")).first()[0] or 0
+        jumped = join_groups(rows, ahead.df, "_at", "_members", total).select(
+            "_print", "_old", F.col("_next").alias("_label"))
         jumped = stage(jumped, "labels").df
         labels = jumped.select("_print", "_label")
         if jumped.filter(F.col("_old") != F.col("_label")).isEmpty():

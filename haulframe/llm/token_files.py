@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulframe.llm.common import literal_array, prepare_python, stage, whole_text
+from haulframe.llm.common import literal_array, prepare_python, stage, take_over, whole_text
 from haulframe.llm.encode import encoder
 from haulframe.sources.storage import scratch_path
 
@@ -207,6 +207,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     prepare_python(spark)
 
     def read(batches):
+        take_over("token-files")
         for batch in batches:
             for content in batch["content"]:
                 for _, block in blocks_of(content.as_buffer()):

@@ -31,7 +31,7 @@ def test_stages_in_order_and_effective(spark, given):
 def test_registered():
     names = entry_module.queries()
     assert [n for n in names if n.startswith("op")] == list(QUERIES)
-    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in QUERIES}
+    assert {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in QUERIES}
     assert names["pipeline"] is corpus_pipeline.run
     assert set(SQL) <= set(QUERIES)
 
