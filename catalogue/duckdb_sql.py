@@ -90,6 +90,22 @@ GRADED_LENGTHS = [_too_long("graded", GRADED, "text", 255), _too_long("graded",
 # Marks the inference rules find.
 MARKS = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
 
+CONSTRAINTS = _union([
+    _nulls("lineitem", "lineitem", "l_orderkey"),
+    _nulls("lineitem", "lineitem", "l_linenumber"),
+    _repeats("lineitem", "primary_key", "lineitem", "l_orderkey,l_linenumber"),
+    _orphans("lineitem", "l_orderkey", EARLY_ORDERS, "o_orderkey"),
+    _orphans("lineitem", "l_partkey", "part", "p_partkey"),
+    _orphans("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    _nulls("supplier", "supplier", "s_suppkey"),
+    _repeats("supplier", "primary_key", "supplier", "s_suppkey"),
+    _repeats("supplier", "unique", "supplier", "s_nationkey"),
+    _orphans("supplier", "s_nationkey", "nation", "n_nationkey"),
+    *GRADED_NULLS, *GRADED_LENGTHS,
+    _repeats("graded", "primary_key", GRADED, "doc_id"),
+])
+
+
 SQL = {
     "scan_table": "SELECT * FROM lineitem",
     "scan_path_table": "SELECT * FROM events",
@@ -144,6 +160,19 @@ SQL = {
         "FROM orders UNION ALL "
         "SELECT 'again', 'incremental', 0, CAST(max(o_orderdate) AS VARCHAR) FROM orders",
     "stream_incremental_load": "SELECT * FROM events",
+    "stream_two_checkpoints": "SELECT * FROM events",
+    "reconcile_by_digest":
+        "WITH early AS (SELECT * FROM orders "
+        f"WHERE o_orderdate <= {CUT}) "
+        "SELECT o_orderkey, 'missing' AS status, 1::BIGINT AS source_rows, "
+        "0::BIGINT AS target_rows FROM orders "
+        f"WHERE o_orderdate > {CUT} "
+        "UNION ALL SELECT -o_orderkey, 'extra', 0, 1 FROM early WHERE o_orderkey % 99 = 2 "
+        "UNION ALL SELECT o_orderkey, 'changed', 1, 1 + (o_orderkey % 77 = 1)::INT FROM early "
+        "WHERE o_orderkey % 77 = 1 OR (o_orderkey % 50 = 0 AND o_totalprice <> 0)",
+    "read_equal_depth":
+        "SELECT 8::BIGINT AS splits, count(*) AS n, sum(l_quantity) AS quantity, true AS even "
+        "FROM lineitem",
     "pk_duplicates":
         "SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem "
         "GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
@@ -168,20 +197,8 @@ SQL = {
     "pk_conflicts":
         f"SELECT o_orderkey FROM {EARLY_ORDERS} "
         "WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'",
-    "constraint_report": _union([
-        _nulls("lineitem", "lineitem", "l_orderkey"),
-        _nulls("lineitem", "lineitem", "l_linenumber"),
-        _repeats("lineitem", "primary_key", "lineitem", "l_orderkey,l_linenumber"),
-        _orphans("lineitem", "l_orderkey", EARLY_ORDERS, "o_orderkey"),
-        _orphans("lineitem", "l_partkey", "part", "p_partkey"),
-        _orphans("lineitem", "l_suppkey", "supplier", "s_suppkey"),
-        _nulls("supplier", "supplier", "s_suppkey"),
-        _repeats("supplier", "primary_key", "supplier", "s_suppkey"),
-        _repeats("supplier", "unique", "supplier", "s_nationkey"),
-        _orphans("supplier", "s_nationkey", "nation", "n_nationkey"),
-        *GRADED_NULLS, *GRADED_LENGTHS,
-        _repeats("graded", "primary_key", GRADED, "doc_id"),
-    ]),
+    "constraint_report": CONSTRAINTS,
+    "constraint_report_fused": CONSTRAINTS,
     "strip_nul":
         "SELECT doc_id, text || 'x' AS text, text || 'x' AS \"first\", '' AS \"second\", "
         "text || 'x' AS mapped, text || 'x' AS nested FROM documents",

@@ -12,6 +12,7 @@ import haulframe as hf
 from catalogue.contracts import TABLES, contract, contracts, frame, given
 from haulframe.functions.copytext import copy_field
 from haulframe.functions.names import col
+from haulframe.sources.splits import split_number, split_points
 from haulframe.sources.storage import is_local, scratch_path, stage
 
 CUTOFF = "1999-01-01 00:00:00"
@@ -228,13 +229,43 @@ def watermark_missed_null_keys(spark, sf_dir):
     return hf.missed_rows(orders, target.read(), ["k"], "o_orderdate")
 
 
+@query
+def reconcile_by_digest(spark, sf_dir):
+    """A target that lacks the late orders, has others changed, and some twice."""
+    orders = frame(spark, sf_dir, "orders")
+    price = F.when(col("o_orderkey") % 50 == 0, -col("o_totalprice")).otherwise(
+        col("o_totalprice"))
+    early = at_or_before(orders, "o_orderdate", CUTOFF).withColumn("o_totalprice", price)
+    target = seeded(spark, "orders", early)
+    target.append(early.where(col("o_orderkey") % 77 == 1))
+    target.append(early.where(col("o_orderkey") % 99 == 2)
+                  .withColumn("o_orderkey", -col("o_orderkey")))
+    return hf.reconcile_by_digest(orders, target.read(), ["o_orderkey"])
+
+
+@query
+def read_equal_depth(spark, sf_dir):
+    """Rows of each of eight splits of a skewed key: at most twice the mean."""
+    lineitem = frame(spark, sf_dir, "lineitem")
+    skewed = lineitem.select((col("l_orderkey") * col("l_orderkey") * col("l_orderkey"))
+                             .alias("key"), "l_quantity")
+    points = split_points(skewed, "key", 8)
+    number = split_number("key", points, skewed.schema["key"].dataType)
+    splits = skewed.groupBy(number.alias("split")).agg(F.count(F.lit(1)).alias("n"),
+                                                       F.sum("l_quantity").alias("quantity"))
+    return splits.agg(F.count(F.lit(1)).alias("splits"), F.sum("n").alias("n"),
+                      F.sum("quantity").alias("quantity"),
+                      (F.max("n") <= 2 * F.avg("n")).alias("even"))
+
+
 @query
 def catalog_full_load(spark, sf_dir):
     """A full load that fails leaves the table; the next one replaces it."""
     orders = frame(spark, sf_dir, "orders")
-    spark.sql("DROP TABLE IF EXISTS catalog_full_load")
-    orders.withColumn("o_orderkey", -col("o_orderkey") - 1).write.saveAsTable("catalog_full_load")
-    target = hf.CatalogTable(spark, "catalog_full_load")
+    namespace = f"hf_{uuid4().hex}"
+    hf.create_namespace(spark, namespace, scratch_path(spark, "namespace"))
+    target = hf.CatalogTable(spark, f"{namespace}.orders")
+    orders.withColumn("o_orderkey", -col("o_orderkey") - 1).write.saveAsTable(target.name)
     broken = orders.withColumn("o_totalprice", F.when(
         col("o_orderkey") % 100 == 7, F.raise_error(F.lit("broken row")).cast("double"))
         .otherwise(col("o_totalprice")))
@@ -313,6 +344,20 @@ def stream_incremental_load(spark, sf_dir):
     return target.read()
 
 
+@query
+def stream_two_checkpoints(spark, sf_dir):
+    """Two streams, each with its own checkpoint and run twice, into one target."""
+    events = frame(spark, sf_dir, "events")
+    target = fresh(spark, "events")
+    early = F.col("ts") <= F.lit(EVENT_CUTOFF).cast("timestamp_ntz")
+    for part in (early, ~early):
+        folder, checkpoint = scratch_path(spark, "arrivals"), scratch_path(spark, "stream")
+        for kept in (F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1):
+            events.where(part & kept).write.mode("append").parquet(folder)
+            hf.run_arrivals(hf.read_arrivals(spark, folder, events.schema), target, checkpoint)
+    return target.read()
+
+
 # -- constraint checks -------------------------------------------------------------------
 
 
@@ -384,8 +429,7 @@ def pk_conflicts(spark, sf_dir):
     return hf.key_conflicts(recent, at_or_before(orders, "o_orderdate", CUTOFF), ["o_orderkey"])
 
 
-@query
-def constraint_report(spark, sf_dir):
+def _report_of(report, spark, sf_dir):
     frames = {t: frame(spark, sf_dir, t) for t in TABLES}
     frames["orders"] = at_or_before(frames["orders"], "o_orderdate", CUTOFF)
     frames["graded"] = _graded(spark, sf_dir)
@@ -396,7 +440,18 @@ def constraint_report(spark, sf_dir):
     suppliers = [c.to_dict() for c in contract("supplier").columns]
     suppliers[2]["unique"] = True
     supplier = hf.Contract.from_dict({"table": "supplier", "columns": suppliers})
-    return hf.constraint_report(frames, [lineitem, supplier, _graded_contract()])
+    return report(frames, [lineitem, supplier, _graded_contract()])
+
+
+@query
+def constraint_report(spark, sf_dir):
+    return _report_of(hf.constraint_report, spark, sf_dir)
+
+
+@query
+def constraint_report_fused(spark, sf_dir):
+    """The same violations with one scan of each table."""
+    return _report_of(hf.constraint_report_fused, spark, sf_dir)
 
 
 # -- values, types, defaults -------------------------------------------------------------

@@ -17,12 +17,14 @@ from haulframe.functions.copytext import copy_lines, read_copy_text, write_copy_
 from haulframe.operators.checks import (
     ConstraintError,
     constraint_report,
+    constraint_report_fused,
     length_violations,
     null_violations,
     pk_duplicates,
     unique_violations,
 )
 from haulframe.operators.conform import conform, conform_report, fill_defaults
+from haulframe.operators.reconcile import reconcile_by_digest
 from haulframe.operators.references import (
     fk_invalid_rows,
     fk_orphans,

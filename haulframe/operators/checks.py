@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from haulframe.contract import Contract
 from haulframe.functions.names import col
@@ -143,6 +143,105 @@ def constraint_report(frames: dict[str, DataFrame], contracts: list[Contract]) -
     return reduce(DataFrame.unionAll, parts)
 
 
+# What a row that a fused check emits counts as.
+_BROKEN, _REPEATED, _CHILD = range(3)
+
+
+def constraint_report_fused(frames: dict[str, DataFrame],
+                            contracts: list[Contract]) -> DataFrame:
+    """``constraint_report`` with one scan of each table and one shuffle for all of them.
+
+    Each row emits the keys it has a say in, tagged with the number of the constraint: its own
+    primary key and unique values, its references, the columns others refer to, and a keyless
+    mark for each NULL or over-long text that breaks a rule. One aggregation counts, for every
+    tagged key, the rows that hold it and the rows it may refer to; it begins in the scan's tasks,
+    so a key that many rows share is one row for each task.
+    """
+    tables = [c for c in contracts if c.table in frames]
+    labels: list[tuple] = []
+    emitted: dict[str, list[Column]] = {c.table: [] for c in tables}
+
+    def tag(table: str, constraint: str, column: str, kind: int) -> int:
+        labels.append((len(labels), table, constraint, column, kind))
+        return len(labels) - 1
+
+    for contract in tables:
+        df, out = frames[contract.table], emitted[contract.table]
+        for spec in contract.columns:
+            if spec.name not in df.columns:
+                continue
+            if spec.required:
+                number = tag(contract.table, "not_null", spec.name, _BROKEN)
+                out.append(F.when(col(spec.name).isNull(), _emit(number)))
+            if spec.max_length is not None:
+                number = tag(contract.table, "length", spec.name, _BROKEN)
+                out.append(F.when(F.char_length(col(spec.name)) > spec.max_length, _emit(number)))
+        groups = [("primary_key", contract.primary_key)] if contract.primary_key else []
+        groups += [("unique", [name]) for name in contract.uniques]
+        for constraint, keys in groups:
+            if all(k in df.columns for k in keys):
+                number = tag(contract.table, constraint, ",".join(keys), _REPEATED)
+                out.append(_emit_key(df, keys, number))
+        for name, key in contract.foreign_keys:
+            if name in df.columns and key.table in frames:
+                number = tag(contract.table, "foreign_key", name, _CHILD)
+                kinds = [df.schema[name].dataType, frames[key.table].schema[key.column].dataType]
+                wide = _common_type(df.sparkSession, *kinds)
+                out.append(_emit_key(df, [name], number, wide))
+                emitted.setdefault(key.table, []).append(
+                    _emit_key(frames[key.table], [key.column], number, wide, parent=True))
+    if not labels:
+        raise ValueError("the contracts declare nothing to check on the given tables")
+    rows = [frames[t].select(F.explode(F.array_compact(F.array(*out))).alias("_e"))
+            .select("_e.*") for t, out in emitted.items() if out]
+    keys = (reduce(DataFrame.unionAll, rows).groupBy("number", "key")
+            .agg(F.sum("held").alias("held"), F.sum("offered").alias("offered")))
+    known = keys.sparkSession.createDataFrame(
+        labels, "number int, table string, constraint string, column string, kind int")
+    extra = (F.when(F.col("kind") == _BROKEN, F.col("held"))
+             .when(F.col("kind") == _REPEATED, F.col("held") - 1)
+             .when(F.col("offered") == 0, F.col("held")).otherwise(F.lit(0)))
+    counted = (keys.join(F.broadcast(known.select("number", "kind")), "number")
+               .groupBy("number").agg(F.sum(extra).alias("violations")))
+    return known.join(F.broadcast(counted), "number", "left").select(
+        *_LABELS, F.coalesce("violations", F.lit(0)).cast("long").alias("violations"))
+
+
+def _emit(number: int, key: Column | None = None, parent: bool = False) -> Column:
+    return F.struct(F.lit(number).alias("number"),
+                    (F.lit(None).cast("string") if key is None else key).alias("key"),
+                    F.lit(0 if parent else 1).cast("long").alias("held"),
+                    F.lit(1 if parent else 0).cast("long").alias("offered"))
+
+
+def _emit_key(df: DataFrame, keys: list[str], number: int, as_type: T.DataType | None = None,
+              parent: bool = False) -> Column:
+    """The tagged key of a row that has one, as text that is equal only for equal keys."""
+    present = reduce(lambda a, b: a & b, [col(k).isNotNull() for k in keys])
+    parts = []
+    for k in keys:
+        kind = as_type or df.schema[k].dataType
+        value = col(k).cast(kind)
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            value = value + F.lit(0).cast(kind)  # zero has one sign
+        if isinstance(kind, T.BinaryType):
+            value = F.hex(value)
+        parts.append(value.cast("string"))
+    if len(parts) > 1:  # lengths keep apart what would run together
+        parts = [p for text in parts for p in (F.char_length(text).cast("string"), F.lit(":"),
+                                               text)]
+    return F.when(present, _emit(number, F.concat(*parts), parent))
+
+
+def _common_type(spark: SparkSession, child: T.DataType, parent: T.DataType) -> T.DataType:
+    """The type Spark compares two columns in."""
+    if child == parent:
+        return child
+    empty = spark.createDataFrame([], T.StructType([T.StructField("a", child),
+                                                    T.StructField("b", parent)]))
+    return empty.select(F.coalesce("a", "b").alias("c")).schema["c"].dataType
+
+
 def require(parts: list[DataFrame]) -> None:
     """Raise if any check found a violation."""
     if not parts:

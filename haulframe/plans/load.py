@@ -92,10 +92,14 @@ def in_mark_order(delta: DataFrame, column: str, compact: bool = True) -> DataFr
     A delta is a thin slice of every source split; dealing it out by ranges of the mark turns
     many tiny files into a few whose ranges do not overlap, at the price of shuffling the delta
     only (and of reading it twice, for the ranges). Ties that pile up on one mark value are
-    spread by a row number.
+    spread by a hash of the row, which a repeated task finds again whatever the order its rows
+    come in.
     """
     if compact:
-        delta = (delta.withColumn("__tie", F.monotonically_increasing_id())
+        nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)  # a map has no hash
+        plain = [F.to_json(F.struct(col(f.name))) if isinstance(f.dataType, nested)
+                 else col(f.name) for f in delta.schema]
+        delta = (delta.withColumn("__tie", F.xxhash64(*plain))
                  .repartitionByRange(col(column), F.col("__tie"))
                  .sortWithinPartitions(col(column)).drop("__tie"))
         return delta

@@ -23,6 +23,7 @@ from haulframe.operators.watermark import (
 )
 from haulframe.sources.connection import LAKES, Connection
 from haulframe.sources.metadata import Facts, read_facts, session
+from haulframe.sources.splits import split_points, split_predicates
 from haulframe.sources.storage import Storage, stage
 
 # Connections a load opens to a database, reading or writing, unless told otherwise.
@@ -343,15 +344,22 @@ class PathTable(Table):
             self._move_in(self._appending)
 
     def append_batch(self, df: DataFrame, batch: str) -> Written:
-        """Append a named batch exactly once, however often it is replayed."""
+        """Append a batch exactly once, however often it is replayed.
+
+        ``batch`` is a stream's name, a hyphen and a number that grows from batch to batch. The
+        ledger keeps one file for each stream: the number of its last batch.
+        """
         if self.format == "delta":
             # Delta remembers an application's last version and skips what it has seen.
             name, _, version = batch.rpartition("-")
             return self._observed(self._aligned(df), None, lambda out: (
                 out.write.format("delta").mode("append").option("txnAppId", name or "batches")
                 .option("txnVersion", version).save(self.path)))
-        done, staged = f"{self._beside}.batches/{batch}", f"{self._beside}.batch-{batch}"
-        if self._storage.exists(done):
+        stream, _, number = batch.rpartition("-")
+        ledger, staged = f"{self._beside}.batches/{stream}", f"{self._beside}.batch-{batch}"
+        known = self._storage.list(ledger) if self._storage.is_dir(ledger) else []
+        last = max(map(int, known), default=-1)
+        if int(number) <= last:
             return Written(0)
         written = Written(0)
         if not self._is_ready(staged):
@@ -359,7 +367,9 @@ class PathTable(Table):
                                      lambda out: self._stage(out, staged))
         self._storage.make_dir(self.path)
         self._move_in(staged)
-        self._storage.create_empty(done)
+        self._storage.create_empty(f"{ledger}/{number}")
+        for old in known:
+            self._storage.delete(f"{ledger}/{old}")
         return written
 
 
@@ -371,7 +381,9 @@ class JdbcTable(Table):
     table's count before and after with the rows sent.
 
     Reads come in ``partitions`` tasks: by ranges of ``partition_column``, or, with ``hashed``,
-    by buckets of a hash of it, which suits any type and any spread of values. Writes open
+    by buckets of a hash of it, which suits any type and any spread of values. Ranges are of
+    equal width; with ``equal_depth`` they hold about as many rows each, for the price of reading
+    that column once before. Writes open
     ``write_tasks`` connections; None leaves the rows in the tasks they come in.
     """
 
@@ -381,9 +393,10 @@ class JdbcTable(Table):
                  schema: str | None = None, partition_column: str | None = None,
                  partitions: int = 1, write_tasks: int | None = TASKS, hashed: bool = False,
                  column_types: str | None = None, create_options: str | None = None,
-                 verify: bool = False):
+                 verify: bool = False, equal_depth: bool = False):
         self.spark = spark
         self.verify = verify
+        self.equal_depth = equal_depth
         self.create_options = create_options
         self.connection = connection
         self.name = table
@@ -434,12 +447,25 @@ class JdbcTable(Table):
         reader = self.spark.read.format("jdbc").options(**self.connection.jdbc_options())
         reader = reader.option("dbtable", self._dbtable)
         bounds = self._bounds(above_mark) if self._parallel and not self.hashed else None
+        if bounds and self.equal_depth:
+            key = self.partition_column
+            keys = self._in_ranges(reader, bounds).select(col(key))
+            if above_mark and key == above_mark[0]:
+                keys = above(keys, *above_mark)
+            points = split_points(keys, key, self.partitions)
+            return self.spark.read.jdbc(
+                options.pop("url"), self._dbtable, properties=options,
+                predicates=split_predicates(self.connection.quoted(key), points,
+                                            keys.schema[key].dataType))
         if bounds:
-            reader = reader.options(
-                partitionColumn=self.partition_column,
-                lowerBound=bounds[0], upperBound=bounds[1], numPartitions=str(self.partitions))
+            return self._in_ranges(reader, bounds)
         return reader.load()
 
+    def _in_ranges(self, reader, bounds: tuple[str, str]) -> DataFrame:
+        return reader.options(
+            partitionColumn=self.partition_column, lowerBound=bounds[0], upperBound=bounds[1],
+            numPartitions=str(self.partitions)).load()
+
     def _bounds(self, above_mark: tuple[str, str] | None) -> tuple[str, str] | None:
         """MIN and MAX of the partition column among the rows to read, found by the database."""
         df = self.spark.table(self._in_catalog)

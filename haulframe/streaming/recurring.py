@@ -6,6 +6,8 @@ are not lost. The schedule itself stays outside: each run takes what is new and
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,12 +30,24 @@ def read_arrivals(spark: SparkSession, path: str, schema: T.StructType, fmt: str
     return reader.load(path)
 
 
+def stream_id(batch: DataFrame, checkpoint: str) -> str:
+    """The id of the stream a batch comes from: one for each checkpoint, the same in every run."""
+    spark = batch.sparkSession
+    own = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if own:
+        return own
+    metadata = spark.read.text(f"{checkpoint}/metadata").first()
+    return json.loads(metadata[0])["id"]
+
+
 def load_arrivals(arrivals: DataFrame, target: PathTable, checkpoint: str,
                   options: LoadOptions = LoadOptions(), name: str = "arrivals",
                   contract: Contract | None = None) -> StreamingQuery:
     """Append everything new to the target, then stop. Each batch lands exactly once.
 
-    ``name`` marks this stream's batches; use one name per checkpoint. The options do what they
+    The target's ledger knows batches by the stream's own id, which its checkpoint keeps, and
+    their number: streams with checkpoints of their own never take each other's batches for
+    replays. ``name`` only words messages. The options do what they
     do in ``load_table``; ``conform`` and ``enforce`` go by ``contract``, or the target's own. A
     batch that is refused lands nowhere and fails the query, and is tried again by the next run.
     """
@@ -44,7 +58,7 @@ def load_arrivals(arrivals: DataFrame, target: PathTable, checkpoint: str,
                                target.enforces_keys, True)
         if checked:
             require(table_violations(rows, contract, None, target.held()))
-        target.append_batch(rows, f"{name}-{batch_id}")
+        target.append_batch(rows, f"{stream_id(batch, checkpoint)}-{batch_id}")
 
     return (arrivals.writeStream.foreachBatch(append)
             .option("checkpointLocation", checkpoint)

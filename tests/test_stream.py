@@ -75,3 +75,37 @@ def test_a_failing_batch_raises(spark, places):
     target.append(spark.sql("SELECT 1 AS other"))
     with pytest.raises(Exception, match="does not have|not have"):
         run(spark, places)
+
+
+def test_streams_with_their_own_checkpoints_share_a_target(spark, places, tmp_path):
+    arrive(spark, places["in"], 0, 10)
+    run(spark, places)
+    other = places | {"in": str(tmp_path / "in2"), "checkpoint": str(tmp_path / "checkpoint2")}
+    arrive(spark, other["in"], 100, 150)
+    target = run(spark, other)
+    assert ids(target) == [*range(10), *range(100, 150)]
+    # Replays add nothing, and what arrives later is still taken.
+    for given in (places, other):
+        run(spark, given)
+    arrive(spark, places["in"], 10, 12)
+    assert ids(run(spark, places)) == [*range(12), *range(100, 150)]
+
+
+def test_a_new_checkpoint_is_a_new_stream(spark, places, tmp_path):
+    arrive(spark, places["in"], 0, 5)
+    run(spark, places)
+    again = places | {"checkpoint": str(tmp_path / "fresh")}
+    assert ids(run(spark, again)) == sorted([*range(5), *range(5)])
+
+
+def test_the_ledger_keeps_one_number_for_each_stream(spark, tmp_path):
+    target = hf.PathTable(spark, str(tmp_path / "t"))
+    for i in range(4):
+        target.append_batch(spark.range(i, i + 1), f"s-{i}")
+    storage = Storage(spark, target.path)
+    assert storage.list(f"{tmp_path}/.t.batches/s") == ["3"]
+    assert target.append_batch(spark.range(9), "s-2").rows == 0  # a late replay
+    # Stopped between the two writes of the ledger: the larger number counts.
+    storage.create_empty(f"{tmp_path}/.t.batches/s/2")
+    assert target.append_batch(spark.range(9), "s-3").rows == 0
+    assert ids(target) == list(range(4))
