@@ -31,12 +31,12 @@ from haulframe.sources.storage import scratch_path
 THRESHOLD = 100
 LONGEST = 5
 TOP = 2000
-SHARDS = 4
+SHARDS = 3
 # Slots of the table of frequent phrases (one byte each), and its mark of an empty one.
 SLOTS = 2**23
 NEVER = 255
 # Text that is counted together.
-RUN_BYTES = 16 * 1024**2
+RUN_BYTES = 12 * 1024**2
 SALTS = 64
 BREAKS = r"[.,;:!?\n\x0b\x0c\r]"
 COUNTS = "lang string, phrase string, k int, n long"
@@ -154,19 +154,21 @@ def _counter(shared, step: int, shards: int, longest: int):
         if step < shards:
             yield run.totals()
             yield run.summed(np.flatnonzero(run.word), run.first, 1)
-        h, live = run.first, run.word
-        reached = run.reached(h, live, ages)
+        h = run.first
+        reached = run.reached(h, np.flatnonzero(run.word), ages)
         for k in range(2, longest + 1):
-            if len(h) < 2:
-                return
-            # Both subphrases: without the last word, and without the first.
+            # Both subphrases: without the last word, and without the first. Few places are left
+            # from one length to the next, and only those are looked at.
             begin = np.maximum(reached[:-1], reached[1:])
-            live = live[:-1] & run.word[k - 1:] & (begin <= step)
-            h = _longer(h[:-1], run.hashes[k - 1:])
-            active = np.flatnonzero(live & (begin.astype(np.int64) > step - shards))
+            live = np.flatnonzero(begin <= step)
+            h[live] = _longer(h[live], run.hashes[live + k - 1])
+            active = live[begin[live].astype(np.int16) > step - shards]
             if len(active):
                 yield run.summed(active, h, k)
-            reached = run.reached(h, live, ages)
+            if k < longest:
+                # Slots that others filled must not make a phrase older than its subphrases.
+                reached = run.reached(h, live, ages)
+                reached[live] = np.maximum(reached[live], begin[live])
 
     return count
 
@@ -198,12 +200,11 @@ class _Run:
         seeds = np.array([word_hash(x) for x in self.langs.to_pylist()], np.uint64)
         self.first = _mixed(self.hashes ^ seeds[self.lang])
 
-    def reached(self, h: np.ndarray, live: np.ndarray, ages: np.ndarray) -> np.ndarray:
-        """The step from which each live phrase counts as frequent."""
+    def reached(self, h: np.ndarray, places: np.ndarray, ages: np.ndarray) -> np.ndarray:
+        """The step from which the phrase at each of the places counts as frequent."""
         out = np.full(len(h), NEVER, np.uint8)
-        some = np.flatnonzero(live)
-        a, b = _two_slots(h[some], len(ages))
-        out[some] = np.maximum(ages[a], ages[b])
+        a, b = _two_slots(h[places], len(ages))
+        out[places] = np.maximum(ages[a], ages[b])
         return out
 
     def totals(self) -> pa.RecordBatch:
