@@ -1,6 +1,7 @@
 """Phrase collocation mining by dynamic itemset counting (operator 11).
 
-Texts are dealt into shards, which are scanned in a cycle, one in each step. Words are counted from
+Texts are split into words once, in runs of some megabytes that keep their words as numbers of a
+list, and the runs are dealt into shards, which are scanned in a cycle, one in each step. Words are counted from
 the first step on; a longer phrase becomes active in the step after both its subphrases (without
 its last, and without its first word) have been counted often enough, however far their own count
 has come, and is counted through one full cycle of shards. So lengths interleave in each scan, and
@@ -39,6 +40,13 @@ NEVER = 255
 RUN_BYTES = 12 * 1024**2
 SALTS = 64
 BREAKS = r"[.,;:!?\n\x0b\x0c\r]"
+# A run's list of words with their hashes, the numbers of its words in a row (-1 between pieces),
+# and the length and language of each text.
+RUNS = ("shard int, words array<string>, hashes binary, ids binary, langs array<string>, "
+        "lengths binary, text_langs binary")
+# Row groups of a run or a few, so that a scan opens only those of its shard.
+RUN_FILES = {"parquet.block.size": str(8 * 1024**2), "parquet.block.size.row.check.min": "1",
+             "parquet.enable.dictionary": "false", "compression": "zstd"}
 COUNTS = "lang string, phrase string, k int, n long"
 
 
@@ -52,23 +60,23 @@ def collocations(docs: DataFrame, threshold: int = THRESHOLD, top: int = TOP,
 
 def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, lang_col: str = "lang",
                   text_col: str = "text", shards: int = SHARDS, longest: int = LONGEST,
-                  slots: int = SLOTS) -> DataFrame:
+                  slots: int = SLOTS, run_bytes: int = RUN_BYTES) -> DataFrame:
     """lang, phrase, k (words), n: all phrases of up to ``longest`` words counted ``threshold``
     times or more, and for each language the number of its words, with k = 0."""
     spark = docs.sparkSession
     prepare_python(spark)
-    path = scratch_path(spark, "phrase-shards")
+    path = scratch_path(spark, "phrase-runs")
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
-                        whole_text(text_col).alias("text"),
-                        F.pmod(F.monotonically_increasing_id(), F.lit(shards)).alias("shard"))
-    texts.write.partitionBy("shard").parquet(path)
-    texts = spark.read.schema("lang string, text string, shard long").parquet(path)
+                        whole_text(text_col).alias("text"))
+    (texts.mapInArrow(_splitter(shards, run_bytes), RUNS)
+     .write.options(**RUN_FILES).parquet(path))
+    runs = spark.read.schema(RUNS).parquet(path)
     ages = np.full(slots, NEVER, np.uint8)
     counted = None
     step, end = 0, shards
     while step < end:
         shared = spark.sparkContext.broadcast(ages)
-        scan = texts.filter(F.col("shard") == step % shards).select("lang", "text")
+        scan = runs.filter(F.col("shard") == step % shards).drop("shard")
         found = (scan.mapInArrow(_counter(shared, step, shards, longest), COUNTS)
                  .withColumn("first", F.lit(step)).withColumn("reached", F.lit(None).cast("int")))
         if counted is not None:
@@ -133,27 +141,45 @@ def _slots(phrases: DataFrame, slots: int) -> np.ndarray:
     return found.toArrow()["slot"].to_numpy()
 
 
-def _counter(shared, step: int, shards: int, longest: int):
-    """Counts the active phrases of a task's texts."""
-    def count(batches):
+def _splitter(shards: int, run_bytes: int):
+    """Splits a task's texts into runs of words, each of the next shard."""
+    def split(batches):
+        from pyspark import TaskContext
+
         take_over("phrases")
-        ages = shared.value
+        shard = TaskContext.get().partitionId()
         texts, langs, held = [], [], 0
         for batch in batches:
             texts.append(batch["text"])
             langs.append(batch["lang"])
             held += batch["text"].nbytes
-            if held >= RUN_BYTES:
-                yield from counted(texts, langs, ages)
+            if held >= run_bytes:
+                yield from written(texts, langs, shard % shards)
                 texts, langs, held = [], [], 0
+                shard += 1
         if texts:
-            yield from counted(texts, langs, ages)
+            yield from written(texts, langs, shard % shards)
 
-    def counted(texts, langs, ages):
+    def written(texts, langs, shard):
         run = _Run(pa.concat_arrays(texts), pa.concat_arrays(langs))
+        if run.word.any():
+            yield run.row(shard)
+
+    return split
+
+
+def _counter(shared, step: int, shards: int, longest: int):
+    """Counts the active phrases of a task's runs."""
+    def count(batches):
+        take_over("phrases")
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from counted(_Run.of_row(batch, i), shared.value)
+
+    def counted(run, ages):
         if step < shards:
             yield run.totals()
-            yield run.summed(np.flatnonzero(run.word), run.first, 1)
+            yield run.singles()
         h = run.first
         reached = run.reached(h, np.flatnonzero(run.word), ages)
         for k in range(2, longest + 1):
@@ -184,22 +210,54 @@ class _Run:
         ids = found.indices.to_numpy(zero_copy_only=False)
         rows = np.repeat(np.arange(len(parts), dtype=np.int32),
                          pc.list_value_length(parts).to_numpy(zero_copy_only=False))
-        self.words = found.dictionary
-        words = self.words.to_pylist()
+        words = found.dictionary.to_pylist()
         # No word has a full stop; runs of spaces leave empty ones.
         mark = words.index(".")
         if "" in words:
             full = ids != words.index("")
             ids, rows = ids[full], rows[full]
-        self.ids = ids
         langs = langs.dictionary_encode()
-        self.langs = langs.dictionary
-        self.lang = langs.indices.to_numpy(zero_copy_only=False)[rows]
-        self.word = ids != mark
-        self.hashes = np.array([word_hash(w) for w in words], np.uint64)[ids]
-        seeds = np.array([word_hash(x) for x in self.langs.to_pylist()], np.uint64)
+        self._fill(found.dictionary, np.array([word_hash(w) for w in words], np.uint64),
+                   np.where(ids == mark, np.int32(-1), ids), langs.dictionary,
+                   np.bincount(rows, minlength=len(parts)).astype(np.int32),
+                   langs.indices.to_numpy(zero_copy_only=False).astype(np.int32))
+
+    def _fill(self, words, hashes, ids, langs, lengths, text_langs):
+        self.words, self.hashes_of, self.ids, self.langs = words, hashes, ids, langs
+        self.lengths, self.text_langs = lengths, text_langs
+        self.lang = np.repeat(text_langs, lengths)
+        self.word = ids >= 0
+        # Marks get the hash of some word: no phrase holds one.
+        self.hashes = hashes[ids]
+        seeds = np.array([word_hash(x) for x in langs.to_pylist()], np.uint64)
         self.first = _mixed(self.hashes ^ seeds[self.lang])
 
+    def row(self, shard: int) -> pa.RecordBatch:
+        """The run as one row of ``RUNS``."""
+        def numbers(values):
+            return pa.array([values.tobytes()], pa.binary())
+
+        def listed(values):
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()),
+                                            values.cast(pa.string()))
+
+        return pa.RecordBatch.from_arrays(
+            [pa.array([shard], pa.int32()), listed(self.words), numbers(self.hashes_of),
+             numbers(self.ids), listed(self.langs), numbers(self.lengths),
+             numbers(self.text_langs)],
+            names=["shard", "words", "hashes", "ids", "langs", "lengths", "text_langs"])
+
+    @classmethod
+    def of_row(cls, batch: pa.RecordBatch, i: int) -> _Run:
+        def numbers(name, dtype):
+            return np.frombuffer(batch[name][i].as_buffer(), dtype)
+
+        run = cls.__new__(cls)
+        run._fill(batch["words"][i].values, numbers("hashes", np.uint64),
+                  numbers("ids", np.int32), batch["langs"][i].values,
+                  numbers("lengths", np.int32), numbers("text_langs", np.int32))
+        return run
+
     def reached(self, h: np.ndarray, places: np.ndarray, ages: np.ndarray) -> np.ndarray:
         """The step from which the phrase at each of the places counts as frequent."""
         out = np.full(len(h), NEVER, np.uint8)
@@ -212,6 +270,18 @@ class _Run:
         n = np.bincount(self.lang[self.word], minlength=len(self.langs))
         return _rows(self.langs, pa.array([""] * len(self.langs)), 0, n)
 
+    def singles(self) -> pa.RecordBatch:
+        """All words with their counts; the words of a language stand together once sorted."""
+        keys = self.lang[self.word].astype(np.int64) * len(self.words) + self.ids[self.word]
+        if len(self.langs) * len(self.words) <= 4 * len(keys):
+            n = np.bincount(keys)
+            keys = np.flatnonzero(n)
+            n = n[keys]
+        else:
+            keys, n = np.unique(keys, return_counts=True)
+        lang, ids = np.divmod(keys, len(self.words))
+        return _rows(self.langs.take(pa.array(lang)), self.words.take(pa.array(ids)), 1, n)
+
     def summed(self, places: np.ndarray, h: np.ndarray, k: int) -> pa.RecordBatch:
         """The phrases of ``k`` words at some places, with their counts."""
         _, first, which, n = np.unique(h[places], return_index=True, return_inverse=True,

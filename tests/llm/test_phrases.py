@@ -56,15 +56,15 @@ def test_matches_brute_force(given, edge_docs, no_docs):
     assert collocations(no_docs).count() == 0
 
 
-def test_slots_and_shards_change_no_count(given, monkeypatch):
+def test_slots_shards_and_runs_change_no_count(given):
     """With almost no slots every phrase seems frequent; with small runs nothing is gathered."""
-    monkeypatch.setattr(phrases, "RUN_BYTES", 20_000)
     docs = given.limit(60)
     f, n = slow_counts(rows_of(docs, "lang", "text"))
     want = {(x, " ".join(w)): a for (x, w), a in f.items() if a >= 12}
-    for shards, slots in ((1, 2**16), (2, 2**10)):
-        got = rows_of(phrase_counts(docs, 12, shards=shards, slots=slots), "lang", "phrase", "n",
-                      "k")
+    for shards, slots, run_bytes in ((1, 2**16, 2**20), (2, 2**10, 20_000), (3, 2**16, 1)):
+        spread = docs.repartition(5)
+        got = rows_of(phrase_counts(spread, 12, shards=shards, slots=slots, run_bytes=run_bytes),
+                      "lang", "phrase", "n", "k")
         assert {(x, p): a for x, p, a, k in got if k} == want
         assert {x: a for x, _, a, k in got if not k} == +n
 
@@ -79,3 +79,17 @@ def test_equal_hashes_are_told_apart(monkeypatch):
     for r in batch:
         found[r["lang"], r["phrase"]] += r["n"]
     assert +found == {("x", "a"): 2, ("x", "b"): 2, ("x", "c"): 1, ("y", "a"): 1, ("y", "b"): 1}
+
+
+def test_runs_come_back_as_written():
+    import pyarrow as pa
+
+    texts, langs = pa.array(["A b\ta. b  c", "", " a b ", "..", "é b"]), pa.array(list("xyyxz"))
+    run = phrases._Run(texts, langs)
+    back = phrases._Run.of_row(run.row(2), 0)
+    assert run.row(2).to_pylist() == back.row(2).to_pylist()
+    assert (run.first == back.first).all() and (run.lang == back.lang).all()
+    words = {(r["lang"], r["phrase"]): r["n"] for r in back.singles().to_pylist()}
+    assert words == {("x", "a"): 2, ("x", "b"): 2, ("x", "c"): 1, ("y", "a"): 1, ("y", "b"): 1,
+                     ("z", "é"): 1, ("z", "b"): 1}
+    assert {r["lang"]: r["n"] for r in back.totals().to_pylist()} == {"x": 5, "y": 2, "z": 2}
