@@ -37,15 +37,15 @@ SHARDS = 3
 SLOTS = 2**23
 NEVER = 255
 # Text that is counted together.
-RUN_BYTES = 12 * 1024**2
+RUN_BYTES = 6 * 1024**2
 SALTS = 64
 BREAKS = r"[.,;:!?\n\x0b\x0c\r]"
-# A run's list of words with their hashes, the numbers of its words in a row (-1 between pieces),
+# A run's words, joined by spaces, with their hashes, the numbers of its words in a row (-1 between pieces),
 # and the length and language of each text.
-RUNS = ("shard int, words array<string>, hashes binary, ids binary, langs array<string>, "
+RUNS = ("shard int, words string, hashes binary, ids binary, langs array<string>, "
         "lengths binary, text_langs binary")
 # Row groups of a run or a few, so that a scan opens only those of its shard.
-RUN_FILES = {"parquet.block.size": str(8 * 1024**2), "parquet.block.size.row.check.min": "1",
+RUN_FILES = {"parquet.block.size": str(4 * 1024**2), "parquet.block.size.row.check.min": "1",
              "parquet.enable.dictionary": "false", "compression": "zstd"}
 COUNTS = "lang string, phrase string, k int, n long"
 
@@ -242,7 +242,7 @@ class _Run:
                                             values.cast(pa.string()))
 
         return pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int32()), listed(self.words), numbers(self.hashes_of),
+            [pa.array([shard], pa.int32()), pc.binary_join(listed(self.words), " "), numbers(self.hashes_of),
              numbers(self.ids), listed(self.langs), numbers(self.lengths),
              numbers(self.text_langs)],
             names=["shard", "words", "hashes", "ids", "langs", "lengths", "text_langs"])
@@ -253,7 +253,7 @@ class _Run:
             return np.frombuffer(batch[name][i].as_buffer(), dtype)
 
         run = cls.__new__(cls)
-        run._fill(batch["words"][i].values, numbers("hashes", np.uint64),
+        run._fill(pc.split_pattern(batch["words"].slice(i, 1), " ").flatten(), numbers("hashes", np.uint64),
                   numbers("ids", np.int32), batch["langs"][i].values,
                   numbers("lengths", np.int32), numbers("text_langs", np.int32))
         return run
