@@ -150,6 +150,10 @@ SQL = {
     "load_all": _union([
         f"SELECT '{t}' AS \"table\", count(*) AS reported, count(*) AS held FROM {t}"
         for t in TABLES]),
+    "load_all_resumed": _union([
+        f"SELECT '{t}' AS \"table\", {t not in ('orders', 'lineitem')} AS resumed, "
+        f"count(*) AS reported, count(*) AS held FROM {t}"
+        for t in TABLES]),
     "list_tables": _union([
         f"SELECT '{t}' AS \"table\", count(*) AS held FROM {t}" for t in TABLES]),
     "load_report":

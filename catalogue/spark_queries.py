@@ -309,6 +309,38 @@ def load_all(spark, sf_dir):
     return reported.join(held, "table")
 
 
+@query
+def load_all_resumed(spark, sf_dir):
+    """A run whose ``orders`` fail at first: the second attempt loads them and their children,
+    and takes the other tables from the ledger."""
+    lake = scratch_path(spark, "lake")
+    ledger = hf.RunLedger(spark, scratch_path(spark, "runs"), "nightly")
+
+    def attempt(broken: str | None):
+        def source(declared):
+            if declared.table == broken:
+                raise OSError(f"{broken} cannot be reached")
+            return given(spark, sf_dir, declared.table)
+
+        return hf.load_all(spark, contracts(), source,
+                           lambda c: hf.PathTable(spark, f"{lake}/{c.table}"), ledger=ledger)
+
+    try:
+        attempt("orders")
+    except hf.LoadError as error:
+        first = {r.table for r in error.results}
+    else:
+        raise AssertionError("the first attempt has to fail")
+    results = attempt(None)
+    if {r.table for r in results if r.resumed} != first:
+        raise AssertionError("a finished table was loaded again")
+    return reduce(DataFrame.unionAll, [
+        hf.PathTable(spark, f"{lake}/{r.table}").read().agg(F.count(F.lit(1)).alias("held"))
+        .select(F.lit(r.table).alias("table"), F.lit(r.resumed).alias("resumed"),
+                F.lit(r.rows).cast("long").alias("reported"), "held")
+        for r in results])
+
+
 @query
 def list_tables(spark, sf_dir):
     _, lake = _all_loaded(spark, sf_dir)

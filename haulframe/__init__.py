@@ -33,6 +33,7 @@ from haulframe.operators.references import (
     key_conflicts,
 )
 from haulframe.operators.watermark import high_water_mark
+from haulframe.plans.ledger import RunLedger
 from haulframe.plans.load import (
     LoadError,
     LoadOptions,

@@ -16,6 +16,7 @@ from haulframe.functions.names import col
 from haulframe.operators.checks import require, table_violations
 from haulframe.operators.conform import conform
 from haulframe.operators.watermark import above, high_water_mark, mark_literal, mark_type
+from haulframe.plans.ledger import RunLedger
 from haulframe.sources.storage import stage
 from haulframe.sources.tables import Table
 
@@ -64,6 +65,8 @@ class LoadResult:
     rows: int
     watermark: str | None = None
     seconds: float = 0.0
+    # True where an earlier attempt of the same run had loaded the table.
+    resumed: bool = False
 
 
 def incremental_delta(source: Table | DataFrame, target: Table, column: str) -> DataFrame:
@@ -237,12 +240,16 @@ class LoadError(RuntimeError):
 
 
 def load_all(spark: SparkSession, contracts: list[Contract], source, target,
-             options: LoadOptions = LoadOptions(), at_once: int = 4) -> list[LoadResult]:
+             options: LoadOptions = LoadOptions(), at_once: int = 4,
+             ledger: RunLedger | None = None) -> list[LoadResult]:
     """Load every table, each one once its parents are in.
 
     ``source`` and ``target`` map a contract to its table (or frame). Up to ``at_once`` tables
     run side by side as Spark jobs. When a table fails its children are skipped, the rest still
     loads, and ``LoadError`` tells all. Tables in a reference cycle run in the given order.
+
+    With a ``ledger``, what an earlier attempt of its run finished is not loaded again: those
+    results come back as ``resumed``, and only failed, skipped and unknown tables run.
     """
     ordered = in_parent_order(contracts)
     labels = dict(zip([c.key for c in ordered], labels_of(ordered), strict=True))
@@ -253,6 +260,7 @@ def load_all(spark: SparkSession, contracts: list[Contract], source, target,
     if any(place[p] > place[key] for key, above_it in parents.items() for p in above_it):
         at_once = 1
     jobs: dict[tuple[str | None, str], Future] = {}
+    finished = ledger.all_finished() if ledger else lambda contract: None
 
     def run(contract: Contract) -> LoadResult | None:
         # Parents were submitted before, so waiting for them cannot block them.
@@ -263,10 +271,18 @@ def load_all(spark: SparkSession, contracts: list[Contract], source, target,
         label = labels[contract.key]
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", label)
         into = target(contract)
+        noted = finished(contract)
+        if noted and into.exists():
+            return LoadResult(label, noted["kind"], noted["rows"], noted["watermark"],
+                              noted["seconds"], resumed=True)
         wanted = into.enforces_keys if options.enforce is None else options.enforce
         frames = _parent_frames(contract, contracts, target) if wanted else None
-        return load_table(source(contract), into, contract, options=options, parents=frames,
-                          name=label)
+        result = load_table(source(contract), into, contract, options=options, parents=frames,
+                            name=label)
+        if ledger:
+            ledger.note(contract, label, result.kind, result.rows, result.watermark,
+                        result.seconds)
+        return result
 
     with ThreadPoolExecutor(max_workers=at_once) as pool:
         for contract in ordered:

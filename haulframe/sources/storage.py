@@ -61,6 +61,21 @@ class Storage:
     def create_empty(self, path: str) -> None:
         self._fs.create(self._path(path), True).close()
 
+    def write_text(self, path: str, text: str) -> None:
+        out = self._fs.create(self._path(path), True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+    def read_text(self, path: str) -> str:
+        """A small file, whole."""
+        stream = self._fs.open(self._path(path))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def rename(self, source: str, target: str) -> None:
         if not self._fs.rename(self._path(source), self._path(target)):
             raise OSError(f"could not rename {source} to {target}")

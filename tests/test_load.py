@@ -1,4 +1,5 @@
 import datetime as dt
+import shutil
 import warnings
 
 import pytest
@@ -377,3 +378,54 @@ def test_report(spark, source, target):
         results = [hf.load_table(source, target, spec=incremental(), name="t")]
     assert [tuple(r) for r in hf.load_report(spark, results).collect()] == [
         ("t", "incremental", 1, "2024-01-03 00:00:00")]
+
+
+def _families():
+    return [hf.Contract.from_dict({"table": t, "columns": [
+        {"name": "id", "type": "bigint", "primary_key": True},
+        *([{"name": "up", "type": "bigint", "foreign_key": f"{up}(id)"}] if up else [])]})
+        for t, up in (("a", None), ("b", "a"), ("c", "b"), ("d", None))]
+
+
+def test_a_failed_run_resumes_where_it_stopped(spark, tmp_path):
+    ledger = hf.RunLedger(spark, str(tmp_path / "runs"), "night 1/2")
+    declared, read = _families(), []
+
+    def attempt(broken=(), ledger=ledger, contracts=declared):
+        read.clear()
+
+        def source(contract):
+            read.append(contract.table)
+            if contract.table in broken:
+                raise OSError("gone")
+            return spark.sql("SELECT 1L AS id" + (", 1L AS up" * (contract.table in "bc")))
+
+        return {r.table: r for r in hf.load_all(
+            spark, contracts, source, lambda c: hf.PathTable(spark, str(tmp_path / c.table)),
+            ledger=ledger)}
+
+    with pytest.raises(hf.LoadError) as caught:
+        attempt({"b"})
+    assert {r.table for r in caught.value.results} == {"a", "d"}
+    assert caught.value.skipped == ["c"]
+    results = attempt()
+    assert sorted(read) == ["b", "c"]
+    assert {t for t, r in results.items() if r.resumed} == {"a", "d"}
+    assert [(r.kind, r.rows) for r in results.values()] == [("full", 1)] * 4
+    attempt()
+    assert read == []
+    # Another run, a changed contract and a lost target load again; nothing else does.
+    attempt(ledger=hf.RunLedger(spark, str(tmp_path / "runs"), "night 2"))
+    assert sorted(read) == ["a", "b", "c", "d"]
+    changed = [c if c.table != "d" else hf.Contract.from_dict({"table": "d", "columns": [
+        {"name": "id", "type": "bigint"}]}) for c in declared]
+    attempt(contracts=changed)
+    assert read == ["d"]
+    shutil.rmtree(tmp_path / "a")
+    attempt(contracts=changed)
+    assert read == ["a"]
+
+
+def test_a_run_needs_a_name(spark, tmp_path):
+    with pytest.raises(ValueError, match="name"):
+        hf.RunLedger(spark, str(tmp_path), "")
