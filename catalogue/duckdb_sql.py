@@ -201,6 +201,9 @@ SQL = {
     "pk_conflicts":
         f"SELECT o_orderkey FROM {EARLY_ORDERS} "
         "WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'",
+    "pk_conflicts_indexed":
+        f"SELECT o_orderkey, 4 AS indexed, true AS skips FROM {EARLY_ORDERS} "
+        "WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'",
     "constraint_report": CONSTRAINTS,
     "constraint_report_fused": CONSTRAINTS,
     "strip_nul":

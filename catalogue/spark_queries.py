@@ -461,6 +461,25 @@ def pk_conflicts(spark, sf_dir):
     return hf.key_conflicts(recent, at_or_before(orders, "o_orderdate", CUTOFF), ["o_orderkey"])
 
 
+@query
+def pk_conflicts_indexed(spark, sf_dir):
+    """The same by a key index; a delta of one day's orders opens one of four files."""
+    orders = frame(spark, sf_dir, "orders")
+    target = fresh(spark, "orders")
+    for part in range(4):
+        rows = orders.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(4)) == part)
+        target.append(at_or_before(rows, "o_orderdate", CUTOFF).coalesce(1))
+    index = hf.KeyIndex(target, ["o_orderkey"])
+    indexed = index.refresh()
+    low, high = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    last = orders.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(4)) == 3).where(
+        col("o_orderkey").between(low, low + (high - low) // 100))
+    found = index.candidates(last)
+    recent = orders.where(col("o_orderdate") >= F.lit(RECENT).cast("timestamp_ntz"))
+    return index.conflicts(recent).select(
+        "o_orderkey", F.lit(indexed).alias("indexed"), F.lit(found.skipped > 0).alias("skips"))
+
+
 def _report_of(report, spark, sf_dir):
     frames = {t: frame(spark, sf_dir, t) for t in TABLES}
     frames["orders"] = at_or_before(frames["orders"], "o_orderdate", CUTOFF)

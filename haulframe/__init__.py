@@ -50,6 +50,7 @@ from haulframe.plans.summary import contract_rows, contract_summary
 from haulframe.plans.target import create_all, create_namespace, create_table, ensure_target
 from haulframe.session import SETTINGS, configure, sized_settings
 from haulframe.sources.connection import Connection
+from haulframe.sources.keyindex import KeyIndex
 from haulframe.sources.listing import describe, describe_rows, list_catalog_tables, list_tables
 from haulframe.sources.tables import CatalogTable, JdbcTable, PathTable, Written, open_table
 from haulframe.streaming.recurring import load_arrivals, read_arrivals, run_arrivals

@@ -55,6 +55,21 @@ class Storage:
             found.append(walk.next().getPath().toString()[len(base):])
         return found
 
+    def stamps(self, path: str) -> dict[str, tuple[int, int]]:
+        """Size and time of change of the data files at any depth, by their full paths."""
+        found, walk = {}, self._fs.listFiles(self._path(path), True)
+        while walk.hasNext():
+            status = walk.next()
+            if not status.getPath().getName().startswith(("_", ".")):
+                found[status.getPath().toString()] = (status.getLen(),
+                                                      status.getModificationTime())
+        return found
+
+    def spellings(self, paths: list[str]) -> list[str]:
+        """The paths as Spark may spell them: plain, and with odd characters encoded."""
+        encoded = {self._path(p).toUri().toString() for p in paths}
+        return [*paths, *sorted(encoded - set(paths))]
+
     def make_dir(self, path: str) -> None:
         self._fs.mkdirs(self._path(path))
 

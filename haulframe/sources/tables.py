@@ -167,7 +167,7 @@ class PathTable(Table):
         self._storage = Storage(spark, self.path)
 
     @property
-    def _beside(self) -> str:
+    def beside(self) -> str:
         """Prefix of hidden working folders next to the table."""
         parent, slash, name = self.path.rpartition("/")
         return f"{parent}{slash}.{name}"
@@ -207,7 +207,7 @@ class PathTable(Table):
 
     @property
     def _notes(self) -> str:
-        return f"{self._beside}.marks"
+        return f"{self.beside}.marks"
 
     def _noted(self, column: str) -> str | None:
         """Mark the last write left; None where there is no usable note."""
@@ -303,7 +303,7 @@ class PathTable(Table):
 
     @property
     def _appending(self) -> str:
-        return f"{self._beside}.append"
+        return f"{self.beside}.append"
 
     def _stage(self, df: DataFrame, folder: str) -> None:
         self._write(df, folder, "overwrite")
@@ -325,7 +325,7 @@ class PathTable(Table):
         self._storage.delete(folder)
 
     def _swap_in(self, df: DataFrame) -> None:
-        staged, previous = f"{self._beside}.staged", f"{self._beside}.previous"
+        staged, previous = f"{self.beside}.staged", f"{self.beside}.previous"
         self._write(df, staged, "overwrite")
         self._storage.make_dir(staged)
         if self._storage.exists(self.path):
@@ -337,7 +337,7 @@ class PathTable(Table):
     def recover(self) -> None:
         if self.format == "delta":
             return
-        previous = f"{self._beside}.previous"
+        previous = f"{self.beside}.previous"
         if not self._storage.exists(self.path) and self._storage.exists(previous):
             self._storage.rename(previous, self.path)
         if self._is_ready(self._appending):
@@ -356,7 +356,7 @@ class PathTable(Table):
                 out.write.format("delta").mode("append").option("txnAppId", name or "batches")
                 .option("txnVersion", version).save(self.path)))
         stream, _, number = batch.rpartition("-")
-        ledger, staged = f"{self._beside}.batches/{stream}", f"{self._beside}.batch-{batch}"
+        ledger, staged = f"{self.beside}.batches/{stream}", f"{self.beside}.batch-{batch}"
         known = self._storage.list(ledger) if self._storage.is_dir(ledger) else []
         last = max(map(int, known), default=-1)
         if int(number) <= last:
