@@ -114,6 +114,10 @@ SQL = {
     "truncate_target":
         "SELECT count(*) AS seeded, CAST(0 AS BIGINT) AS n, 6 AS columns FROM orders",
     "layout_partitioned": ORDERS,
+    "layout_clustered": "SELECT *, true AS few_files FROM orders",
+    "bucketed_references":
+        "SELECT l_orderkey AS key, count(*) AS rows FROM lineitem WHERE l_orderkey NOT IN "
+        f"(SELECT o_orderkey FROM {EARLY_ORDERS}) GROUP BY l_orderkey",
     "create_target_defaults":
         "SELECT *, 'web' AS c_channel, CAST(1.5 AS DOUBLE) AS c_rating FROM customer",
     "quoted_names": 'SELECT c_custkey AS "the key", c_name AS "full.name", '
@@ -249,6 +253,13 @@ SQL = {
         _misfits("o_custkey", "bigint", "bigint", "BIGINT"),
         _misfits("o_orderstatus", "string", "text", "VARCHAR"),
     ]),
+    "conform_variant":
+        "SELECT event_id, json_type(props) = 'OBJECT' AS is_object, "
+        "json_extract_string(props, '$.k') AS k FROM events",
+    "conform_variant_report": _union([
+        f"SELECT 'events' AS \"table\", '{c}' AS \"column\", 'string' AS from_type, "
+        f"'json' AS to_type, count(*) FILTER (WHERE {c} IS NOT NULL AND NOT json_valid({c})) "
+        "AS failures FROM events" for c in ("event_type", "props")]),
     "default_fill":
         "SELECT *, 7 AS d_int, 'it''s' AS d_text, true AS d_bool, "
         "CAST(1.5 AS DOUBLE) AS d_double, '12.50' AS d_numeric, '2020-02-29' AS d_date "

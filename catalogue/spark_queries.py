@@ -94,6 +94,37 @@ def layout_partitioned(spark, sf_dir):
     return target.read()
 
 
+@query
+def layout_clustered(spark, sf_dir):
+    """Laid out along a curve through customer and date: a range of either opens few files."""
+    target = fresh(spark, "orders", cluster_by=("o_custkey", "o_orderdate"), cluster_files=16)
+    target.append(frame(spark, sf_dir, "orders"))
+    rows = target.read().withColumn("file", F.col("_metadata.file_path"))
+    spans = stage(rows.groupBy("file").agg(
+        *[f(c).alias(f"{n}_{c}") for c in ("o_custkey", "o_orderdate")
+          for n, f in (("low", F.min), ("high", F.max))]), "spans").df
+    middle = rows.agg(*[F.percentile_approx(c, 0.1) for c in ("o_custkey",)]).first()[0]
+    opened = spans.agg(F.count_if(F.col("low_o_custkey") <= middle) * 2 <= F.count(F.lit(1))
+                       ).first()[0]
+    return rows.drop("file").withColumn("few_files", F.lit(opened))
+
+
+@query
+def bucketed_references(spark, sf_dir):
+    """Orphans of lineitem in catalog tables bucketed by the order key: no shuffle of rows."""
+    namespace = f"hf_{uuid4().hex}"
+    hf.create_namespace(spark, namespace, scratch_path(spark, "namespace"))
+    held = {}
+    for table, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        declared = contract(table, schema=namespace, order_by=[key])
+        held[table] = hf.create_table(spark, declared, bucket_by=(key,), buckets=16)
+    orders = frame(spark, sf_dir, "orders")
+    held["orders"].append(at_or_before(orders, "o_orderdate", CUTOFF))
+    held["lineitem"].append(frame(spark, sf_dir, "lineitem"))
+    return hf.fk_orphans(held["lineitem"].read(), "l_orderkey", held["orders"].read(),
+                         "o_orderkey")
+
+
 @query
 def create_target_defaults(spark, sf_dir):
     namespace = f"hf_{uuid4().hex}"
@@ -603,6 +634,26 @@ def conform_report(spark, sf_dir):
     return hf.conform_report(frame(spark, sf_dir, "orders"), declared)
 
 
+@query
+def conform_variant(spark, sf_dir):
+    columns = [c.to_dict() | ({"type": "json"} if c.name == "props" else {})
+               for c in contract("events").columns]
+    declared = hf.Contract.from_dict({"table": "events", "columns": columns})
+    target = fresh(spark, "events")
+    target.append(hf.conform(frame(spark, sf_dir, "events"), declared, variant=True))
+    return target.read().select(
+        "event_id", F.schema_of_variant("props").startswith("OBJECT").alias("is_object"),
+        F.try_variant_get("props", "$.k", "string").alias("k"))
+
+
+@query
+def conform_variant_report(spark, sf_dir):
+    columns = [{"name": "event_type", "type": "json"}, {"name": "props", "type": "json"}]
+    declared = hf.Contract.from_dict({"table": "events", "columns": columns})
+    rows = frame(spark, sf_dir, "events").select("event_type", "props")
+    return hf.conform_report(rows, declared, variant=True)
+
+
 @query
 def default_fill(spark, sf_dir):
     extra = [

@@ -79,9 +79,26 @@ def _source_value(df: DataFrame, name: str, spec: ColumnSpec) -> Column:
     return col(name)
 
 
-def conform(df: DataFrame, contract: Contract, extras: str = "error") -> DataFrame:
+def _is_json(spec: ColumnSpec) -> bool:
+    return base_and_args(spec.type)[0] == "json"
+
+
+def _parsed(value: Column, source: T.DataType) -> Column:
+    """JSON text as a variant; NULL where it is none. A nested value is its own JSON."""
+    if isinstance(source, T.VariantType):
+        return value
+    if isinstance(source, (T.StructType, T.ArrayType, T.MapType)):
+        value = F.to_json(value)
+    return F.try_parse_json(value.cast("string"))
+
+
+def conform(df: DataFrame, contract: Contract, extras: str = "error",
+            variant: bool = False) -> DataFrame:
     """Rows with exactly the contract's columns and types.
 
+    With ``variant``, json columns become variants, which are parsed once and read by path
+    without parsing again; text that is no JSON fails the job.
+
     A value that does not fit its type fails the job. A column the source lacks takes its
     default. Source columns outside the contract fail, or go away with ``extras="drop"``.
     """
@@ -95,6 +112,14 @@ def conform(df: DataFrame, contract: Contract, extras: str = "error") -> DataFra
     for spec in contract.columns:
         if spec.name not in found:
             value = default_column(spec.default, spec.spark_type)
+            if variant and _is_json(spec):
+                value = F.parse_json(value)
+        elif variant and _is_json(spec):
+            value = _parsed(col(found[spec.name]), df.schema[found[spec.name]].dataType)
+            complaint = f"column {spec.name}: no JSON for value "
+            text = col(found[spec.name])
+            value = F.when(text.isNotNull() & value.isNull(), F.raise_error(F.concat(
+                F.lit(complaint), text.cast("string"))).cast("variant")).otherwise(value)
         else:
             value = _source_value(df, found[spec.name], spec)
             if df.schema[found[spec.name]].dataType != spec.spark_type:
@@ -114,15 +139,21 @@ def fill_defaults(df: DataFrame, contract: Contract) -> DataFrame:
     ])
 
 
-def conform_report(df: DataFrame, contract: Contract) -> DataFrame:
-    """Per column, how many values would not fit the contract type. One pass, no failure."""
+def conform_report(df: DataFrame, contract: Contract, variant: bool = False) -> DataFrame:
+    """Per column, how many values would not fit the contract type. One pass, no failure.
+
+    With ``variant``, text in json columns must be JSON.
+    """
     found = match_names(df, [c.name for c in contract.columns])
     specs = [c for c in contract.columns if c.name in found]
-    counts = [
-        F.count_if(~fits(_source_value(df, found[c.name], c), c.spark_type,
-                         df.schema[found[c.name]].dataType)).alias(f"n{i}")
-        for i, c in enumerate(specs)
-    ]
+    counts = []
+    for i, c in enumerate(specs):
+        source = df.schema[found[c.name]].dataType
+        good = fits(_source_value(df, found[c.name], c), c.spark_type, source)
+        if variant and _is_json(c):
+            value = col(found[c.name])
+            good = value.isNull() | _parsed(value, source).isNotNull()
+        counts.append(F.count_if(~good).alias(f"n{i}"))
     labels = [(contract.table, c.name, df.schema[found[c.name]].dataType.simpleString(), c.type)
               for c in specs]
     return unpivot(df.agg(*counts), labels, ("table", "column", "from_type", "to_type"),

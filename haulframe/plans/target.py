@@ -42,7 +42,13 @@ def _sql(spec: ColumnSpec) -> str:
     return default_sql(spec.default)
 
 
-def create_statement(contract: Contract, name: str, fmt: str = "parquet") -> str:
+def create_statement(contract: Contract, name: str, fmt: str = "parquet",
+                     bucket_by: tuple[str, ...] = (), buckets: int = 0) -> str:
+    """``bucket_by`` deals rows into ``buckets`` by a hash of those columns, sorted by the
+    contract's order in each; tables with as many buckets of the same key join without a
+    shuffle."""
+    if bool(bucket_by) != bool(buckets):
+        raise ValueError("buckets need both columns and a number")
     columns = ", ".join(_column_clause(c) for c in contract.columns)
     text = f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING {fmt}"
     generated = [(i, c) for i, c in enumerate(contract.columns) if _filled_at_load(c)]
@@ -51,6 +57,11 @@ def create_statement(contract: Contract, name: str, fmt: str = "parquet") -> str
             f"'{GENERATED}{i}' = '{_sql(c)}'" for i, c in generated))
     if contract.partition_by:
         text += " PARTITIONED BY ({})".format(", ".join(quoted(c) for c in contract.partition_by))
+    if bucket_by:
+        text += " CLUSTERED BY ({})".format(", ".join(quoted(c) for c in bucket_by))
+        if contract.order_by:
+            text += " SORTED BY ({})".format(", ".join(quoted(c) for c in contract.order_by))
+        text += f" INTO {buckets} BUCKETS"
     if contract.description:
         text += " COMMENT '{}'".format(
             contract.description.replace("\\", "\\\\").replace("'", "\\'"))
@@ -58,11 +69,12 @@ def create_statement(contract: Contract, name: str, fmt: str = "parquet") -> str
 
 
 def create_table(spark: SparkSession, contract: Contract, fmt: str = "parquet",
-                 namespace: str | None = None) -> CatalogTable:
+                 namespace: str | None = None, bucket_by: tuple[str, ...] = (),
+                 buckets: int = 0) -> CatalogTable:
     """Catalog table for a contract, if absent; an existing table is left alone."""
     schema = namespace or contract.target_schema()
     name = f"{quoted(schema)}.{quoted(contract.table)}"
-    spark.sql(create_statement(contract, name, fmt))
+    spark.sql(create_statement(contract, name, fmt, bucket_by, buckets))
     return CatalogTable(spark, name)
 
 

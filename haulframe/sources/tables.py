@@ -22,6 +22,7 @@ from haulframe.operators.watermark import (
     max_text,
 )
 from haulframe.sources.connection import LAKES, Connection
+from haulframe.sources.curve import along_curve
 from haulframe.sources.metadata import Facts, read_facts, session
 from haulframe.sources.splits import split_points, split_predicates
 from haulframe.sources.storage import Storage, stage
@@ -141,8 +142,10 @@ class PathTable(Table):
     def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet",
                  contract: Contract | None = None, schema: T.StructType | None = None,
                  partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = (),
-                 direct_append: bool = False, rebalance: bool = True):
-        """``direct_append`` leaves appends to the file system's own committer, for object
+                 direct_append: bool = False, rebalance: bool = True,
+                 cluster_by: tuple[str, ...] = (), cluster_files: int | None = None):
+        """``cluster_by`` lays each write out along a curve through those columns, so that files
+        prune by any of them; ``cluster_files`` is the number of its ranges. ``direct_append`` leaves appends to the file system's own committer, for object
         stores where a rename is a copy and the committer is atomic already. ``rebalance=False``
         saves the shuffle of a partitioned write whose source is laid out alike."""
         self.spark = spark
@@ -159,7 +162,8 @@ class PathTable(Table):
         if self.partition_by and self.schema is None and fmt != "delta":
             # Folder names alone do not tell a partition column's type.
             raise ValueError("a partitioned folder needs a contract or a schema")
-        layout = (*self.partition_by, *self.sort_by)
+        self.cluster_by, self.cluster_files = tuple(cluster_by), cluster_files
+        layout = (*self.partition_by, *self.sort_by, *self.cluster_by)
         unknown = [c for c in layout if self.schema is not None and c not in self.schema.names]
         if unknown:
             raise ValueError(f"layout needs plain column names, not {unknown}")
@@ -256,6 +260,8 @@ class PathTable(Table):
                 for c in self.contract.columns if c.has_default}
 
     def _laid_out(self, df: DataFrame) -> DataFrame:
+        if self.cluster_by:
+            return along_curve(df, self.cluster_by, self.cluster_files, self.partition_by)
         if self.partition_by and self.rebalance:
             # Rebalance rather than repartition: a partition value that holds a large share of
             # the rows is split over several tasks at run time.
@@ -568,6 +574,13 @@ class CatalogTable(Table):
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
+    def _laid_out(self, df: DataFrame) -> DataFrame:
+        """A bucket's rows together, but for those of a bucket too large for a task: otherwise
+        every task would write a file for every bucket."""
+        keys = [c.name for c in self.spark.catalog.listColumns(self.name)
+                if c.isBucket] if self.exists() else []
+        return df.hint("rebalance", *[col(k) for k in keys]) if keys else df
+
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
