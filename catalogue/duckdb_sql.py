@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from catalogue.contracts import TABLES, contract
 
 CUT = "TIMESTAMP '1999-01-01 00:00:00'"
@@ -106,6 +108,42 @@ CONSTRAINTS = _union([
 ])
 
 
+
+def _key_like(table: str) -> list[str]:
+    """Columns that may be keys: neither fractions nor lists."""
+    return [c.name for c in contract(table).columns if not c.type.startswith(("double", "array"))]
+
+
+def _inferred() -> str:
+    """Single keys, pairs in tables without one, and references to single keys by name."""
+    whole = {(t, c): f"(SELECT count(DISTINCT {c}) = count(*) AND count({c}) = count(*) FROM {t})"
+             for t in TABLES for c in _key_like(t)}
+    kinds = {(t, c.name): c.type.replace("bigint", "integer")
+             for t in TABLES for c in contract(t).columns}
+
+    def row(kind, table, columns, parent, key, holds):
+        return (f"SELECT '{kind}' AS kind, '{table}' AS \"table\", '{columns}' AS columns, "
+                f"'{parent}' AS parent, '{key}' AS parent_column WHERE {holds}")
+
+    parts = [row("key", t, c, "", "", holds) for (t, c), holds in whole.items()]
+    for t in TABLES:
+        none = " AND ".join(f"NOT {whole[t, c]}" for c in _key_like(t))
+        parts += [row("key", t, f"{a},{b}", "", "", f"{none} AND (SELECT "
+                      f"count(DISTINCT ({a}, {b})) = count(*) AND count({a}) = count(*) AND "
+                      f"count({b}) = count(*) FROM {t})")
+                  for a, b in combinations(_key_like(t), 2)]
+    for (t, c), _ in whole.items():
+        for (p, k), unique in whole.items():
+            stems = [n.partition("_") for n in (c, k)]
+            short = all(0 < len(s[0]) <= 2 for s in stems) and stems[0][2] == stems[1][2]
+            named = c == k or c in (f"{p}_{k}", f"{p.removesuffix('s')}_{k}") or short
+            if t != p and named and kinds[t, c] == kinds[p, k]:
+                parts.append(row("reference", t, c, p, k, f"{unique} AND NOT EXISTS (SELECT 1 "
+                                 f"FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN "
+                                 f"(SELECT {k} FROM {p}))"))
+    return _union(parts)
+
+
 SQL = {
     "scan_table": "SELECT * FROM lineitem",
     "scan_path_table": "SELECT * FROM events",
@@ -269,6 +307,7 @@ SQL = {
     "describe_tables": _union([
         _count_nulls(t, i + 1, c.name, c.type)
         for t in TABLES for i, c in enumerate(contract(t).columns)]),
+    "infer_keys": _inferred(),
     "infer_watermarks": _union([
         f"SELECT '{t}' AS \"table\", 'incremental' AS mode, '{MARKS[t]}' AS watermark_column, "
         f"CAST(max({MARKS[t]}) AS VARCHAR) AS watermark FROM {t}" if t in MARKS else

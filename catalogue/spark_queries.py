@@ -711,3 +711,10 @@ def infer_watermarks(spark, sf_dir):
 def contract_summary(spark, sf_dir):
     frames = {t: frame(spark, sf_dir, t) for t in TABLES}
     return hf.contract_summary(spark, contracts(), frames).drop("schema")
+
+
+@query
+def infer_keys(spark, sf_dir):
+    """Keys and named references of the given tables, from their rows alone."""
+    found = hf.infer_keys({t: frame(spark, sf_dir, t) for t in TABLES})
+    return found.where("kind = 'key' or named").drop("named").fillna("")

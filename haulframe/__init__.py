@@ -24,6 +24,7 @@ from haulframe.operators.checks import (
     unique_violations,
 )
 from haulframe.operators.conform import conform, conform_report, fill_defaults
+from haulframe.operators.inferred import infer_keys, with_inferred
 from haulframe.operators.reconcile import reconcile_by_digest
 from haulframe.operators.references import (
     fk_invalid_rows,

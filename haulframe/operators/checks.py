@@ -181,15 +181,15 @@ def constraint_report_fused(frames: dict[str, DataFrame],
         for constraint, keys in groups:
             if all(k in df.columns for k in keys):
                 number = tag(contract.table, constraint, ",".join(keys), _REPEATED)
-                out.append(_emit_key(df, keys, number))
+                out.append(emit_key(df, keys, number))
         for name, key in contract.foreign_keys:
             if name in df.columns and key.table in frames:
                 number = tag(contract.table, "foreign_key", name, _CHILD)
                 kinds = [df.schema[name].dataType, frames[key.table].schema[key.column].dataType]
                 wide = _common_type(df.sparkSession, *kinds)
-                out.append(_emit_key(df, [name], number, wide))
+                out.append(emit_key(df, [name], number, wide))
                 emitted.setdefault(key.table, []).append(
-                    _emit_key(frames[key.table], [key.column], number, wide, parent=True))
+                    emit_key(frames[key.table], [key.column], number, wide, parent=True))
     if not labels:
         raise ValueError("the contracts declare nothing to check on the given tables")
     rows = [frames[t].select(F.explode(F.array_compact(F.array(*out))).alias("_e"))
@@ -214,7 +214,7 @@ def _emit(number: int, key: Column | None = None, parent: bool = False) -> Colum
                     F.lit(1 if parent else 0).cast("long").alias("offered"))
 
 
-def _emit_key(df: DataFrame, keys: list[str], number: int, as_type: T.DataType | None = None,
+def emit_key(df: DataFrame, keys: list[str], number: int, as_type: T.DataType | None = None,
               parent: bool = False) -> Column:
     """The tagged key of a row that has one, as text that is equal only for equal keys."""
     present = reduce(lambda a, b: a & b, [col(k).isNotNull() for k in keys])
