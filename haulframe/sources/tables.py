@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+import warnings
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
@@ -25,7 +27,7 @@ from haulframe.sources.connection import LAKES, Connection
 from haulframe.sources.curve import along_curve
 from haulframe.sources.metadata import Facts, read_facts, session
 from haulframe.sources.splits import split_points, split_predicates
-from haulframe.sources.storage import Storage, stage
+from haulframe.sources.storage import Storage, scratch_path, stage
 
 # Connections a load opens to a database, reading or writing, unless told otherwise.
 TASKS = 16
@@ -36,6 +38,8 @@ RENAMES_AT_ONCE = 16
 GENERATED = "haulframe.generated."
 # Marker of a folder whose rows are complete.
 READY = "_READY"
+# Columns of a load's own database table: a row's place in the files the load wrote before.
+PLACE = ("hf_file", "hf_row")
 
 
 @dataclass(frozen=True)
@@ -393,15 +397,22 @@ class JdbcTable(Table):
     ``write_tasks`` connections; None leaves the rows in the tasks they come in.
     """
 
+    # With ``atomic`` a load is one transaction. Its tasks fill a table of its own, each row with
+    # its place in files written before, so rows that a repeated task inserts again are copies of
+    # the first; then one INSERT ... SELECT DISTINCT moves them, after a DELETE in the same
+    # transaction where the load replaces. Readers see all rows of a load or none, a failed load
+    # leaves the table as it was, and verifying is not needed.
+
     rereadable = False
 
     def __init__(self, spark: SparkSession, connection: Connection, table: str,
                  schema: str | None = None, partition_column: str | None = None,
                  partitions: int = 1, write_tasks: int | None = TASKS, hashed: bool = False,
                  column_types: str | None = None, create_options: str | None = None,
-                 verify: bool = False, equal_depth: bool = False):
+                 verify: bool = False, equal_depth: bool = False, atomic: bool = False):
         self.spark = spark
         self.verify = verify
+        self.atomic = atomic
         self.equal_depth = equal_depth
         self.create_options = create_options
         self.connection = connection
@@ -508,13 +519,13 @@ class JdbcTable(Table):
         found = match_names(df, schema.names)
         return align(df, T.StructType([f for f in schema.fields if f.name in found]))
 
-    def _writer(self, df: DataFrame, mode: str):
+    def _writer(self, df: DataFrame, mode: str, into: str | None = None):
         writer = df.write.format("jdbc").mode(mode).options(**self.connection.jdbc_options())
         if self.column_types:
             writer = writer.option("createTableColumnTypes", self.column_types)
-        if self.create_options:
+        if self.create_options and into is None:
             writer = writer.option("createTableOptions", self.create_options)
-        return writer.option("dbtable", self._dbtable)
+        return writer.option("dbtable", into or self._dbtable)
 
     def append(self, df: DataFrame, mark_column: str | None = None,
                schema: T.StructType | None = None) -> Written:
@@ -537,9 +548,33 @@ class JdbcTable(Table):
         return written
 
     def _append(self, df: DataFrame) -> None:
-        self._writer(df, "append").save()
+        if self.atomic:
+            self._move(df, empty_first=False)
+        else:
+            self._writer(df, "append").save()
+
+    def _move(self, df: DataFrame, empty_first: bool) -> None:
+        """Load the rows in one transaction."""
+        path = scratch_path(self.spark, "moving")
+        df.write.parquet(path)  # also counts the rows once
+        names = df.columns
+        rows = self.spark.read.schema(df.schema).parquet(path).select(
+            F.xxhash64("_metadata.file_name").alias(PLACE[0]),
+            F.col("_metadata.row_index").alias(PLACE[1]), *[col(n) for n in names])
+        if not self.exists():
+            self._writer(self.spark.createDataFrame([], df.schema), "append").save()
+        staging = self.connection.qualified(f"hf_load_{uuid.uuid4().hex[:20]}", self.schema)
+        try:
+            self._writer(self._laid_out(rows), "append", staging).save()
+            self._execute(*move_statements(self.connection, self._dbtable, staging, names,
+                                           empty_first))
+        finally:
+            self._execute_quietly(f"DROP TABLE {staging}")
 
     def _replace(self, df: DataFrame) -> None:
+        if self.atomic:
+            self._move(df, empty_first=True)
+            return
         # Emptying keeps the table's own column types; a drop would not. Not one transaction.
         if self.exists():
             self._empty(df)
@@ -553,10 +588,27 @@ class JdbcTable(Table):
         except (PySparkException, Py4JJavaError):
             self._execute(f"DELETE FROM {self._dbtable}")
 
-    def _execute(self, statement: str) -> None:
-        """Run one statement in the database, from the driver."""
+    def _execute(self, *statements: str) -> None:
+        """Run statements in the database, from the driver; several as one transaction."""
         with session(self.spark, self.connection.jdbc_options()) as opened:
-            opened.createStatement().executeUpdate(statement)
+            if len(statements) > 1:
+                opened.setAutoCommit(False)
+            try:
+                for statement in statements:
+                    opened.createStatement().executeUpdate(statement)
+                if len(statements) > 1:
+                    opened.commit()
+            except Py4JJavaError:
+                if len(statements) > 1:
+                    opened.rollback()
+                raise
+
+    def _execute_quietly(self, statement: str) -> None:
+        """Clean up; a failure here must not hide the load's own."""
+        try:
+            self._execute(statement)
+        except Py4JJavaError as problem:
+            warnings.warn(f"{statement}: {problem.java_exception.getMessage()}", stacklevel=2)
 
     def facts(self) -> Facts:
         """Keys, uniques, references and defaults, from the database's metadata."""
@@ -621,6 +673,16 @@ class CatalogTable(Table):
         self.spark.sql(f"INSERT {verb} {self.name} BY NAME SELECT * FROM {{rows}}", rows=df)
 
 
+def move_statements(connection: Connection, target: str, staging: str, names: list[str],
+                    empty_first: bool) -> list[str]:
+    """Statements that move a load's rows to their table, each place of a row once."""
+    listed = ", ".join(connection.quoted(n) for n in names)
+    places = ", ".join(connection.quoted(n) for n in PLACE)
+    moved = (f"INSERT INTO {target} ({listed}) SELECT {listed} FROM "
+             f"(SELECT DISTINCT {places}, {listed} FROM {staging}) moved")
+    return [f"DELETE FROM {target}", moved] if empty_first else [moved]
+
+
 def open_table(spark: SparkSession, connection: Connection, table: str,
                contract: Contract | None = None, source: bool = False, **options) -> Table:
     """Table of a connection.
