@@ -10,7 +10,9 @@ the search ends when no active phrase has shards left.
 Tasks know active phrases from a table of a fixed number of slots: a phrase is hashed to two of
 them, and each slot keeps the first step after which a phrase in it was frequent. Slots only ever
 fill, so a phrase that enters by chance (of its hashes) also stays for one full cycle: false
-entries cost time, and change no count. Counts are exact and kept by the phrase's words, in a
+entries cost time, and change no count. Words are told the same way: while texts are split, every
+task adds its words' counts up by hash, and a word whose slot stays below the threshold in all tasks
+together cannot be frequent and is not counted. Counts are exact and kept by the phrase's words, in a
 written table that one shuffle a step brings up to date; what has completed its cycle below the
 threshold leaves it.
 
@@ -39,6 +41,11 @@ NEVER = 255
 # Text that is counted together.
 RUN_BYTES = 6 * 1024**2
 SALTS = 64
+# Slots of the counts of words by hash (one byte each, full at 255), and parts they are summed in.
+WORD_SLOTS = 2**23
+WORD_PARTS = 64
+# Shard of the rows that hold such counts.
+COUNTED = -1
 BREAKS = r"[.,;:!?\n\x0b\x0c\r]"
 # A run's words, joined by spaces, with their hashes, the numbers of its words in a row (-1 between pieces),
 # and the length and language of each text.
@@ -72,12 +79,13 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, lang_col: str = "
      .write.options(**RUN_FILES).parquet(path))
     runs = spark.read.schema(RUNS).parquet(path)
     ages = np.full(slots, NEVER, np.uint8)
+    likely = spark.sparkContext.broadcast(_likely_words(runs, threshold))
     counted = None
     step, end = 0, shards
     while step < end:
         shared = spark.sparkContext.broadcast(ages)
         scan = runs.filter(F.col("shard") == step % shards).drop("shard")
-        found = (scan.mapInArrow(_counter(shared, step, shards, longest), COUNTS)
+        found = (scan.mapInArrow(_counter(shared, likely, step, shards, longest), COUNTS)
                  .withColumn("first", F.lit(step)).withColumn("reached", F.lit(None).cast("int")))
         if counted is not None:
             found = found.unionByName(counted)
@@ -96,6 +104,7 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, lang_col: str = "
             ages[fresh] = np.minimum(ages[fresh], step + 1)
             end = max(end, step + 1 + shards)
         step += 1
+    likely.destroy()
     return counted.filter((F.col("n") >= threshold) | (F.col("k") == 0)).select(
         "lang", "phrase", "k", "n")
 
@@ -148,27 +157,81 @@ def _splitter(shards: int, run_bytes: int):
 
         take_over("phrases")
         shard = TaskContext.get().partitionId()
+        tally = np.zeros(WORD_SLOTS, np.uint32)
         texts, langs, held = [], [], 0
         for batch in batches:
             texts.append(batch["text"])
             langs.append(batch["lang"])
             held += batch["text"].nbytes
             if held >= run_bytes:
-                yield from written(texts, langs, shard % shards)
+                yield from written(texts, langs, shard % shards, tally)
                 texts, langs, held = [], [], 0
                 shard += 1
         if texts:
-            yield from written(texts, langs, shard % shards)
+            yield from written(texts, langs, shard % shards, tally)
 
-    def written(texts, langs, shard):
+        if tally.any():
+            yield _tally_row(tally)
+
+    def written(texts, langs, shard, tally):
         run = _Run(pa.concat_arrays(texts), pa.concat_arrays(langs))
         if run.word.any():
+            lang, ids, n = run.word_counts()
+            np.add.at(tally, run.word_slots(lang, ids), n.astype(np.uint32))
             yield run.row(shard)
 
     return split
 
 
-def _counter(shared, step: int, shards: int, longest: int):
+def _tally_row(tally: np.ndarray) -> pa.RecordBatch:
+    """A task's counts of words by hash, as a row of ``RUNS`` without words."""
+    held = np.minimum(tally, 255).astype(np.uint8)
+    none = pa.array([b""], pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([COUNTED], pa.int32()), pa.array([""]), pa.array([held.tobytes()], pa.binary()),
+         none, pa.array([[]], pa.list_(pa.string())), none, none],
+        names=["shard", "words", "hashes", "ids", "langs", "lengths", "text_langs"])
+
+
+def _likely_words(runs: DataFrame, threshold: int) -> np.ndarray:
+    """For each slot of words, whether all tasks together counted as often as the threshold: what
+    is clipped at 255 has reached it as far as this can tell."""
+    wide = WORD_SLOTS // WORD_PARTS
+
+    def added(batches):
+        """A partition's counts in parts."""
+        total = np.zeros(WORD_SLOTS, np.uint32)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                total += np.frombuffer(batch["hashes"][i].as_buffer(), np.uint8)
+        if total.any():
+            parts = np.minimum(total, 255).astype(np.uint8).reshape(WORD_PARTS, wide)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(WORD_PARTS), pa.int32()),
+                 pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
+
+    def decided(batches):
+        """The slots of some parts that are full enough, as bits."""
+        totals = {}
+        for batch in batches:
+            for i, part in enumerate(batch["part"].to_pylist()):
+                total = totals.setdefault(part, np.zeros(wide, np.uint32))
+                total += np.frombuffer(batch["counts"][i].as_buffer(), np.uint8)
+        bits = [np.packbits(t >= min(threshold, 255)).tobytes() for t in totals.values()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(totals), pa.int32()), pa.array(bits, pa.binary())],
+            names=["part", "counts"])
+
+    schema = "part int, counts binary"
+    found = (runs.filter(F.col("shard") == COUNTED).select("hashes").mapInArrow(added, schema)
+             .repartition(WORD_PARTS, "part").mapInArrow(decided, schema).toArrow())
+    likely = np.zeros(WORD_SLOTS, bool)
+    for part, bits in zip(found["part"].to_pylist(), found["counts"].to_pylist(), strict=True):
+        likely[part * wide:(part + 1) * wide] = np.unpackbits(np.frombuffer(bits, np.uint8))
+    return likely
+
+
+def _counter(shared, likely, step: int, shards: int, longest: int):
     """Counts the active phrases of a task's runs."""
     def count(batches):
         take_over("phrases")
@@ -179,7 +242,7 @@ def _counter(shared, step: int, shards: int, longest: int):
     def counted(run, ages):
         if step < shards:
             yield run.totals()
-            yield run.singles()
+            yield run.singles(likely.value)
         h = run.first
         reached = run.reached(h, np.flatnonzero(run.word), ages)
         for k in range(2, longest + 1):
@@ -270,8 +333,8 @@ class _Run:
         n = np.bincount(self.lang[self.word], minlength=len(self.langs))
         return _rows(self.langs, pa.array([""] * len(self.langs)), 0, n)
 
-    def singles(self) -> pa.RecordBatch:
-        """All words with their counts; the words of a language stand together once sorted."""
+    def word_counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language, number and count of all words; those of a language stand together."""
         keys = self.lang[self.word].astype(np.int64) * len(self.words) + self.ids[self.word]
         if len(self.langs) * len(self.words) <= 4 * len(keys):
             n = np.bincount(keys)
@@ -279,7 +342,19 @@ class _Run:
             n = n[keys]
         else:
             keys, n = np.unique(keys, return_counts=True)
-        lang, ids = np.divmod(keys, len(self.words))
+        return *np.divmod(keys, len(self.words)), n
+
+    def word_slots(self, lang: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        seeds = np.array([word_hash(x) for x in self.langs.to_pylist()], np.uint64)
+        h = _mixed(self.hashes_of[ids] ^ seeds[lang])
+        return (h >> np.uint64(13) & np.uint64(WORD_SLOTS - 1)).astype(np.int64)
+
+    def singles(self, likely: np.ndarray | None = None) -> pa.RecordBatch:
+        """The words that may be frequent (all, if not told), with their counts."""
+        lang, ids, n = self.word_counts()
+        if likely is not None:
+            kept = likely[self.word_slots(lang, ids)]
+            lang, ids, n = lang[kept], ids[kept], n[kept]
         return _rows(self.langs.take(pa.array(lang)), self.words.take(pa.array(ids)), 1, n)
 
     def summed(self, places: np.ndarray, h: np.ndarray, k: int) -> pa.RecordBatch:
