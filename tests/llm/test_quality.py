@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 from conftest_llm import rows_of
 
-from haulframe.llm.quality_forest import STATS, anomaly, grow, quality, ratios
+from haulframe.llm.quality_forest import STATS, anomaly, grow, quality, ratios, statistics
 
 BASE = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed")
@@ -56,3 +56,10 @@ def test_isolation_depth():
     assert scores[0] < 0.5 < scores[1]
     assert anomaly(grow(rows[:0]), rows).tolist() == [0.0] * 500
     assert np.isfinite(ratios(np.zeros((2, len(STATS))))).all()
+
+
+def test_statistics_work_in_a_worker_that_served_another_operator(spark):
+    """Counting takes a worker over by a name that the module must have imported."""
+    docs = spark.createDataFrame([(1, "a b\na b"), (2, None)], "doc_id long, text string")
+    found = rows_of(statistics(docs), "_id", "n_words", "n_dup_lines")
+    assert sorted(found) == [(1, 4, 1), (2, 0, 0)]
