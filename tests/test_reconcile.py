@@ -102,3 +102,13 @@ def test_splits_hold_every_row_once(spark):
         "d", points, days.schema["d"].dataType)) == 100
     with pytest.raises(ValueError, match="no quantiles"):
         split_points(spark.createDataFrame([], "s string"), "s", 2)
+
+
+def test_equal_depth_of_cubes_beyond_64_bits(spark, tmp_path):
+    from catalogue.spark_queries import QUERIES
+
+    rows = spark.range(0, 9_000_000, 9_000).select(
+        F.col("id").alias("l_orderkey"), F.lit(2.0).alias("l_quantity"))
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = QUERIES["read_equal_depth"](spark, str(tmp_path)).first()
+    assert tuple(found) == (8, 1000, 2000.0, True)
