@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from haulframe.contract import Contract, ForeignKey
 from haulframe.functions.names import col
-from haulframe.operators.checks import emit_key
 
 # Size of the distinct-count sketches (2 to the 12 registers: an error of 1.6 %), and the share of
 # rows a key's estimate must reach: six times that error below all of them.
@@ -18,6 +17,8 @@ SKETCH = 12
 NEARLY_ALL = 0.9
 # Pairs of columns that one scan sketches.
 PAIRS_AT_ONCE = 64
+# Slices of a pair's key space, of which the first is looked at before all.
+SLICES = 64
 # Bits of a mask of columns; a sign bit is left out.
 MASK = 63
 FOUND = "kind string, table string, columns string, parent string, parent_column string, named boolean"
@@ -35,9 +36,9 @@ def infer_keys(frames: dict[str, DataFrame], pairs: bool = True) -> DataFrame:
     show nothing. Numbers with fractions and nested columns are no keys.
 
     Each table is read by one pass of distinct-count sketches, which leaves out most columns, and
-    one that tests what is left; another pass over the columns that may refer tests all pairs of
+    one that tests what is left; another pass over each column that may refer tests all pairs of
     columns at once: every value becomes the set of columns that hold it, so one shuffle of
-    distinct values serves all references. Hot values are one row a task by then.
+    distinct values for each kind serves all references. Hot values are one row a task by then.
     """
     spark = next(iter(frames.values())).sparkSession
     known = {t: _sketched(df) for t, df in frames.items()}
@@ -132,23 +133,42 @@ def _distinct(*names: str) -> Column:
 
 def _tested(frames: dict[str, DataFrame],
             groups: dict[str, list[tuple[str, ...]]]) -> dict[str, list[tuple[str, ...]]]:
-    """The groups of columns that never repeat: one scan a table, one shuffle for all."""
-    numbered = [(t, g) for t, found in groups.items() for g in found]
-    if not numbered:
-        return {t: [] for t in groups}
-    emitted = []
-    for table in dict.fromkeys(t for t, _ in numbered):
-        df = frames[table]
-        tagged = [emit_key(df, list(g), i) for i, (t, g) in enumerate(numbered) if t == table]
-        emitted.append(df.select(F.explode(F.array(*tagged)).alias("e"))
-                       .select("e.number", "e.key"))
-    repeated = (reduce(DataFrame.unionAll, emitted).groupBy("number", "key")
-                .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("number").distinct())
-    broken = {r[0] for r in repeated.collect()}
-    return {t: [g for i, (u, g) in enumerate(numbered) if u == t and i not in broken]
+    """The groups of columns that never repeat: one shuffle a group.
+
+    Columns that are only together nearly all distinct seldom are a key, so a slice of their key
+    space, with every row of the keys in it, is looked at before all of it: one repeat refutes.
+    """
+    numbered = {i: (t, g) for i, (t, g) in enumerate((t, g) for t, found in groups.items()
+                                                     for g in found)}
+    broken = _repeated(frames, {i: n for i, n in numbered.items() if len(n[1]) > 1}, SLICES)
+    broken |= _repeated(frames, {i: n for i, n in numbered.items() if i not in broken})
+    return {t: [g for i, (u, g) in numbered.items() if u == t and i not in broken]
             for t in groups}
 
 
+def _repeated(frames: dict[str, DataFrame], numbered: dict[int, tuple[str, tuple[str, ...]]],
+              slices: int = 1) -> set[int]:
+    """Numbers of the groups of columns that repeat in the first of so many slices of keys."""
+    found = []
+    for number, (table, group) in numbered.items():
+        df = frames[table]
+        keys = [f"k{i}" for i in range(len(group))]
+        rows = df.select(*[_plain(df, c).alias(k) for c, k in zip(group, keys)]).dropna()
+        if slices > 1:
+            rows = rows.where(F.pmod(F.xxhash64(*keys), F.lit(slices)) == 0)
+        found.append(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                     .select(F.lit(number).alias("number")))
+    return {r[0] for r in reduce(DataFrame.unionAll, found).distinct().collect()} if found else set()
+
+
+def _plain(df: DataFrame, name: str) -> Column:
+    """The values of a column in the widest type of its kind."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.IntegralType):
+        return col(name).cast("long")
+    return col(name).cast("string") if isinstance(kind, T.StringType) else col(name)
+
+
 def _included(frames: dict[str, DataFrame], refers: list) -> list:
     """The pairs of columns of which the first has no value the second lacks."""
     if not refers:
@@ -156,23 +176,18 @@ def _included(frames: dict[str, DataFrame], refers: list) -> list:
     columns = list(dict.fromkeys(c for pair in refers for c in pair))
     number = {c: i for i, c in enumerate(columns)}
     masks = [f"m{i}" for i in range(-(-len(columns) // MASK))]
-    values = []
-    for table in dict.fromkeys(t for t, _ in columns):
+    values = {}
+    for (table, name), i in number.items():
         df = frames[table]
-        held = []
-        for t, name in columns:
-            if t != table:
-                continue
-            word, bit = divmod(number[t, name], MASK)
-            held.append(F.when(col(name).isNotNull(), F.struct(
-                F.lit(_kind(df.schema[name].dataType)).alias("kind"),
-                col(name).cast("string").alias("value"),
-                *[F.lit(1 << bit if i == word else 0).cast("long").alias(m)
-                  for i, m in enumerate(masks)])))
-        values.append(df.select(F.explode(F.array_compact(F.array(*held))).alias("v"))
-                      .select("v.*"))
-    holders = (reduce(DataFrame.unionAll, values).groupBy("kind", "value")
-               .agg(*[F.bit_or(m).alias(m) for m in masks]).select(*masks).distinct())
+        word, bit = divmod(i, MASK)
+        values.setdefault(_kind(df.schema[name].dataType), []).append(
+            df.select(_plain(df, name).alias("value"),
+                      *[F.lit(1 << bit if j == word else 0).cast("long").alias(m)
+                        for j, m in enumerate(masks)]).where("value is not null"))
+    holders = reduce(DataFrame.unionAll, [
+        reduce(DataFrame.unionAll, held).groupBy("value").agg(*[F.bit_or(m).alias(m)
+                                                               for m in masks]).select(*masks)
+        for held in values.values()]).distinct()
 
     def bit(which):
         word, at = divmod(which, MASK)

@@ -4,6 +4,7 @@ from itertools import combinations
 import pytest
 
 import haulframe as hf
+from haulframe.operators import inferred
 
 
 def found(frames, **options):
@@ -83,3 +84,15 @@ def test_more_columns_than_a_mask_holds(spark):
     fewer = [r for r in found({"wide": wide.union(wide), "ids": ids.where("k < 66")},
                                  pairs=False) if r[0] == "reference"]
     assert {r[2] for r in fewer} == {f"c{i}" for i in range(65)}
+
+
+def test_pairs_are_refuted_by_a_slice_of_keys_and_confirmed_by_all(spark):
+    """One repeat anywhere refutes; many repeats are found without reading all keys."""
+    once = [(a, a % 7) for a in range(2000)]
+    for extra, often in (([], False), ([once[0]], False), (once, True)):
+        frames = {"t": spark.createDataFrame(once + extra, "a long, b int")}
+        groups = {0: ("t", ("a", "b"))}
+        assert not often or inferred._repeated(frames, groups, inferred.SLICES) == {0}
+        assert inferred._repeated(frames, groups) == ({0} if extra else set())
+        want = [] if extra else [("a", "b")]
+        assert inferred._tested(frames, {"t": [("a", "b")]}) == {"t": want}
