@@ -7,7 +7,7 @@ target weights of their sources, and packing lays the tokens of what is left int
 
 from __future__ import annotations
 
-from haulframe.llm.common import documents
+from haulframe.llm.common import documents, prepare_python
 from haulframe.llm.exact_dedup import drop_exact_copies
 from haulframe.llm.language_id import drop_rejected
 from haulframe.llm.mixing import mixed_documents
@@ -38,9 +38,14 @@ def mixing(spark, docs, sf_dir):
 
 def best_fit_packing(spark, docs, sf_dir):
     """The pieces of all documents and their places in sequences of 2048 tokens."""
-    return pack(docs, capacity=2048)
+    return pack(docs, capacity=2048, kept=KEPT_CHUNKS)
 
 
+# Executors serve all stages in turn, so each is given less memory than alone: bytes of text handed
+# to Python at once, and chunks whose ids a worker remembers.
+ARROW_BYTES = 1024**2
+KEPT_CHUNKS = 150_000
+
 STAGES = [
     ("language_id", language_id),
     ("exact_dedup", exact_dedup),
@@ -55,6 +60,7 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """Apply the stages to ``documents``, each written as Parquet and read again."""
+    prepare_python(spark, ARROW_BYTES)
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)

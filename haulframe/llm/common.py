@@ -136,7 +136,7 @@ def take_over(name: str, release: Callable[[], None] = lambda: None) -> None:
         trim(0)
 
 
-def prepare_python(spark: SparkSession) -> None:
+def prepare_python(spark: SparkSession, most: int = ARROW_BYTES) -> None:
     """Bound what Python workers get at once, and let them import this package.
 
     Arrow batches are bounded by bytes unless the session has a tighter bound: rows are counted
@@ -145,8 +145,8 @@ def prepare_python(spark: SparkSession) -> None:
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     given = spark.conf.get(key).removesuffix("b")
-    if given.isdigit() and int(given) > ARROW_BYTES:
-        spark.conf.set(key, str(ARROW_BYTES))
+    if given.isdigit() and int(given) > most:
+        spark.conf.set(key, str(most))
     root = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment
     for name, value in GIVE_BACK.items():

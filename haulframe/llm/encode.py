@@ -68,20 +68,20 @@ def default_path() -> str:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, kept: int | None) -> Encoder:
+    return Encoder(path, kept)
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, kept: int | None = None) -> Encoder:
     """This worker's encoder; kept between tasks, until another operator works here."""
     take_over("encode", _encoder.cache_clear)
-    return _encoder(path or default_path())
+    return _encoder(path or default_path(), kept)
 
 
 class Encoder:
-    """Chunk ids, cached in flat arrays."""
+    """Chunk ids, cached in flat arrays; ``kept`` chunks at most stay beyond a slice."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -102,6 +102,7 @@ class Encoder:
         # Chunks beyond the bounds, and the ids in use before them.
         self.passing: list[str] = []
         self.kept_ids = 0
+        self.kept = KEPT_CHUNKS if kept is None else kept
 
     def slices(self, texts: pa.Array):
         """Runs of texts of bounded bytes, as (first, last + 1)."""
@@ -246,7 +247,7 @@ class Encoder:
         self.used += len(ids)
         self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
         self.chars += sum(map(len, chunks))
-        if self.kind == "whole" or first + len(chunks) > KEPT_CHUNKS or self.chars > KEPT_CHARS:
+        if self.kind == "whole" or first + len(chunks) > self.kept or self.chars > KEPT_CHARS:
             self.passing += chunks
             self.chars -= sum(map(len, chunks))
         else:

@@ -32,15 +32,16 @@ END_ID = 0
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id",
          text_col: str = "text", tokenizer: str | None = None,
-         with_ids: bool = False) -> DataFrame:
+         with_ids: bool = False, kept: int | None = None) -> DataFrame:
     """One row per piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset.
 
     Documents longer than ``capacity`` are cut into pieces of ``capacity`` ids, of which the
     first may be shorter. ``with_ids`` adds ``ids``, the piece as little-endian 32-bit numbers.
+    A worker remembers the ids of ``kept`` chunks: fewer take less memory and more time.
     """
     prepare_python(docs.sparkSession)
-    cut = stage(_pieces(docs, capacity, end_id, id_col, text_col, tokenizer, with_ids),
-                "pieces").df
+    cut = stage(_pieces(docs, capacity, end_id, id_col, text_col, tokenizer, with_ids,
+                        kept), "pieces").df
     counts = [0] * (capacity + 1)
     for row in cut.groupBy("length").count().collect():
         counts[row["length"]] = row["count"]
@@ -50,9 +51,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, id_col
     return _placed(ranked, runs, id_col, with_ids)
 
 
-def _pieces(docs, capacity, end_id, id_col, text_col, tokenizer, with_ids) -> DataFrame:
+def _pieces(docs, capacity, end_id, id_col, text_col, tokenizer, with_ids, kept) -> DataFrame:
     def cut(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, kept)
         for batch in batches:
             first = 0
             for flat, offsets in enc.ids(batch["text"], end_id):

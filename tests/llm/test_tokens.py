@@ -106,3 +106,14 @@ def test_pieces_give_back_the_documents(library, edge_docs, no_docs):
             at += length
         assert at <= 2048
     assert pack(no_docs).count() == 0
+
+
+def test_a_worker_may_remember_fewer_chunks(library, edge_docs):
+    texts = pa.array([t or "" for _, t in rows_of(edge_docs, "doc_id", "text")])
+    few = Encoder(default_path(), kept=10)
+    for _ in range(2):
+        assert few.lengths(texts).tolist() == [len(library(t)) for t in texts.to_pylist()]
+    assert len(few.known) - len(few.passing) <= 10
+    rows = [rows_of(pack(edge_docs, **o), "doc_id", "piece", "length", "ids_crc32")
+            for o in ({}, {"kept": 10})]
+    assert sorted(rows[0], key=str) == sorted(rows[1], key=str)
