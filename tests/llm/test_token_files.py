@@ -73,3 +73,16 @@ def test_files_give_back_the_documents(spark, library, given, edge_docs, no_docs
             {k: n for k, n in want.items() if k[0] in (4, 7)})
     assert token_file_report(no_docs).count() == 0
     assert read_documents(index, []).count() == 0
+
+
+def test_a_word_and_its_marks_are_chunks_apart():
+    """A word is learned once, whatever mark follows it; ids are the library's."""
+    path = token_files.default_path()
+    whole = Tokenizer.from_file(path)
+    texts = ["word word, word. word; Word!? word... it's, a.b",
+             "\u00c9t\u00e9, \u00e9t\u00e9. e\u0301, 1,5 x,y"]
+    enc = Encoder(path)
+    got = [flat[o[i]:o[i + 1]].tolist() for flat, o in enc.ids(pa.array(texts))
+           for i in range(len(o) - 1)]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert "word," not in enc.known and "word" in enc.known
