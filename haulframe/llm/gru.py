@@ -1,15 +1,17 @@
 """A gated recurrent language model in numpy: forward, truncated backpropagation, scoring.
 
-Symbols: the words of the vocabulary and the end, in classes of ``CLASS`` words each, then one
-symbol for each tail class, then the beginning. The output softmax is factored: first a class,
-then, for the vocabulary, a word of the class. Documents run through lanes one after another;
-a lane's state is carried from window to window and set to zero where a document begins.
+Symbols: the words of the vocabulary and the end, then one symbol for each tail class, both in
+classes of ``CLASS`` symbols each, then the beginning. The output softmax is factored: first a
+class, then a symbol of the class. Documents run through lanes one after another; a lane's state
+is carried from window to window and set to zero where a document begins.
+
+Inside a window arrays lie by step, then by feature, with the lanes in their rows: parts of the
+gates are then contiguous, sums over features run along whole rows, and a step stays in the cache.
 """
 
 from __future__ import annotations
 
 import heapq
-from itertools import pairwise
 
 import numpy as np
 
@@ -19,6 +21,9 @@ HIDDEN = 24
 SEGMENT = 256
 LOG10 = float(np.log(10))
 NEVER = np.float32(-1e9)
+# Lanes that scoring takes even beside a very long document, and places of its windows.
+FEWEST = 32
+PLACES = 4096
 # Logits of this size are safe in single precision.
 HIGH = 60.0
 
@@ -27,24 +32,25 @@ def new_model(word_counts: np.ndarray, tail_counts: np.ndarray, hidden: int = HI
               seed: int = 7) -> dict[str, np.ndarray]:
     """Weights that start as the unigram model of the given counts (end: last of the words)."""
     draw = np.random.default_rng(seed)
-    classes = -(-len(word_counts) // CLASS)
-    tails = len(tail_counts)
-    words = np.zeros(classes * CLASS)
-    words[:len(word_counts)] = word_counts + 1.0
-    by_class = np.concatenate([words.reshape(classes, CLASS).sum(axis=1), tail_counts + 1.0])
+    shares = np.concatenate([_padded(word_counts + 1.0), _padded(tail_counts + 1.0)])
+    by_class = shares.reshape(-1, CLASS).sum(axis=1)
     with np.errstate(divide="ignore"):
-        bias = np.where(words > 0, np.log(words), NEVER)
-    symbols = classes * CLASS + tails + 1
+        bias = np.where(shares > 0, np.log(shares), NEVER)
     return {k: v.astype(np.float32) for k, v in {
-        "inputs": draw.normal(0, 0.1, (symbols, 3 * hidden)),
+        "inputs": draw.normal(0, 0.1, (len(shares) + 1, 3 * hidden)),
         "state": draw.normal(0, 1 / np.sqrt(hidden), (hidden, 3 * hidden)),
         "state_bias": np.zeros(3 * hidden),
-        "classes": np.zeros((hidden, classes + tails)),
+        "classes": np.zeros((hidden, len(by_class))),
         "class_bias": np.log(by_class / by_class.sum()),
-        "words": np.zeros((classes * CLASS, hidden)),
+        "words": np.zeros((len(shares), hidden)),
         "word_bias": bias}.items()}
 
 
+def _padded(counts: np.ndarray) -> np.ndarray:
+    """With zeros up to whole classes."""
+    return np.pad(counts, (0, -len(counts) % CLASS))
+
+
 def flatten(model: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([model[k].ravel() for k in sorted(model)])
 
@@ -91,81 +97,160 @@ class Lanes:
             yield active, np.where(valid, self.offsets[:active] + ahead, 0), valid
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
+class _Space:
+    """Arrays that windows use one after another: fresh memory for each would cost more time than
+    most of the products."""
 
+    def __init__(self, kind: np.dtype):
+        self.kind, self.held = kind, {}
 
-def _step(model, x, h):
-    """Next state, and what the backward step needs."""
-    n = h.shape[1]
-    g = h @ model["state"] + model["state_bias"]
-    gates = _sigmoid(x[:, :2 * n] + g[:, :2 * n])
-    z, r = gates[:, :n], gates[:, n:]
-    new = np.tanh(x[:, 2 * n:] + r * g[:, 2 * n:])
-    return new + z * (h - new), (z, r, new, g[:, 2 * n:])
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = int(np.prod(shape))
+        held = self.held.get(name)
+        if held is None or held.size < size:
+            held = self.held[name] = np.empty(size, self.kind)
+        return held[:size].reshape(shape)
 
 
-def _bounded(logits: np.ndarray) -> np.ndarray:
-    """Logits whose exponentials neither overflow nor vanish altogether."""
-    if logits.size and not -HIGH < logits.max(axis=1).min() <= logits.max() < HIGH:
-        logits -= logits.max(axis=1, keepdims=True)
-    return logits
+def _with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights (outputs x hidden) and, as a last column, the bias: met by states with ones."""
+    return np.concatenate([weights, bias[:, None]], axis=1)
+
 
+def _safe(weights: np.ndarray, groups: int = 1) -> bool:
+    """Whether the logits of each group of outputs can neither overflow nor vanish altogether:
+    states lie between -1 and 1."""
+    reach, bias = np.abs(weights[:, :-1]).sum(axis=1), weights[:, -1]
+    lowest = (bias - reach).reshape(groups, -1).max(axis=1)
+    return bool(-HIGH < lowest.min() and (bias + reach).max() < HIGH)
 
-def _class_logits(model, h):
-    logits = h @ model["classes"]
-    logits += model["class_bias"]
-    return _bounded(logits)
+
+def _bounded(logits: np.ndarray, safe: bool) -> np.ndarray:
+    """Logits (outputs x places) whose exponentials neither overflow nor vanish altogether."""
+    if not safe:
+        logits -= logits.max(axis=0)
+    return logits
 
 
-def word_groups(targets: np.ndarray, words: int):
-    """(class, rows) for the targets that are words of the vocabulary."""
-    rows = np.flatnonzero(targets < words)
-    kind = targets[rows] // CLASS
-    order = np.argsort(kind.astype(np.int16), kind="stable")
-    rows, kind = rows[order], kind[order]
-    cuts = [*np.flatnonzero(np.diff(kind, prepend=-1)).tolist(), len(rows)]
-    for a, b in pairwise(cuts):
-        yield int(kind[a]), rows[a:b]
+class _Window:
+    """States of the places of a window: forward through all steps."""
+
+    def __init__(self, model, run: Lanes, h: np.ndarray, place: np.ndarray, valid: np.ndarray,
+                 space: _Space, keep: bool):
+        steps, lanes = place.shape
+        kind, n = space.kind, h.shape[1]
+        self.inputs, self.fresh = run.inputs[place], run.fresh[place] & valid
+        self.begins = self.fresh.any(axis=1).tolist()
+        # The exponentials of the sigmoids take the arguments negated.
+        turn = np.concatenate([np.full(2 * n, -1), np.ones(n)]).astype(kind)
+        table = np.multiply(model["inputs"], turn, out=space("table", *model["inputs"].shape))
+        state = np.ascontiguousarray((model["state"] * turn).T)
+        bias = (model["state_bias"] * turn)[:, None]
+        # With a last row of ones, for the biases.
+        self.states = space("states", steps, n + 1, lanes)
+        self.states[:, n] = 1
+        many = steps if keep else 1
+        self.before, self.inner = space("before", many, n, lanes), space("inner", many, n, lanes)
+        self.gates = space("gates", many, 3 * n, lanes)
+        h = np.ascontiguousarray(h.T)
+        x, rest = np.empty((lanes, 3 * n), kind), np.empty((n, lanes), kind)
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                if self.begins[t]:
+                    h = np.where(self.fresh[t], kind.type(0), h)
+                g = self.gates[t if keep else 0]
+                np.matmul(state, h, out=g)
+                g += bias
+                table.take(self.inputs[t], axis=0, out=x, mode="clip")
+                sig, new = g[:2 * n], g[2 * n:]
+                if keep:
+                    self.before[t], self.inner[t] = h, new
+                sig += x[:, :2 * n].T
+                np.exp(sig, out=sig)
+                sig += kind.type(1)
+                np.divide(kind.type(1), sig, out=sig)
+                new *= sig[n:]
+                new += x[:, 2 * n:].T
+                np.tanh(new, out=new)
+                np.subtract(h, new, out=rest)
+                rest *= sig[:n]
+                h = np.add(rest, new, out=self.states[t, :n])
+        self.last = np.ascontiguousarray(h.T)
+
+    def by_place(self, space: _Space) -> np.ndarray:
+        """The states with their ones, a row for each place."""
+        steps, width, lanes = self.states.shape
+        out = space("by place", steps, lanes, width)
+        for t in range(steps):
+            out[t] = self.states[t].T
+        return out.reshape(-1, width)
+
+
+class _Words:
+    """The places that hold a token, sorted by the class of their target."""
+
+    def __init__(self, targets: np.ndarray, valid: np.ndarray, words: int, window: _Window,
+                 space: _Space):
+        kind = np.where(valid, targets // CLASS, words // CLASS).astype(np.int16)
+        sizes = np.bincount(kind, minlength=words // CLASS + 1)[:-1]
+        ends = np.cumsum(sizes)
+        self.rows = np.argsort(kind, kind="stable")[:ends[-1]]
+        self.parts = [(slice(c * CLASS, (c + 1) * CLASS), slice(int(ends[c] - sizes[c]), int(ends[c])))
+                      for c in np.flatnonzero(sizes).tolist()]
+        self.own = targets[self.rows] % CLASS
+        states = window.by_place(space)
+        self.near = states.take(self.rows, axis=0, mode="clip",
+                                out=space("near", len(self.rows), states.shape[1]))
+
+    def logits(self, weights: np.ndarray, space: _Space) -> np.ndarray:
+        out = space("words", CLASS, len(self.rows))
+        for part, at in self.parts:
+            np.matmul(weights[part], self.near[at].T, out=out[:, at])
+        return out
 
 
 def score(model: dict[str, np.ndarray], docs: list[np.ndarray], lanes: int = 256,
-          steps: int = 16) -> np.ndarray:
-    """log10 probability of each document's symbols."""
+          steps: int | None = None) -> np.ndarray:
+    """log10 probability of each document's symbols.
+
+    No more lanes than the longest document fills, so that it is not left alone at the end.
+    """
     total = np.zeros(len(docs))
     if not docs:
         return total
+    sizes = [len(d) for d in docs]
+    lanes = min(lanes, max(FEWEST, sum(sizes) // max(sizes)))
+    steps = steps or PLACES // lanes
     words = len(model["words"])
     run = Lanes(docs, lanes, len(model["inputs"]) - 1)
-    h = np.zeros((len(run.lengths), model["state"].shape[0]), np.float32)
+    h = np.zeros((len(run.lengths), model["state"].shape[0]), model["state"].dtype)
+    classes = _with_bias(model["classes"].T, model["class_bias"])
+    inner = _with_bias(model["words"], model["word_bias"])
+    safe, safe_inner = _safe(classes), _safe(inner, len(inner) // CLASS)
+    space = _Space(h.dtype)
     for active, place, valid in run.windows(steps):
-        h = h[:active]
-        x = model["inputs"][run.inputs[place]]
-        fresh = run.fresh[place] & valid
-        begins = fresh.any(axis=1).tolist()
-        states = np.empty((len(place), *h.shape), np.float32)
+        window = _Window(model, run, h[:active], place, valid, space, keep=False)
+        h = window.last
+        targets = run.targets[place].astype(np.int64)
+        kind = targets // CLASS
+        found = np.empty(place.shape, space.kind)
+        p = space("p", len(classes), active)
         for t in range(len(place)):
-            if begins[t]:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            h, _ = _step(model, x[t], h)
-            states[t] = h
-        at = place[valid]
-        targets, states = run.targets[at].astype(np.int64), states[valid]
-        kind = np.where(targets < words, targets // CLASS, targets - words + words // CLASS)
-        found = _log_shares(_class_logits(model, states), kind)
-        for c, rows in word_groups(targets, words):
-            part = slice(c * CLASS, (c + 1) * CLASS)
-            inner = _bounded(states[rows] @ model["words"][part].T + model["word_bias"][part])
-            found[rows] += _log_shares(inner, targets[rows] - c * CLASS)
-        total += np.bincount(run.doc[at], found, minlength=len(docs))
+            np.matmul(classes, window.states[t], out=p)
+            found[t] = _log_shares(_bounded(p, safe), kind[t])
+        place, valid, found = place.ravel(), valid.ravel(), found.ravel()
+        known = _Words(targets.ravel(), valid, words, window, space)
+        logits = known.logits(inner, space)
+        found[known.rows] += _log_shares(_bounded(logits, safe_inner), known.own)
+        total += np.bincount(run.doc[place[valid]], found[valid], minlength=len(docs))
     return total / LOG10
 
 
 def _log_shares(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Logarithm of the chosen column's share; the logits are overwritten."""
-    own = logits[np.arange(len(chosen)), chosen]
+    """Logarithm of each place's chosen output's share; the logits are overwritten."""
+    own = logits[chosen, np.arange(len(chosen))]
     np.exp(logits, out=logits)
-    return own - np.log(logits.sum(axis=1))
+    return own - np.log(logits.sum(axis=0))
 
 
 def train(model: dict[str, np.ndarray], seen: dict[str, np.ndarray], docs: list[np.ndarray],
@@ -180,92 +265,115 @@ def train(model: dict[str, np.ndarray], seen: dict[str, np.ndarray], docs: list[
     segments = [d[i:i + SEGMENT] for d in docs for i in range(0, len(d), SEGMENT)]
     order = np.random.default_rng(len(segments)).permutation(len(segments))
     run = Lanes([segments[i] for i in order], lanes, len(model["inputs"]) - 1)
-    h = np.zeros((len(run.lengths), model["state"].shape[0]), np.float32)
+    h = np.zeros((len(run.lengths), model["state"].shape[0]), model["state"].dtype)
+    space = _Space(h.dtype)
     for active, place, valid in run.windows(steps):
-        h, slopes = gradients(model, run, h[:active], place, valid, len(run.lengths) * steps)
+        h, slopes = gradients(model, run, h[:active], place, valid, len(run.lengths) * steps, space)
         for k, g in slopes.items():
             # Long steps of a few lanes must not shake the weights.
             np.clip(g, -1, 1, out=g)
-            seen[k] += g * g
+            size = space("size", *g.shape)
+            seen[k] += np.multiply(g, g, out=size)
+            np.sqrt(seen[k], out=size)
+            size += np.float32(1e-6)
             g *= np.float32(rate)
-            g /= np.sqrt(seen[k]) + np.float32(1e-6)
+            g /= size
             model[k] -= g
     return len(run.targets)
 
 
-def gradients(model, run: Lanes, h, place, valid, full: int | None = None):
+def gradients(model, run: Lanes, h, place, valid, full: int | None = None,
+              space: _Space | None = None):
     """State after a window, and the slopes of its loss, divided by its tokens.
 
     ``full`` is what a window of all lanes holds: where few lanes are left it divides the loss
     instead, so that the last documents do not count for more than the others.
     """
-    words, n = len(model["words"]), h.shape[1]
-    inputs = run.inputs[place]
-    x = model["inputs"][inputs]
-    fresh = run.fresh[place] & valid
-    begins = fresh.any(axis=1).tolist()
-    kept = []
-    before, states = np.empty((2, len(place), *h.shape), np.float32)
-    for t in range(len(place)):
-        if begins[t]:
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-        before[t] = h
-        h, needed = _step(model, x[t], h)
-        kept.append(needed)
-        states[t] = h
-    slopes = {k: np.zeros_like(v) for k, v in model.items()}
-    back = _output_slopes(model, slopes, states[valid], run.targets[place[valid]].astype(np.int64),
-                          full)
-    spread = np.zeros(states.shape, np.float32)
-    spread[valid] = back
-    # Slopes of the gates: by the input's part, and by the state's part.
-    dx, dg = np.empty((2, *place.shape, 3 * n), np.float32)
-    dh = np.zeros_like(h)
-    back_state = np.ascontiguousarray(model["state"].T)
-    for t in range(len(place) - 1, -1, -1):
-        z, r, new, inner = kept[t]
-        dh = dh + spread[t]
-        kept_part = dh * z
-        dn = (dh - kept_part) * (1 - new * new)
-        dx[t, :, :n] = (before[t] - new) * kept_part * (1 - z)
-        dnr = dn * r
-        dx[t, :, n:2 * n] = dnr * inner * (1 - r)
-        dx[t, :, 2 * n:] = dn
-        dg[t, :, :2 * n] = dx[t, :, :2 * n]
-        dg[t, :, 2 * n:] = dnr
-        dh = kept_part + dg[t] @ back_state
-        if begins[t]:
-            dh[fresh[t]] = 0
-    slopes["state"] = before.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
-    slopes["state_bias"] = dg.reshape(-1, 3 * n).sum(axis=0)
-    symbols, dx = inputs[valid], dx[valid]
-    order = np.argsort(symbols, kind="stable")
-    first = np.flatnonzero(np.diff(symbols[order], prepend=-1))
-    slopes["inputs"][symbols[order][first]] = np.add.reduceat(dx[order], first)
-    return h, slopes
-
-
-def _output_slopes(model, slopes, out, targets, full: int | None):
-    """Slopes by the states ``out``; those of the output's weights go into ``slopes``."""
-    words = len(model["words"])
-    scale = np.float32(1 / (full or max(1, len(targets))))
-    p = _class_logits(model, out)
-    np.exp(p, out=p)
-    p *= scale / p.sum(axis=1, keepdims=True)
-    kind = np.where(targets < words, targets // CLASS, targets - words + words // CLASS)
-    p[np.arange(len(targets)), kind] -= scale
-    slopes["classes"] = out.T @ p
-    slopes["class_bias"] = p.sum(axis=0)
-    back = p @ model["classes"].T
+    n = h.shape[1]
+    steps, lanes = place.shape
+    space = space or _Space(model["state"].dtype)
+    window = _Window(model, run, h, place, valid, space, keep=True)
+    slopes = {}
+    spread = _output_slopes(model, slopes, window, run.targets[place].astype(np.int64), valid, full,
+                            space)
+    # Slopes of the gates: by the state's part; the input's part differs in its last third.
+    dg, dn = space("dg", steps, 3 * n, lanes), space("dn", steps, n, lanes)
+    dh, back, rest = np.zeros((n, lanes), space.kind), *np.empty((2, n, lanes), space.kind)
+    by_state = np.zeros((n, 3 * n), space.kind)
+    for t in range(steps - 1, -1, -1):
+        gates, new, part, by_new = window.gates[t], window.gates[t, 2 * n:], dg[t], dn[t]
+        z, r = gates[:n], gates[n:2 * n]
+        dh += spread[t]
+        np.multiply(dh, z, out=back)
+        np.subtract(dh, back, out=rest)
+        # By z: (before - new) * dh * z * (1 - z).
+        np.subtract(window.before[t], new, out=part[:n])
+        part[:n] *= rest
+        part[:n] *= z
+        # By the new state: dh * (1 - z) * (1 - new * new).
+        np.multiply(new, new, out=by_new)
+        np.subtract(1, by_new, out=by_new)
+        by_new *= rest
+        np.multiply(by_new, r, out=part[2 * n:])
+        # By r: what came from the new state, times inner * r * (1 - r).
+        np.subtract(1, r, out=rest)
+        rest *= window.inner[t]
+        np.multiply(part[2 * n:], rest, out=part[n:2 * n])
+        by_state += window.before[t] @ part.T
+        np.matmul(model["state"], part, out=dh)
+        dh += back
+        if window.begins[t]:
+            dh[:, window.fresh[t]] = 0
+    slopes["state"], slopes["state_bias"] = by_state, dg.sum(axis=(0, 2))
+    symbols, most = window.inputs.ravel(), len(model["inputs"])
+    into = space("inputs", 3 * n, most)
+    for i in range(3 * n):
+        row = dg[:, i] if i < 2 * n else dn[:, i - 2 * n]
+        into[i] = np.bincount(symbols, row.ravel(), most)
+    slopes["inputs"] = space("by input", most, 3 * n)
+    slopes["inputs"][:] = into.T
+    return window.last, slopes
+
+
+def _output_slopes(model, slopes, window: _Window, targets, valid, full: int | None,
+                   space: _Space):
+    """Slopes by the states; those of the output's weights go into ``slopes``. Places that hold no
+    token have none."""
+    words, (steps, width, lanes) = len(model["words"]), window.states.shape
+    n = width - 1
+    scale = (valid / (full or max(1, valid.sum()))).astype(space.kind)
+    kind = targets // CLASS
     # Words within their classes: one product for each class.
-    for c, rows in word_groups(targets, words):
-        part = slice(c * CLASS, (c + 1) * CLASS)
-        weights, states = model["words"][part], out[rows]
-        q = _bounded(states @ weights.T + model["word_bias"][part])
-        np.exp(q, out=q)
-        q *= scale / q.sum(axis=1, keepdims=True)
-        q[np.arange(len(rows)), targets[rows] - c * CLASS] -= scale
-        slopes["words"][part] = q.T @ states
-        slopes["word_bias"][part] = q.sum(axis=0)
-        back[rows] += q @ weights
+    known = _Words(targets.ravel(), valid.ravel(), words, window, space)
+    weights, sums = _with_bias(model["words"], model["word_bias"]), np.zeros((words, width), space.kind)
+    q = _bounded(known.logits(weights, space), _safe(weights, words // CLASS))
+    _shares_less_own(q, scale.ravel()[known.rows], known.own)
+    inner = space("by word", len(known.rows), n)
+    for part, at in known.parts:
+        np.matmul(q[:, at], known.near[at], out=sums[part])
+        np.matmul(q[:, at].T, model["words"][part], out=inner[at])
+    slopes["words"], slopes["word_bias"] = np.ascontiguousarray(sums[:, :n]), sums[:, n].copy()
+    by_place = space("back by place", steps * lanes, n)
+    by_place[:] = 0
+    by_place[known.rows] = inner
+    by_place = by_place.reshape(steps, lanes, n)
+    # Classes and tail classes.
+    weights = _with_bias(model["classes"].T, model["class_bias"])
+    safe, columns = _safe(weights), np.ascontiguousarray(model["classes"])
+    back, sums = space("back", steps, n, lanes), np.zeros_like(weights)
+    p = space("p", len(weights), lanes)
+    for t in range(steps):
+        np.matmul(weights, window.states[t], out=p)
+        _shares_less_own(_bounded(p, safe), scale[t], kind[t])
+        sums += p @ window.states[t].T
+        np.matmul(columns, p, out=back[t])
+        back[t] += by_place[t].T
+    slopes["classes"], slopes["class_bias"] = np.ascontiguousarray(sums[:, :n].T), sums[:, n].copy()
     return back
+
+
+def _shares_less_own(logits: np.ndarray, scale: np.ndarray, own: np.ndarray) -> None:
+    """Turns logits into the slopes of the loss by them."""
+    np.exp(logits, out=logits)
+    logits *= scale / logits.sum(axis=0)
+    logits[own, np.arange(len(own))] -= scale

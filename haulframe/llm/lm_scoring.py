@@ -9,6 +9,8 @@
    the most frequent words are broadcast (``HEAD_WORDS`` of bounded length); the other words are
    joined with the count table, so no document needs the whole vocabulary in memory.
 
+Texts are turned into the model's symbols once, in a written table that training and scoring read.
+
 The replicas, and so the model and ``score``, depend on how the rows fall into partitions; the
 counts and ``base_score`` do not.
 
@@ -19,17 +21,18 @@ scored each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulframe.llm import gru
 from haulframe.llm.common import prepare_python, stage, take_over, whole_text
+from haulframe.sources.storage import scratch_path
 
 VOCABULARY = 1023
 TAILS = 64
@@ -60,17 +63,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     training = rows.filter(~F.col("_held") & F.col("_id").isNotNull())
     counts = stage(count_words(training), "word-counts").df
     plan = _plan(counts, training.count())
-    model = _trained(training, plan)
-    scored = stage(_scored(rows, plan | {"model": model, "key": uuid.uuid4().hex}),
-                   "lm-scored").df
-    rare = (_counted(scored, counts, plan["tokens"])
+    path = scratch_path(docs.sparkSession, "lm-symbols")
+    _read(rows, plan).write.parquet(path)
+    read = docs.sparkSession.read.schema(READ).parquet(path)
+    model = _trained(read.filter(~F.col("_held") & F.col("_id").isNotNull()), plan)
+    scored = stage(_scored(read, model), "lm-scored").df
+    rare = (_counted(read, counts, plan["tokens"])
             .groupBy("_uid").agg(
                 F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
                 F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("more")))
     every = plan["tokens"] + plan["distinct"] + 1
     known = F.col("known") + F.coalesce("more_known", F.lit(0))
     more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("rare").join(rare, "_uid", "left").select(
+    return scored.join(rare, "_uid", "left").select(
         F.col("_id").alias(id_col), F.col("_held").alias("held_out"), "n_tokens",
         known.cast("long").alias("n_known"),
         F.lit(plan["tokens"]).cast("long").alias("train_tokens"),
@@ -78,7 +83,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.col("modelled") + more).alias("score"))
 
 
-def _counted(scored: DataFrame, counts: DataFrame, tokens: int) -> DataFrame:
+def _counted(read: DataFrame, counts: DataFrame, tokens: int) -> DataFrame:
     """_uid, times and n (NULL: never seen) of each document's rare words.
 
     A word is rare, or longer than ``HEAD_BYTES``. Of the long ones fewer than a thousand can each
@@ -88,7 +93,7 @@ def _counted(scored: DataFrame, counts: DataFrame, tokens: int) -> DataFrame:
     long = F.when(F.octet_length("word") > HEAD_BYTES, F.sha2("word", 256))
     hot = (counts.filter((F.octet_length("word") > HEAD_BYTES) & (F.col("n") * 1000 > tokens))
            .select(long.alias("_sha"), F.col("n").alias("_hot")))
-    rows = (scored.select("_uid", F.explode("rare").alias("r"))
+    rows = (read.select("_uid", F.explode("rare").alias("r"))
             .select("_uid", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
             .withColumn("_sha", long).join(F.broadcast(hot), "_sha", "left"))
     rest = rows.filter(F.col("_hot").isNull()).join(counts, "word", "left")
@@ -96,8 +101,21 @@ def _counted(scored: DataFrame, counts: DataFrame, tokens: int) -> DataFrame:
         rows.filter(F.col("_hot").isNotNull()).select("_uid", "times", F.col("_hot").alias("n"))))
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the words of all in a row by their numbers, and the words
+    of each text."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+    found = parts.flatten().dictionary_encode()
+    ids = found.indices.to_numpy(zero_copy_only=False)
+    words = found.dictionary.cast(pa.binary())
+    # White space at either end of a text leaves an empty word.
+    none = pc.index(words, pa.scalar(b"", pa.binary())).as_py()
+    if none >= 0:
+        full = ids != none
+        rows = np.repeat(np.arange(len(sizes)), sizes)[full]
+        ids, sizes = ids[full], np.bincount(rows, minlength=len(sizes))
+    return words, ids, sizes
 
 
 def tail_of(word: bytes) -> int:
@@ -117,11 +135,14 @@ def count_words(rows: DataFrame) -> DataFrame:
     def count(batches):
         found = Counter()
         for batch in batches:
-            for text in batch["text"]:
-                found.update(words_of(str(text)))
-                if len(found) > DISTINCT:
-                    yield out(found)
-                    found.clear()
+            words, ids, _ = words_of(batch["text"])
+            n = np.bincount(ids, minlength=len(words))
+            for w, times in zip(words.to_pylist(), n.tolist(), strict=True):
+                if times:
+                    found[w] += times
+            if len(found) > DISTINCT:
+                yield out(found)
+                found.clear()
         yield out(found)
 
     def out(found):
@@ -167,11 +188,14 @@ def _plan(counts: DataFrame, documents: int) -> dict:
             "tail_total": np.log10(tail_n + tail_v + 1)}
 
 
-_kept: dict[str, _Symbols] = {}
+# A document: its symbols with the end (16 bits each), tokens, known ones, the sum of log counts,
+# what its tail words add to the model's part, and its words beyond the head.
+READ = ("_uid long, _id long, _held boolean, symbols binary, n_tokens long, known long, "
+        "counted double, tails double, rare array<struct<word: binary, n: long>>")
 
 
 class _Symbols:
-    """Turns words into symbols and counts; made once in each worker."""
+    """Turns words into symbols and counts; made once in each task."""
 
     def __init__(self, plan: dict):
         vocabulary = {w: i for i, w in enumerate(plan["vocabulary"])}
@@ -187,26 +211,55 @@ class _Symbols:
         self.tail_total = plan["tail_total"]
         self.tails = _Tails()
 
-    def read(self, text: str):
-        """Symbols with the end, words with known counts (places), and the rare words."""
-        words = words_of(text)
+    def read(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The texts of a batch, as rows of ``READ``."""
+        words, ids, sizes = words_of(batch["text"])
+        distinct, rows = words.to_pylist(), np.repeat(np.arange(len(sizes)), sizes)
         get = self.place.get
-        places = np.fromiter([get(w, -1) for w in words], np.int64, len(words))
-        symbols = np.empty(len(words) + 1, np.int16)
-        symbols[:-1] = self.symbol[places]
-        symbols[-1] = self.end
-        unknown = np.flatnonzero(places < 0)
-        rare = [words[i] for i in unknown.tolist()]
-        symbols[unknown] = [self.first_tail + self.tails[w[:2]] for w in rare]
-        return symbols, places, rare
+        place = np.fromiter([get(w, -1) for w in distinct], np.int64, len(distinct))
+        symbol, logs = self.symbol[place], self.log_count[place]  # place -1 has count 0
+        unknown = np.flatnonzero(place < 0)
+        symbol[unknown] = [self.first_tail + self.tails[distinct[i][:2]] for i in unknown.tolist()]
+        # What a tail word adds to the model's part: its share of its class.
+        inner = np.zeros(len(distinct))
+        in_tail = symbol >= self.first_tail
+        inner[in_tail] = logs[in_tail] - self.tail_total[symbol[in_tail] - self.first_tail]
+        rare = place[ids] < 0
+        # Rare words of each text, each once.
+        keys, times = np.unique(rows[rare] * len(distinct) + ids[rare], return_counts=True)
+        rare_row, rare_word = np.divmod(keys, max(1, len(distinct)))
+        n = len(sizes)
+        ends = np.cumsum(sizes + 1)
+        symbols = np.full(ends[-1] if n else 0, self.end, "<i2")
+        symbols[np.arange(len(ids)) + rows] = symbol[ids]
+        counted = np.bincount(rows, logs[ids], n) + self.end_log_count
+        known = sizes - np.bincount(rows[rare], minlength=n) + self.end_known
+        offsets = np.concatenate([[0], 2 * ends]).astype(np.int32)
+        starts = np.concatenate([[0], np.cumsum(np.bincount(rare_row, minlength=n))])
+        return pa.RecordBatch.from_arrays(
+            [batch["_uid"], batch["_id"], batch["_held"],
+             pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets),
+                                                    pa.py_buffer(symbols)]),
+             pa.array(sizes + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(counted),
+             pa.array(np.bincount(rows, inner[ids], n), pa.float64()),
+             pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.StructArray.from_arrays(
+                 [words.take(pa.array(rare_word)), pa.array(times, pa.int64())], ["word", "n"]))],
+            names=["_uid", "_id", "_held", "symbols", "n_tokens", "known", "counted", "tails",
+                   "rare"])
+
+
+def _read(rows: DataFrame, plan: dict) -> DataFrame:
+    """All documents, as rows of ``READ``."""
+    shared = rows.sparkSession.sparkContext.broadcast(
+        {k: plan[k] for k in ("head", "vocabulary", "documents", "tail_total")})
 
+    def run(batches):
+        take_over("lm-scoring")
+        symbols = _Symbols(shared.value)
+        for batch in batches:
+            yield symbols.read(batch)
 
-def _symbols(plan: dict) -> _Symbols:
-    take_over("lm-scoring", _kept.clear)
-    if plan["key"] not in _kept:
-        _kept.clear()
-        _kept[plan["key"]] = _Symbols(plan)
-    return _kept[plan["key"]]
+    return rows.mapInArrow(run, READ)
 
 
 def _trained(training: DataFrame, plan: dict) -> dict[str, np.ndarray]:
@@ -214,18 +267,16 @@ def _trained(training: DataFrame, plan: dict) -> dict[str, np.ndarray]:
     model = gru.new_model(plan["word_counts"], plan["tail_counts"])
     seen = {k: np.full_like(v, SEEN) for k, v in model.items()}
     context = training.sparkSession.sparkContext
-    shared = context.broadcast({k: plan[k] for k in (
-        "head", "vocabulary", "documents", "tail_total")} | {"key": uuid.uuid4().hex})
     for i in range(ROUNDS):
         start = context.broadcast((model, seen))
 
         def learn(batches, start=start):
-            symbols = _symbols(shared.value)
+            take_over("lm-scoring")
             model, seen = ({k: v.copy() for k, v in part.items()} for part in start.value)
             docs, held, used = [], 0, 0
             for batch in batches:
-                for text in batch["text"]:
-                    docs.append(symbols.read(str(text))[0])
+                for symbols in batch["symbols"]:
+                    docs.append(np.frombuffer(symbols.as_buffer(), "<i2"))
                     held += len(docs[-1])
                     if held > BUFFER:
                         used += gru.train(model, seen, docs)
@@ -236,7 +287,7 @@ def _trained(training: DataFrame, plan: dict) -> dict[str, np.ndarray]:
                                .astype(np.float64), used)
 
         part = F.pmod(F.xxhash64("_id"), F.lit(ROUNDS)) == i
-        replicas = stage(training.filter(part).select("text").mapInArrow(
+        replicas = stage(training.filter(part).select("symbols").mapInArrow(
             learn, "sums binary, used double"), "replicas")
         flat, used = _added(replicas)
         if used:
@@ -275,57 +326,29 @@ def _added(replicas) -> tuple[np.ndarray, float]:
     return total, used
 
 
-def _scored(rows: DataFrame, plan: dict) -> DataFrame:
-    """Per document: tokens, known ones, sum of log counts, the model's part, the rare words."""
-    shared = rows.sparkSession.sparkContext.broadcast(
-        {k: plan[k] for k in ("head", "vocabulary", "documents", "tail_total", "key", "model")})
+def _scored(read: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """The documents' numbers, and the model's part of their score."""
+    shared = read.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        plan = shared.value
-        symbols, model = _symbols(plan), plan["model"]
-        held, size = [], 0
+        take_over("lm-scoring")
+        held, docs, size = [], [], 0
         for batch in batches:
-            texts = batch["text"]
-            for i, text in enumerate(texts):
-                # One row at a time: the batch itself is not held.
-                read = symbols.read(str(text))
-                held.append((batch["_uid"][i].as_py(), batch["_id"][i].as_py(),
-                             batch["_held"][i].as_py(), *_summed(symbols, *read)))
-                size += len(read[0])
-                if size > BUFFER:
-                    yield _results(model, held)
-                    held, size = [], 0
+            held.append(batch.drop_columns(["symbols"]))
+            found = [np.frombuffer(x.as_buffer(), "<i2") for x in batch["symbols"]]
+            docs += found
+            size += sum(len(x) for x in found)
+            if size > BUFFER:
+                yield scored(held, docs)
+                held, docs, size = [], [], 0
         if held:
-            yield _results(model, held)
+            yield scored(held, docs)
 
-    return rows.mapInArrow(run, (
+    def scored(held, docs):
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        modelled = gru.score(shared.value, docs) + rows["tails"].to_numpy()
+        return rows.drop_columns(["tails"]).append_column("modelled", pa.array(modelled))
+
+    return read.drop("rare").mapInArrow(run, (
         "_uid long, _id long, _held boolean, n_tokens long, known long, counted double, "
-        "modelled double, rare array<struct<word: binary, n: long>>"))
-
-
-def _summed(symbols: _Symbols, ids: np.ndarray, places: np.ndarray, rare: list[bytes]):
-    """ids, known tokens, log counts of known tokens, the tail words' part, rare words."""
-    logs = symbols.log_count[places]
-    counted = float(logs.sum()) + symbols.end_log_count  # place -1 has count 0
-    tails = ids[:-1] >= symbols.first_tail
-    inner = float(logs[tails].sum()
-                  - symbols.tail_total[ids[:-1][tails] - symbols.first_tail].sum())
-    known = len(places) - len(rare) + symbols.end_known
-    return ids, known, counted, inner, Counter(rare)
-
-
-def _results(model, held) -> pa.RecordBatch:
-    found = gru.score(model, [h[3] for h in held])
-    words = [w for h in held for w in h[7]]
-    times = [n for h in held for n in h[7].values()]
-    offsets = np.concatenate([[0], np.cumsum([len(h[7]) for h in held])]).astype(np.int32)
-    rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(
-        [pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "n"]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()),
-         pa.array([h[2] for h in held], pa.bool_()),
-         pa.array([len(h[3]) for h in held], pa.int64()),
-         pa.array([h[4] for h in held], pa.int64()),
-         pa.array([h[5] for h in held], pa.float64()),
-         pa.array(found + np.array([h[6] for h in held])), rare],
-        names=["_uid", "_id", "_held", "n_tokens", "known", "counted", "modelled", "rare"])
+        "modelled double"))

@@ -113,3 +113,30 @@ def test_gradients(small):
                 loss.append(-gru.score(model, docs, 3, 1000).sum() * gru.LOG10 / len(run.targets))
             values[at] = kept
             assert slopes[k][at] == pytest.approx((loss[0] - loss[1]) / 2e-3, abs=2e-6)
+
+
+def test_a_long_document_leaves_few_lanes_idle(small, monkeypatch):
+    model, _ = small
+    used, windows = [], gru.Lanes.windows
+
+    def noted(run, steps):
+        for active, place, valid in windows(run, steps):
+            used.append((valid.sum(), len(place) * len(run.lengths)))
+            yield active, place, valid
+
+    monkeypatch.setattr(gru.Lanes, "windows", noted)
+    docs = [np.full(n, 3) for n in [4000, *[100] * 2000]]
+    assert np.isfinite(gru.score(model, docs)).all()
+    tokens, places = np.sum(used, axis=0)
+    assert tokens == sum(map(len, docs)) and tokens > 0.8 * places
+
+
+def test_words_by_number_are_the_words_of_each_text():
+    import pyarrow as pa
+
+    texts = ["", " \t a\x0bB\x0ca\r\n", "\x1c a\x85b \u00a0c", "É é", "  "]
+    words, ids, sizes = lm_scoring.words_of(pa.array(texts))
+    found = words.take(pa.array(ids)).to_pylist()
+    ends = np.cumsum(sizes).tolist()
+    for text, a, b in zip(texts, [0, *ends], ends, strict=False):
+        assert found[a:b] == text.encode().lower().split()
