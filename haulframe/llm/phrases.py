@@ -14,7 +14,9 @@ entries cost time, and change no count. Words are told the same way: while texts
 task adds its words' counts up by hash, and a word whose slot stays below the threshold in all tasks
 together cannot be frequent and is not counted. Counts are exact and kept by the phrase's words, in a
 written table that one shuffle a step brings up to date; what has completed its cycle below the
-threshold leaves it.
+threshold leaves it. Table and shuffle hold phrases in compressed blocks, one for each of many
+buckets of the phrases' hashes, and a task brings one bucket at a time up to date. There is a bucket
+for every ``BUCKET_RUNS`` runs of a scan, so buckets become more with the input, not larger.
 
 Defined cases: NULL text is empty, NULL lang is ``und``; an empty table gives no rows; repeated
 rows count each; ids may be NULL or repeated; other columns are ignored.
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulframe.llm.common import prepare_python, stage, take_over, whole_text
-from haulframe.sources.storage import scratch_path
+from haulframe.sources.storage import Storage, scratch_path
 
 THRESHOLD = 100
 LONGEST = 5
@@ -55,6 +57,17 @@ RUNS = ("shard int, words string, hashes binary, ids binary, langs array<string>
 RUN_FILES = {"parquet.block.size": str(4 * 1024**2), "parquet.block.size.row.check.min": "1",
              "parquet.enable.dictionary": "false", "compression": "zstd"}
 COUNTS = "lang string, phrase string, k int, n long"
+# Runs of a scan for each bucket of phrases.
+BUCKET_RUNS = 2
+# Phrases of a bucket, compressed: ``HELD`` serialized, then the bytes of all keys in a row (size:
+# bytes before, head: those of the first part), and the slots of those that became frequent in the
+# step.
+BLOCKS = "bucket int, size long, head long, block binary, slots array<long>"
+HELD = pa.schema({"bytes": pa.int32(), "k": pa.uint8(), "n": pa.int64(), "first": pa.uint8(),
+                  "reached": pa.uint8()})
+PHRASES = pa.schema([pa.field("key", pa.string()), *list(HELD)[1:]])
+LEVEL = 3
+BLOCK_FILES = RUN_FILES | {"compression": "none"}
 
 
 def collocations(docs: DataFrame, threshold: int = THRESHOLD, top: int = TOP,
@@ -80,33 +93,33 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, lang_col: str = "
     runs = spark.read.schema(RUNS).parquet(path)
     ages = np.full(slots, NEVER, np.uint8)
     likely = spark.sparkContext.broadcast(_likely_words(runs, threshold))
-    counted = None
+    texts_runs = runs.filter(F.col("shard") != COUNTED).count()
+    buckets = max(1, -(-texts_runs // (shards * BUCKET_RUNS)))
+    counted, before = None, None
     step, end = 0, shards
     while step < end:
         shared = spark.sparkContext.broadcast(ages)
         scan = runs.filter(F.col("shard") == step % shards).drop("shard")
-        found = (scan.mapInArrow(_counter(shared, likely, step, shards, longest), COUNTS)
-                 .withColumn("first", F.lit(step)).withColumn("reached", F.lit(None).cast("int")))
+        found = scan.mapInArrow(_counter(shared, likely, step, shards, longest, buckets), BLOCKS)
         if counted is not None:
             found = found.unionByName(counted)
-        summed = found.groupBy("lang", "phrase", "k").agg(
-            F.sum("n").alias("n"), F.min("first").alias("first"), F.min("reached").alias("reached"))
-        often = (F.col("n") >= threshold) & (F.col("k") > 0)
-        summed = summed.withColumn("reached", F.coalesce(
-            "reached", F.when(often, F.lit(step + 1))))
-        # A phrase seen in step ``first`` has completed its cycle ``shards`` steps later.
-        open_ = F.col("first") + shards > step + 1
-        counted = stage(summed.filter(often | open_ | (F.col("k") == 0)), "phrase-counts").df
+        path = scratch_path(spark, "phrase-counts")
+        (found.groupBy("bucket").applyInArrow(_merger(step, shards, threshold, longest, slots), BLOCKS)
+         .write.options(**BLOCK_FILES).parquet(path))
+        counted = spark.read.schema(BLOCKS).parquet(path)
         shared.destroy()
-        fresh = _slots(counted.filter((F.col("reached") == step + 1)
-                                      & F.col("k").between(1, longest - 1)), slots)
+        if before:
+            Storage(spark, before).delete(before)
+        before = path
+        fresh = (counted.select(F.explode("slots").alias("slot")).distinct()
+                 .toArrow()["slot"].to_numpy())
         if len(fresh):
             ages[fresh] = np.minimum(ages[fresh], step + 1)
             end = max(end, step + 1 + shards)
         step += 1
     likely.destroy()
-    return counted.filter((F.col("n") >= threshold) | (F.col("k") == 0)).select(
-        "lang", "phrase", "k", "n")
+    return stage(counted.select("size", "head", "block").mapInArrow(_unpacker(threshold), COUNTS),
+                 "phrases").df
 
 
 def word_hash(word: str) -> int:
@@ -132,22 +145,116 @@ def _two_slots(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
             .astype(np.int64))
 
 
-def _slots(phrases: DataFrame, slots: int) -> np.ndarray:
-    """Slots of the phrases, each once: at most as many as there are."""
-    def hashed(batches):
+def _slots(lang: pa.Array, phrase: pa.Array, k: int, slots: int) -> np.ndarray:
+    """Slots of phrases of ``k`` words, each once."""
+    def hashed(values):
+        values = values.dictionary_encode()
+        of = np.array([word_hash(w) for w in values.dictionary.to_pylist()], np.uint64)
+        return of[values.indices.to_numpy(zero_copy_only=False)]
+
+    words = hashed(pc.split_pattern(phrase, " ").flatten()).reshape(-1, k)
+    h = _mixed(words[:, 0] ^ hashed(lang))
+    for i in range(1, k):
+        h = _longer(h, words[:, i])
+    return np.unique(np.concatenate(_two_slots(h, slots)))
+
+
+def _block(bucket: int, rows: pa.RecordBatch, slots: np.ndarray | None = None) -> pa.RecordBatch:
+    """The phrases (``PHRASES``) of a bucket as a row of ``BLOCKS``."""
+    keys = rows["key"]
+    head = pa.RecordBatch.from_arrays([pc.binary_length(keys), *rows.columns[1:]],
+                                      schema=HELD).serialize().to_pybytes()
+    plain = head + pc.binary_join(pa.ListArray.from_arrays(
+        pa.array([0, len(keys)], pa.int32()), keys), "")[0].as_buffer().to_pybytes()
+    fresh = [] if slots is None else slots
+    packed = pa.Codec("zstd", compression_level=LEVEL).compress(plain, asbytes=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([bucket], pa.int32()), pa.array([len(plain)], pa.int64()),
+         pa.array([len(head)], pa.int64()), pa.array([packed], pa.binary()),
+         pa.ListArray.from_arrays(pa.array([0, len(fresh)], pa.int32()),
+                                  pa.array(fresh, pa.int64()))],
+        names=["bucket", "size", "head", "block", "slots"])
+
+
+def _phrases_of(blocks) -> pa.Table:
+    """The phrases of all blocks of a batch or table."""
+    found = []
+    for block, size, at in zip(blocks["block"], blocks["size"].to_pylist(),
+                               blocks["head"].to_pylist(), strict=True):
+        plain = pa.decompress(block.as_buffer(), size, codec="zstd")
+        rows = pa.ipc.read_record_batch(plain.slice(0, at), HELD)
+        ends = np.concatenate([[0], np.cumsum(rows["bytes"].to_numpy())]).astype(np.int32)
+        keys = pa.Array.from_buffers(pa.string(), len(rows), [None, pa.py_buffer(ends),
+                                                              plain.slice(at)])
+        found.append(pa.RecordBatch.from_arrays([keys, *rows.columns[1:]], schema=PHRASES))
+    return pa.Table.from_batches(found, PHRASES)
+
+
+def _split_keys(keys: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Language and phrase of the keys: a phrase holds no line feed."""
+    parts = pc.split_pattern(keys, "\n", max_splits=1, reverse=True)
+    return pc.list_element(parts, 0), pc.list_element(parts, 1)
+
+
+def _blocks(found: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]], step: int, buckets: int):
+    """Rows of ``COUNTS`` with their hashes and the numbers of their first words, as blocks of the
+    buckets of the hashes. Phrases with one first word stand together: they take less room so."""
+    h = np.concatenate([x for _, x, _ in found])
+    bucket = ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+    order = np.argsort(bucket << 32 | np.concatenate([x for _, _, x in found]), kind="stable")
+    sizes = np.bincount(bucket, minlength=buckets)
+    rows = pa.Table.from_batches([x for x, _, _ in found]).combine_chunks().to_batches()[0]
+    keys = pc.binary_join_element_wise(rows["lang"], rows["phrase"], "\n")
+    ends = np.cumsum(sizes)
+    for b in np.flatnonzero(sizes).tolist():
+        at = pa.array(order[ends[b] - sizes[b]:ends[b]])
+        m = len(at)
+        yield _block(b, pa.RecordBatch.from_arrays(
+            [keys.take(at), rows["k"].take(at).cast(pa.uint8()), rows["n"].take(at),
+             pa.array(np.full(m, step, np.uint8)), pa.array(np.full(m, NEVER, np.uint8))],
+            schema=PHRASES))
+
+
+def _merger(step: int, shards: int, threshold: int, longest: int, slots: int):
+    """Brings the phrases of a bucket up to date with what a step has counted."""
+    def merge(key, table):
+        take_over("phrases")
+        found = pa.TableGroupBy(_phrases_of(table), "key", use_threads=False).aggregate(
+            [("k", "min"), ("n", "sum"), ("first", "min"), ("reached", "min")])
+        k, n, first, reached = (found[x].to_numpy() for x in ("k_min", "n_sum", "first_min",
+                                                               "reached_min"))
+        often = (n >= threshold) & (k > 0)
+        reached = np.where(often & (reached == NEVER), np.uint8(step + 1), reached)
+        # A phrase seen in step ``first`` has completed its cycle ``shards`` steps later.
+        open_ = first.astype(np.int64) + shards > step + 1
+        kept = np.flatnonzero(often | open_ | (k == 0))
+        keys = found["key"].combine_chunks().take(pa.array(kept))
+        k, n, first, reached = k[kept], n[kept], first[kept], reached[kept]
+        fresh = [np.zeros(0, np.int64)]
+        for size in range(1, longest):
+            which = np.flatnonzero((reached == step + 1) & (k == size))
+            if len(which):
+                fresh.append(_slots(*_split_keys(keys.take(pa.array(which))), size, slots))
+        rows = pa.RecordBatch.from_arrays(
+            [keys, *[pa.array(x) for x in (k, n, first, reached)]], schema=PHRASES)
+        return pa.Table.from_batches([_block(key[0].as_py(), rows, np.concatenate(fresh))])
+
+    return merge
+
+
+def _unpacker(threshold: int):
+    """The frequent phrases and the totals of blocks, as rows of ``COUNTS``."""
+    def unpack(batches):
+        take_over("phrases")
         for batch in batches:
-            out = []
-            for lang, phrase in zip(batch["lang"].to_pylist(), batch["phrase"].to_pylist(),
-                                    strict=True):
-                words = np.array([word_hash(w) for w in phrase.split(" ")], np.uint64)
-                h = _mixed(words[:1] ^ np.uint64(word_hash(lang)))
-                for i in range(1, len(words)):
-                    h = _longer(h, words[i:i + 1])
-                out += [int(s[0]) for s in _two_slots(h, slots)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["slot"])
+            for rows in _phrases_of(batch).to_batches():
+                rows = rows.filter((pc.field("n") >= threshold) | (pc.field("k") == 0))
+                lang, phrase = _split_keys(rows["key"])
+                yield pa.RecordBatch.from_arrays(
+                    [lang, phrase, rows["k"].cast(pa.int32()), rows["n"]],
+                    names=["lang", "phrase", "k", "n"])
 
-    found = phrases.select("lang", "phrase").mapInArrow(hashed, "slot long").distinct()
-    return found.toArrow()["slot"].to_numpy()
+    return unpack
 
 
 def _splitter(shards: int, run_bytes: int):
@@ -231,18 +338,21 @@ def _likely_words(runs: DataFrame, threshold: int) -> np.ndarray:
     return likely
 
 
-def _counter(shared, likely, step: int, shards: int, longest: int):
+def _counter(shared, likely, step: int, shards: int, longest: int, buckets: int):
     """Counts the active phrases of a task's runs."""
     def count(batches):
         take_over("phrases")
         for batch in batches:
             for i in range(batch.num_rows):
-                yield from counted(_Run.of_row(batch, i), shared.value)
+                found = list(counted(_Run.of_row(batch, i), shared.value))
+                if found:
+                    yield from _blocks(found, step, buckets)
 
     def counted(run, ages):
         if step < shards:
-            yield run.totals()
-            yield run.singles(likely.value)
+            yield run.totals(), _mixed(run.seeds), np.zeros(len(run.seeds), np.int64)
+            lang, ids, n = run.likely_words(likely.value)
+            yield run.word_rows(lang, ids, n), run.word_hashes(lang, ids), ids.astype(np.int64)
         h = run.first
         reached = run.reached(h, np.flatnonzero(run.word), ages)
         for k in range(2, longest + 1):
@@ -253,7 +363,8 @@ def _counter(shared, likely, step: int, shards: int, longest: int):
             h[live] = _longer(h[live], run.hashes[live + k - 1])
             active = live[begin[live].astype(np.int16) > step - shards]
             if len(active):
-                yield run.summed(active, h, k)
+                first, n = run.distinct(active, h, k)
+                yield run.phrase_rows(first, n, k), h[first], run.ids[first].astype(np.int64)
             if k < longest:
                 # Slots that others filled must not make a phrase older than its subphrases.
                 reached = run.reached(h, live, ages)
@@ -292,8 +403,8 @@ class _Run:
         self.word = ids >= 0
         # Marks get the hash of some word: no phrase holds one.
         self.hashes = hashes[ids]
-        seeds = np.array([word_hash(x) for x in langs.to_pylist()], np.uint64)
-        self.first = _mixed(self.hashes ^ seeds[self.lang])
+        self.seeds = np.array([word_hash(x) for x in langs.to_pylist()], np.uint64)
+        self.first = _mixed(self.hashes ^ self.seeds[self.lang])
 
     def row(self, shard: int) -> pa.RecordBatch:
         """The run as one row of ``RUNS``."""
@@ -344,21 +455,29 @@ class _Run:
             keys, n = np.unique(keys, return_counts=True)
         return *np.divmod(keys, len(self.words)), n
 
+    def word_hashes(self, lang: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return _mixed(self.hashes_of[ids] ^ self.seeds[lang])
+
     def word_slots(self, lang: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        seeds = np.array([word_hash(x) for x in self.langs.to_pylist()], np.uint64)
-        h = _mixed(self.hashes_of[ids] ^ seeds[lang])
-        return (h >> np.uint64(13) & np.uint64(WORD_SLOTS - 1)).astype(np.int64)
+        return (self.word_hashes(lang, ids) >> np.uint64(13)
+                & np.uint64(WORD_SLOTS - 1)).astype(np.int64)
 
-    def singles(self, likely: np.ndarray | None = None) -> pa.RecordBatch:
-        """The words that may be frequent (all, if not told), with their counts."""
+    def likely_words(self, likely: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of ``word_counts``, the words that may be frequent."""
         lang, ids, n = self.word_counts()
-        if likely is not None:
-            kept = likely[self.word_slots(lang, ids)]
-            lang, ids, n = lang[kept], ids[kept], n[kept]
+        kept = likely[self.word_slots(lang, ids)]
+        return lang[kept], ids[kept], n[kept]
+
+    def word_rows(self, lang: np.ndarray, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return _rows(self.langs.take(pa.array(lang)), self.words.take(pa.array(ids)), 1, n)
 
-    def summed(self, places: np.ndarray, h: np.ndarray, k: int) -> pa.RecordBatch:
-        """The phrases of ``k`` words at some places, with their counts."""
+    def singles(self) -> pa.RecordBatch:
+        """All words with their counts."""
+        return self.word_rows(*self.word_counts())
+
+    def distinct(self, places: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """A place of each phrase of ``k`` words at some places, and its count there; a phrase that
+        shares its hash with another may come repeatedly."""
         _, first, which, n = np.unique(h[places], return_index=True, return_inverse=True,
                                        return_counts=True)
         first = places[first]
@@ -371,6 +490,13 @@ class _Run:
             n = np.concatenate([n - np.bincount(which[~same], minlength=len(n)),
                                 np.ones(len(other), np.int64)])
             first = np.concatenate([first, other])
+        return first, n
+
+    def summed(self, places: np.ndarray, h: np.ndarray, k: int) -> pa.RecordBatch:
+        """The phrases of ``k`` words at some places, with their counts."""
+        return self.phrase_rows(*self.distinct(places, h, k), k)
+
+    def phrase_rows(self, first: np.ndarray, n: np.ndarray, k: int) -> pa.RecordBatch:
         words = [self.words.take(pa.array(self.ids[first + i])) for i in range(k)]
         phrases = pc.binary_join_element_wise(*words, " ") if k > 1 else words[0]
         return _rows(self.langs.take(pa.array(self.lang[first])), phrases, k, n)

@@ -93,3 +93,25 @@ def test_runs_come_back_as_written():
     assert words == {("x", "a"): 2, ("x", "b"): 2, ("x", "c"): 1, ("y", "a"): 1, ("y", "b"): 1,
                      ("z", "é"): 1, ("z", "b"): 1}
     assert {r["lang"]: r["n"] for r in back.totals().to_pylist()} == {"x": 5, "y": 2, "z": 2}
+
+
+def test_blocks_give_back_their_phrases_and_take_little_room():
+    import pyarrow as pa
+
+    texts = [" ".join(f"word{i * j % 997}" for j in range(1, 400)) for i in range(1, 100)]
+    run = phrases._Run(pa.array([*texts, "é b"]), pa.array([*["x\ny"] * 99, ""]))
+    rows, first = run.singles(), run.word_counts()
+    found = list(phrases._blocks([(rows, run.word_hashes(*first[:2]), first[1])], 1, 8))
+    assert len(found) <= 8
+    back = Counter()
+    for block in found:
+        for r in phrases._phrases_of(block).to_pylist():
+            lang, phrase = phrases._split_keys(pa.array([r["key"]]))
+            back[lang[0].as_py(), phrase[0].as_py(), r["k"]] += r["n"]
+    assert back == {(r["lang"], r["phrase"], 1): r["n"] for r in rows.to_pylist()}
+    pairs, n = run.distinct(np.flatnonzero(run.word[:-1] & run.word[1:]),
+                            phrases._longer(run.first[:-1], run.hashes[1:]), 2)
+    many = [(run.phrase_rows(pairs, n, 2), run.first[pairs], run.ids[pairs].astype(np.int64))]
+    held = sum(len(b["block"][0].as_py()) for b in phrases._blocks(many, 1, 8))
+    # A row of the shuffle took more than 20 bytes.
+    assert len(pairs) > 10_000 and held < 10 * len(pairs)
