@@ -66,7 +66,7 @@ BLOCKS = "bucket int, size long, head long, block binary, slots array<long>"
 HELD = pa.schema({"bytes": pa.int32(), "k": pa.uint8(), "n": pa.int64(), "first": pa.uint8(),
                   "reached": pa.uint8()})
 PHRASES = pa.schema([pa.field("key", pa.string()), *list(HELD)[1:]])
-LEVEL = 3
+LEVEL = 6
 BLOCK_FILES = RUN_FILES | {"compression": "none"}
 
 
