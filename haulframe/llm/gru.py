@@ -144,27 +144,32 @@ class _Window:
         # The exponentials of the sigmoids take the arguments negated.
         turn = np.concatenate([np.full(2 * n, -1), np.ones(n)]).astype(kind)
         table = np.multiply(model["inputs"], turn, out=space("table", *model["inputs"].shape))
-        state = np.ascontiguousarray((model["state"] * turn).T)
-        bias = (model["state_bias"] * turn)[:, None]
-        # With a last row of ones, for the biases.
-        self.states = space("states", steps, n + 1, lanes)
-        self.states[:, n] = 1
+        state = _with_bias((model["state"] * turn).T, model["state_bias"] * turn)
+        # With a last row of ones, for the biases; the first step's are the states before it.
+        reached = space("states", steps + 1, n + 1, lanes)
+        reached[:, n] = 1
+        reached[0, :n] = h.T
+        self.states = reached[1:]
         many = steps if keep else 1
-        self.before, self.inner = space("before", many, n, lanes), space("inner", many, n, lanes)
-        self.gates = space("gates", many, 3 * n, lanes)
-        h = np.ascontiguousarray(h.T)
+        self.inner, self.gates = space("inner", many, n, lanes), space("gates", many, 3 * n, lanes)
+        cleared = space("cleared", many, n + 1, lanes)
+        # What each step starts from, with ones.
+        self.before = list(reached[:steps])
         x, rest = np.empty((lanes, 3 * n), kind), np.empty((n, lanes), kind)
         with np.errstate(over="ignore"):
             for t in range(steps):
                 if self.begins[t]:
-                    h = np.where(self.fresh[t], kind.type(0), h)
+                    start = cleared[t if keep else 0]
+                    start[:] = reached[t]
+                    start[:n, np.flatnonzero(self.fresh[t])] = 0
+                    self.before[t] = start
+                h = self.before[t]
                 g = self.gates[t if keep else 0]
                 np.matmul(state, h, out=g)
-                g += bias
                 table.take(self.inputs[t], axis=0, out=x, mode="clip")
                 sig, new = g[:2 * n], g[2 * n:]
                 if keep:
-                    self.before[t], self.inner[t] = h, new
+                    self.inner[t] = new
                 sig += x[:, :2 * n].T
                 np.exp(sig, out=sig)
                 sig += kind.type(1)
@@ -172,10 +177,10 @@ class _Window:
                 new *= sig[n:]
                 new += x[:, 2 * n:].T
                 np.tanh(new, out=new)
-                np.subtract(h, new, out=rest)
+                np.subtract(h[:n], new, out=rest)
                 rest *= sig[:n]
-                h = np.add(rest, new, out=self.states[t, :n])
-        self.last = np.ascontiguousarray(h.T)
+                np.add(rest, new, out=self.states[t, :n])
+        self.last = np.ascontiguousarray(reached[steps, :n].T)
 
     def by_place(self, space: _Space) -> np.ndarray:
         """The states with their ones, a row for each place."""
@@ -198,9 +203,9 @@ class _Words:
         self.parts = [(slice(c * CLASS, (c + 1) * CLASS), slice(int(ends[c] - sizes[c]), int(ends[c])))
                       for c in np.flatnonzero(sizes).tolist()]
         self.own = targets[self.rows] % CLASS
-        states = window.by_place(space)
-        self.near = states.take(self.rows, axis=0, mode="clip",
-                                out=space("near", len(self.rows), states.shape[1]))
+        self.states = window.by_place(space)
+        self.near = self.states.take(self.rows, axis=0, mode="clip",
+                                     out=space("near", len(self.rows), self.states.shape[1]))
 
     def logits(self, weights: np.ndarray, space: _Space) -> np.ndarray:
         out = space("words", CLASS, len(self.rows))
@@ -209,7 +214,7 @@ class _Words:
         return out
 
 
-def score(model: dict[str, np.ndarray], docs: list[np.ndarray], lanes: int = 256,
+def score(model: dict[str, np.ndarray], docs: list[np.ndarray], lanes: int = 512,
           steps: int | None = None) -> np.ndarray:
     """log10 probability of each document's symbols.
 
@@ -297,17 +302,18 @@ def gradients(model, run: Lanes, h, place, valid, full: int | None = None,
     spread = _output_slopes(model, slopes, window, run.targets[place].astype(np.int64), valid, full,
                             space)
     # Slopes of the gates: by the state's part; the input's part differs in its last third.
-    dg, dn = space("dg", steps, 3 * n, lanes), space("dn", steps, n, lanes)
+    part, by_new = space("dg", 3 * n, lanes), space("dn", n, lanes)
+    by_input = space("by input", steps, lanes, 3 * n)
     dh, back, rest = np.zeros((n, lanes), space.kind), *np.empty((2, n, lanes), space.kind)
-    by_state = np.zeros((n, 3 * n), space.kind)
+    by_state = np.zeros((3 * n, n + 1), space.kind)
     for t in range(steps - 1, -1, -1):
-        gates, new, part, by_new = window.gates[t], window.gates[t, 2 * n:], dg[t], dn[t]
+        gates, new, before = window.gates[t], window.gates[t, 2 * n:], window.before[t]
         z, r = gates[:n], gates[n:2 * n]
-        dh += spread[t]
+        dh += spread[t].T
         np.multiply(dh, z, out=back)
         np.subtract(dh, back, out=rest)
         # By z: (before - new) * dh * z * (1 - z).
-        np.subtract(window.before[t], new, out=part[:n])
+        np.subtract(before[:n], new, out=part[:n])
         part[:n] *= rest
         part[:n] *= z
         # By the new state: dh * (1 - z) * (1 - new * new).
@@ -319,26 +325,31 @@ def gradients(model, run: Lanes, h, place, valid, full: int | None = None,
         np.subtract(1, r, out=rest)
         rest *= window.inner[t]
         np.multiply(part[2 * n:], rest, out=part[n:2 * n])
-        by_state += window.before[t] @ part.T
+        by_state += part @ before.T
+        by_input[t, :, :2 * n], by_input[t, :, 2 * n:] = part[:2 * n].T, by_new.T
         np.matmul(model["state"], part, out=dh)
         dh += back
         if window.begins[t]:
-            dh[:, window.fresh[t]] = 0
-    slopes["state"], slopes["state_bias"] = by_state, dg.sum(axis=(0, 2))
-    symbols, most = window.inputs.ravel(), len(model["inputs"])
-    into = space("inputs", 3 * n, most)
-    for i in range(3 * n):
-        row = dg[:, i] if i < 2 * n else dn[:, i - 2 * n]
-        into[i] = np.bincount(symbols, row.ravel(), most)
-    slopes["inputs"] = space("by input", most, 3 * n)
-    slopes["inputs"][:] = into.T
+            dh[:, np.flatnonzero(window.fresh[t])] = 0
+    slopes["state"] = np.ascontiguousarray(by_state[:, :n].T)
+    slopes["state_bias"] = by_state[:, n].copy()
+    # Inputs: the places of a symbol side by side, then their sums.
+    order = np.argsort(window.inputs, axis=None, kind="stable")
+    symbols = window.inputs.ravel()[order]
+    starts = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
+    rows = by_input.reshape(-1, 3 * n).take(order, axis=0, mode="clip",
+                                            out=space("by symbol", len(order), 3 * n))
+    slopes["inputs"] = space("inputs", *model["inputs"].shape)
+    slopes["inputs"][:] = 0
+    slopes["inputs"][symbols[starts]] = np.add.reduceat(
+        rows, starts, axis=0, out=space("symbols", len(starts), 3 * n))
     return window.last, slopes
 
 
 def _output_slopes(model, slopes, window: _Window, targets, valid, full: int | None,
                    space: _Space):
-    """Slopes by the states; those of the output's weights go into ``slopes``. Places that hold no
-    token have none."""
+    """Slopes by the states, a row for each place; those of the output's weights go into ``slopes``.
+    Places that hold no token have none."""
     words, (steps, width, lanes) = len(model["words"]), window.states.shape
     n = width - 1
     scale = (valid / (full or max(1, valid.sum()))).astype(space.kind)
@@ -353,23 +364,16 @@ def _output_slopes(model, slopes, window: _Window, targets, valid, full: int | N
         np.matmul(q[:, at], known.near[at], out=sums[part])
         np.matmul(q[:, at].T, model["words"][part], out=inner[at])
     slopes["words"], slopes["word_bias"] = np.ascontiguousarray(sums[:, :n]), sums[:, n].copy()
-    by_place = space("back by place", steps * lanes, n)
-    by_place[:] = 0
-    by_place[known.rows] = inner
-    by_place = by_place.reshape(steps, lanes, n)
     # Classes and tail classes.
     weights = _with_bias(model["classes"].T, model["class_bias"])
-    safe, columns = _safe(weights), np.ascontiguousarray(model["classes"])
-    back, sums = space("back", steps, n, lanes), np.zeros_like(weights)
-    p = space("p", len(weights), lanes)
-    for t in range(steps):
-        np.matmul(weights, window.states[t], out=p)
-        _shares_less_own(_bounded(p, safe), scale[t], kind[t])
-        sums += p @ window.states[t].T
-        np.matmul(columns, p, out=back[t])
-        back[t] += by_place[t].T
+    p = np.matmul(weights, known.states.T, out=space("p", len(weights), steps * lanes))
+    _shares_less_own(_bounded(p, _safe(weights)), scale.ravel(), kind.ravel())
+    sums = p @ known.states
     slopes["classes"], slopes["class_bias"] = np.ascontiguousarray(sums[:, :n].T), sums[:, n].copy()
-    return back
+    back = np.matmul(p.T, weights[:, :n], out=space("back", steps * lanes, n))
+    inner += back.take(known.rows, axis=0, mode="clip", out=space("own", *inner.shape))
+    back[known.rows] = inner
+    return back.reshape(steps, lanes, n)
 
 
 def _shares_less_own(logits: np.ndarray, scale: np.ndarray, own: np.ndarray) -> None:

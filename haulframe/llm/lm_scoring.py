@@ -22,7 +22,6 @@ scored each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulframe.llm import gru
-from haulframe.llm.common import prepare_python, stage, take_over, whole_text
+from haulframe.llm.common import (
+    keep_freed,
+    prepare_python,
+    return_freed,
+    stage,
+    take_over,
+    whole_text,
+)
 from haulframe.sources.storage import scratch_path
 
 VOCABULARY = 1023
@@ -46,6 +52,9 @@ SEEN = 1e-5
 # Tokens that a task holds at once, and distinct words it counts before it hands them on.
 BUFFER = 4_000_000
 DISTINCT = 200_000
+# Counts, and bytes of them, that a task holds before it adds up those of the same word.
+HELD = 4 * DISTINCT
+HELD_BYTES = 32 * 1024**2
 # Replicas that one task averages.
 FAN_IN = 32
 
@@ -101,6 +110,12 @@ def _counted(read: DataFrame, counts: DataFrame, tokens: int) -> DataFrame:
         rows.filter(F.col("_hot").isNotNull()).select("_uid", "times", F.col("_hot").alias("n"))))
 
 
+def _begin() -> None:
+    """Called in a worker before any work here."""
+    take_over("lm-scoring", return_freed)
+    keep_freed()
+
+
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words of some texts, the words of all in a row by their numbers, and the words
     of each text."""
@@ -122,33 +137,26 @@ def tail_of(word: bytes) -> int:
     return zlib.crc32(word[:2]) % TAILS
 
 
-class _Tails(dict):
-    """Tail class by the first bytes of a word."""
-
-    def __missing__(self, start: bytes) -> int:
-        self[start] = tail_of(start)
-        return self[start]
-
-
 def count_words(rows: DataFrame) -> DataFrame:
     """word (binary) and n over all rows."""
     def count(batches):
-        found = Counter()
+        _begin()
+        held = []
         for batch in batches:
             words, ids, _ = words_of(batch["text"])
             n = np.bincount(ids, minlength=len(words))
-            for w, times in zip(words.to_pylist(), n.tolist(), strict=True):
-                if times:
-                    found[w] += times
-            if len(found) > DISTINCT:
-                yield out(found)
-                found.clear()
-        yield out(found)
-
-    def out(found):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())],
-            names=["word", "n"])
+            held.append(pa.table([words, pa.array(n, pa.int64())], names=["word", "n"])
+                        .filter(pa.array(n > 0)))
+            if sum(map(len, held)) > HELD or sum(part.nbytes for part in held) > HELD_BYTES:
+                held = [added(held)]
+                if len(held[0]) > DISTINCT or held[0].nbytes > HELD_BYTES // 2:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from added(held).to_batches()
+
+    def added(held):
+        return (pa.concat_tables(held).group_by("word", use_threads=False)
+                .aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"]))
 
     return (rows.select("text").mapInArrow(count, "word binary, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))
@@ -201,7 +209,7 @@ class _Symbols:
         vocabulary = {w: i for i, w in enumerate(plan["vocabulary"])}
         self.end = len(vocabulary)
         self.first_tail = -(-(self.end + 1) // gru.CLASS) * gru.CLASS
-        self.place = {w: i for i, (w, _) in enumerate(plan["head"])}
+        self.head = pa.array([w for w, _ in plan["head"]], pa.binary())
         self.log_count = np.log10(np.array([n for _, n in plan["head"]] + [0], np.float64) + 1)
         self.symbol = np.array(
             [vocabulary[w] if w in vocabulary else self.first_tail + tail_of(w)
@@ -209,25 +217,25 @@ class _Symbols:
         self.end_log_count = float(np.log10(plan["documents"] + 1))
         self.end_known = int(plan["documents"] > 0)
         self.tail_total = plan["tail_total"]
-        self.tails = _Tails()
 
     def read(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         """The texts of a batch, as rows of ``READ``."""
         words, ids, sizes = words_of(batch["text"])
-        distinct, rows = words.to_pylist(), np.repeat(np.arange(len(sizes)), sizes)
-        get = self.place.get
-        place = np.fromiter([get(w, -1) for w in distinct], np.int64, len(distinct))
+        distinct, rows = len(words), np.repeat(np.arange(len(sizes)), sizes)
+        place = pc.index_in(words, value_set=self.head).fill_null(-1).to_numpy()
         symbol, logs = self.symbol[place], self.log_count[place]  # place -1 has count 0
         unknown = np.flatnonzero(place < 0)
-        symbol[unknown] = [self.first_tail + self.tails[distinct[i][:2]] for i in unknown.tolist()]
+        starts = pc.binary_slice(words.take(pa.array(unknown)), 0, 2).dictionary_encode()
+        tails = [self.first_tail + tail_of(start) for start in starts.dictionary.to_pylist()]
+        symbol[unknown] = np.array(tails, np.int16)[starts.indices.to_numpy()]
         # What a tail word adds to the model's part: its share of its class.
-        inner = np.zeros(len(distinct))
+        inner = np.zeros(distinct)
         in_tail = symbol >= self.first_tail
         inner[in_tail] = logs[in_tail] - self.tail_total[symbol[in_tail] - self.first_tail]
         rare = place[ids] < 0
         # Rare words of each text, each once.
-        keys, times = np.unique(rows[rare] * len(distinct) + ids[rare], return_counts=True)
-        rare_row, rare_word = np.divmod(keys, max(1, len(distinct)))
+        keys, times = np.unique(rows[rare] * distinct + ids[rare], return_counts=True)
+        rare_row, rare_word = np.divmod(keys, max(1, distinct))
         n = len(sizes)
         ends = np.cumsum(sizes + 1)
         symbols = np.full(ends[-1] if n else 0, self.end, "<i2")
@@ -254,7 +262,7 @@ def _read(rows: DataFrame, plan: dict) -> DataFrame:
         {k: plan[k] for k in ("head", "vocabulary", "documents", "tail_total")})
 
     def run(batches):
-        take_over("lm-scoring")
+        _begin()
         symbols = _Symbols(shared.value)
         for batch in batches:
             yield symbols.read(batch)
@@ -271,7 +279,7 @@ def _trained(training: DataFrame, plan: dict) -> dict[str, np.ndarray]:
         start = context.broadcast((model, seen))
 
         def learn(batches, start=start):
-            take_over("lm-scoring")
+            _begin()
             model, seen = ({k: v.copy() for k, v in part.items()} for part in start.value)
             docs, held, used = [], 0, 0
             for batch in batches:
@@ -331,7 +339,7 @@ def _scored(read: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     shared = read.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        take_over("lm-scoring")
+        _begin()
         held, docs, size = [], [], 0
         for batch in batches:
             held.append(batch.drop_columns(["symbols"]))

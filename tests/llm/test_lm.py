@@ -1,13 +1,19 @@
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from conftest_llm import rows_of
+from pyspark.sql import functions as F
 
 from haulframe.llm import gru, lm_scoring
+from haulframe.llm.common import GIVE_BACK
 from haulframe.llm.lm_scoring import score_documents
 
 COLUMNS = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -131,6 +137,45 @@ def test_a_long_document_leaves_few_lanes_idle(small, monkeypatch):
     assert tokens == sum(map(len, docs)) and tokens > 0.8 * places
 
 
+def test_words_are_counted_once_however_often_they_are_handed_on(spark, given, monkeypatch):
+    want = Counter(w for (t,) in rows_of(given, "text") for w in words(t))
+    rows = given.select(F.coalesce("text", F.lit("")).alias("text"))
+    for held, distinct in ((lm_scoring.HELD, lm_scoring.DISTINCT), (50, 10), (50, 1_000_000)):
+        monkeypatch.setattr(lm_scoring, "HELD", held)
+        monkeypatch.setattr(lm_scoring, "DISTINCT", distinct)
+        got = {bytes(w).decode(): n for w, n in rows_of(lm_scoring.count_words(rows), "word", "n")}
+        assert got == want
+
+
+def test_reading_uses_its_memory_again(tmp_path):
+    """With the workers' settings alone, every array of 128 KB or more costs its pages anew."""
+    script = tmp_path / "run.py"
+    script.write_text("""
+import resource
+import numpy as np
+import pyarrow as pa
+from haulframe.llm import lm_scoring
+
+words = np.random.default_rng(0).integers(0, 50_000, (1000, 400)).astype(str)
+ids = pa.array(range(1000), pa.int64())
+batch = pa.RecordBatch.from_arrays(
+    [ids, ids, pa.array([False] * 1000), pa.array([" ".join(w) for w in words])],
+    names=["_uid", "_id", "_held", "text"])
+symbols = lm_scoring._Symbols({"head": [(b"1", 9), (b"2", 8)], "vocabulary": [b"1"],
+                               "documents": 5, "tail_total": np.ones(lm_scoring.TAILS)})
+if hasattr(lm_scoring, "_begin"):
+    lm_scoring._begin()
+for _ in range(4):
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    symbols.read(batch)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+""")
+    root = str(Path(lm_scoring.__file__).parents[2])
+    done = subprocess.run([sys.executable, str(script)], capture_output=True, text=True, check=True,
+                          env={**os.environ, **GIVE_BACK, "PYTHONPATH": root})
+    assert int(done.stdout) < 2000
+
+
 def test_words_by_number_are_the_words_of_each_text():
     import pyarrow as pa
 
