@@ -24,6 +24,8 @@ rows count each; ids may be NULL or repeated; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -67,6 +69,13 @@ HELD = pa.schema({"bytes": pa.int32(), "k": pa.uint8(), "n": pa.int64(), "first"
                   "reached": pa.uint8()})
 PHRASES = pa.schema([pa.field("key", pa.string()), *list(HELD)[1:]])
 LEVEL = 6
+# What a task holds at once, however many phrases are active: phrases of a run by their places,
+# phrases of them spelled out, bytes of a bucket that are brought up to date together, and
+# phrases of a block that it leaves.
+FOUND_ROWS = 2**20
+SPELLED_ROWS = 2**17
+PASS_BYTES = 20 * 1024**2
+HELD_ROWS = 2**18
 BLOCK_FILES = RUN_FILES | {"compression": "none"}
 
 
@@ -163,9 +172,8 @@ def _block(bucket: int, rows: pa.RecordBatch, slots: np.ndarray | None = None) -
     """The phrases (``PHRASES``) of a bucket as a row of ``BLOCKS``."""
     keys = rows["key"]
     head = pa.RecordBatch.from_arrays([pc.binary_length(keys), *rows.columns[1:]],
-                                      schema=HELD).serialize().to_pybytes()
-    plain = head + pc.binary_join(pa.ListArray.from_arrays(
-        pa.array([0, len(keys)], pa.int32()), keys), "")[0].as_buffer().to_pybytes()
+                                      schema=HELD).serialize()
+    plain = b"".join([head, _letters(keys)[0]])
     fresh = [] if slots is None else slots
     packed = pa.Codec("zstd", compression_level=LEVEL).compress(plain, asbytes=True)
     return pa.RecordBatch.from_arrays(
@@ -176,8 +184,16 @@ def _block(bucket: int, rows: pa.RecordBatch, slots: np.ndarray | None = None) -
         names=["bucket", "size", "head", "block", "slots"])
 
 
-def _phrases_of(blocks) -> pa.Table:
-    """The phrases of all blocks of a batch or table."""
+def _letters(keys: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of all keys in a row, and where each begins."""
+    if not len(keys):
+        return memoryview(b""), np.zeros(0, np.int32)
+    ends = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset:keys.offset + len(keys) + 1]
+    return memoryview(keys.buffers()[2] or b"")[ends[0]:ends[-1]], ends[:-1] - ends[0]
+
+
+def _phrases_of(blocks, part: int = 0, parts: int = 1) -> pa.Table:
+    """The phrases of all blocks of a batch or table, or those of one of ``parts``."""
     found = []
     for block, size, at in zip(blocks["block"], blocks["size"].to_pylist(),
                                blocks["head"].to_pylist(), strict=True):
@@ -186,58 +202,109 @@ def _phrases_of(blocks) -> pa.Table:
         ends = np.concatenate([[0], np.cumsum(rows["bytes"].to_numpy())]).astype(np.int32)
         keys = pa.Array.from_buffers(pa.string(), len(rows), [None, pa.py_buffer(ends),
                                                               plain.slice(at)])
-        found.append(pa.RecordBatch.from_arrays([keys, *rows.columns[1:]], schema=PHRASES))
+        rows = pa.RecordBatch.from_arrays([keys, *rows.columns[1:]], schema=PHRASES)
+        if parts > 1 and len(rows):
+            rows = rows.take(pa.array(np.flatnonzero(_parts(keys, parts) == part)))
+        found.append(rows)
     return pa.Table.from_batches(found, PHRASES)
 
 
+def _parts(keys: pa.Array, parts: int) -> np.ndarray:
+    """The part of each key, by the sum of its bytes up to a space: phrases with one first word
+    stay together, which takes less room."""
+    letters, starts = _letters(keys)
+    until = pc.find_substring(keys, " ").to_numpy()
+    ends = np.append(starts[1:], len(letters))
+    cuts = np.column_stack([starts, np.where(until < 0, ends, starts + until)]).ravel()
+    # The last cut may stand behind all letters.
+    letters = np.append(np.frombuffer(letters, np.uint8), np.uint8(0))
+    return np.add.reduceat(letters, cuts, dtype=np.uint32)[::2] % np.uint32(parts)
+
+
 def _split_keys(keys: pa.Array) -> tuple[pa.Array, pa.Array]:
     """Language and phrase of the keys: a phrase holds no line feed."""
     parts = pc.split_pattern(keys, "\n", max_splits=1, reverse=True)
     return pc.list_element(parts, 0), pc.list_element(parts, 1)
 
 
-def _blocks(found: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]], step: int, buckets: int):
+def _blocks(found: list[tuple[pa.RecordBatch | _Places, np.ndarray, np.ndarray]], step: int,
+            buckets: int):
     """Rows of ``COUNTS`` with their hashes and the numbers of their first words, as blocks of the
-    buckets of the hashes. Phrases with one first word stand together: they take less room so."""
+    buckets of the hashes. Phrases with one first word stand together: they take less room so.
+    Some buckets' rows are spelled out at a time; a bucket of more rows comes in several blocks."""
     h = np.concatenate([x for _, x, _ in found])
     bucket = ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
     order = np.argsort(bucket << 32 | np.concatenate([x for _, _, x in found]), kind="stable")
     sizes = np.bincount(bucket, minlength=buckets)
-    rows = pa.Table.from_batches([x for x, _, _ in found]).combine_chunks().to_batches()[0]
-    keys = pc.binary_join_element_wise(rows["lang"], rows["phrase"], "\n")
-    ends = np.cumsum(sizes)
+    del h, bucket
+    starts = np.cumsum([0, *[len(x) for _, x, _ in found]])
+
+    def spelled(low, high):
+        """These rows of the order, as ``PHRASES``."""
+        at = order[low:high]
+        source = np.searchsorted(starts, at, side="right") - 1
+        places = [np.flatnonzero(source == i) for i in range(len(found))]
+        rows = pa.Table.from_batches(
+            [x.take(pa.array(at[w] - starts[i])) for i, ((x, _, _), w) in
+             enumerate(zip(found, places, strict=True)) if len(w)]).combine_chunks().to_batches()[0]
+        back = np.empty(len(at), np.int64)
+        back[np.concatenate(places)] = np.arange(len(at))
+        back = pa.array(back)
+        keys = pc.binary_join_element_wise(rows["lang"], rows["phrase"], "\n")
+        return pa.RecordBatch.from_arrays(
+            [keys.take(back), rows["k"].take(back).cast(pa.uint8()), rows["n"].take(back),
+             pa.array(np.full(len(at), step, np.uint8)), pa.array(np.full(len(at), NEVER, np.uint8))],
+            schema=PHRASES)
+
+    cuts, done = [], 0
     for b in np.flatnonzero(sizes).tolist():
-        at = pa.array(order[ends[b] - sizes[b]:ends[b]])
-        m = len(at)
-        yield _block(b, pa.RecordBatch.from_arrays(
-            [keys.take(at), rows["k"].take(at).cast(pa.uint8()), rows["n"].take(at),
-             pa.array(np.full(m, step, np.uint8)), pa.array(np.full(m, NEVER, np.uint8))],
-            schema=PHRASES))
+        end = done + int(sizes[b])
+        while done < end:
+            cuts.append((b, done, min(done + SPELLED_ROWS, end)))
+            done = cuts[-1][2]
+    while cuts:
+        low, n = cuts[0][1], 1
+        while n < len(cuts) and cuts[n][2] - low <= SPELLED_ROWS:
+            n += 1
+        rows = spelled(low, cuts[n - 1][2])
+        for b, begin, end in cuts[:n]:
+            yield _block(b, rows.slice(begin - low, end - begin))
+        del cuts[:n]
 
 
 def _merger(step: int, shards: int, threshold: int, longest: int, slots: int):
     """Brings the phrases of a bucket up to date with what a step has counted."""
     def merge(key, table):
         take_over("phrases")
-        found = pa.TableGroupBy(_phrases_of(table), "key", use_threads=False).aggregate(
+        # A bucket of very many phrases is brought up to date part by part.
+        parts = max(1, -(-sum(table["size"].to_pylist()) // PASS_BYTES))
+        blocks = [b for part in range(parts) for b in merged(key[0].as_py(), table, part, parts)]
+        return pa.Table.from_batches(blocks)
+
+    def merged(bucket, table, part, parts):
+        found = pa.TableGroupBy(_phrases_of(table, part, parts), "key", use_threads=False).aggregate(
             [("k", "min"), ("n", "sum"), ("first", "min"), ("reached", "min")])
         k, n, first, reached = (found[x].to_numpy() for x in ("k_min", "n_sum", "first_min",
                                                                "reached_min"))
+        keys = found["key"].combine_chunks()
+        del found
         often = (n >= threshold) & (k > 0)
         reached = np.where(often & (reached == NEVER), np.uint8(step + 1), reached)
         # A phrase seen in step ``first`` has completed its cycle ``shards`` steps later.
         open_ = first.astype(np.int64) + shards > step + 1
         kept = np.flatnonzero(often | open_ | (k == 0))
-        keys = found["key"].combine_chunks().take(pa.array(kept))
-        k, n, first, reached = k[kept], n[kept], first[kept], reached[kept]
-        fresh = [np.zeros(0, np.int64)]
-        for size in range(1, longest):
-            which = np.flatnonzero((reached == step + 1) & (k == size))
-            if len(which):
-                fresh.append(_slots(*_split_keys(keys.take(pa.array(which))), size, slots))
-        rows = pa.RecordBatch.from_arrays(
-            [keys, *[pa.array(x) for x in (k, n, first, reached)]], schema=PHRASES)
-        return pa.Table.from_batches([_block(key[0].as_py(), rows, np.concatenate(fresh))])
+        for low in range(0, max(1, len(kept)), HELD_ROWS):
+            at = kept[low:low + HELD_ROWS]
+            rows = pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(at)), *[pa.array(x[at]) for x in (k, n, first, reached)]],
+                schema=PHRASES)
+            fresh = [np.zeros(0, np.int64)]
+            for size in range(1, longest):
+                which = np.flatnonzero((reached[at] == step + 1) & (k[at] == size))
+                if len(which):
+                    fresh.append(_slots(*_split_keys(rows["key"].take(pa.array(which))), size,
+                                        slots))
+            yield _block(bucket, rows, np.concatenate(fresh))
 
     return merge
 
@@ -344,27 +411,36 @@ def _counter(shared, likely, step: int, shards: int, longest: int, buckets: int)
         take_over("phrases")
         for batch in batches:
             for i in range(batch.num_rows):
-                found = list(counted(_Run.of_row(batch, i), shared.value))
-                if found:
-                    yield from _blocks(found, step, buckets)
+                yield from blocks(_Run.of_row(batch, i))
+
+    def blocks(run):
+        found, held = [], 0
+        for rows in counted(run, shared.value):
+            if found and held + len(rows[1]) > FOUND_ROWS:
+                yield from _blocks(found, step, buckets)
+                found, held = [], 0
+            found.append(rows)
+            held += len(rows[1])
+        if found:
+            yield from _blocks(found, step, buckets)
 
     def counted(run, ages):
         if step < shards:
-            yield run.totals(), _mixed(run.seeds), np.zeros(len(run.seeds), np.int64)
+            yield run.totals(), _mixed(run.seeds), np.zeros(len(run.seeds), np.int32)
             lang, ids, n = run.likely_words(likely.value)
-            yield run.word_rows(lang, ids, n), run.word_hashes(lang, ids), ids.astype(np.int64)
+            yield run.word_rows(lang, ids, n), run.word_hashes(lang, ids), ids.astype(np.int32)
         h = run.first
         reached = run.reached(h, np.flatnonzero(run.word), ages)
         for k in range(2, longest + 1):
             # Both subphrases: without the last word, and without the first. Few places are left
             # from one length to the next, and only those are looked at.
             begin = np.maximum(reached[:-1], reached[1:])
-            live = np.flatnonzero(begin <= step)
-            h[live] = _longer(h[live], run.hashes[live + k - 1])
+            live = np.flatnonzero(begin <= step).astype(np.int32)
+            h[live] = _longer(h[live], run.hashes[live + np.int32(k - 1)])
             active = live[begin[live].astype(np.int16) > step - shards]
             if len(active):
                 first, n = run.distinct(active, h, k)
-                yield run.phrase_rows(first, n, k), h[first], run.ids[first].astype(np.int64)
+                yield _Places(run, first, n, k), h[first], run.ids[first]
             if k < longest:
                 # Slots that others filled must not make a phrase older than its subphrases.
                 reached = run.reached(h, live, ages)
@@ -384,6 +460,8 @@ class _Run:
         ids = found.indices.to_numpy(zero_copy_only=False)
         rows = np.repeat(np.arange(len(parts), dtype=np.int32),
                          pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        many = len(parts)
+        del texts, parts
         words = found.dictionary.to_pylist()
         # No word has a full stop; runs of spaces leave empty ones.
         mark = words.index(".")
@@ -393,7 +471,7 @@ class _Run:
         langs = langs.dictionary_encode()
         self._fill(found.dictionary, np.array([word_hash(w) for w in words], np.uint64),
                    np.where(ids == mark, np.int32(-1), ids), langs.dictionary,
-                   np.bincount(rows, minlength=len(parts)).astype(np.int32),
+                   np.bincount(rows, minlength=many).astype(np.int32),
                    langs.indices.to_numpy(zero_copy_only=False).astype(np.int32))
 
     def _fill(self, words, hashes, ids, langs, lengths, text_langs):
@@ -401,10 +479,16 @@ class _Run:
         self.lengths, self.text_langs = lengths, text_langs
         self.lang = np.repeat(text_langs, lengths)
         self.word = ids >= 0
-        # Marks get the hash of some word: no phrase holds one.
-        self.hashes = hashes[ids]
         self.seeds = np.array([word_hash(x) for x in langs.to_pylist()], np.uint64)
-        self.first = _mixed(self.hashes ^ self.seeds[self.lang])
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        # Marks get the hash of some word: no phrase holds one.
+        return self.hashes_of[self.ids]
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        return _mixed(self.hashes ^ self.seeds[self.lang])
 
     def row(self, shard: int) -> pa.RecordBatch:
         """The run as one row of ``RUNS``."""
@@ -435,8 +519,10 @@ class _Run:
     def reached(self, h: np.ndarray, places: np.ndarray, ages: np.ndarray) -> np.ndarray:
         """The step from which the phrase at each of the places counts as frequent."""
         out = np.full(len(h), NEVER, np.uint8)
-        a, b = _two_slots(h[places], len(ages))
-        out[places] = np.maximum(ages[a], ages[b])
+        for low in range(0, len(places), SPELLED_ROWS):
+            at = places[low:low + SPELLED_ROWS]
+            a, b = _two_slots(h[at], len(ages))
+            out[at] = np.maximum(ages[a], ages[b])
         return out
 
     def totals(self) -> pa.RecordBatch:
@@ -478,16 +564,22 @@ class _Run:
     def distinct(self, places: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """A place of each phrase of ``k`` words at some places, and its count there; a phrase that
         shares its hash with another may come repeatedly."""
-        _, first, which, n = np.unique(h[places], return_index=True, return_inverse=True,
-                                       return_counts=True)
-        first = places[first]
+        found = h[places]
+        order = np.argsort(found, kind="stable")
+        found, places = found[order], places[order]
+        del order
+        begins = np.flatnonzero(np.append(True, found[1:] != found[:-1])[:len(found)])
+        del found
+        n = np.diff(begins, append=len(places))
+        first = places[begins]
         # Hashes only sort: words decide what is equal.
-        same = self.lang[first[which]] == self.lang[places]
+        of = np.repeat(first, n)
+        same = self.lang[of] == self.lang[places]
         for i in range(k):
-            same &= self.ids[first[which] + i] == self.ids[places + i]
+            same &= self.ids[of + i] == self.ids[places + i]
         if not same.all():
             other = places[~same]
-            n = np.concatenate([n - np.bincount(which[~same], minlength=len(n)),
+            n = np.concatenate([n - np.add.reduceat(~same, begins, dtype=np.int64),
                                 np.ones(len(other), np.int64)])
             first = np.concatenate([first, other])
         return first, n
@@ -502,6 +594,19 @@ class _Run:
         return _rows(self.langs.take(pa.array(self.lang[first])), phrases, k, n)
 
 
+class _Places:
+    """Phrases of ``k`` words of a run, each at one of its places, with their counts."""
+
+    def __init__(self, run: _Run, first: np.ndarray, n: np.ndarray, k: int):
+        self.run, self.k = run, k
+        self.first, self.n = first.astype(np.int32), n.astype(np.int32)
+
+    def take(self, at: pa.Array) -> pa.RecordBatch:
+        """Some of them, spelled out."""
+        at = at.to_numpy()
+        return self.run.phrase_rows(self.first[at], self.n[at], self.k)
+
+
 def _rows(lang: pa.Array, phrase: pa.Array, k: int, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [lang, phrase, pa.array(np.full(len(n), k, np.int32)), pa.array(n.astype(np.int64))],

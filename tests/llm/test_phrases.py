@@ -115,3 +115,93 @@ def test_blocks_give_back_their_phrases_and_take_little_room():
     held = sum(len(b["block"][0].as_py()) for b in phrases._blocks(many, 1, 8))
     # A row of the shuffle took more than 20 bytes.
     assert len(pairs) > 10_000 and held < 10 * len(pairs)
+
+
+class _Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def _dense(words, vocabulary):
+    """A run in which about every phrase stands once, and its counter with all phrases active."""
+    import pyarrow as pa
+
+    ids = np.random.default_rng(5).integers(0, vocabulary, words)
+    text = " ".join(f"word{i}" for i in ids.tolist())
+    batch = phrases._Run(pa.array([text, "a b. a b a b"]), pa.array(["x", "y z\nw"])).row(0)
+    return text, lambda buckets: list(phrases._counter(
+        _Shared(np.zeros(2**10, np.uint8)), _Shared(np.ones(phrases.WORD_SLOTS, bool)), 2, 3, 5,
+        buckets)(iter([batch])))
+
+
+def test_what_is_done_at_once_changes_no_count(monkeypatch):
+    import pyarrow as pa
+
+    text, counted = _dense(3000, 40)
+    want = slow_counts([("x", text), ("y z\nw", "a b. a b a b")])
+    for name, value in (("FOUND_ROWS", 2000), ("SPELLED_ROWS", 500), ("PASS_BYTES", 20_000),
+                        ("HELD_ROWS", 300)):
+        monkeypatch.setattr(phrases, name, value)
+    for buckets in (1, 7):
+        got, slots = Counter(), set()
+        found = counted(buckets)
+        for b in range(buckets):
+            blocks = pa.Table.from_batches([x for x in found if x["bucket"][0].as_py() == b])
+            assert all(len(phrases._phrases_of(x)) <= 500 for x in blocks.to_batches())
+            # What a step leaves comes back in the next one.
+            for step in (2, 3):
+                blocks = phrases._merger(step, 3, 2, 5, 2**10)((pa.scalar(b),), blocks)
+                assert set(blocks["bucket"].to_pylist()) == {b} and blocks.num_rows > 1
+                assert all(len(phrases._phrases_of(x)) <= 300 for x in blocks.to_batches())
+                slots |= {x for y in blocks["slots"].to_pylist() for x in y}
+            for r in phrases._phrases_of(blocks).to_pylist():
+                lang, phrase = phrases._split_keys(pa.array([r["key"]]))
+                assert (lang[0].as_py(), phrase[0].as_py()) not in got
+                got[lang[0].as_py(), phrase[0].as_py()] = r["n"]
+        assert {p: n for p, n in got.items() if p[1]} == {
+            (x, " ".join(w)): n for (x, w), n in want[0].items()}
+        assert {x: n for (x, p), n in got.items() if not p} == +want[1]
+        often = Counter()
+        for (x, w), n in want[0].items():
+            if n >= 2 and len(w) < 5:
+                often.update(phrases._slots(pa.array([x]), pa.array([" ".join(w)]), len(w),
+                                            2**10).tolist())
+        assert slots == set(often)
+
+
+def test_parts_hold_all_phrases_once():
+    import pyarrow as pa
+
+    keys = pa.array(["x\n", "x\na", "x\na b", "x\na b c", " \nb", "\n", "\né b", "x y\nz b"])
+    for some in (keys, keys.slice(2, 5), keys.slice(0, 0)):
+        parts = phrases._parts(some, 3) if len(some) else np.zeros(0, np.uint32)
+        assert len(parts) == len(some) and (parts < 3).all()
+        alone = [int(phrases._parts(some.slice(i, 1), 3)[0]) for i in range(len(some))]
+        assert parts.tolist() == alone
+
+
+def test_a_dense_run_or_bucket_is_never_held_whole(monkeypatch):
+    """Once all phrases are active, as on large inputs, a run has four phrases a word."""
+    import pyarrow as pa
+
+    spelled, merged = [], []
+    rows_of_places, grouped = phrases._Run.phrase_rows, pa.TableGroupBy
+
+    def phrase_rows(self, first, n, k):
+        spelled.append(len(n))
+        return rows_of_places(self, first, n, k)
+
+    def group_by(table, *args, **options):
+        merged.append(table.nbytes)
+        return grouped(table, *args, **options)
+
+    monkeypatch.setattr(phrases._Run, "phrase_rows", phrase_rows)
+    monkeypatch.setattr(pa, "TableGroupBy", group_by)
+    _, counted = _dense(250_000, 40_000)
+    found = pa.Table.from_batches(counted(1))
+    blocks = phrases._merger(2, 3, 100, 5, 2**10)((pa.scalar(0),), found)
+    rows = sum(len(phrases._phrases_of(x)) for x in blocks.to_batches())
+    assert rows == sum(len(phrases._phrases_of(x)) for x in found.to_batches()) > 900_000
+    assert max(spelled) <= 2**17 and max(merged) < 25 * 1024**2
+    # The JVM gets no block of a whole bucket.
+    assert max(len(b.as_py()) for b in [*found["block"], *blocks["block"]]) < 4 * 1024**2
