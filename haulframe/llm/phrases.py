@@ -48,6 +48,8 @@ SALTS = 64
 # Slots of the counts of words by hash (one byte each, full at 255), and parts they are summed in.
 WORD_SLOTS = 2**23
 WORD_PARTS = 64
+# Bytes of a word's hash: they take much of the room of a run, and equal hashes change no count.
+HASH_BYTES = 5
 # Shard of the rows that hold such counts.
 COUNTED = -1
 BREAKS = r"[.,;:!?\n\x0b\x0c\r]"
@@ -134,7 +136,7 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, lang_col: str = "
 def word_hash(word: str) -> int:
     from xxhash import xxh64_intdigest
 
-    return xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 11)
+    return xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 11) >> 64 - 8 * HASH_BYTES
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -499,8 +501,9 @@ class _Run:
             return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()),
                                             values.cast(pa.string()))
 
+        hashes = self.hashes_of.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
         return pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int32()), pc.binary_join(listed(self.words), " "), numbers(self.hashes_of),
+            [pa.array([shard], pa.int32()), pc.binary_join(listed(self.words), " "), numbers(hashes),
              numbers(self.ids), listed(self.langs), numbers(self.lengths),
              numbers(self.text_langs)],
             names=["shard", "words", "hashes", "ids", "langs", "lengths", "text_langs"])
@@ -510,8 +513,12 @@ class _Run:
         def numbers(name, dtype):
             return np.frombuffer(batch[name][i].as_buffer(), dtype)
 
+        kept = numbers("hashes", np.uint8).reshape(-1, HASH_BYTES)
+        hashes = np.zeros((len(kept), 8), np.uint8)
+        hashes[:, :HASH_BYTES] = kept
         run = cls.__new__(cls)
-        run._fill(pc.split_pattern(batch["words"].slice(i, 1), " ").flatten(), numbers("hashes", np.uint64),
+        run._fill(pc.split_pattern(batch["words"].slice(i, 1), " ").flatten(),
+                  hashes.view(np.uint64).ravel(),
                   numbers("ids", np.int32), batch["langs"][i].values,
                   numbers("lengths", np.int32), numbers("text_langs", np.int32))
         return run

@@ -205,3 +205,13 @@ def test_a_dense_run_or_bucket_is_never_held_whole(monkeypatch):
     assert max(spelled) <= 2**17 and max(merged) < 25 * 1024**2
     # The JVM gets no block of a whole bucket.
     assert max(len(b.as_py()) for b in [*found["block"], *blocks["block"]]) < 4 * 1024**2
+
+
+def test_hashes_of_a_run_take_five_bytes_a_word():
+    import pyarrow as pa
+
+    row = phrases._Run(pa.array(["a b c. a é"]), pa.array(["x"])).row(0)
+    words = row["words"][0].as_py().split(" ")
+    held = row["hashes"][0].as_py()
+    assert [int.from_bytes(held[5 * i:5 * i + 5], "little") for i in range(len(words))] == [
+        phrases.word_hash(w) for w in words] and len(held) == 5 * len(words)
