@@ -16,7 +16,8 @@ together cannot be frequent and is not counted. Counts are exact and kept by the
 written table that one shuffle a step brings up to date; what has completed its cycle below the
 threshold leaves it. Table and shuffle hold phrases in compressed blocks, one for each of many
 buckets of the phrases' hashes, and a task brings one bucket at a time up to date. There is a bucket
-for every ``BUCKET_RUNS`` runs of a scan, so buckets become more with the input, not larger.
+for every ``BUCKET_RUNS`` runs of a scan, so buckets become more with the input. They also become
+larger as more phrases are active, so a large one is brought up to date part by part.
 
 Defined cases: NULL text is empty, NULL lang is ``und``; an empty table gives no rows; repeated
 rows count each; ids may be NULL or repeated; other columns are ignored.
